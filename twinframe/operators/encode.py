@@ -140,9 +140,10 @@ def standardised(df: DataFrame, enc: Encoding, c: str) -> Column:
 
 def one_hot(df: DataFrame, enc: Encoding, c: str) -> Column:
     """0/1 array over the fitted categories; an unknown key gives zeros."""
-    keys = F.array(*[F.lit(k) for k in enc.categories[c]])
     key = category_key(F.col(c))
-    return F.transform(keys, lambda k: (k == key).cast("double"))
+    if len(enc.categories[c]) <= 64:  # stays inside generated code
+        return F.array(*[(key == F.lit(k)).cast("double") for k in enc.categories[c]])
+    return F.transform(F.array(*[F.lit(k) for k in enc.categories[c]]), lambda k: (k == key).cast("double"))
 
 
 def key_index(enc: Encoding, c: str) -> Column:

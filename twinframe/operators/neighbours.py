@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinframe.functions.scalars import norm
-from twinframe.session import checkpoint
+from twinframe.session import checkpoint, spread
 
 METRICS = ("euclidean", "manhattan", "cosine", "hamming")
 APPROX_METRICS = METRICS + ("inner_product",)
@@ -138,7 +138,7 @@ def _assign(rows: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
                 cell = d.argmin(axis=1)
                 yield batch.assign(cell=cell.astype("int64"), radius=d[np.arange(len(d)), cell])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInPandas(place, f"{fields}, cell bigint, radius double")
+    return spread(rows).mapInPandas(place, f"{fields}, cell bigint, radius double")
 
 
 def _other_cells(queries: DataFrame, pivots: np.ndarray, radii: np.ndarray, metric: str) -> DataFrame:
@@ -182,7 +182,7 @@ def _nearest_cells(queries: DataFrame, pivots: np.ndarray, radii: np.ndarray, me
                 order = np.argsort(d, axis=1, kind="stable")[:, :probes].astype("int64")
                 yield batch[["cls", "src", "vec"]].assign(cells=list(order))
     kind = queries.schema["src"].dataType.simpleString()
-    return (queries.select("cls", "src", "vec").mapInPandas(
+    return (spread(queries.select("cls", "src", "vec")).mapInPandas(
         visit, f"cls string, src {kind}, vec array<double>, cells array<bigint>")
         .select("cls", "src", "vec", F.explode("cells").alias("cell")))
 
@@ -206,7 +206,7 @@ def _compare(routes: DataFrame, data: DataFrame, need: int, metric: str) -> Data
     keys = ["cls", "cell", "salt", "block"]
     schema = (f"src {routes.schema['src'].dataType.simpleString()}, "
               f"dst {data.schema['dst'].dataType.simpleString()}, dist double")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+    return spread(left, *keys).groupBy(*keys).cogroup(spread(right, *keys).groupBy(*keys)).applyInPandas(
         lambda q, d: best_of_tile(q, d, need, metric), schema)
 
 
@@ -218,7 +218,8 @@ def _merge(found: DataFrame, need: int) -> DataFrame:
 def _search(points: DataFrame, data: DataFrame, need: int, metric: str, probes: int | None) -> DataFrame:
     """(src, dst, dist, place) for distinct query points against candidate rows."""
     bound = _bound_metric(metric)
-    pivots = _pivots(data.filter(F.col("copy") == 1), "dst", data.filter(F.col("copy") == 1).count())
+    distinct = data.filter(F.col("copy") == 1)
+    pivots = _pivots(distinct, "dst", distinct.count())
     if pivots.size == 0:
         raise ValueError("The searched table must contain at least one row.")
     placed = checkpoint(_assign(data.select("cls", "dst", "vec"), pivots, bound))
@@ -251,7 +252,7 @@ def _check(k: int, metric: str, allowed) -> None:
 def _self_edges(df: DataFrame, key: str, vec: str, k: int, metric: str, within: str | None,
                 probes: int | None) -> DataFrame:
     rows = _prepared(df, key, vec, metric, within, "dst")
-    data = _copies(rows, "dst", k + 1)
+    data = checkpoint(_copies(rows, "dst", k + 1))
     points = data.filter(F.col("copy") == 1).withColumnRenamed("dst", "src")
     best = _search(points, data, k + 1, metric, probes).groupBy("src").agg(
         F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("best"))
@@ -283,8 +284,8 @@ def knn_cross(queries: DataFrame, query_key: str, data: DataFrame, data_key: str
     """The k nearest data rows of every query row: (src, dst, rank, dist)."""
     _check(k, metric, METRICS)
     asked = _prepared(queries, query_key, vec, metric, None, "src")
-    points = _copies(asked, "src", 1)
-    kept = _copies(_prepared(data, data_key, vec, metric, None, "dst"), "dst", k)
+    points = checkpoint(_copies(asked, "src", 1))
+    kept = checkpoint(_copies(_prepared(data, data_key, vec, metric, None, "dst"), "dst", k))
     best = _search(points, kept, k, metric, None).withColumnRenamed("src", "point")
     members = asked.join(points.select("cls", "vec", F.col("src").alias("point")), ["cls", "vec"])
     return members.select("src", "point").join(best, "point").select(

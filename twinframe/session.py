@@ -22,6 +22,15 @@ def local_session(cores: int | str = 8, app: str = "twinframe") -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """Keep the session's full shuffle width in front of Python work.
+
+    Adaptive execution merges small shuffle partitions by bytes, which would leave heavy arithmetic over few
+    bytes to a handful of tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage into the checkpoint folder the cluster names; survives lost executors.
 
