@@ -469,3 +469,27 @@ def summarise_method_report(real: DataFrame, synthetic: DataFrame, dataset: str,
         F.max(F.when(is_gap, F.col("value"))).alias("max_abs_association_difference")).select(
         F.lit(dataset).alias("dataset"), F.lit(method).alias("method"), F.lit(sizes["n_real"]).alias("n_real"),
         F.lit(sizes["n_synthetic"]).alias("n_synthetic"), "*")
+
+
+def top_values_two_sided(real: DataFrame, synthetic: DataFrame, column: str, k: int = 8) -> DataFrame:
+    """(value, real_share, synthetic_share) of the k most frequent values over both tables; absent is 0."""
+    counts = side_counts(tagged_union(real.select(column), synthetic.select(column)), [column]).filter(
+        F.col("value").isNotNull())
+    total = counts.agg(F.sum("n_real").alias("r"), F.sum("n_synthetic").alias("s")).first()
+    best = counts.orderBy(F.desc(F.col("n_real") + F.col("n_synthetic")), "value").limit(k)
+    return best.select("value", (F.col("n_real") / F.lit(float(total["r"] or 1))).alias("real_share"),
+                       (F.col("n_synthetic") / F.lit(float(total["s"] or 1))).alias("synthetic_share"))
+
+
+def two_kind_distances(real: DataFrame, generated: DataFrame, key: str, vec: str) -> DataFrame:
+    """(kind, src, dist) on raw vectors: generated row to nearest real row, real row to nearest other real row."""
+    across = knn_cross(generated, key, real, key, vec, 1).select(F.lit("generated_to_real").alias("kind"), "src", "dist")
+    return across.unionByName(knn_exact(real, key, vec, 1).select(F.lit("real_to_real").alias("kind"), "src", "dist"))
+
+
+def two_column_summary(real: DataFrame, synthetic: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """Row counts, means and sample stds of both columns on both sides, in one row."""
+    both = tagged_union(real.select(x, y), synthetic.select(x, y))
+    return both.agg(*[F.count(_on(s, F.lit(1))).alias(f"{s}_rows") for s in ("real", "synthetic")],
+                    *[f(_on(s, F.col(c))).alias(f"{s}_{c}_{n}") for s in ("real", "synthetic") for c in (x, y)
+                      for n, f in (("mean", F.avg), ("std", F.stddev_samp))])
