@@ -1,0 +1,223 @@
+"""Seeded samplers over whole tables; each draw is an md5 number that SQL can repeat."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from twinframe.catalog.base import Tables, dense, query, r, u, uidx
+from twinframe.catalog.measures import KNN, customer_edges, customer_latent
+from twinframe.functions import rng
+from twinframe.functions import normal as nf
+from twinframe.functions.ordered import dense_index
+from twinframe.operators import regimes, samplers
+
+SEED = 42
+
+
+@query("fixed_size_sample", f"SELECT o_orderkey, {r('o_totalprice')} AS o_totalprice FROM orders ORDER BY {u(SEED, 'sample', 'o_orderkey')}, o_orderkey LIMIT 1000")
+def _(t: Tables):
+    return samplers.fixed_size_sample(t.orders, "o_orderkey", 1000).select("o_orderkey", "o_totalprice")
+
+
+_BOOT = f"""WITH ix AS (SELECT *, {dense('c_custkey')} AS i FROM customer), d AS (SELECT range AS "row", {uidx('(SELECT count(*) FROM customer)', SEED, 'bootstrap', 'range')} AS i FROM range((SELECT count(*) FROM customer)))"""
+
+
+@query("bootstrap_rows", _BOOT + f' SELECT "row", c_custkey, c_nationkey, c_mktsegment, {r("c_acctbal")} AS c_acctbal FROM d JOIN ix USING (i)')
+def _(t: Tables):
+    return samplers.bootstrap_rows(t.customer, "c_custkey").select("row", "c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
+
+
+def _independent_sql(columns) -> str:
+    parts = ", ".join(f"""d_{c} AS (SELECT range AS "row", {c} FROM range((SELECT count(*) FROM customer)) JOIN ix ON i = {uidx('(SELECT count(*) FROM customer)', SEED, f'independent.{c}', 'range')})""" for c in columns)
+    return f"WITH ix AS (SELECT *, {dense('c_custkey')} AS i FROM customer), {parts}"
+
+
+@query("independent_columns", _independent_sql(["c_mktsegment", "c_nationkey", "c_acctbal"]) + f""" SELECT "row", c_mktsegment, c_nationkey, {r('c_acctbal')} AS c_acctbal
+    FROM d_c_mktsegment JOIN d_c_nationkey USING ("row") JOIN d_c_acctbal USING ("row")""")
+def _(t: Tables):
+    return samplers.independent_columns(t.customer, "c_custkey", ["c_mktsegment", "c_nationkey", "c_acctbal"])
+
+
+def _stratum(c: str) -> str:
+    return f"""(SELECT l."row", ix.{c} FROM lv l JOIN ix ON ix.lvl = l.lvl AND ix.j = {uidx('l.size', SEED, f'stratum.{c}', 'l."row"')})"""
+
+
+@query("stratified_columns", f"""WITH base AS (SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), '__MISSING__') AS lvl, nullif(c_mktsegment, 'BUILDING') AS segment, c_nationkey, c_acctbal FROM customer),
+    ix AS (SELECT *, {dense('c_custkey')} AS i, {dense('c_custkey', 'lvl')} AS j, count(*) OVER (PARTITION BY lvl) AS size FROM base),
+    lv AS (SELECT range AS "row", lvl, segment, size FROM range((SELECT count(*) FROM customer)) JOIN ix ON i = {uidx('(SELECT count(*) FROM customer)', SEED, 'level', 'range')})
+    SELECT lv."row", lv.segment, a.c_nationkey, {r('b.c_acctbal')} AS c_acctbal FROM lv JOIN {_stratum('c_nationkey')} a ON a."row" = lv."row" JOIN {_stratum('c_acctbal')} b ON b."row" = lv."row" """)
+def _(t: Tables):
+    table = t.customer.withColumn("segment", F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")))
+    return samplers.stratified_columns(table, "c_custkey", "segment", ["segment", "c_nationkey", "c_acctbal"])
+
+
+@query("gather_rows", f"""SELECT o_orderkey AS draw, c_custkey FROM orders JOIN (SELECT c_custkey, {dense('c_custkey')} AS idx FROM customer) ON idx = o_custkey % (SELECT count(*) FROM customer)""")
+def _(t: Tables):
+    n = t.customer.count()
+    draws = t.orders.select(F.col("o_orderkey").alias("draw"), F.pmod("o_custkey", F.lit(n)).alias("idx"))
+    return samplers.gather_rows(draws, t.customer.select("c_custkey"), "c_custkey").select("draw", "c_custkey")
+
+
+@query("sample_remainder", f"SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders ORDER BY {u(SEED, 'sample', 'o_orderkey')}, o_orderkey LIMIT 1000)")
+def _(t: Tables):
+    return samplers.sample_remainder(t.orders, samplers.fixed_size_sample(t.orders, "o_orderkey", 1000), "o_orderkey").select("o_orderkey")
+
+
+@query("stratified_fit_sample", f"""WITH b AS (SELECT p_partkey, p_name, {u(SEED, 'fit', 'p_partkey')} AS u FROM part), f AS (SELECT p_name, min_by(p_partkey, (u, p_partkey)) AS k FROM b GROUP BY 1)
+    SELECT p_partkey, b.p_name FROM b LEFT JOIN f ON f.k = b.p_partkey ORDER BY f.k IS NULL, CASE WHEN f.k IS NOT NULL THEN {u(SEED, 'class', 'b.p_name')} ELSE u END, p_partkey LIMIT (SELECT CAST(ceil(count(*) * 0.1) AS BIGINT) FROM part)""")
+def _(t: Tables):
+    return samplers.stratified_fit_sample(t.part.select("p_partkey", "p_name"), "p_partkey", "p_name", 0.1)
+
+
+def _placed(table: str, key: str, cls: str, stream: str) -> str:
+    h = f"md5(concat_ws('|', '{SEED}', '{stream}', CAST({key} AS VARCHAR)))"
+    return f"SELECT {key}, {cls} AS k, row_number() OVER (PARTITION BY {cls} ORDER BY substr(md5({h}), 1, 3), {h}) AS place FROM {table}"
+
+
+def _quota(table: str, cls: str, total: str, least: int) -> str:
+    return f"""c0 AS (SELECT {cls} AS k, count(*) * CAST({total} AS DOUBLE) / (SELECT CAST(count(*) AS DOUBLE) FROM {table}) AS share FROM {table} GROUP BY 1), c1 AS (SELECT k, greatest(CAST(floor(share) AS BIGINT), {least}) AS base, share - floor(share) AS rest FROM c0),
+    quota AS (SELECT k, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, k) <= {total} - (SELECT sum(base) FROM c1) THEN 1 ELSE 0 END AS quota FROM c1)"""
+
+
+@query("train_test_split", f"WITH placed AS ({_placed('lineitem_keyed', 'id', 'l_returnflag', 'split')}), {_quota('lineitem', 'l_returnflag', '(SELECT CAST(ceil(count(*) * 0.3) AS BIGINT) FROM lineitem)', 0)} SELECT id, place <= quota AS is_test FROM placed JOIN quota USING (k)".replace(
+    "lineitem_keyed", "(SELECT l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '-' || l_extendedprice::DECIMAL(18,2) || '-' || l_quantity::BIGINT AS id, l_returnflag FROM lineitem)"))
+def _(t: Tables):
+    keyed = t.lineitem.select(F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_quantity").cast("bigint")).alias("id"), "l_returnflag")
+    return samplers.train_test_split(keyed, "id", label="l_returnflag").select("id", "is_test")
+
+
+@query("train_test_split_plain", f"WITH placed AS ({_placed('customer', 'c_custkey', 'CAST(1 AS INT)', 'split')}) SELECT c_custkey, place <= (SELECT ceil(count(*) * 0.3) FROM customer) AS is_test FROM placed")
+def _(t: Tables):
+    return samplers.train_test_split(t.customer, "c_custkey").select("c_custkey", "is_test")
+
+
+@query("cap_stratified", f"WITH placed AS ({_placed('part', 'p_partkey', 'p_name', 'cap')}), {_quota('part', 'p_name', 'CAST(500 AS BIGINT)', 1)} SELECT p_partkey, k AS p_name FROM placed JOIN quota USING (k) WHERE place <= quota")
+def _(t: Tables):
+    if t.part.count() <= 500:
+        return t.part.select("p_partkey", "p_name")
+    return samplers.cap_stratified(t.part.select("p_partkey", "p_name"), "p_partkey", "p_name", 500)
+
+
+@query("latent_bootstrap", f"""WITH ix AS (SELECT vec_id, embedding, {dense('vec_id')} AS i FROM embeddings), d AS (SELECT range AS "row", {uidx('(SELECT count(*) FROM embeddings)', SEED, 'bootstrap', 'range')} AS i FROM range((SELECT count(*) FROM embeddings)))
+    SELECT "row", vec_id, {r('CAST(embedding[1] AS DOUBLE)')} AS first, {r('CAST(embedding[64] AS DOUBLE)')} AS last FROM d JOIN ix USING (i)""")
+def _(t: Tables):
+    made = samplers.bootstrap_rows(t.embeddings, "vec_id")
+    return made.select("row", "vec_id", F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[63].cast("double").alias("last"))
+
+
+@query("latent_interpolation", KNN + f""", ix AS (SELECT *, {dense('id')} AS i FROM z), n AS (SELECT count(*) AS n FROM z),
+    a AS (SELECT range AS "row", id, a, b FROM range((SELECT n FROM n)), n JOIN ix ON i = {uidx('n', SEED, 'anchor', 'range')}),
+    m AS (SELECT a."row", a.id AS anchor, a.a AS a0, a.b AS b0, k.dst AS other, {u(SEED, 'weight', 'a."row"')} AS w FROM a JOIN knn k ON k.src = a.id AND k.rank = 1 + {uidx('6', SEED, 'neighbour', 'a."row"')})
+    SELECT m."row", anchor, other, {r('a0 + w * (z.a - a0)')} AS z0, {r('b0 + w * (z.b - b0)')} AS z1 FROM m JOIN z ON z.id = m.other""")
+def _(t: Tables):
+    latent = customer_latent(t)
+    made = samplers.latent_interpolation(latent, "c_custkey", customer_edges(t), latent.count())
+    return made.select("row", "anchor", "other", F.col("z")[0].alias("z0"), F.col("z")[1].alias("z1"))
+
+
+@query("product_probability", f"""WITH w AS (SELECT c_custkey, abs(c_acctbal) AS a, c_nationkey * 1.0::DOUBLE AS b FROM customer) SELECT c_custkey, round(a * b / (SELECT sum(a * b) FROM w), 9) + 0.0 AS p FROM w""".replace(", 9)", ", 6)"))
+def _(t: Tables):
+    w = t.customer.select("c_custkey", F.abs("c_acctbal").alias("a"), F.col("c_nationkey").cast("double").alias("b"))
+    return samplers.product_probability(w, "c_custkey", ["a", "b"])
+
+
+# ---------------------------------------------------------------- copula parts
+
+def _poly(x: str, coefficients) -> str:
+    out = f"({coefficients[0]!r}::DOUBLE)"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + ({c!r}::DOUBLE))"
+    return out
+
+
+def quantile_of_normal_sql(p: str) -> str:
+    c = f"(least(greatest({p}, 1e-6), 1.0::DOUBLE - 1e-6))"
+    lo, hi, q = f"sqrt(-2.0 * ln({c}))", f"sqrt(-2.0 * ln(1.0 - {c}))", f"({c} - 0.5)"
+    sq = f"({q} * {q})"
+    return f"""CASE WHEN {c} < 0.02425 THEN {_poly(lo, nf._TAIL_TOP)} / {_poly(lo, nf._TAIL_BOTTOM)} WHEN {c} > 1 - 0.02425 THEN -{_poly(hi, nf._TAIL_TOP)} / {_poly(hi, nf._TAIL_BOTTOM)}
+        ELSE {_poly(sq, nf._CENTRE_TOP)} * {q} / {_poly(sq, nf._CENTRE_BOTTOM)} END"""
+
+
+@query("normal_quantile", f"WITH p AS (SELECT o_orderkey, {u(3, 'p', 'o_orderkey')} AS p FROM orders) SELECT o_orderkey, {r(quantile_of_normal_sql('p'))} AS z FROM p")
+def _(t: Tables):
+    return t.orders.select("o_orderkey", nf.normal_quantile(rng.uniform(3, "p", "o_orderkey")).alias("z"))
+
+
+_CDF_Z = f"WITH p AS (SELECT o_orderkey, {u(3, 'p', 'o_orderkey')} * 12 - 6 AS z FROM orders), t AS (SELECT o_orderkey, z, exp(-z * z / 2) * {_poly('abs(z)', nf._CDF_TOP)} / {_poly('abs(z)', nf._CDF_BOTTOM)} AS tail FROM p)"
+
+
+@query("normal_cdf", _CDF_Z + f" SELECT o_orderkey, {r('CASE WHEN z > 0 THEN 1 - tail ELSE tail END')} AS p FROM t")
+def _(t: Tables):
+    return t.orders.select("o_orderkey", nf.normal_cdf(rng.uniform(3, "p", "o_orderkey") * 12 - 6).alias("p"))
+
+
+@query("average_rank_score", " UNION ALL ".join(
+    f"SELECT p_partkey, '{c}' AS \"column\", {r('rk')} AS rank, {r(quantile_of_normal_sql('((rk - 0.5) / n)'))} AS score FROM (SELECT p_partkey, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS rk, count(*) OVER () AS n FROM part WHERE {c} <> 7)"
+    for c in ("p_size", "p_retailprice")))
+def _(t: Tables):
+    table = t.part.select("p_partkey", F.nullif(F.col("p_size"), F.lit(7)).alias("p_size"), F.nullif(F.col("p_retailprice"), F.lit(7.0)).alias("p_retailprice"))
+    return samplers.normal_scores(table, "p_partkey", ["p_size", "p_retailprice"]).select("p_partkey", "column", "rank", "score")
+
+
+@query("gaussian_copula")
+def _(t: Tables):
+    table = t.part.withColumn("p_size", F.nullif(F.col("p_size"), F.lit(7)))
+    return samplers.gaussian_copula(table, "p_partkey", ["p_size", "p_retailprice", "p_type", "p_brand"])
+
+
+@query("smote_interpolate")
+def _(t: Tables):
+    table = t.customer.withColumn("rich", F.when(F.col("c_acctbal") > 8000, "yes").otherwise("no"))
+    return samplers.smote_interpolate(table, "c_custkey", "rich", ["c_acctbal", "c_nationkey", "c_mktsegment"])
+
+
+@query("resample_balanced")
+def _(t: Tables):
+    table = t.customer.withColumn("rich", F.when(F.col("c_acctbal") > 8000, "yes").otherwise("no"))
+    return samplers.resample_balanced(table, "c_custkey", "rich", ["c_acctbal", "c_nationkey", "c_mktsegment"], table.count())
+
+
+# ---------------------------------------------------------------- regime rows, one per table row
+
+def _rows(df, key):
+    return dense_index(df.select(key), key, name="row").select("row")
+
+
+@query("regime_correlated")
+def _(t: Tables):
+    return regimes.correlated(_rows(t.orders, "o_orderkey"), seed=101)
+
+
+@query("regime_high_cardinality")
+def _(t: Tables):
+    return regimes.high_cardinality(_rows(t.orders, "o_orderkey"), seed=102)
+
+
+@query("regime_rare_categories")
+def _(t: Tables):
+    return regimes.rare_categories(_rows(t.orders, "o_orderkey"), seed=103)
+
+
+@query("regime_identifier")
+def _(t: Tables):
+    return regimes.sensitive_identifier(_rows(t.customer, "c_custkey"), seed=104)
+
+
+@query("regime_two_column")
+def _(t: Tables):
+    rows = _rows(t.customer, "c_custkey")
+    out = None
+    for i, case in enumerate(regimes.TWO_COLUMN_CASES):
+        part = regimes.two_column(rows, case, seed=42 + i).withColumn("case", F.lit(case))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("write_regimes", "SELECT 'correlated' AS regime, count(*) AS rows FROM customer UNION ALL SELECT 'high_cardinality', count(*) FROM customer UNION ALL SELECT 'rare_categories', count(*) FROM customer UNION ALL SELECT 'sensitive_identifier', count(*) FROM customer")
+def _(t: Tables):
+    paths = regimes.write_regimes(_rows(t.customer, "c_custkey"), t.scratch())
+    out = None
+    for name, path in paths.items():
+        part = t.spark.read.parquet(path).agg(F.lit(name).alias("regime"), F.count(F.lit(1)).alias("rows"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -1,0 +1,133 @@
+"""Controlled tables with known structure, made from any table of row numbers (column ``row``)."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from twinframe.functions import rng
+from twinframe.functions.ordered import quantiles
+
+TWO_COLUMN_CASES = ("gaussian", "correlated_gaussian", "mixture", "spiral")
+
+
+def row_numbers(spark, rows: int) -> DataFrame:
+    return spark.range(rows).withColumnRenamed("id", "row")
+
+
+def _clip(x: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
+
+
+def _spots(df: DataFrame, column: str, probabilities) -> list[float]:
+    long = df.select(F.lit(column).alias("column"), F.col(column).alias("value"))
+    return [r["quantile"] for r in quantiles(long, ["column"], "value", probabilities).orderBy("probability").collect()]
+
+
+def correlated(rows: DataFrame, seed: int = 101) -> DataFrame:
+    """Three correlated numbers, a three-level band, a four-level segment and a noisy binary target."""
+    n = lambda name: rng.normal(seed, name, "row")
+    # Loadings, noise levels and cuts of this regime.
+    base = rows.withColumn("latent", n("latent")).withColumn("seasonal", n("seasonal"))
+    base = base.withColumn("spend", 50 + 11 * F.col("latent") + 3.0 * n("spend")).withColumn(
+        "visit", 20 + 6 * F.col("latent") + 2 * F.col("seasonal") + 1.5 * n("visit")).withColumn(
+        "risk", 40 - 7 * F.col("latent") + 4 * F.col("seasonal") + 2.0 * n("risk"))
+    band = F.when(F.col("latent") <= -0.75, "low_context").when(F.col("latent") <= 0.75, "mid_context").otherwise("high_context")
+    segment = F.when(F.col("spend") > 58, "premium").when(F.col("risk") > 48, "watch").when(
+        F.col("visit") < 17, "low_touch").otherwise("standard")
+    target = ((F.col("spend") + F.col("visit") - F.col("risk") + 5 * n("target")) > 32).cast("int")
+    return base.select("row", F.round("spend", 2).alias("spend_score"), F.round("visit", 2).alias("visit_rate"),
+                       F.round("risk", 2).alias("risk_score"), band.alias("helper_band"), segment.alias("segment"),
+                       target.alias("target"))
+
+
+def high_cardinality(rows: DataFrame, seed: int = 102) -> DataFrame:
+    """Log-normal value, clipped whole numbers, five regions, a code column of 120 levels, tiers by quantile."""
+    n = lambda name: rng.normal(seed, name, "row")
+    # Loadings, cuts and level names of this regime.
+    base = rows.withColumn("latent", n("latent")).withColumn(
+        "value", F.exp(3.6 + 0.35 * F.col("latent") + 0.25 * n("value"))).withColumn(
+        "tenure_months", _clip(F.rint(26 + 9 * F.col("latent") + 8 * n("tenure")), 1, 72).cast("int")).withColumn(
+        "activity", _clip(55 + 14 * F.col("latent") + 8 * n("activity"), 0, 100)).withColumn(
+        "spot", F.col("latent") + 0.4 * n("region"))
+    low, high = _spots(base, "value", [0.25, 0.8])
+    s = F.col("spot")
+    region = F.when(s < -1.2, "north").when(s < -0.3, "south").when(s < 0.3, "east").when(s < 1.2, "west").otherwise("central")
+    sku = F.pmod(F.floor((F.col("latent") + 3.5) * 17 + rng.uniform_index(9, seed, "sku", "row")), F.lit(120)).cast("bigint")
+    tier = F.when(F.col("value") > high, "enterprise").when(F.col("value") < low, "basic").otherwise("team")
+    target = ((F.col("activity") > 62) | ((tier == "enterprise") & (F.col("tenure_months") > 24))).cast("int")
+    return base.select("row", F.round("value", 2).alias("account_value"), "tenure_months", F.round("activity", 2).alias("activity_score"),
+                       region.alias("region"), F.format_string("SKU-%03d", sku).alias("sku_code"), tier.alias("plan_tier"),
+                       target.alias("target"))
+
+
+def rare_categories(rows: DataFrame, seed: int = 103) -> DataFrame:
+    """A category with levels at 0.8, 0.7 and 0.5 percent, next to correlated counts."""
+    n = lambda name: rng.normal(seed, name, "row")
+    # Level names and their probabilities.
+    labels = ["common_a", "common_b", "common_c", "rare_gold", "rare_silver", "rare_bronze"]
+    weights = [0.45, 0.35, 0.18, 0.008, 0.007, 0.005]
+    base = rows.withColumn("latent", n("latent")).withColumn(
+        "recency_days", _clip(F.rint(45 - 11 * F.col("latent") + 12 * n("recency")), 1, 180).cast("int")).withColumn(
+        "frequency", _clip(F.rint(5 + 2.2 * F.col("latent") + 2 * n("frequency")), 0, 20).cast("int")).withColumn(
+        "money", F.exp(3.2 + 0.28 * F.col("latent") + 0.3 * n("money"))).withColumn(
+        "rare_signal", rng.weighted_choice(rng.uniform(seed, "rare", "row"), labels, weights))
+    bound = _spots(base, "money", [0.85])[0]
+    boost = F.col("rare_signal").startswith("rare_").cast("int")
+    lifecycle = F.when(F.col("recency_days") < 20, "active").when(F.col("frequency") < 3, "cold").when(
+        F.col("money") > bound, "high_value").otherwise("steady")
+    target = ((0.35 * F.col("frequency") + 1.4 * boost - 0.02 * F.col("recency_days") + 0.8 * n("target")) > 0.9).cast("int")
+    return base.select("row", "recency_days", "frequency", F.round("money", 2).alias("monetary"), "rare_signal",
+                       lifecycle.alias("lifecycle"), target.alias("target"))
+
+
+def sensitive_identifier(rows: DataFrame, seed: int = 104) -> DataFrame:
+    """A unique text identifier next to plain columns, to show reuse of source values."""
+    n = lambda name: rng.normal(seed, name, "row")
+    # Level names, probabilities and cuts.
+    base = rows.withColumn("age", _clip(F.rint(58 + 14 * n("age")), 18, 92).cast("int")).withColumn(
+        "lab", _clip(70 + 12 * n("lab") + 0.12 * (F.col("age") - 58), 20, 120)).withColumn(
+        "visits", rng.poisson(rng.uniform(seed, "visits", "row"), 2.4 + 1.2 * (F.col("lab") > 78).cast("double"), 12)).withColumn(
+        "condition", rng.weighted_choice(rng.uniform(seed, "condition", "row"),
+                                         ["routine", "cardio", "endocrine", "respiratory", "oncology_review"],
+                                         [0.48, 0.2, 0.18, 0.11, 0.03])).withColumn(
+        "ward", rng.weighted_choice(rng.uniform(seed, "ward", "row"), ["north", "south", "east", "west"],
+                                    [0.28, 0.27, 0.23, 0.22]))
+    flag = ((F.col("lab") > 77) | (F.col("visits") > 4) | (F.col("condition") == "oncology_review")).cast("int")
+    return base.select("row", F.format_string(f"PAT-{seed}-%05d", F.col("row")).alias("patient_id"), "age",
+                       F.round("lab", 2).alias("lab_score"), "visits", "condition", "ward", flag.alias("risk_flag"))
+
+
+def two_column(rows: DataFrame, case: str, seed: int = 42) -> DataFrame:
+    """(row, x, y): Gaussian, correlated Gaussian, three-part mixture or noisy spiral."""
+    n = lambda name: rng.normal(seed, name, "row")
+    a, b = n("x"), n("y")
+    if case == "gaussian":
+        return rows.select("row", a.alias("x"), b.alias("y"))
+    if case == "correlated_gaussian":
+        rho = 0.8
+        return rows.select("row", a.alias("x"), (rho * a + math.sqrt(1 - rho * rho) * b).alias("y"))
+    if case == "mixture":
+        part = rng.weighted_choice(rng.uniform(seed, "part", "row"), [0, 1, 2], [0.4, 0.35, 0.25])
+        pick = lambda values: F.when(part == 0, values[0]).when(part == 1, values[1]).otherwise(values[2])
+        return rows.select("row", (pick([-2.0, 2.0, 0.0]) + 0.5 * a).alias("x"), (pick([0.0, 0.5, 2.5]) + 0.5 * b).alias("y"))
+    if case == "spiral":
+        turn = F.sqrt(rng.uniform(seed, "turn", "row")) * (3.0 * math.pi)
+        return rows.select("row", (turn * F.cos(turn) / math.pi + 0.15 * a).alias("x"),
+                           (turn * F.sin(turn) / math.pi + 0.15 * b).alias("y"))
+    raise ValueError(f"Unknown case {case!r}; expected one of {TWO_COLUMN_CASES}.")
+
+
+REGIMES = {"correlated": correlated, "high_cardinality": high_cardinality, "rare_categories": rare_categories,
+           "sensitive_identifier": sensitive_identifier}
+
+
+def write_regimes(rows: DataFrame, folder: str) -> dict[str, str]:
+    """Write every regime below a folder; returns the paths."""
+    paths = {}
+    for name, make in REGIMES.items():
+        paths[name] = f"{folder}/{name}.parquet"
+        make(rows).write.mode("overwrite").parquet(paths[name])
+    return paths

@@ -325,3 +325,13 @@ def product_probability(weights: DataFrame, key: str, columns: Sequence[str]) ->
     total = weights.agg(F.sum(product).alias("s"), F.count(F.lit(1)).alias("n")).first()
     p = product / F.lit(float(total["s"])) if total["s"] else F.lit(1.0 / max(total["n"], 1))
     return weights.select(key, p.alias("p"))
+
+
+def resample_balanced(df: DataFrame, key: str, target: str, columns: Sequence[str], n: int, seed: int = 42, *,
+                      k: int = 5) -> DataFrame:
+    """n rows with replacement from the table and its interpolated minority rows."""
+    made = smote_interpolate(df, key, target, columns, k, seed)
+    names = [*[c for c in columns if c != target], target]
+    real = df.select(F.concat(F.lit("real|"), F.col(key).cast("string")).alias("_id"), *names)
+    extra = made.select(F.concat(F.lit("made|"), "row").alias("_id"), *[F.col(c).cast(df.schema[c].dataType).alias(c) for c in names])
+    return bootstrap_rows(checkpoint(real.unionByName(extra)), "_id", n, seed).drop("_id")
