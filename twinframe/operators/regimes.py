@@ -100,24 +100,40 @@ def sensitive_identifier(rows: DataFrame, seed: int = 104) -> DataFrame:
                        F.round("lab", 2).alias("lab_score"), "visits", "condition", "ward", flag.alias("risk_flag"))
 
 
+# Fixed values of the two-column cases: covariances, mixture shares and means, spiral turns, radii and noise.
+ISOTROPIC = ((1.0, 0.0), (0.0, 1.0))
+CORRELATED = ((1.0, 0.82), (0.82, 1.15))
+MIXTURE_SHARES = (0.42, 0.33, 0.25)
+MIXTURE_MEANS = ((-3.2, -1.2), (3.0, 0.3), (0.0, 3.8))
+MIXTURE_COVARIANCES = (((0.04, 0.01), (0.01, 0.05)), ((0.42, -0.16), (-0.16, 0.30)), ((2.20, 0.80), (0.80, 1.55)))
+SPIRAL_START, SPIRAL_TURNS, SPIRAL_RADII, SPIRAL_NOISE = 0.25, 2.6, (0.15, 2.4), 0.08
+
+
+def _bivariate(a: Column, b: Column, mean, covariance) -> tuple[Column, Column]:
+    """Two independent normals to a pair with the given mean and covariance."""
+    first = math.sqrt(covariance[0][0])
+    lean = covariance[0][1] / first
+    rest = math.sqrt(covariance[1][1] - lean * lean)
+    return F.lit(mean[0]) + first * a, F.lit(mean[1]) + lean * a + rest * b
+
+
 def two_column(rows: DataFrame, case: str, seed: int = 42) -> DataFrame:
     """(row, x, y): Gaussian, correlated Gaussian, three-part mixture or noisy spiral."""
-    n = lambda name: rng.normal(seed, name, "row")
-    a, b = n("x"), n("y")
-    if case == "gaussian":
-        return rows.select("row", a.alias("x"), b.alias("y"))
-    if case == "correlated_gaussian":
-        rho = 0.8
-        return rows.select("row", a.alias("x"), (rho * a + math.sqrt(1 - rho * rho) * b).alias("y"))
-    if case == "mixture":
-        part = rng.weighted_choice(rng.uniform(seed, "part", "row"), [0, 1, 2], [0.4, 0.35, 0.25])
-        pick = lambda values: F.when(part == 0, values[0]).when(part == 1, values[1]).otherwise(values[2])
-        return rows.select("row", (pick([-2.0, 2.0, 0.0]) + 0.5 * a).alias("x"), (pick([0.0, 0.5, 2.5]) + 0.5 * b).alias("y"))
-    if case == "spiral":
-        turn = F.sqrt(rng.uniform(seed, "turn", "row")) * (3.0 * math.pi)
-        return rows.select("row", (turn * F.cos(turn) / math.pi + 0.15 * a).alias("x"),
-                           (turn * F.sin(turn) / math.pi + 0.15 * b).alias("y"))
-    raise ValueError(f"Unknown case {case!r}; expected one of {TWO_COLUMN_CASES}.")
+    a, b = rng.normal(seed, "x", "row"), rng.normal(seed, "y", "row")
+    if case in ("gaussian", "correlated_gaussian"):
+        x, y = _bivariate(a, b, (0.0, 0.0), ISOTROPIC if case == "gaussian" else CORRELATED)
+    elif case == "mixture":
+        part = rng.weighted_choice(rng.uniform(seed, "part", "row"), [0, 1, 2], MIXTURE_SHARES)
+        pairs = [_bivariate(a, b, m, c) for m, c in zip(MIXTURE_MEANS, MIXTURE_COVARIANCES)]
+        x, y = (F.when(part == 0, pairs[0][i]).when(part == 1, pairs[1][i]).otherwise(pairs[2][i]) for i in (0, 1))
+    elif case == "spiral":
+        step = F.col("row") / F.lit(float(max(rows.count() - 1, 1)))
+        turn = F.lit(SPIRAL_START) + step * F.lit(SPIRAL_TURNS * 2 * math.pi - SPIRAL_START)
+        radius = F.lit(SPIRAL_RADII[0]) + step * F.lit(SPIRAL_RADII[1] - SPIRAL_RADII[0])
+        x, y = radius * F.cos(turn) + SPIRAL_NOISE * a, radius * F.sin(turn) + SPIRAL_NOISE * b
+    else:
+        raise ValueError(f"Unknown case {case!r}; expected one of {TWO_COLUMN_CASES}.")
+    return rows.select("row", x.alias("x"), y.alias("y"))
 
 
 REGIMES = {"correlated": correlated, "high_cardinality": high_cardinality, "rare_categories": rare_categories,
