@@ -1,0 +1,180 @@
+"""Learned measures and diagnostic reports on whole tables (rows-only checks; no SQL says what a forest finds)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from twinframe.catalog.base import Tables, query, r
+from twinframe.catalog.generation import COLUMNS, params
+from twinframe.catalog.measures import CAT, NUM, customer_edges, customer_latent, sides
+from twinframe.functions.scalars import safe_ratio
+from twinframe.operators import density, manifold, neighbours, samplers, scores
+from twinframe.plans import evaluate, experiment, model, reports, sweeps
+from twinframe.session import checkpoint
+
+# Small forests keep the catalogue quick; rows are never cut.
+FOREST = dict(trees=10, depth=6)
+
+
+def customers(t: Tables):
+    """Customers with a two-valued target."""
+    return t.customer.select("c_custkey", *COLUMNS, F.when(F.col("c_acctbal") > 7000, "rich").otherwise("plain").alias("wealth"))
+
+
+def generated(t: Tables, table=None):
+    return checkpoint(samplers.independent_columns(customers(t), "c_custkey", [*COLUMNS, "wealth"]))
+
+
+@query("forest_scores")
+def _(t: Tables):
+    split = samplers.train_test_split(customers(t), "c_custkey", label="wealth")
+    pre = evaluate.Preprocessor.fit(split.filter(~F.col("is_test")), ["c_nationkey", "c_mktsegment"])
+    return evaluate.forest_scores(pre.transform(split.filter(~F.col("is_test"))), pre.transform(split.filter("is_test")), "x", "wealth", **FOREST)
+
+
+@query("discrimination_test")
+def _(t: Tables):
+    return evaluate.discrimination_test(customers(t), generated(t), real_id="c_custkey", synthetic_id="row", **FOREST)
+
+
+@query("utility_lift")
+def _(t: Tables):
+    return evaluate.utility_lift(customers(t), generated(t).drop("row"), target="wealth", real_id="c_custkey", **FOREST)
+
+
+@query("train_synthetic_test_real")
+def _(t: Tables):
+    return evaluate.train_synthetic_test_real(customers(t), "c_custkey", "wealth", params=params(), **FOREST)
+
+
+@query("main_measure_report")
+def _(t: Tables):
+    return evaluate.main_measure_report(customers(t), generated(t), target="wealth", real_id="c_custkey", synthetic_id="row", **FOREST)
+
+
+@query("method_comparison")
+def _(t: Tables):
+    return evaluate.method_comparison(customers(t), "c_custkey", [*COLUMNS, "wealth"], dataset="customer", target="wealth", params=params(), learned=False)
+
+
+@query("method_registry", "SELECT m AS method, (SELECT count(*) FROM customer) AS rows FROM (SELECT unnest(['row_bootstrap', 'independent_columns', 'gaussian_copula', 'stratified_columns']) AS m)")
+def _(t: Tables):
+    columns = ["c_nationkey", "c_mktsegment"]
+    known = evaluate.registry("c_mktsegment", columns)
+    out = None
+    for name, make in evaluate.pick_methods(["row_bootstrap", "independent_columns", "gaussian_copula", "stratified_columns"], known).items():
+        part = make(t.customer, "c_custkey", None).agg(F.lit(name).alias("method"), F.count(F.lit(1)).alias("rows"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("kde_grid_divergence")
+def _(t: Tables):
+    pair = [d.select(F.array((F.col("l_quantity") - 25) / 15, (F.col("l_extendedprice") - 50000) / 30000, F.col("l_discount") * 20).alias("v")) for d in sides(t)]
+    return density.kde_grid_divergence(*pair, "v", 3)
+
+
+def _fitted(t: Tables, **changes):
+    train, test = reports.split_tables(customers(t), "c_custkey", "wealth", 42)
+    return model.fit(train, "c_custkey", params=params(**changes)), train, test
+
+
+@query("mechanism_report")
+def _(t: Tables):
+    fitted, train, test = _fitted(t, n_iterations=1)
+    return reports.mechanism_report(fitted, train, test, "customer", **FOREST)
+
+
+@query("decoder_calibration_report")
+def _(t: Tables):
+    return reports.decoder_calibration_report(*_fitted(t), "customer")
+
+
+@query("imbalance_report")
+def _(t: Tables):
+    return reports.imbalance_report(customers(t), "c_custkey", "wealth", "customer", params=params(), **FOREST)
+
+
+@query("minority_score")
+def _(t: Tables):
+    split = samplers.train_test_split(customers(t), "c_custkey", label="wealth")
+    pre = evaluate.Preprocessor.fit(split.filter(~F.col("is_test")), COLUMNS)
+    out, classes = evaluate.forest_predictions(pre.transform(split.filter(~F.col("is_test"))), pre.transform(split.filter("is_test")), "x", "wealth", **FOREST)
+    return out.select("c_custkey", F.col("p")[classes.index("rich")].alias("minority_score"))
+
+
+@query("skipped_result_row", "SELECT 'customer' AS dataset, 'c_custkey' AS target_column, CASE WHEN count(DISTINCT c_custkey) > greatest(20, floor(count(*) * 0.05)) THEN 'target_not_classification' ELSE 'ok' END AS reason FROM customer")
+def _(t: Tables):
+    return reports.imbalance_report(t.customer, "c_name", "c_custkey", "customer").select("dataset", "target_column", "reason")
+
+
+def _graph(t: Tables):
+    latent = checkpoint(customer_latent(t).select(F.col("c_custkey").alias("row_id"), "z"))
+    edges = checkpoint(neighbours.knn_exact(latent, "row_id", "z", 10))
+    marks = checkpoint(samplers.fixed_size_sample(latent.select("row_id"), "row_id", 8).select(F.col("row_id").alias("node")))
+    return latent, manifold.landmark_geodesics(neighbours.neighbour_graph(edges), marks), marks
+
+
+@query("landmark_geodesics")
+def _(t: Tables):
+    return _graph(t)[1]
+
+
+@query("insertion_stress")
+def _(t: Tables):
+    latent, paths, marks = _graph(t)
+    placed = manifold.LandmarkEmbedding.fit(paths, marks)
+    points = samplers.bootstrap_rows(latent, "row_id", seed=7).select(F.col("row").alias("point"), F.transform("z", lambda x: x * 1.01).alias("z"))
+    return manifold.insertion_stress(points, "point", latent, "row_id", "z", paths, placed)
+
+
+@query("hull_membership")
+def _(t: Tables):
+    train = t.customer.select(F.array("c_acctbal", F.col("c_nationkey").cast("double")).alias("z"))
+    points = t.supplier.select("s_suppkey", F.array("s_acctbal", F.col("s_nationkey").cast("double")).alias("z"))
+    return manifold.hull_membership(points, "s_suppkey", train, "z")
+
+
+@query("manifold_report")
+def _(t: Tables):
+    return reports.manifold_report(*_fitted(t), "c_custkey", "customer", landmarks=8)
+
+
+@query("setup_report")
+def _(t: Tables):
+    quick = {"fast": sweeps.SETUPS["fast"], "default": sweeps.SETUPS["default"]}
+    return sweeps.setup_report(customers(t), "c_custkey", dataset="customer", target="wealth", base=params(), setups=quick, **FOREST).drop("fit_seconds", "sample_seconds")
+
+
+@query("parameter_grid_report")
+def _(t: Tables):
+    return sweeps.parameter_grid_report(customers(t), "c_custkey", dataset="customer", target="wealth", base=params(), grid={"factor": [0.1, 0.5]}, **FOREST).drop("fit_seconds", "sample_seconds")
+
+
+@query("line_search")
+def _(t: Tables):
+    history, _ = sweeps.line_search(customers(t), "c_custkey", dataset="customer", target="wealth", base=params(), grid={"n_iterations": [0], "factor": [0.1, 0.5]},
+                                    order=["n_iterations", "n_components", "factor"], **FOREST)
+    return history
+
+
+@query("repeated_seed_report")
+def _(t: Tables):
+    return sweeps.repeated_seed_report(customers(t), "c_custkey", [*COLUMNS, "wealth"], dataset="customer", target="wealth", seeds=(42, 43), methods=["row_bootstrap"], **FOREST)
+
+
+@query("starter_run")
+def _(t: Tables):
+    config = experiment.Config("customer", "c_custkey", "wealth", params=params())
+    return experiment.starter_run(customers(t), config)[1]
+
+
+@query("full_experiment")
+def _(t: Tables):
+    config = experiment.Config("customer", "c_custkey", "wealth", params=params())
+    out = experiment.full_experiment(customers(t), config, setups={"fast": sweeps.SETUPS["fast"]}, seeds=(42,), methods=["row_bootstrap"], **FOREST)
+    rows = None
+    for name, table in out.items():
+        part = table.agg(F.lit(name).alias("report"), F.count(F.lit(1)).alias("rows"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows

@@ -2,6 +2,8 @@
 
 Both split the order into buckets, total the buckets (a small table), turn the totals into offsets and
 finish inside each bucket.  No step sees a whole group in one task.
+
+An input that is known to be small takes a plain window per group instead.  Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -11,22 +13,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SMALL_BYTES = 64 * 1024 * 1024
+SMALL_ROWS = 1_000_000
 HASH_DIGITS = 3      # 4,096 buckets for dense numbering
 RANGE_BUCKETS = 32   # value ranges per group for prefix sums
 
 
+def is_small(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether a whole group may be ordered by one task: a known row count, else the optimizer's size bound.
+
+    The bound comes from file sizes without running a job; it is never too low for a scan followed by filters,
+    projections and aggregates, and far too high after joins, which only means the bucketed way is taken.
+    """
+    if rows is not None:
+        return rows <= SMALL_ROWS
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= SMALL_BYTES
+
+
 def hash_bucket(key: Column, digits: int = HASH_DIGITS) -> Column:
     return F.substring(F.md5(key.cast("string")), 1, digits)
 
 
 def dense_index(df: DataFrame, key: str, *, within: Sequence[str] = (), name: str = "idx",
-                digits: int = HASH_DIGITS) -> DataFrame:
+                digits: int = HASH_DIGITS, rows: int | None = None, small: bool | None = None) -> DataFrame:
     """Number rows 0, 1, 2, ... in the order (hash bucket of key, key), inside each ``within`` group.
 
     ``key`` must be unique inside a group.  Null groups count as a group.
     """
     within = list(within)
     marked = df.withColumn("_bucket", hash_bucket(F.col(key), digits))
+    if is_small(df, rows) if small is None else small:
+        whole = Window.partitionBy(*(within or [F.lit(0)])).orderBy("_bucket", key)
+        return marked.withColumn(name, (F.row_number().over(whole) - 1).cast("bigint")).drop("_bucket")
     totals = marked.groupBy(*within, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*within).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -43,7 +62,7 @@ def dense_index(df: DataFrame, key: str, *, within: Sequence[str] = (), name: st
 
 
 def prefix_sums(counts: DataFrame, group: Sequence[str], value: str, sums: Sequence[str], *,
-                buckets: int = RANGE_BUCKETS) -> DataFrame:
+                buckets: int = RANGE_BUCKETS, small: bool | None = None) -> DataFrame:
     """Running totals of ``sums`` by ascending ``value`` inside ``group``.
 
     ``counts`` holds one row per (group, value), values not null.  Adds ``cum_<s>`` for each sum and
@@ -51,6 +70,11 @@ def prefix_sums(counts: DataFrame, group: Sequence[str], value: str, sums: Seque
     quantiles; the result does not depend on them.
     """
     group = list(group)
+    if is_small(counts) if small is None else small:
+        whole = Window.partitionBy(*(group or [F.lit(0)])).orderBy(value)
+        running = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return counts.select("*", *[F.sum(s).over(running).alias(f"cum_{s}") for s in sums],
+                             F.lead(value).over(whole).alias("next_value"))
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = counts.groupBy(*group).agg(F.percentile_approx(value, cuts, 1000).alias("_cuts"))
     marked = counts.join(bounds, group).withColumn(

@@ -25,6 +25,7 @@ from twinframe.session import checkpoint, spread
 METRICS = ("euclidean", "manhattan", "cosine", "hamming")
 APPROX_METRICS = METRICS + ("inner_product",)
 CELL = 512          # rows aimed at per cell
+ONE_CELL = 4096     # up to this many distinct vectors everything is compared, in blocks
 MAX_PIVOTS = 2048   # bounds what the driver holds and each task receives
 BLOCK = 1024        # candidate rows per task group
 QUERIES = 2048      # query rows per task group
@@ -203,6 +204,8 @@ def _compare(routes: DataFrame, data: DataFrame, need: int, metric: str) -> Data
     right = data.join(layout, ["cls", "cell"]).select(
         "cls", "cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"),
         _share("dst", "blocks").alias("block"), "dst", "vec")
+    # Both sides may come from one table: fresh columns keep them apart.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     keys = ["cls", "cell", "salt", "block"]
     schema = (f"src {routes.schema['src'].dataType.simpleString()}, "
               f"dst {data.schema['dst'].dataType.simpleString()}, dist double")
@@ -219,13 +222,14 @@ def _search(points: DataFrame, data: DataFrame, need: int, metric: str, probes:
     """(src, dst, dist, place) for distinct query points against candidate rows."""
     bound = _bound_metric(metric)
     distinct = data.filter(F.col("copy") == 1)
-    pivots = _pivots(distinct, "dst", distinct.count())
-    if pivots.size == 0:
+    count = distinct.count()
+    if count == 0:
         raise ValueError("The searched table must contain at least one row.")
+    if count <= ONE_CELL:
+        one = F.lit(0).cast("bigint").alias("cell")
+        return _merge(_compare(points.select("cls", "src", "vec", one), data.select("cls", "dst", "vec", one), need, metric), need)
+    pivots = _pivots(distinct, "dst", count)
     placed = checkpoint(_assign(data.select("cls", "dst", "vec"), pivots, bound))
-    if len(pivots) == 1:
-        routes = points.select("cls", "src", "vec", F.lit(0).cast("bigint").alias("cell"))
-        return _merge(_compare(routes, placed, need, metric), need)
     radii = np.full(len(pivots), -1.0)
     for r in placed.groupBy("cell").agg(F.max("radius").alias("radius")).collect():
         radii[r["cell"]] = r["radius"]

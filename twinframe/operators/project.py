@@ -104,8 +104,8 @@ def pca_projection(df: DataFrame, vec: str, width: int, name: str = "pca", train
     mean = base.agg(F.array(*[F.avg(F.col(vec)[i]) for i in range(size)]).alias("m")).first()["m"]
     centre = F.array_compact(F.array(*[F.lit(float(x)) for x in mean]))
     centred = lambda d: d.withColumn("_c", array_to_vector(F.zip_with(F.col(vec).cast("array<double>"), centre, lambda a, b: a - b)))
-    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(centred(base))
-    out = model.transform(centred(df)).withColumn(name, vector_to_array("_p")).drop("_c", "_p")
+    model = PCA(k=k, inputCol="_c", outputCol="_pc").fit(centred(base))
+    out = model.transform(centred(df)).withColumn(name, vector_to_array("_pc")).drop("_c", "_pc")
     if k < width:
         out = out.withColumn(name, F.concat(F.col(name), F.array(*[F.lit(0.0)] * (width - k))))
     return out

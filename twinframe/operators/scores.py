@@ -218,3 +218,11 @@ def trace_completeness(df: DataFrame, trace: str, required: Sequence[str]) -> Da
     full = F.size(F.array_intersect(names, wanted)) == len(set(required))
     return df.agg(F.count(F.lit(1)).alias("trace_count"), F.avg(full.cast("double")).alias("trace_completeness_rate"),
                   F.avg(F.size(names).cast("double")).alias("average_trace_size"))
+
+
+def class_scores(df: DataFrame, truth: str, pred: str) -> DataFrame:
+    """Accuracy, balanced accuracy, weighted and macro F1 in one row, from one pass over the predictions."""
+    return per_class(df, truth, pred).agg(
+        safe_ratio(F.sum("hits"), F.sum("support")).alias("accuracy"), F.avg("recall").alias("balanced_accuracy"),
+        safe_ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("f1_weighted"),
+        F.avg("f1").alias("macro_f1"))

@@ -31,14 +31,14 @@ def valid_anchors(edges: DataFrame) -> DataFrame:
     return edges.join(sources, "dst", "left_semi").select("src").distinct()
 
 
-def numbered_edges(edges: DataFrame) -> DataFrame:
+def numbered_edges(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Edges with a dense global number ``e`` and a number ``slot`` among the edges of their source.
 
     Degrees are bounded: a row lists at most k neighbours.
     """
     keyed = edges.withColumn("_key", F.concat_ws("|", F.col("src").cast("string"), F.col("dst").cast("string")))
     slots = keyed.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("_all"))
-    out = dense_index(keyed, "_key", name="e").join(slots, "src")
+    out = dense_index(keyed, "_key", name="e", rows=rows).join(slots, "src")
     return out.select("e", "src", "dst", (F.array_position("_all", F.col("dst")) - 1).cast("bigint").alias("slot"),
                       F.size("_all").cast("bigint").alias("degree"))
 
@@ -49,19 +49,19 @@ def transport_draws(edges: DataFrame, draws: DataFrame, seed: int = 42, *, class
     Anchor by degree and B uniform among its neighbours is one uniform draw over directed edges; C is a
     uniform edge of B.  With classes (src, cls), the class is drawn uniformly first.
     """
-    numbered = numbered_edges(edges)
+    total = edges.count()
+    numbered = numbered_edges(edges, total)
     address = ("row", "attempt")
     if classes is None:
-        total = edges.count()
         first = draws.withColumn("e", rng.uniform_index(total, seed, "edge", *address)).join(
             numbered.select("e", F.col("src").alias("anchor"), F.col("dst").alias("b")), "e")
     else:
         inside = dense_index(edges.join(classes, "src").withColumn(
             "_key", F.concat_ws("|", F.col("src").cast("string"), F.col("dst").cast("string"))),
-            "_key", within=["cls"], name="_j")
+            "_key", within=["cls"], name="_j", rows=total)
         sizes = inside.groupBy("cls").agg(F.count(F.lit(1)).alias("_n"))
-        named = dense_index(sizes, "cls", name="_ci")
         k = sizes.count()
+        named = dense_index(sizes, "cls", name="_ci", rows=k)
         first = draws.withColumn("_ci", rng.uniform_index(k, seed, "class", *address)).join(named, "_ci").withColumn(
             "_j", rng.uniform_index(F.col("_n"), seed, "edge", *address)).join(
             inside.select("cls", "_j", F.col("src").alias("anchor"), F.col("dst").alias("b")), ["cls", "_j"])
