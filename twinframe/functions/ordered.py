@@ -99,12 +99,18 @@ def prefix_sums(counts: DataFrame, group: Sequence[str], value: str, sums: Seque
         F.coalesce("_next", "_next_first").alias("next_value"))
 
 
-def quantiles(long: DataFrame, group: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+def quantiles(long: DataFrame, group: Sequence[str], value: str, probabilities: Sequence[float], *,
+              small: bool | None = None) -> DataFrame:
     """Exact quantiles, linear between neighbours: (group..., probability, quantile).
 
     Order statistics are read off prefix sums, so a column of any size stays spread out.
     """
     group = list(group)
+    if is_small(long) if small is None else small:
+        asked = F.array(*[F.lit(float(p)) for p in probabilities])
+        found = long.filter(F.col(value).isNotNull()).groupBy(*group).agg(F.percentile(value, asked).alias("_q"))
+        pairs = F.arrays_zip(asked.alias("probability"), F.col("_q").alias("quantile"))
+        return found.select(*group, F.explode(pairs).alias("e")).select(*group, "e.probability", "e.quantile")
     counts = long.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(*group).agg(F.sum("n").alias("_total"))
     rows = prefix_sums(counts, group, value, ["n"]).join(totals, group)

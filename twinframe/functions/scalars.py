@@ -99,8 +99,12 @@ def array_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where the body uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalise(values: Column) -> Column:
     """Divide by the sum; a zero sum divides by one."""
-    total = array_sum(values)
-    safe = F.when(total == 0, F.lit(1.0)).otherwise(total)
-    return F.transform(values, lambda x: x / safe)
+    share = lambda v, total: F.transform(v, lambda x: x / F.when(total == 0, F.lit(1.0)).otherwise(total))
+    return bind(values, lambda v: bind(array_sum(v), lambda total: share(v, total)))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinframe.functions import rng
-from twinframe.functions.scalars import array_sum
+from twinframe.functions.scalars import array_sum, bind
 from twinframe.operators.samplers import _place_in_class
 
 MAX_DEPTH = 30       # the most the forest trainer accepts
@@ -136,17 +136,17 @@ def _fit_calibrated(table: DataFrame, key: str, label: str, classes: list[str],
 
 def choose(probabilities: Column, u: Column) -> Column:
     """0-based class whose cumulative share holds u; an all-zero row is uniform."""
-    total = array_sum(probabilities)
-    p = F.when(total > 0, probabilities).otherwise(F.transform(probabilities, lambda x: F.lit(1.0)))
-    whole = F.when(total > 0, total).otherwise(F.size(probabilities).cast("double"))
-    start = F.struct(F.lit(0.0).alias("run"), F.lit(0).alias("i"), F.lit(-1).alias("pick"), F.lit(0).alias("last"))
-
-    def step(acc, x):
-        run = acc["run"] + x
-        hit = (acc["pick"] < 0) & (u * whole < run)
-        return F.struct(run.alias("run"), (acc["i"] + 1).alias("i"), F.when(hit, acc["i"]).otherwise(acc["pick"]).alias("pick"),
-                        F.when(x > 0, acc["i"]).otherwise(acc["last"]).alias("last"))
-    return F.aggregate(p, start, step, lambda acc: F.when(acc["pick"] >= 0, acc["pick"]).otherwise(acc["last"]))
+    def pick(p: Column, goal: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("run"), F.lit(0).alias("i"), F.lit(-1).alias("pick"), F.lit(0).alias("last"))
+
+        def step(acc, x):
+            run = acc["run"] + x
+            hit = (acc["pick"] < 0) & (goal < run)
+            return F.struct(run.alias("run"), (acc["i"] + 1).alias("i"), F.when(hit, acc["i"]).otherwise(acc["pick"]).alias("pick"),
+                            F.when(x > 0, acc["i"]).otherwise(acc["last"]).alias("last"))
+        return F.aggregate(p, start, step, lambda acc: F.when(acc["pick"] >= 0, acc["pick"]).otherwise(acc["last"]))
+    filled = bind(probabilities, lambda p: F.when(array_sum(p) > 0, p).otherwise(F.transform(p, lambda x: F.lit(1.0))))
+    return bind(filled, lambda p: bind(u * array_sum(p), lambda goal: pick(p, goal)))
 
 
 def decode_categorical(df: DataFrame, decoder: Decoder, context: str | None, name: str, *, sample: bool, seed: int,

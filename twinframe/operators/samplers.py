@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from twinframe.functions import rng
 from twinframe.functions.normal import normal_cdf, normal_quantile
 from twinframe.functions.ordered import dense_index, prefix_sums
-from twinframe.functions.scalars import category_key
+from twinframe.functions.scalars import bind, category_key
 from twinframe.operators.encode import fit_encoding, fit_medians, one_hot
 from twinframe.operators.measures import average_ranks
 from twinframe.operators.neighbours import knn_exact
@@ -252,10 +252,8 @@ def latent_interpolation(latent: DataFrame, key: str, edges: DataFrame, n: int,
         "rank", (rng.uniform_index(F.col("degree"), seed, "neighbour", "row") + 1).cast("int"))
     met = picked.join(edges.select("src", "rank", "dst"), ["src", "rank"]).join(
         latent.select(F.col(key).alias("dst"), F.col(z).alias("_b")), "dst")
-    u = rng.uniform(seed, "weight", "row")
-    return met.withColumn("_u", u).select(
-        "row", F.col("src").alias("anchor"), F.col("dst").alias("other"),
-        F.zip_with("_a", "_b", lambda a, b: a + F.col("_u") * (b - a)).alias(z))
+    point = bind(rng.uniform(seed, "weight", "row"), lambda u: F.zip_with("_a", "_b", lambda a, b: a + u * (b - a)))
+    return met.select("row", F.col("src").alias("anchor"), F.col("dst").alias("other"), point.alias(z))
 
 
 def smote_interpolate(df: DataFrame, key: str, target: str, columns: Sequence[str], k: int = 5,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from twinframe.functions import rng
 from twinframe.functions.ordered import dense_index, quantiles
-from twinframe.functions.scalars import category_key
+from twinframe.functions.scalars import bind, category_key
 
 
 def anchor_weights(edges: DataFrame, classes: DataFrame | None = None) -> DataFrame:
@@ -83,9 +83,8 @@ def transport_candidates(latent: DataFrame, key: str, edges: DataFrame, draws: D
     alpha = (rng.uniform(seed, "alpha", "row", "attempt") * (factor - min_factor) + min_factor
              if factor > min_factor else F.lit(float(factor)))
     step = F.zip_with("_zc", "_zb", lambda c, b: c - b)
-    moved = chosen.withColumn("_s", step).withColumn("_alpha", alpha)
-    return moved.select("row", "attempt", "anchor", "b", "c",
-                        F.zip_with("_za", "_s", lambda a, s: a + F.col("_alpha") * s).alias(z))
+    moved = bind(alpha, lambda f: F.zip_with(F.col("_za"), step, lambda a, s: a + f * s))
+    return chosen.select("row", "attempt", "anchor", "b", "c", moved.alias(z))
 
 
 def quantile_bounds(latent: DataFrame, coordinates: Sequence[int], q: float | None, z: str = "z") -> dict[int, tuple[float, float]]:
