@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from twinframe.functions import rng
 from twinframe.functions.scalars import array_sum, bind
 from twinframe.operators.samplers import _place_in_class
+from twinframe.session import settle
 
 MAX_DEPTH = 30       # the most the forest trainer accepts
 MAX_CLASSES = 1000   # wider columns are decoded from class shares
@@ -92,7 +93,7 @@ def fit_decoder(df: DataFrame, key: str, context: str | None, label: str, classe
     """A forest on the context; class shares without context; optionally calibrated over folds."""
     if context is None or len(classes) > MAX_CLASSES:
         return prior_decoder(df, label, classes)
-    table = _training(df, context, label, classes)
+    table = _training(settle(df, key), context, label, classes)
     learner = forest(trees, depth, leaf, seed)
     plain = lambda status: Decoder(classes, status, forests=[learner.fit(table)])
     if not calibrate:
@@ -111,8 +112,8 @@ def fit_decoder(df: DataFrame, key: str, context: str | None, label: str, classe
 
 
 def _fit_calibrated(table: DataFrame, key: str, label: str, classes: list[str], learner, folds: int, seed: int) -> Decoder:
-    placed = _place_in_class(table, key, label, seed, "fold").withColumn(
-        "_fold", F.pmod(F.col("_place"), F.lit(folds))).drop("_k", "_h", "_place").persist()
+    placed = settle(_place_in_class(table, key, label, seed, "fold").withColumn(
+        "_fold", F.pmod(F.col("_place"), F.lit(folds))).drop("_k", "_h", "_place"), key).persist()
     out = Decoder(classes, "calibrated")
     for f in range(folds):
         model = learner.fit(placed.filter(F.col("_fold") != f))

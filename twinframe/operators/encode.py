@@ -89,8 +89,9 @@ def fit_scale(df: DataFrame, columns: Sequence[str], medians: dict[str, float])
     row = df.agg(F.count(F.lit(1)).alias("rows"),
                  *[f(filled[c]).alias(f"{tag}{i}") for i, c in enumerate(columns)
                    for tag, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    mean = {c: float(row[f"m{i}"] or 0.0) for i, c in enumerate(columns)}
-    std = {c: float(row[f"s{i}"] or 0.0) or 1.0 for i, c in enumerate(columns)}
+    # Twelve digits: the order in which partial sums meet must not reach the fitted model.
+    mean = {c: float(f"{row[f'm{i}'] or 0.0:.12g}") for i, c in enumerate(columns)}
+    std = {c: float(f"{row[f's{i}'] or 0.0:.12g}") or 1.0 for i, c in enumerate(columns)}
     return mean, std, int(row["rows"])
 
 

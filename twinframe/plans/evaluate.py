@@ -15,7 +15,7 @@ from twinframe.operators.decode import MAX_DEPTH, forest
 from twinframe.operators.encode import Encoding, encode, fit_encoding, most_frequent
 from twinframe.operators.profile import BOOL_IS_NUMERIC, numeric_names
 from twinframe.plans.model import Params, TableModel, fit
-from twinframe.session import checkpoint
+from twinframe.session import checkpoint, settle
 
 LEAF = 3  # fixed value: smallest leaf of the judging forests
 
@@ -47,6 +47,7 @@ def forest_predictions(train: DataFrame, test: DataFrame, x: str, y: str, *, tas
                        trees: int = 100, depth: int = MAX_DEPTH, leaf: int = LEAF, seed: int = 42):
     """Test rows with ``pred`` (and ``p`` over the returned class list) of a forest fitted on the training rows."""
     ready = lambda d: d.withColumn("_x", array_to_vector(F.when(F.size(x) > 0, F.col(x)).otherwise(F.array(F.lit(0.0)))))
+    train = settle(train.select(x, y), x, y)
     if task == "regression":
         model = RandomForestRegressor(featuresCol="_x", labelCol="_y", predictionCol="pred", numTrees=trees,
                                       maxDepth=min(depth, MAX_DEPTH), minInstancesPerNode=leaf, seed=seed)

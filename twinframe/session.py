@@ -31,6 +31,15 @@ def spread(df: DataFrame, *keys) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def settle(df: DataFrame, *keys) -> DataFrame:
+    """One layout for one content: rows placed and sorted by key.
+
+    The forest trainer draws its bags by partition number and position, so its input must not depend on how
+    the source happened to be split.
+    """
+    return spread(df, *keys).sortWithinPartitions(*keys)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage into the checkpoint folder the cluster names; survives lost executors.
 
