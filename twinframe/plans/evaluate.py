@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -15,7 +16,7 @@ from twinframe.operators.decode import MAX_DEPTH, forest
 from twinframe.operators.encode import Encoding, encode, fit_encoding, most_frequent
 from twinframe.operators.profile import BOOL_IS_NUMERIC, numeric_names
 from twinframe.plans.model import Params, TableModel, fit
-from twinframe.session import checkpoint, settle
+from twinframe.session import checkpoint, settle, side_by_side
 
 LEAF = 3  # fixed value: smallest leaf of the judging forests
 
@@ -176,14 +177,19 @@ def latent_view(model: TableModel, df: DataFrame, target: str) -> DataFrame:
 def main_measure_report(real: DataFrame, synthetic: DataFrame, *, target: str | None, real_id: str, synthetic_id: str,
                         seed: int = 42, **settings) -> DataFrame:
     """Distance, discrimination, utility and distribution measures in one row."""
-    parts = [measures.nn_distance_test(real, synthetic, target=target, real_id=real_id, synthetic_id=synthetic_id),
-             discrimination_test(real, synthetic, target=target, real_id=real_id, synthetic_id=synthetic_id, seed=seed, **settings),
-             utility_lift(real, synthetic.drop(synthetic_id), target=target, real_id=real_id, seed=seed, **settings),
-             measures.distribution_score(real.drop(real_id), synthetic.drop(synthetic_id))]
+    ids = dict(target=target, real_id=real_id, synthetic_id=synthetic_id)
+    parts = [lambda: measures.nn_distance_test(real, synthetic, **ids),
+             lambda: discrimination_test(real, synthetic, seed=seed, **ids, **settings),
+             lambda: utility_lift(real, synthetic.drop(synthetic_id), target=target, real_id=real_id, seed=seed, **settings),
+             lambda: measures.distribution_score(real.drop(real_id), synthetic.drop(synthetic_id))]
+
+    def fetch(part) -> tuple:
+        table = part()
+        return table.first().asDict(), [f"{f.name} {f.dataType.simpleString()}" for f in table.schema.fields]
     values, fields = {}, []
-    for part in parts:
-        values.update(part.first().asDict())
-        fields += [f"{f.name} {f.dataType.simpleString()}" for f in part.schema.fields]
+    for found, kinds in side_by_side([lambda part=part: fetch(part) for part in parts]):
+        values.update(found)
+        fields += kinds
     return _one(real, values, ", ".join(fields))
 
 
@@ -213,8 +219,8 @@ def method_comparison(df: DataFrame, row_id: str, columns: Sequence[str], *, dat
     """One summary row per method; generated rows are kept below ``sink`` when given."""
     known = registry(target, columns, params, seed)
     real = df.select(row_id, *columns)
-    out = None
-    for name, make in pick_methods(methods or list(known), known).items():
+
+    def summary(name: str, make) -> DataFrame:
         made = checkpoint(make(real, row_id, n))
         if sink is not None:
             made.drop("row").write.mode("overwrite").parquet(f"{sink}/{dataset}_{name}_generated.parquet")
@@ -223,5 +229,7 @@ def method_comparison(df: DataFrame, row_id: str, columns: Sequence[str], *, dat
             more = main_measure_report(real, made, target=target, real_id=row_id, synthetic_id="row", seed=seed, **settings)
             values = more.first().asDict()
             row = row.withColumns({k: F.lit(v).cast(more.schema[k].dataType) for k, v in values.items()})
-        out = row if out is None else out.unionByName(row)
-    return out
+        return row
+    chosen = pick_methods(methods or list(known), known)
+    rows = side_by_side([lambda name=name, make=make: summary(name, make) for name, make in chosen.items()])
+    return reduce(DataFrame.unionByName, rows)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import warnings
 from collections.abc import Callable, Mapping
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
@@ -19,9 +18,7 @@ from twinframe.operators.decode import MAX_DEPTH, Decoder, decode_categorical, f
 from twinframe.operators.encode import NUMERIC_BLOCK, Encoding, decode_numeric, encode, fit_encoding, without_block
 from twinframe.operators.profile import HIGH_CARDINALITY_DISTINCT, HIGH_CARDINALITY_SHARE
 from twinframe.operators.project import apply_matrix, nca_fit
-from twinframe.session import checkpoint
-
-DECODER_JOBS = 4  # forests trained side by side
+from twinframe.session import checkpoint, side_by_side
 
 
 @dataclass
@@ -244,8 +241,7 @@ def fit(df: DataFrame, row_id: str, *, columns: list[str] | None = None, params:
         rows = table.select("row_id", F.col(f"_k_{c}").alias("label"), *([] if context is None else [context.alias("x")]))
         return fit_decoder(rows, "row_id", None if context is None else "x", "label", enc.categories[c], trees=p.trees,
                            depth=p.depth, seed=p.seed, calibrate=p.calibrate, folds=p.folds)
-    with ThreadPoolExecutor(DECODER_JOBS) as pool:
-        model.decoders = dict(zip(enc.categorical, pool.map(decoder, enc.categorical)))
+    model.decoders = dict(zip(enc.categorical, side_by_side([lambda c=c: decoder(c) for c in enc.categorical])))
     model.latent = table.select("row_id", "z")
     if enc.rows >= 2 and model.width:
         if isinstance(edges, DataFrame):

@@ -13,7 +13,7 @@ from twinframe.operators import clean, manifold, neighbours, samplers, scores
 from twinframe.operators.project import pca_projection
 from twinframe.plans.evaluate import Preprocessor, forest_predictions, forest_scores
 from twinframe.plans.model import Params, TableModel, fit
-from twinframe.session import checkpoint
+from twinframe.session import checkpoint, side_by_side
 
 MECHANISM = ("dataset string, column string, block_width bigint, cardinality bigint, missing_rate double, n_train bigint, n_test bigint, "
              "majority_accuracy double, block_accuracy double, pca_accuracy double, raw_context_accuracy double, block_balanced_accuracy double, "
@@ -67,12 +67,11 @@ def mechanism_report(model: TableModel, train: DataFrame, test: DataFrame, datas
     for name, df in (("train", train), ("test", test)):
         keys = [category_key(F.col(c)).alias(f"_k_{c}") for c in model.encoding.categorical]
         tables[name] = checkpoint(model.transform(df.select(*model.encoding.columns, *keys)).select("z", *[f"_k_{c}" for c in model.encoding.categorical]))
-    rows = []
-    for c in model.encoding.categorical:
+
+    def judge(c: str) -> DataFrame:
         facts = _column_facts(model, train, test, dataset, c, n_train, n_test)
         if facts["cardinality"] < 2:
-            rows.append(report_row(spark, MECHANISM, {**facts, "reason": "one_train_class"}))
-            continue
+            return report_row(spark, MECHANISM, {**facts, "reason": "one_train_class"})
         start, width = model.blocks[c]
         context = model.context(c)
         view = {k: t.select(F.col(f"_k_{c}").alias("y"), F.slice("z", start + 1, width).alias("block"),
@@ -85,8 +84,8 @@ def mechanism_report(model: TableModel, train: DataFrame, test: DataFrame, datas
                           f"{label}_macro_f1": s["macro_f1"]})
         found["block_lift_over_majority"] = found["block_accuracy"] - found["majority_accuracy"]
         found["block_lift_over_pca"] = found["block_accuracy"] - found["pca_accuracy"]
-        rows.append(report_row(spark, MECHANISM, {**facts, **found, "reason": "ok"}))
-    return stack(rows, spark, MECHANISM)
+        return report_row(spark, MECHANISM, {**facts, **found, "reason": "ok"})
+    return stack(side_by_side([lambda c=c: judge(c) for c in model.encoding.categorical]), spark, MECHANISM)
 
 
 def decoder_calibration_report(model: TableModel, train: DataFrame, test: DataFrame, dataset: str) -> DataFrame:
@@ -148,12 +147,11 @@ def imbalance_report(df: DataFrame, row_id: str, target: str, dataset: str, *, p
     def stratified() -> DataFrame:
         few = train.filter(F.col(target) == F.lit(minority)).select(row_id, *features, target)
         return samplers.stratified_columns(few, row_id, target, [*features, target], need, seed).drop("row")
-    out = []
     makers = {"real_train": None, "transport_balanced": transport, "smote_balanced": smote, "stratified_balanced": stratified}
-    for method, make in makers.items():
+
+    def judge(method: str, make) -> DataFrame:
         if make is not None and need <= 0:
-            out.append(skip("already_balanced", method=method, **common))
-            continue
+            return skip("already_balanced", method=method, **common)
         try:
             added = None if make is None else make()
             whole = checkpoint(base if added is None else clean.augment_union(base, added))
@@ -161,16 +159,17 @@ def imbalance_report(df: DataFrame, row_id: str, target: str, dataset: str, *, p
             found, classes = forest_predictions(pre.transform(whole), pre.transform(test), "x", target, seed=seed, **settings)
             table = checkpoint(found.select(F.col(target).cast("string").alias("t"), "pred", F.col("p")[classes.index(str(minority))].alias("s")))
             s = scores.class_scores(table, "t", "pred").first()
-            out.append(report_row(spark, IMBALANCE, {
+            return report_row(spark, IMBALANCE, {
                 "dataset": dataset, "method": method, "target_column": target, **common, "train_rows": train.count(),
                 "test_rows": test.count(), "synthetic_rows": whole.count() - base.count(),
                 "train_minority_rate": scores.minority_rate(train, target, minority).first()[0],
                 "augmented_minority_rate": scores.minority_rate(whole, target, minority).first()[0],
                 "accuracy": s["accuracy"], "balanced_accuracy": s["balanced_accuracy"], "macro_f1": s["macro_f1"],
                 "minority_recall": scores.class_recall(table, "t", "pred", str(minority)).first()[0],
-                "pr_auc": scores.average_precision(table, "t", "s", str(minority)).first()[0], "reason": ""}))
+                "pr_auc": scores.average_precision(table, "t", "s", str(minority)).first()[0], "reason": ""})
         except ValueError as exc:
-            out.append(skip(f"evaluation_failed: {exc}", method=method, **common))
+            return skip(f"evaluation_failed: {exc}", method=method, **common)
+    out = side_by_side([lambda method=method, make=make: judge(method, make) for method, make in makers.items()])
     return stack(out, spark, IMBALANCE)
 
 

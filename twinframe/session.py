@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,17 @@ def local_session(cores: int | str = 8, app: str = "twinframe") -> SparkSession:
     return spark
 
 
+PARALLEL_JOBS = 4  # independent Spark jobs submitted side by side
+
+
+def side_by_side(tasks: Sequence[Callable], limit: int = PARALLEL_JOBS) -> list:
+    """Results of independent pieces of driver code, whose Spark jobs then share the executors."""
+    if len(tasks) < 2:
+        return [task() for task in tasks]
+    with ThreadPoolExecutor(min(limit, len(tasks))) as pool:
+        return [future.result() for future in [pool.submit(task) for task in tasks]]
+
+
 def spread(df: DataFrame, *keys) -> DataFrame:
     """Keep the session's full shuffle width in front of Python work.
 
