@@ -78,6 +78,14 @@ def test_guard_refuses_and_counts(spark):
     assert transport.quantile_bounds(latent, [], 0.1) == {} and transport.quantile_bounds(latent, [0], None) == {}
 
 
+def test_rounds_give_the_same_rows(spark):
+    latent = spark.createDataFrame([(i, [float(i * i % 17)]) for i in range(20)], "id bigint, z array<double>")
+    edges = neighbours.mutual_neighbours(neighbours.knn_exact(latent, "id", "z", 3))
+    bounds = transport.quantile_bounds(latent, [0], 0.3)
+    one, many = (transport.generate_latent(latent, "id", edges, 60, bounds=bounds, retries=5, one_shot=s) for s in (10**6, 0))
+    assert rows(one) == rows(many.select(*one.columns))
+
+
 def test_edge_draw_has_the_degree_law(spark):
     edges = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (2, 1), (3, 0)], "src bigint, dst bigint")
     draws = spark.range(4000).select(F.col("id").alias("row"), F.lit(0).alias("attempt"))

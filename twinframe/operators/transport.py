@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from twinframe.functions import rng
 from twinframe.functions.ordered import dense_index, quantiles
 from twinframe.functions.scalars import bind, category_key
+from twinframe.session import checkpoint
+
+ONE_SHOT = 1_000_000  # up to this many draws every attempt is made at once
 
 
 def anchor_weights(edges: DataFrame, classes: DataFrame | None = None) -> DataFrame:
@@ -31,16 +35,15 @@ def valid_anchors(edges: DataFrame) -> DataFrame:
     return edges.join(sources, "dst", "left_semi").select("src").distinct()
 
 
-def numbered_edges(edges: DataFrame, rows: int | None = None) -> DataFrame:
-    """Edges with a dense global number ``e`` and a number ``slot`` among the edges of their source.
+def neighbour_arrays(edges: DataFrame) -> DataFrame:
+    """(src, others): the sorted neighbours of each row, at most k of them."""
+    return edges.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("others"))
 
-    Degrees are bounded: a row lists at most k neighbours.
-    """
+
+def numbered_edges(edges: DataFrame, within: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """Directed edges with a dense number ``e``, global or inside ``within``."""
     keyed = edges.withColumn("_key", F.concat_ws("|", F.col("src").cast("string"), F.col("dst").cast("string")))
-    slots = keyed.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("_all"))
-    out = dense_index(keyed, "_key", name="e", rows=rows).join(slots, "src")
-    return out.select("e", "src", "dst", (F.array_position("_all", F.col("dst")) - 1).cast("bigint").alias("slot"),
-                      F.size("_all").cast("bigint").alias("degree"))
+    return dense_index(keyed, "_key", within=within, name="e", rows=rows).drop("_key")
 
 
 def transport_draws(edges: DataFrame, draws: DataFrame, seed: int = 42, *, classes: DataFrame | None = None) -> DataFrame:
@@ -50,25 +53,21 @@ def transport_draws(edges: DataFrame, draws: DataFrame, seed: int = 42, *, class
     uniform edge of B.  With classes (src, cls), the class is drawn uniformly first.
     """
     total = edges.count()
-    numbered = numbered_edges(edges, total)
     address = ("row", "attempt")
+    ends = [F.col("src").alias("anchor"), F.col("dst").alias("b")]
     if classes is None:
         first = draws.withColumn("e", rng.uniform_index(total, seed, "edge", *address)).join(
-            numbered.select("e", F.col("src").alias("anchor"), F.col("dst").alias("b")), "e")
+            numbered_edges(edges, rows=total).select("e", *ends), "e")
     else:
-        inside = dense_index(edges.join(classes, "src").withColumn(
-            "_key", F.concat_ws("|", F.col("src").cast("string"), F.col("dst").cast("string"))),
-            "_key", within=["cls"], name="_j", rows=total)
+        inside = numbered_edges(edges.join(classes, "src"), ["cls"], total)
         sizes = inside.groupBy("cls").agg(F.count(F.lit(1)).alias("_n"))
         k = sizes.count()
         named = dense_index(sizes, "cls", name="_ci", rows=k)
         first = draws.withColumn("_ci", rng.uniform_index(k, seed, "class", *address)).join(named, "_ci").withColumn(
-            "_j", rng.uniform_index(F.col("_n"), seed, "edge", *address)).join(
-            inside.select("cls", "_j", F.col("src").alias("anchor"), F.col("dst").alias("b")), ["cls", "_j"])
-    degrees = numbered.select(F.col("src").alias("b"), "degree").distinct()
-    second = first.join(degrees, "b").withColumn("slot", rng.uniform_index(F.col("degree"), seed, "third", *address))
-    return second.join(numbered.select(F.col("src").alias("b"), "slot", F.col("dst").alias("c")), ["b", "slot"]).select(
-        "row", "attempt", "anchor", "b", "c")
+            "e", rng.uniform_index(F.col("_n"), seed, "edge", *address)).join(inside.select("cls", "e", *ends), ["cls", "e"])
+    slot = rng.uniform_index(F.size("others"), seed, "third", *address).cast("int")
+    return first.join(neighbour_arrays(edges).withColumnRenamed("src", "b"), "b").select(
+        "row", "attempt", "anchor", "b", F.get("others", slot).alias("c"))
 
 
 def transport_candidates(latent: DataFrame, key: str, edges: DataFrame, draws: DataFrame, *, seed: int = 42,
@@ -111,23 +110,38 @@ def within_bounds(bounds: dict[int, tuple[float, float]], z: str = "z") -> Colum
 
 def generate_latent(latent: DataFrame, key: str, edges: DataFrame, n: int, *, seed: int = 42, factor: float = 1.0,
                     min_factor: float = 1.0, bounds: dict[int, tuple[float, float]] | None = None, retries: int = 5,
-                    z: str = "z", classes: DataFrame | None = None) -> DataFrame:
+                    z: str = "z", classes: DataFrame | None = None, one_shot: int = ONE_SHOT) -> DataFrame:
     """(row, attempt, accepted, anchor, b, c, z): the first attempt inside the bounds, else the last one.
 
-    Each attempt draws a new anchor at its own address, so all attempts are made at once and the answer does
-    not depend on how many are looked at together.
+    Each attempt draws a new anchor at its own address, so the answer does not depend on how many attempts are
+    looked at together.  Few draws are all made at once; many go in growing rounds over the rows still refused.
     """
     if retries < 0 or n < 0:
         raise ValueError("n and retries must not be negative.")
     guard = bounds or {}
     last = retries if guard else 0
-    draws = latent.sparkSession.range(n).select(
-        F.col("id").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(last))).alias("attempt"))
-    made = transport_candidates(latent, key, edges, draws, seed=seed, factor=factor, min_factor=min_factor, z=z,
-                                classes=classes).withColumn("accepted", within_bounds(guard, z))
-    body = [c for c in made.columns if c != "row"]
-    order = F.when(F.col("accepted"), F.col("attempt")).otherwise(F.lit(last + 1) - F.col("attempt") / F.lit(last + 1.0))
-    return made.groupBy("row").agg(F.min_by(F.struct(*body), order).alias("k")).select("row", "k.*")
+
+    def attempts(rows: DataFrame, start: int, end: int) -> DataFrame:
+        draws = rows.select("row", F.explode(F.sequence(F.lit(start), F.lit(end))).alias("attempt"))
+        made = transport_candidates(latent, key, edges, draws, seed=seed, factor=factor, min_factor=min_factor, z=z,
+                                    classes=classes).withColumn("accepted", within_bounds(guard, z))
+        if start == end:
+            return made
+        body = [c for c in made.columns if c != "row"]
+        order = F.when(F.col("accepted"), F.col("attempt")).otherwise(F.lit(end + 1) - F.col("attempt") / F.lit(end + 1.0))
+        return made.groupBy("row").agg(F.min_by(F.struct(*body), order).alias("k")).select("row", "k.*")
+    pending = latent.sparkSession.range(n).withColumnRenamed("id", "row")
+    if n * (last + 1) <= one_shot:
+        return attempts(pending, 0, last)
+    done, start, size = [], 0, 1
+    while True:
+        end = min(last, start + size - 1)
+        best = checkpoint(attempts(pending, start, end))
+        if end == last:
+            done.append(best)
+            return reduce(DataFrame.unionByName, done)
+        done.append(best.filter("accepted"))
+        pending, start, size = best.filter(~F.col("accepted")).select("row"), end + 1, end + 1
 
 
 def guard_counts(generated: DataFrame, retries: int) -> DataFrame:
