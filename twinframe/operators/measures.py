@@ -267,18 +267,22 @@ def correlation_ratio(df: DataFrame, pairs: Sequence[tuple[str, str]], by: Seque
         F.sqrt(safe_ratio(between, spread))).alias("value"))
 
 
-def average_ranks(df: DataFrame, key: str, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., key, column, rank, present): average rank of every number among the non-null ones."""
-    by = list(by)
+def value_ranks(long: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """(group..., value, rank, present): average rank of every distinct non-null value."""
+    group = list(group)
+    counts = long.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
+    sums = prefix_sums(counts, group, value, ["n"])
+    total = counts.groupBy(*group).agg(F.sum("n").alias("present"))
+    return sums.join(total, group).select(
+        *group, value, (F.col("cum_n") - (F.col("n") - 1) / F.lit(2.0)).alias("rank"), "present")
+
+
+def average_ranks(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(key, column, rank, present): average rank of every number among the non-null ones."""
     entries = F.array(*[F.struct(F.lit(c).alias("column"), as_double(df, c).alias("value")) for c in columns])
-    long = df.select(*by, F.col(key).alias("_key"), F.explode(entries).alias("e")).select(
-        *by, "_key", "e.column", "e.value").filter(F.col("value").isNotNull())
-    counts = long.groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
-    sums = prefix_sums(counts, [*by, "column"], "value", ["n"])
-    total = counts.groupBy(*by, "column").agg(F.sum("n").alias("present"))
-    ranks = sums.join(total, [*by, "column"]).select(
-        *by, "column", "value", (F.col("cum_n") - (F.col("n") - 1) / F.lit(2.0)).alias("rank"), "present")
-    return long.join(ranks, [*by, "column", "value"]).select(*by, F.col("_key").alias(key), "column", "rank", "present")
+    long = df.select(F.col(key), F.explode(entries).alias("e")).select(key, "e.column", "e.value").filter(
+        F.col("value").isNotNull())
+    return long.join(value_ranks(long, ["column"], "value"), ["column", "value"]).select(key, "column", "rank", "present")
 
 
 def _known(value: Column) -> Column:
@@ -286,7 +290,7 @@ def _known(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def numeric_correlation(df: DataFrame, columns: Sequence[str], method: str = "pearson", key: str | None = None,
+def numeric_correlation(df: DataFrame, columns: Sequence[str], method: str = "pearson",
                         by: Sequence[str] = ()) -> DataFrame:
     """(left, right, value): absolute correlation of every column pair over pairwise complete rows."""
     by = list(by)
@@ -298,12 +302,13 @@ def numeric_correlation(df: DataFrame, columns: Sequence[str], method: str = "pe
         return table.groupBy(*by).agg(values.alias("v")).select(*by, F.explode("v").alias("e")).select(*by, "e.*")
     # Ranks are taken on the rows a pair shares, so each pair ranks its own complete rows.
     parts = []
+    group = [*by, "_g"]
     for x, y in pairs:
-        whole = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-        ranks = average_ranks(whole, key, [x, y], by).groupBy(*by, key).agg(
-            F.max(F.when(F.col("column") == x, F.col("rank"))).alias("rx"),
-            F.max(F.when(F.col("column") == y, F.col("rank"))).alias("ry"))
-        parts.append(ranks.groupBy(*by).agg(F.abs(_known(F.corr("rx", "ry"))).alias("value")).select(
+        whole = df.select(*by, F.lit(0).alias("_g"), as_double(df, x).alias("_x"), as_double(df, y).alias("_y")).filter(
+            F.col("_x").isNotNull() & F.col("_y").isNotNull())
+        ranks = [value_ranks(whole, group, c).select(*group, c, F.col("rank").alias(f"r{c}")) for c in ("_x", "_y")]
+        ranked = whole.join(ranks[0], [*group, "_x"]).join(ranks[1], [*group, "_y"])
+        parts.append(ranked.groupBy(*by).agg(F.abs(_known(F.corr("r_x", "r_y"))).alias("value")).select(
             *by, F.lit(x).alias("left"), F.lit(y).alias("right"), "value"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -317,7 +322,7 @@ def association_matrix(df: DataFrame, columns: Sequence[str] | None = None, *, m
     categorical = [c for c in columns if c not in numeric]
     parts = []
     if len(numeric) > 1:
-        parts.append(numeric_correlation(df, numeric, method, key, by))
+        parts.append(numeric_correlation(df, numeric, method, by))
     if len(categorical) > 1:
         parts.append(cramers_v(df, list(combinations(categorical, 2)), by))
     if numeric and categorical:
