@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
@@ -107,7 +108,8 @@ def fit_decoder(df: DataFrame, key: str, context: str | None, label: str, classe
         folds = min(5, int(least))
     try:
         return _fit_calibrated(table, key, label, classes, learner, folds, seed)
-    except Exception:  # the reference falls back to the plain forest as well
+    except Exception as exc:
+        warnings.warn(f"Calibration of {label!r} failed, the plain forest is used: {exc}", RuntimeWarning)
         return plain("failed")
 
 
