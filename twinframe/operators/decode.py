@@ -80,7 +80,7 @@ def class_shares(df: DataFrame, column: str) -> DataFrame:
 
 def forest(trees: int = 100, depth: int = MAX_DEPTH, leaf: int = 1, seed: int = 42) -> RandomForestClassifier:
     return RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=min(depth, MAX_DEPTH),
-                                  minInstancesPerNode=leaf, seed=seed)
+                                  minInstancesPerNode=leaf, seed=seed, cacheNodeIds=True)
 
 
 def _training(df: DataFrame, context: str, label: str, classes: list[str]) -> DataFrame:
