@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -35,12 +37,26 @@ def side_by_side(tasks: Sequence[Callable], limit: int = PARALLEL_JOBS) -> list:
         return [future.result() for future in [pool.submit(task) for task in tasks]]
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per application, wherever the driver was started from."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="twinframe-"), "twinframe"), "zip", root, "twinframe")
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+
+
 def spread(df: DataFrame, *keys) -> DataFrame:
     """Keep the session's full shuffle width in front of Python work.
 
     Adaptive execution merges small shuffle partitions by bytes, which would leave heavy arithmetic over few
     bytes to a handful of tasks.
     """
+    ship_package(df.sparkSession)
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
