@@ -6,7 +6,7 @@ import importlib
 
 from twinframe.llm import base
 
-MODULES = ("tokens",)
+MODULES = ("tokens", "packing")
 
 
 def load(pipeline=None):
