@@ -6,7 +6,7 @@ import importlib
 
 from twinframe.llm import base
 
-MODULES = ("tokens", "packing")
+MODULES = ("tokens", "packing", "quality")
 
 
 def load(pipeline=None):
