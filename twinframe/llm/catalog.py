@@ -6,7 +6,7 @@ import importlib
 
 from twinframe.llm import base
 
-MODULES = ("tokens", "packing", "quality")
+MODULES = ("tokens", "packing", "quality", "simhash")
 
 
 def load(pipeline=None):
