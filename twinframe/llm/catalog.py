@@ -6,7 +6,7 @@ import importlib
 
 from twinframe.llm import base
 
-MODULES = ("tokens", "packing", "quality", "simhash")
+MODULES = ("tokens", "packing", "quality", "simhash", "pii")
 
 
 def load(pipeline=None):
