@@ -58,12 +58,12 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def by_size(texts: Iterable[str], limit: int = 1 << 21) -> Iterator[list[str]]:
-    """Lists of consecutive texts of about limit characters; one text is never cut."""
+def by_size(texts: Iterable[str], limit: int = 1 << 21, each: int = 64) -> Iterator[list[str]]:
+    """Lists of consecutive texts of about limit characters, where a text counts each more; one text is never cut."""
     block, size = [], 0
     for text in texts:
         block.append(text)
-        size += len(text)
+        size += len(text) + each
         if size >= limit:
             yield block
             block, size = [], 0
