@@ -6,7 +6,7 @@ import importlib
 
 from twinframe.llm import base
 
-MODULES = ("tokens", "packing", "quality", "simhash", "decontaminate", "pii", "language", "secrets", "syncmers")
+MODULES = ("tokens", "packing", "quality", "simhash", "decontaminate", "pii", "language", "secrets", "syncmers", "suffixes")
 
 
 def load(pipeline=None):
