@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinframe.operators import manifold, neighbours, project, samplers, transport
+from twinframe.operators import decode, manifold, neighbours, project, samplers, transport
 from twinframe.operators.decode import fit_decoder
 from twinframe.plans.job import fit_generate_job
 from twinframe.plans.model import Params, TableModel, fit
@@ -194,3 +194,32 @@ def test_job_end_to_end(spark, tmp_path):
         fit_generate_job(spark, model_in=str(tmp_path / "m"), sink=str(tmp_path / "other.csv"))
     fit_generate_job(spark, model_in=str(tmp_path / "m"), sink=str(tmp_path / "other.csv"), n=4)
     assert spark.read.option("header", True).csv(str(tmp_path / "other.csv")).count() == 4
+
+
+@pytest.mark.parametrize("width", [120, 1500])
+def test_wide_category_keeps_its_context(spark, width):
+    """More classes than a trainer infers from the labels alone: the context still decides."""
+    classes = [f"k{i:04d}" for i in range(width)]
+    rows = [(i, [float(i % width), float(i % 2)], classes[i % width]) for i in range(2 * width)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y string")
+    decoder = decode.fit_decoder(df, "id", "x", "y", classes, trees=3, depth=14)
+    assert decoder.status == "disabled" and decoder.forests
+    out = decode.decode_categorical(df.withColumnRenamed("id", "row"), decoder, "x", "made", sample=False, seed=1).collect()
+    assert len(out) == 2 * width and sum(r.made == r.y for r in out) > (120 if width == 120 else 60)  # by chance 2
+
+
+def test_sigmoids_of_all_classes_at_once_equal_one_by_one(spark):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    shares = rng.dirichlet(np.ones(4), 300)
+    labels = np.array([rng.choice(4, p=0.7 * s + 0.3 / 4) for s in shares])
+    folds = np.arange(300) % 2
+    held = spark.createDataFrame([(int(f), int(y), p.tolist()) for f, y, p in zip(folds, labels, shares)], "_fold int, y int, p array<double>")
+    found = decode.fit_sigmoids(held, 2, 4)
+    for f in range(2):
+        for c in range(4):
+            p, y = shares[folds == f, c], labels[folds == f] == c
+            target = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+            a, b = found[f][c]
+            gap = 1 / (1 + np.exp(-(a * p + b))) - target
+            assert abs((gap * p).sum()) < 1e-3 and abs(gap.sum()) < 1e-3

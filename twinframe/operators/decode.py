@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import IllegalArgumentException
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +17,10 @@ from pyspark.sql import functions as F
 from twinframe.functions import rng
 from twinframe.functions.scalars import array_sum, bind
 from twinframe.operators.samplers import _place_in_class
-from twinframe.session import settle
+from twinframe.session import settle, spread
 
-MAX_DEPTH = 30       # the most the forest trainer accepts
-MAX_CLASSES = 1000   # wider columns are decoded from class shares
+MAX_DEPTH = 30      # the most the forest trainer accepts
+NEWTON_STEPS = 30   # of the calibration; each is one job for all classes and folds
 
 
 @dataclass
@@ -27,7 +31,7 @@ class Decoder:
     status: str
     prior: list[float] = field(default_factory=list)
     forests: list = field(default_factory=list)
-    sigmoids: list = field(default_factory=list)  # per forest: [(slope, offset) per class] or None
+    sigmoids: list = field(default_factory=list)  # per forest: [(slope, offset) per class]
 
     def probabilities(self, df: DataFrame, context: str, name: str) -> DataFrame:
         """Add the probability array ``name``."""
@@ -53,15 +57,12 @@ def _full_width(p: Column, width: int) -> Column:
 
 def _calibrated(p: Column, sigmoids) -> Column:
     """Sigmoid per class, then shares; two classes are calibrated once; all zero gives equal shares."""
-    def squash(i: int) -> Column:
-        slope, offset = sigmoids[i]
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(slope) * p[i] + F.lit(offset))))
+    slopes, offsets = (F.array(*[F.lit(float(x)) for x in part]) for part in zip(*sigmoids))
+    raw = F.zip_with(F.zip_with(p, slopes, lambda x, a: x * a), offsets, lambda x, b: F.lit(1.0) / (F.lit(1.0) + F.exp(-(x + b))))
     if len(sigmoids) == 2:
-        return F.array(F.lit(1.0) - squash(1), squash(1))
-    raw = F.array(*[squash(i) for i in range(len(sigmoids))])
-    total = array_sum(raw)
-    return F.when(total > 0, F.transform(raw, lambda x: x / total)).otherwise(
-        F.array(*[F.lit(1.0 / len(sigmoids))] * len(sigmoids)))
+        return bind(raw, lambda r: F.array(F.lit(1.0) - r[1], r[1]))
+    return bind(raw, lambda r: bind(array_sum(r), lambda total: F.when(total > 0, F.transform(r, lambda x: x / total)).otherwise(
+        F.array_repeat(F.lit(1.0 / len(sigmoids)), len(sigmoids)))))
 
 
 def prior_decoder(df: DataFrame, label: str, classes: list[str]) -> Decoder:
@@ -83,18 +84,29 @@ def forest(trees: int = 100, depth: int = MAX_DEPTH, leaf: int = 1, seed: int =
                                   minInstancesPerNode=leaf, seed=seed, cacheNodeIds=True)
 
 
-def _training(df: DataFrame, context: str, label: str, classes: list[str]) -> DataFrame:
-    place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
-    return df.withColumn("_y", place.cast("double")).withColumn("_x", array_to_vector(context))
+def class_table(df: DataFrame, classes: Sequence[str], name: str, place: str) -> DataFrame:
+    """(name, place): the classes and their numbers, as a table to join."""
+    return df.sparkSession.createDataFrame([(c, float(i)) for i, c in enumerate(classes)], f"{name} string, {place} double")
+
+
+def numbered_classes(df: DataFrame, label: Column, classes: Sequence[str]) -> DataFrame:
+    """df with the class number ``_y``, which says how many classes there are, so that the trainer takes any number of them."""
+    width = {"ml_attr": {"type": "nominal", "num_vals": len(classes)}}
+    return df.join(class_table(df, classes, "_class", "_y"), label == F.col("_class")).drop("_class").withMetadata("_y", width)
+
+
+def _training(df: DataFrame, key: str, context: str, label: str, classes: list[str]) -> DataFrame:
+    table = settle(numbered_classes(df, F.col(label), classes), key)
+    return table.withColumn("_x", array_to_vector(context))
 
 
 def fit_decoder(df: DataFrame, key: str, context: str | None, label: str, classes: list[str], *, trees: int = 100,
                 depth: int = MAX_DEPTH, leaf: int = 1, seed: int = 42, calibrate: bool = False,
                 folds: int | None = None) -> Decoder:
-    """A forest on the context; class shares without context; optionally calibrated over folds."""
-    if context is None or len(classes) > MAX_CLASSES:
+    """A forest on the context for any number of classes; class shares only without context; optionally calibrated over folds."""
+    if context is None:
         return prior_decoder(df, label, classes)
-    table = _training(settle(df, key), context, label, classes)
+    table = _training(df, key, context, label, classes)
     learner = forest(trees, depth, leaf, seed)
     plain = lambda status: Decoder(classes, status, forests=[learner.fit(table)])
     if not calibrate:
@@ -108,33 +120,90 @@ def fit_decoder(df: DataFrame, key: str, context: str | None, label: str, classe
         folds = min(5, int(least))
     try:
         return _fit_calibrated(table, key, label, classes, learner, folds, seed)
-    except Exception as exc:
+    except IllegalArgumentException as exc:  # the trainer's own refusal; a lost executor is no reason to go on without calibration
         warnings.warn(f"Calibration of {label!r} failed, the plain forest is used: {exc}", RuntimeWarning)
         return plain("failed")
 
 
 def _fit_calibrated(table: DataFrame, key: str, label: str, classes: list[str], learner, folds: int, seed: int) -> Decoder:
     placed = settle(_place_in_class(table, key, label, seed, "fold").withColumn(
-        "_fold", F.pmod(F.col("_place"), F.lit(folds))).drop("_k", "_h", "_place"), key).persist()
-    out = Decoder(classes, "calibrated")
-    for f in range(folds):
-        model = learner.fit(placed.filter(F.col("_fold") != f))
-        held = model.transform(placed.filter(F.col("_fold") == f)).select(
-            "_y", _full_width(vector_to_array("probability"), len(classes)).alias("p"))
-        sigmoids = []
-        for c in range(len(classes)):
-            if len(classes) == 2 and c == 0:
-                sigmoids.append((0.0, 0.0))
-                continue
-            one = held.select(array_to_vector(F.array(F.col("p")[c])).alias("features"),
-                              (F.col("_y") == c).cast("double").alias("label"))
-            fit = LogisticRegression(maxIter=50, standardization=False).fit(one)
-            sigmoids.append((float(fit.coefficientMatrix.toArray().ravel()[0]), float(fit.interceptVector[0]))
-                            if fit.numClasses == 2 else (0.0, -20.0))
-        out.forests.append(model)
-        out.sigmoids.append(sigmoids)
-    placed.unpersist()
-    return out
+        "_fold", F.pmod(F.col("_place"), F.lit(folds)).cast("int")).drop("_k", "_h", "_place"), key).persist()
+    width = table.schema["_y"].metadata
+    try:
+        fold = lambda keep: placed.filter(keep).withMetadata("_y", width)
+        forests = [learner.fit(fold(F.col("_fold") != f)) for f in range(folds)]
+        held = [m.transform(fold(F.col("_fold") == f)).select("_fold", F.col("_y").cast("int").alias("y"), _full_width(
+            vector_to_array("probability"), len(classes)).alias("p")) for f, m in enumerate(forests)]
+        together = held[0]
+        for part in held[1:]:
+            together = together.unionByName(part)
+        together = spread(together).persist()
+        try:
+            sigmoids = fit_sigmoids(together, folds, len(classes))
+        finally:
+            together.unpersist()
+        return Decoder(classes, "calibrated", forests=forests, sigmoids=sigmoids)
+    finally:
+        placed.unpersist()
+
+
+def fit_sigmoids(held: DataFrame, folds: int, width: int) -> list[list[tuple[float, float]]]:
+    """(slope, offset) per fold and class from held-out rows (_fold, y, p): logistic fits of "is this class" on its share.
+
+    Targets are drawn in from 0 and 1 by one row of each kind, which keeps separable classes finite. All classes and folds
+    take one damped Newton step together, for which one job returns a few sums for each of them.
+    """
+    count = np.zeros((folds, width))
+    for r in held.groupBy("_fold", "y").count().collect():
+        count[r["_fold"], r["y"]] = r["count"]
+    rows = count.sum(axis=1, keepdims=True)
+    high, low = (count + 1) / (count + 2), 1 / (rows - count + 2)
+    slope, offset = np.zeros((folds, width)), np.log((count + 1) / (rows - count + 1))
+    sums = ["loss", "ga", "gb", "haa", "hab", "hbb"]
+
+    def totals(slope: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((folds, len(sums), width))
+            for batch in batches:
+                fold, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                shares = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(fold), width)
+                for f in np.unique(fold):
+                    at = np.flatnonzero(fold == f)
+                    p, target = shares[at], np.tile(low[f], (len(at), 1))
+                    target[np.arange(len(at)), y[at]] = high[f][y[at]]
+                    z = slope[f] * p + offset[f]
+                    s = 1 / (1 + np.exp(-z))
+                    gap, bend = s - target, s * (1 - s)
+                    out[f] += np.stack([np.logaddexp(0, z) - target * z, gap * p, gap, bend * p * p, bend * p, bend]).sum(axis=1)
+            f, c = (x.ravel() for x in np.indices((folds, width)))
+            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(c), *(pa.array(out[f, i, c]) for i in range(len(sums)))], ["f", "c", *sums])
+        found = held.mapInArrow(add, "f bigint, c bigint, " + ", ".join(f"{n} double" for n in sums)).groupBy("f", "c").agg(*[F.sum(n).alias(n) for n in sums])
+        out = np.zeros((len(sums), folds, width))
+        for r in found.collect():
+            out[:, r["f"], r["c"]] = [r[n] for n in sums]
+        return out
+
+    now = totals(slope, offset)
+    for _ in range(NEWTON_STEPS):
+        loss, ga, gb, haa, hab, hbb = now
+        if max(np.abs(ga).max(), np.abs(gb).max()) < 1e-7 * max(1.0, rows.max()):
+            break
+        haa, hbb = haa + 1e-9, hbb + 1e-9
+        det = np.maximum(haa * hbb - hab * hab, 1e-18)
+        step = ((hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det)
+        share = np.ones_like(loss)
+        while True:
+            new = totals(slope - share * step[0], offset - share * step[1])
+            worse = new[0] > loss + 1e-12 * (1 + np.abs(loss))
+            if not worse.any() or share[worse].max() < 1e-4:
+                break
+            share = np.where(worse, share / 4, share)
+        share = np.where(worse, 0.0, share)
+        if not share.any():
+            break
+        moved = share > 0
+        slope, offset, now = slope - share * step[0], offset - share * step[1], np.where(moved, new, now)
+    return [list(zip(slope[f].tolist(), offset[f].tolist())) for f in range(folds)]
 
 
 def choose(probabilities: Column, u: Column) -> Column:
@@ -156,7 +225,7 @@ def decode_categorical(df: DataFrame, decoder: Decoder, context: str | None, nam
                        row: str = "row") -> DataFrame:
     """Add the class key ``name``: drawn from the probabilities, or the first most likely one."""
     out = decoder.probabilities(df, context, "_prob")
-    labels = F.array(*[F.lit(c) for c in decoder.classes])
     u = rng.uniform(seed, f"decode.{name}", row)
     place = choose(F.col("_prob"), u) if sample else F.array_position(F.col("_prob"), F.array_max("_prob")) - 1
-    return out.withColumn(name, F.get(labels, place.cast("int"))).drop("_prob")
+    named = class_table(df, decoder.classes, name, "_place")
+    return out.withColumn("_place", place.cast("double")).drop("_prob").drop(name).join(named, "_place", "left").drop("_place")

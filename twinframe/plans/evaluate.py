@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinframe.operators import clean, measures, samplers, scores
-from twinframe.operators.decode import MAX_DEPTH, forest
+from twinframe.operators.decode import MAX_DEPTH, class_table, forest, numbered_classes
 from twinframe.operators.encode import Encoding, encode, fit_encoding, most_frequent
 from twinframe.operators.profile import BOOL_IS_NUMERIC, numeric_names
 from twinframe.plans.model import Params, TableModel, fit
@@ -54,12 +54,11 @@ def forest_predictions(train: DataFrame, test: DataFrame, x: str, y: str, *, tas
                                       maxDepth=min(depth, MAX_DEPTH), minInstancesPerNode=leaf, seed=seed)
         fitted = model.fit(ready(train).withColumn("_y", F.col(y).cast("double")))
         return fitted.transform(ready(test)).drop("_x"), []
-    classes = sorted(r[0] for r in train.select(F.col(y).cast("string")).distinct().collect())
-    labels = F.array(*[F.lit(c) for c in classes])
-    place = (F.array_position(labels, F.col(y).cast("string")) - 1).cast("double")
-    fitted = forest(trees, depth, leaf, seed).fit(ready(train).withColumn("_y", place))
-    out = fitted.transform(ready(test)).withColumn("p", vector_to_array("probability")).withColumn(
-        "pred", F.get(labels, F.col("prediction").cast("int"))).drop("_x", "rawPrediction", "probability", "prediction")
+    classes = sorted(r[0] for r in train.filter(F.col(y).isNotNull()).select(F.col(y).cast("string")).distinct().collect())
+    numbered = settle(numbered_classes(train.filter(F.col(y).isNotNull()), F.col(y).cast("string"), classes), x, y)
+    fitted = forest(trees, depth, leaf, seed).fit(ready(numbered))
+    out = fitted.transform(ready(test)).withColumn("p", vector_to_array("probability")).join(
+        class_table(test, classes, "pred", "prediction"), "prediction", "left").drop("_x", "rawPrediction", "probability", "prediction")
     return out, classes
 
 

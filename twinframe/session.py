@@ -7,6 +7,7 @@ import shutil
 import tempfile
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,16 +39,18 @@ def side_by_side(tasks: Sequence[Callable], limit: int = PARALLEL_JOBS) -> list:
 
 
 _shipped: set[str] = set()
+_shipping = Lock()  # columns are fitted side by side
 
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers once per application, wherever the driver was started from."""
     context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="twinframe-"), "twinframe"), "zip", root, "twinframe")
-        context.addPyFile(archive)
-        _shipped.add(context.applicationId)
+    with _shipping:
+        if context.applicationId not in _shipped:
+            root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+            archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="twinframe-"), "twinframe"), "zip", root, "twinframe")
+            context.addPyFile(archive)
+            _shipped.add(context.applicationId)
 
 
 def spread(df: DataFrame, *keys) -> DataFrame:
