@@ -18,7 +18,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm.base import query, table, width
+from twinframe.llm.base import keep, query, table, width
 
 BLOCKS = 8  # of the index, for each shuffle partition
 MOST = 64  # alternatives followed before a query is made coarser
@@ -192,7 +192,8 @@ def find_secrets(docs: DataFrame, text: str = "text", name: str = "secrets", rul
     hashed = docs.select(*columns, F.xxhash64(text).alias("_hash"))
     if indexed:
         index = postings(docs.select(text), text, grams, BLOCKS * width(docs.sparkSession))
-        kinds = candidates(index, grams, indexed).withColumnsRenamed({"hash": "_hash", "kinds": "_kinds"})
+        # Written first: a join that reads both sides through exchanges of its own can be split where one text has many copies.
+        kinds = keep(candidates(index, grams, indexed).withColumnsRenamed({"hash": "_hash", "kinds": "_kinds"}))
         hashed = hashed.join(kinds.hint("shuffle_hash"), "_hash", "left")
     else:
         hashed = hashed.withColumn("_kinds", F.array().cast("array<string>"))
