@@ -13,9 +13,6 @@ from check import TABLES, compare
 import __spark_entry__ as entry_point
 
 FOLDER = "/root/testdata/sf0.001"
-# Slow twins that share their parts with others; tools/check.py runs everything.
-SKIP = {"guard_counts", "decode_numeric", "anchor_weights_by_class", "valid_anchors", "class_conditional_anchor", "sample_anchor",
-        "neighbour_graph", "nn_distance_summary", "similarity_report", "write_regimes", "model_save_load"}
 QUERIES, SQL = entry_point.queries(), entry_point.oracle_sql()
 
 
@@ -33,7 +30,7 @@ def test_every_twin_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - SKIP))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, con, name):
     out = compare(spark, con, FOLDER, name, QUERIES[name], SQL[name])
     assert out.startswith("ok"), out

@@ -1,3 +1,4 @@
+import hashlib
 from statistics import NormalDist
 
 import numpy as np
@@ -28,25 +29,38 @@ def test_normal_quantile_and_cdf(spark):
         assert abs(r["p"] - NormalDist().cdf(r["z"])) < 1e-12
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_quantiles_match_numpy(spark, small):
+def test_quantiles_match_numpy(spark):
     x = np.random.default_rng(0).integers(0, 40, 500) / 3.0
     df = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 2.0), ("c", None)], "g string, v double")
-    found = {(r["g"], r["probability"]): r["quantile"] for r in ordered.quantiles(df, ["g"], "v", [0.05, 0.5, 0.9], small=small).collect()}
+    found = {(r["g"], r["probability"]): r["quantile"] for r in ordered.quantiles(df, ["g"], "v", [0.05, 0.5, 0.9]).collect()}
     for p in (0.05, 0.5, 0.9):
         assert abs(found[("a", p)] - np.quantile(x, p)) < 1e-9
         assert found[("b", p)] == 2.0
     assert not any(g == "c" for g, _ in found)
 
 
-def test_small_and_bucketed_order_agree(spark):
+def test_dense_index_and_prefix_sums_equal_plain_order(spark):
     df = spark.range(3000).withColumn("g", F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 5).cast("string"))
-    one = sorted((r["id"], r["idx"]) for r in ordered.dense_index(df, "id", within=["g"], small=True).select("id", "idx").collect())
-    two = sorted((r["id"], r["idx"]) for r in ordered.dense_index(df, "id", within=["g"], small=False).select("id", "idx").collect())
-    assert one == two
+    found = {r["id"]: r["idx"] for r in ordered.dense_index(df, "id", within=["g"]).select("id", "idx").collect()}
+    groups = {}
+    for i in sorted(range(3000), key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i)):
+        at = groups.setdefault(None if i % 3 == 0 else i % 5, [])
+        assert found[i] == len(at)
+        at.append(i)
     counts = spark.range(500).select(F.lit("x").alias("g"), F.pmod(F.col("id") * 37, F.lit(500)).cast("double").alias("v"), (F.col("id") % 4 + 1).alias("n"))
-    a, b = (sorted(map(tuple, ordered.prefix_sums(counts, ["g"], "v", ["n"], small=s).select("v", "cum_n", "next_value").collect()), key=str) for s in (True, False))
-    assert a == b
+    n = {float(i * 37 % 500): i % 4 + 1 for i in range(500)}
+    for buckets in (None, 1, 7, 300):
+        run = 0
+        for r in sorted(ordered.prefix_sums(counts, ["g"], "v", ["n"], buckets=buckets).collect(), key=lambda r: r["v"]):
+            run += n[r["v"]]
+            assert r["cum_n"] == run and r["next_value"] == (r["v"] + 1 if r["v"] < 499 else None)
+
+
+def test_smallest_equals_a_sort(spark):
+    df = spark.range(2000).withColumn("u", F.when(F.col("id") % 3 == 0, 0.25).otherwise(F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000.0))
+    order = [r["id"] for r in df.orderBy("u", "id").collect()]
+    for n in (0, 1, 300, 700, 1999, 2000, 5000):
+        assert sorted(r["id"] for r in ordered.smallest(df, "u", "id", n).collect()) == sorted(order[:n])
 
 
 def test_bins_follow_numpy(spark):

@@ -82,7 +82,7 @@ def test_rounds_give_the_same_rows(spark):
     latent = spark.createDataFrame([(i, [float(i * i % 17)]) for i in range(20)], "id bigint, z array<double>")
     edges = neighbours.mutual_neighbours(neighbours.knn_exact(latent, "id", "z", 3))
     bounds = transport.quantile_bounds(latent, [0], 0.3)
-    one, many = (transport.generate_latent(latent, "id", edges, 60, bounds=bounds, retries=5, one_shot=s) for s in (10**6, 0))
+    one, many = (transport.generate_latent(latent, "id", edges, 60, bounds=bounds, retries=5, first_round=s) for s in (6, 1))
     assert rows(one) == rows(many.select(*one.columns))
 
 
@@ -223,3 +223,31 @@ def test_sigmoids_of_all_classes_at_once_equal_one_by_one(spark):
             a, b = found[f][c]
             gap = 1 / (1 + np.exp(-(a * p + b))) - target
             assert abs((gap * p).sum()) < 1e-3 and abs(gap.sum()) < 1e-3
+
+
+def test_transport_draws_every_row_and_one_class(spark):
+    latent = spark.createDataFrame([(i, [float(i)]) for i in range(4)], "id bigint, z array<double>")
+    edges = spark.createDataFrame([(0, 1), (1, 0), (2, 3)], "src bigint, dst bigint")  # no edge starts at 3
+    assert transport.generate_latent(latent, "id", edges, 300).count() == 300
+    with pytest.raises(ValueError):
+        transport.generate_latent(latent, "id", edges.filter("src = 2"), 3)
+    classes = spark.createDataFrame([(0, "a"), (1, "b"), (2, "b"), (3, "b")], "src bigint, cls string")
+    made = transport.generate_latent(latent, "id", edges, 50, classes=classes, target="b").collect()
+    assert len(made) == 50 and {r["anchor"] for r in made} == {1}
+    with pytest.raises(ValueError):
+        transport.generate_latent(latent, "id", edges, 3, classes=classes, target="c")
+    with pytest.raises(ValueError):
+        transport.generate_latent(latent, "id", edges, 3, target="b")
+
+
+def test_row_ids_do_not_follow_the_layout(spark):
+    from twinframe.plans.job import with_row_id
+    df = spark.createDataFrame([(i % 7, None if i % 3 else "x") for i in range(40)], "a int, b string")
+    one, many = (sorted(map(tuple, with_row_id(df.repartition(k)).collect()), key=str) for k in (1, 8))
+    assert one == many and len({r[-1] for r in one}) == 40
+
+
+def test_wrong_latent_width_is_refused(fitted):
+    vectors = fitted.latent.sparkSession.createDataFrame([(0, [0.0] * (fitted.width + 1))], "row bigint, z array<double>")
+    with pytest.raises(Exception, match="coordinates"):
+        fitted.inverse_transform(vectors).collect()

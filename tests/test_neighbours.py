@@ -45,7 +45,6 @@ def test_many_copies_of_one_row(spark):
 
 @pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
 def test_cells_and_bounds_give_exact_lists(spark, monkeypatch, metric):
-    monkeypatch.setattr(neighbours, "ONE_CELL", 10)
     monkeypatch.setattr(neighbours, "CELL", 20)
     monkeypatch.setattr(neighbours, "BLOCK", 16)
     monkeypatch.setattr(neighbours, "QUERIES", 8)
@@ -55,7 +54,6 @@ def test_cells_and_bounds_give_exact_lists(spark, monkeypatch, metric):
 
 
 def test_cross_join_in_cells(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "ONE_CELL", 10)
     monkeypatch.setattr(neighbours, "CELL", 20)
     rng = np.random.default_rng(6)
     a, b = rng.normal(size=(90, 2)).round(2), rng.normal(size=(150, 2)).round(2)
@@ -79,7 +77,6 @@ def test_classes_stay_apart(spark):
 
 
 def test_approximate_recall(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "ONE_CELL", 10)
     monkeypatch.setattr(neighbours, "CELL", 50)
     rows = points(spark, np.random.default_rng(1).normal(size=(400, 2)))
     exact = neighbours.knn_exact(rows, "id", "z", 5)

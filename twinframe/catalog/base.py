@@ -82,7 +82,7 @@ def uidx(size: str, seed: int, stream: str, *keys: str) -> str:
 
 def dense(key: str, within: str = "") -> str:
     part = f"PARTITION BY {within} " if within else ""
-    return f"(row_number() OVER ({part}ORDER BY substr(md5(CAST({key} AS VARCHAR)), 1, 3), {key}) - 1)"
+    return f"(row_number() OVER ({part}ORDER BY md5(CAST({key} AS VARCHAR)), {key}) - 1)"
 
 
 def long_sql(source: str, columns: list[str], carry: str = "side", cast: str = "DOUBLE", value: str = "v") -> str:

@@ -57,17 +57,6 @@ def _(t: Tables):
     return evaluate.method_comparison(customers(t), "c_custkey", [*COLUMNS, "wealth"], dataset="customer", target="wealth", params=params(), learned=False)
 
 
-@query("method_registry", "SELECT m AS method, (SELECT count(*) FROM customer) AS rows FROM (SELECT unnest(['row_bootstrap', 'independent_columns', 'gaussian_copula', 'stratified_columns']) AS m)")
-def _(t: Tables):
-    columns = ["c_nationkey", "c_mktsegment"]
-    known = evaluate.registry("c_mktsegment", columns)
-    out = None
-    for name, make in evaluate.pick_methods(["row_bootstrap", "independent_columns", "gaussian_copula", "stratified_columns"], known).items():
-        part = make(t.customer, "c_custkey", None).agg(F.lit(name).alias("method"), F.count(F.lit(1)).alias("rows"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 @query("kde_grid_divergence")
 def _(t: Tables):
     pair = [d.select(F.array((F.col("l_quantity") - 25) / 15, (F.col("l_extendedprice") - 50000) / 30000, F.col("l_discount") * 20).alias("v")) for d in sides(t)]

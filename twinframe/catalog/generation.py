@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from twinframe.catalog.base import Tables, dense, query, r, u, uidx
-from twinframe.catalog.measures import MUTUAL, Z, _JOINT, customer_edges, customer_latent
+from twinframe.catalog.measures import DIST, KNN, MUTUAL, Z, _JOINT, customer_edges, customer_latent
 from twinframe.operators import decode, encode, neighbours, project, transport
 from twinframe.plans import job, model
 from twinframe.session import checkpoint
@@ -196,11 +196,34 @@ def _(t: Tables):
     return guarded(t).select("row", *[v.alias(c) for c, v in encode.decode_numeric(F.col("z"), enc).items()])
 
 
-@query("transport_by_class")
+_CLASS_MUTUAL = f"""WITH {Z}, pairs AS (SELECT x.id AS src, y.id AS dst, {DIST} AS dist FROM z x JOIN z y ON x.id <> y.id AND x.seg = y.seg),
+    knn AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank, dist FROM pairs QUALIFY rank <= 4)""" + MUTUAL[len(KNN):]
+_THIRD = f"""third AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS slot, count(*) OVER (PARTITION BY src) AS degree FROM mutual),
+    draws AS (SELECT range AS "row", 0 AS attempt FROM range((SELECT count(*) FROM customer)))"""
+_WITH_C = f"""SELECT "row", anchor, b, t.dst AS c FROM ab JOIN third t ON t.src = b AND t.slot = {uidx('t.degree', SEED, 'third', '"row"', 'attempt')}"""
+
+
+@query("transport_by_class", _CLASS_MUTUAL + f""", {_THIRD},
+    inside AS (SELECT seg, src, dst, {dense("(src || '|' || dst)", "seg")} AS e FROM mutual JOIN z ON z.id = src WHERE dst IN (SELECT src FROM mutual)),
+    sizes AS (SELECT seg, n, {dense('seg')} AS ci FROM (SELECT seg, count(*) AS n FROM inside GROUP BY 1)),
+    picked AS (SELECT "row", attempt, seg, n FROM draws JOIN sizes ON ci = {uidx('(SELECT count(*) FROM sizes)', SEED, 'class', '"row"', 'attempt')}),
+    ab AS (SELECT "row", attempt, src AS anchor, dst AS b FROM picked JOIN inside ON inside.seg = picked.seg AND e = {uidx('n', SEED, 'edge', '"row"', 'attempt')})
+    {_WITH_C}""")
 def _(t: Tables):
     latent = checkpoint(customer_latent(t))
     edges = checkpoint(neighbours.mutual_neighbours(neighbours.knn_exact(latent, "c_custkey", "z", 4, within="c_mktsegment")))
-    return transport.generate_latent(latent, "c_custkey", edges, latent.count(), seed=SEED, factor=0.25, min_factor=0.25, classes=classes(t)).drop("z")
+    made = transport.generate_latent(latent, "c_custkey", edges, latent.count(), seed=SEED, factor=0.25, min_factor=0.25, classes=classes(t))
+    return made.select("row", "anchor", "b", "c")
+
+
+@query("transport_one_class", MUTUAL + f""", {_THIRD},
+    live AS (SELECT src, dst, {dense("(src || '|' || dst)")} AS e FROM mutual JOIN z ON z.id = src AND seg = 'BUILDING' WHERE dst IN (SELECT src FROM mutual)),
+    ab AS (SELECT "row", attempt, src AS anchor, dst AS b FROM draws JOIN live ON e = {uidx('(SELECT count(*) FROM live)', SEED, 'edge', '"row"', 'attempt')})
+    {_WITH_C}""")
+def _(t: Tables):
+    latent = checkpoint(customer_latent(t))
+    made = transport.generate_latent(latent, "c_custkey", mutual(t), latent.count(), seed=SEED, factor=0.25, min_factor=0.25, classes=classes(t), target="BUILDING")
+    return made.select("row", "anchor", "b", "c")
 
 
 # ---------------------------------------------------------------- decoding and the model
@@ -243,6 +266,17 @@ def _(t: Tables):
     return customer_model(t).generate()
 
 
+@query("generate_wide_category", "SELECT count(*) AS rows, 0::BIGINT AS unknown, true AS fitted FROM customer")
+def _(t: Tables):
+    """A category of more than a hundred keys still has a fitted forest, and only its own keys come out."""
+    wide = t.customer.select("c_custkey", "c_acctbal", F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("c_place"))
+    fitted = model.fit(wide, "c_custkey", params=params())
+    known = wide.select(F.col("c_place").alias("k"), F.lit(1).alias("known")).distinct()
+    return fitted.generate().join(known, F.col("c_place") == F.col("k"), "left").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("known").isNull(), 1)).alias("unknown"),
+        F.lit(bool(fitted.decoders["c_place"].forests)).alias("fitted"))
+
+
 @query("make_generator")
 def _(t: Tables):
     fitted = customer_model(t, search="approx")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from twinframe.catalog.base import Tables, long_sql, query, r
 from twinframe.functions import scalars
 from twinframe.operators import clean, measures, neighbours, profile
+from twinframe.session import checkpoint
 
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "tax"]
 CAT = ["l_returnflag", "line"]
@@ -332,6 +333,15 @@ def _(t: Tables):
     return neighbours.knn_approx(customer_latent(t), "c_custkey", "z", 6, probes=3)
 
 
+@query("knn_recall", "SELECT count(*) * 6 AS edges, true AS enough FROM customer")
+def _(t: Tables):
+    """Recall of the probed cells against the exact lists."""
+    latent = checkpoint(customer_latent(t))
+    near = neighbours.knn_approx(latent, "c_custkey", "z", 6, probes=8)
+    found = neighbours.recall_at_k(near, neighbours.knn_exact(latent, "c_custkey", "z", 6))
+    return found.select("edges", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query("top_k_neighbours", """SELECT c_nationkey AS src, s_suppkey AS dst, """ + r("dist") + """ AS dist, rank FROM (SELECT c_nationkey, s_suppkey, abs(s_acctbal - m) AS dist,
     row_number() OVER (PARTITION BY c_nationkey ORDER BY abs(s_acctbal - m), s_suppkey) AS rank FROM (SELECT c_nationkey, avg(c_acctbal) AS m FROM customer GROUP BY 1) JOIN supplier ON s_nationkey = c_nationkey) WHERE rank <= 2""")
 def _(t: Tables):

@@ -9,7 +9,7 @@ from twinframe.catalog.measures import KNN, customer_edges, customer_latent
 from twinframe.functions import rng
 from twinframe.functions import normal as nf
 from twinframe.functions.ordered import dense_index
-from twinframe.operators import regimes, samplers
+from twinframe.operators import samplers
 
 SEED = 42
 
@@ -71,7 +71,7 @@ def _(t: Tables):
 
 def _placed(table: str, key: str, cls: str, stream: str) -> str:
     h = f"md5(concat_ws('|', '{SEED}', '{stream}', CAST({key} AS VARCHAR)))"
-    return f"SELECT {key}, {cls} AS k, row_number() OVER (PARTITION BY {cls} ORDER BY substr(md5({h}), 1, 3), {h}) AS place FROM {table}"
+    return f"SELECT {key}, {cls} AS k, row_number() OVER (PARTITION BY {cls} ORDER BY md5({h}), {h}) AS place FROM {table}"
 
 
 def _quota(table: str, cls: str, total: str, least: int) -> str:
@@ -93,8 +93,6 @@ def _(t: Tables):
 
 @query("cap_stratified", f"WITH placed AS ({_placed('part', 'p_partkey', 'p_name', 'cap')}), {_quota('part', 'p_name', 'CAST(500 AS BIGINT)', 1)} SELECT p_partkey, k AS p_name FROM placed JOIN quota USING (k) WHERE place <= quota")
 def _(t: Tables):
-    if t.part.count() <= 500:
-        return t.part.select("p_partkey", "p_name")
     return samplers.cap_stratified(t.part.select("p_partkey", "p_name"), "p_partkey", "p_name", 500)
 
 
@@ -175,49 +173,3 @@ def _(t: Tables):
 def _(t: Tables):
     table = t.customer.withColumn("rich", F.when(F.col("c_acctbal") > 8000, "yes").otherwise("no"))
     return samplers.resample_balanced(table, "c_custkey", "rich", ["c_acctbal", "c_nationkey", "c_mktsegment"], table.count())
-
-
-# ---------------------------------------------------------------- regime rows, one per table row
-
-def _rows(df, key):
-    return dense_index(df.select(key), key, name="row").select("row")
-
-
-@query("regime_correlated")
-def _(t: Tables):
-    return regimes.correlated(_rows(t.orders, "o_orderkey"), seed=101)
-
-
-@query("regime_high_cardinality")
-def _(t: Tables):
-    return regimes.high_cardinality(_rows(t.orders, "o_orderkey"), seed=102)
-
-
-@query("regime_rare_categories")
-def _(t: Tables):
-    return regimes.rare_categories(_rows(t.orders, "o_orderkey"), seed=103)
-
-
-@query("regime_identifier")
-def _(t: Tables):
-    return regimes.sensitive_identifier(_rows(t.customer, "c_custkey"), seed=104)
-
-
-@query("regime_two_column")
-def _(t: Tables):
-    rows = _rows(t.customer, "c_custkey")
-    out = None
-    for i, case in enumerate(regimes.TWO_COLUMN_CASES):
-        part = regimes.two_column(rows, case, seed=42 + i).withColumn("case", F.lit(case))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-@query("write_regimes", "SELECT 'correlated' AS regime, count(*) AS rows FROM customer UNION ALL SELECT 'high_cardinality', count(*) FROM customer UNION ALL SELECT 'rare_categories', count(*) FROM customer UNION ALL SELECT 'sensitive_identifier', count(*) FROM customer")
-def _(t: Tables):
-    paths = regimes.write_regimes(_rows(t.customer, "c_custkey"), t.scratch())
-    out = None
-    for name, path in paths.items():
-        part = t.spark.read.parquet(path).agg(F.lit(name).alias("regime"), F.count(F.lit(1)).alias("rows"))
-        out = part if out is None else out.unionByName(part)
-    return out

@@ -343,11 +343,6 @@ def _(t: Tables):
     return profile.encoding_plan(_events(t), {"event_type": 1}).drop("rationale")
 
 
-@query("drop_plan", """SELECT 'c_name' AS "column", 'drop' AS action, count(*) AS rows FROM customer""")
-def _(t: Tables):
-    return profile.drop_plan(t.customer, ["c_name", "absent"]).select("column", "action", F.lit(t.customer.count()).alias("rows"))
-
-
 @query("high_cardinality_check", " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", count(DISTINCT coalesce({c}, '__MISSING__')) AS "distinct", count(*) AS rows,
     count(DISTINCT coalesce({c}, '__MISSING__')) > greatest(50, CAST(floor(count(*) * 0.3) AS BIGINT)) AS wide FROM customer""" for c in ("c_name", "c_mktsegment")))
@@ -407,19 +402,3 @@ def _(t: Tables):
     return t.supplier.select(*[c for c in t.supplier.columns if c not in ("s_suppkey", "s_acctbal")])
 
 
-@query("common_numeric_columns", """SELECT 'balance' AS "column", count(*) AS rows FROM customer UNION ALL SELECT 'flag', count(*) FROM customer""")
-def _(t: Tables):
-    from twinframe.operators.measures import common_numeric
-    real = t.customer.select(F.col("c_acctbal").alias("balance"), (F.col("c_acctbal") > 0).alias("flag"), F.col("c_name").alias("name"))
-    made = t.supplier.select(F.col("s_acctbal").alias("balance"), (F.col("s_acctbal") > 0).alias("flag"), F.col("s_name").alias("name"))
-    n = real.count()
-    return t.spark.createDataFrame([(c, n) for c in common_numeric(real, made)], "column string, rows bigint")
-
-
-@query("common_categorical_columns", """SELECT 'name' AS "column", count(*) AS rows FROM customer""")
-def _(t: Tables):
-    from twinframe.operators.measures import common_categorical
-    real = t.customer.select(F.col("c_acctbal").alias("balance"), F.col("c_name").alias("name"))
-    made = t.supplier.select(F.col("s_acctbal").alias("balance"), F.col("s_name").alias("name"))
-    n = real.count()
-    return t.spark.createDataFrame([(c, n) for c in common_categorical(real, made)], "column string, rows bigint")

@@ -1,9 +1,7 @@
 """Global order without a one-task window: dense numbering and prefix sums.
 
 Both split the order into buckets, total the buckets (a small table), turn the totals into offsets and
-finish inside each bucket.  No step sees a whole group in one task.
-
-An input that is known to be small takes a plain window per group instead.  Both ways give the same rows.
+finish inside each bucket.  No step sees a whole group in one task, at any size of the input.
 """
 
 from __future__ import annotations
@@ -13,39 +11,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_BYTES = 64 * 1024 * 1024
-SMALL_ROWS = 1_000_000
-HASH_DIGITS = 3      # 4,096 buckets for dense numbering
-RANGE_BUCKETS = 32   # value ranges per group for prefix sums
-
+from twinframe.session import checkpoint
 
-def is_small(df: DataFrame, rows: int | None = None) -> bool:
-    """Whether a whole group may be ordered by one task: a known row count, else the optimizer's size bound.
-
-    The bound comes from file sizes without running a job; it is never too low for a scan followed by filters,
-    projections and aggregates, and far too high after joins, which only means the bucketed way is taken.
-    """
-    if rows is not None:
-        return rows <= SMALL_ROWS
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= SMALL_BYTES
+HASH_DIGITS = 4          # 65,536 buckets for dense numbering: 1.5 million rows each at 10^11 rows
+BUCKET_ROWS = 200_000    # rows aimed at per value range for prefix sums
+MOST_RANGES = 1024       # cuts held for a group
 
 
 def hash_bucket(key: Column, digits: int = HASH_DIGITS) -> Column:
     return F.substring(F.md5(key.cast("string")), 1, digits)
 
 
-def dense_index(df: DataFrame, key: str, *, within: Sequence[str] = (), name: str = "idx",
-                digits: int = HASH_DIGITS, rows: int | None = None, small: bool | None = None) -> DataFrame:
-    """Number rows 0, 1, 2, ... in the order (hash bucket of key, key), inside each ``within`` group.
+def dense_index(df: DataFrame, key: str, *, within: Sequence[str] = (), name: str = "idx") -> DataFrame:
+    """Number rows 0, 1, 2, ... in the order (md5 of the key's text, key), inside each ``within`` group.
 
     ``key`` must be unique inside a group.  Null groups count as a group.
     """
     within = list(within)
-    marked = df.withColumn("_bucket", hash_bucket(F.col(key), digits))
-    if is_small(df, rows) if small is None else small:
-        whole = Window.partitionBy(*(within or [F.lit(0)])).orderBy("_bucket", key)
-        return marked.withColumn(name, (F.row_number().over(whole) - 1).cast("bigint")).drop("_bucket")
+    marked = df.withColumn("_hash", F.md5(F.col(key).cast("string"))).withColumn("_bucket", F.substring("_hash", 1, HASH_DIGITS))
     totals = marked.groupBy(*within, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*within).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
@@ -54,27 +37,42 @@ def dense_index(df: DataFrame, key: str, *, within: Sequence[str] = (), name: st
     match = F.col("_bucket") == F.col("_o_bucket")
     for c in within:
         match = match & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
-    inside = Window.partitionBy(*within, "_bucket").orderBy(key)
+    inside = Window.partitionBy(*within, "_bucket").orderBy("_hash", key)
     numbered = marked.withColumn("_pos", F.row_number().over(inside) - 1)
     return (numbered.join(offsets, match)
             .withColumn(name, (F.col("_pos") + F.col("_offset")).cast("bigint"))
-            .drop("_bucket", "_pos", "_offset", "_o_bucket", *[f"_o_{c}" for c in within]))
+            .drop("_hash", "_bucket", "_pos", "_offset", "_o_bucket", *[f"_o_{c}" for c in within]))
+
+
+def smallest(df: DataFrame, u: str, key: str, n: int) -> DataFrame:
+    """The n rows that come first by (u, key), for u spread evenly over [0, 1): whole cells of u, and a rank inside the last one."""
+    cell = F.least(F.floor(F.col(u) * F.lit(float(16 ** HASH_DIGITS))), F.lit(16 ** HASH_DIGITS - 1)).cast("int")
+    marked = df.withColumn("_cell", cell)
+    taken, edge = 0, -1
+    for r in sorted(marked.groupBy("_cell").count().collect()):  # one number a cell
+        edge = r["_cell"]
+        if taken + r["count"] > n:
+            break
+        taken += r["count"]
+    else:
+        return df
+    rank = F.row_number().over(Window.partitionBy("_cell").orderBy(u, key))
+    last = marked.filter(F.col("_cell") == edge).withColumn("_rank", rank).filter(F.col("_rank") <= n - taken).drop("_rank")
+    return marked.filter(F.col("_cell") < edge).unionByName(last).drop("_cell")
 
 
 def prefix_sums(counts: DataFrame, group: Sequence[str], value: str, sums: Sequence[str], *,
-                buckets: int = RANGE_BUCKETS, small: bool | None = None) -> DataFrame:
+                buckets: int | None = None) -> DataFrame:
     """Running totals of ``sums`` by ascending ``value`` inside ``group``.
 
     ``counts`` holds one row per (group, value), values not null.  Adds ``cum_<s>`` for each sum and
     ``next_value``, the following value in the group (null for the last).  Bucket bounds are approximate
-    quantiles; the result does not depend on them.
+    quantiles, as many as the number of rows asks for; the result does not depend on them.
     """
     group = list(group)
-    if is_small(counts) if small is None else small:
-        whole = Window.partitionBy(*(group or [F.lit(0)])).orderBy(value)
-        running = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return counts.select("*", *[F.sum(s).over(running).alias(f"cum_{s}") for s in sums],
-                             F.lead(value).over(whole).alias("next_value"))
+    if buckets is None:
+        counts = checkpoint(counts)
+        buckets = min(MOST_RANGES, max(4, -(-counts.count() // BUCKET_ROWS)))
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = counts.groupBy(*group).agg(F.percentile_approx(value, cuts, 1000).alias("_cuts"))
     marked = counts.join(bounds, group).withColumn(
@@ -99,18 +97,12 @@ def prefix_sums(counts: DataFrame, group: Sequence[str], value: str, sums: Seque
         F.coalesce("_next", "_next_first").alias("next_value"))
 
 
-def quantiles(long: DataFrame, group: Sequence[str], value: str, probabilities: Sequence[float], *,
-              small: bool | None = None) -> DataFrame:
+def quantiles(long: DataFrame, group: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
     """Exact quantiles, linear between neighbours: (group..., probability, quantile).
 
     Order statistics are read off prefix sums, so a column of any size stays spread out.
     """
     group = list(group)
-    if is_small(long) if small is None else small:
-        asked = F.array(*[F.lit(float(p)) for p in probabilities])
-        found = long.filter(F.col(value).isNotNull()).groupBy(*group).agg(F.percentile(value, asked).alias("_q"))
-        pairs = F.arrays_zip(asked.alias("probability"), F.col("_q").alias("quantile"))
-        return found.select(*group, F.explode(pairs).alias("e")).select(*group, "e.probability", "e.quantile")
     counts = long.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(*group).agg(F.sum("n").alias("_total"))
     rows = prefix_sums(counts, group, value, ["n"]).join(totals, group)

@@ -24,8 +24,7 @@ from twinframe.session import checkpoint, spread
 
 METRICS = ("euclidean", "manhattan", "cosine", "hamming")
 APPROX_METRICS = METRICS + ("inner_product",)
-CELL = 512          # rows aimed at per cell
-ONE_CELL = 4096     # up to this many distinct vectors everything is compared, in blocks
+CELL = 512          # rows aimed at per cell of a large table; a small one has as many cells as rows in a cell
 MAX_PIVOTS = 2048   # bounds what the driver holds and each task receives
 BLOCK = 1024        # candidate rows per task group
 QUERIES = 2048      # query rows per task group
@@ -125,7 +124,7 @@ def _copies(rows: DataFrame, key: str, keep: int) -> DataFrame:
 
 
 def _pivots(points: DataFrame, key: str, count: int) -> np.ndarray:
-    size = int(min(MAX_PIVOTS, max(1, count // CELL)))
+    size = int(min(MAX_PIVOTS, max(1, round(count ** 0.5), count // CELL)))
     chosen = points.orderBy(F.md5(F.col(key).cast("string")), F.col(key)).limit(size).select("vec").collect()
     return np.array([r["vec"] for r in chosen], dtype=float).reshape(len(chosen), -1)
 
@@ -225,9 +224,6 @@ def _search(points: DataFrame, data: DataFrame, need: int, metric: str, probes:
     count = distinct.count()
     if count == 0:
         raise ValueError("The searched table must contain at least one row.")
-    if count <= ONE_CELL:
-        one = F.lit(0).cast("bigint").alias("cell")
-        return _merge(_compare(points.select("cls", "src", "vec", one), data.select("cls", "dst", "vec", one), need, metric), need)
     pivots = _pivots(distinct, "dst", count)
     placed = checkpoint(_assign(data.select("cls", "dst", "vec"), pivots, bound))
     radii = np.full(len(pivots), -1.0)
@@ -275,11 +271,9 @@ def knn_exact(df: DataFrame, key: str, vec: str, k: int, *, metric: str = "eucli
 
 
 def knn_approx(df: DataFrame, key: str, vec: str, k: int, *, metric: str = "euclidean", probes: int = 4,
-               within: str | None = None, exact_below: int = 32) -> DataFrame:
-    """As ``knn_exact``, looking only in the ``probes`` nearest cells; exact when the table is tiny."""
+               within: str | None = None) -> DataFrame:
+    """As ``knn_exact``, looking only in the ``probes`` nearest cells, at any size of the table."""
     _check(k, metric, APPROX_METRICS)
-    if metric != "inner_product" and len(df.select(F.lit(1)).take(exact_below)) < exact_below:
-        return _self_edges(df, key, vec, k, metric, within, None)
     return _self_edges(df, key, vec, k, metric, within, probes)
 
 

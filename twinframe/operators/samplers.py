@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from twinframe.functions import rng
 from twinframe.functions.normal import normal_cdf, normal_quantile
-from twinframe.functions.ordered import dense_index, prefix_sums
+from twinframe.functions.ordered import dense_index, prefix_sums, smallest
 from twinframe.functions.scalars import bind, category_key
 from twinframe.operators.encode import fit_encoding, fit_medians, one_hot
 from twinframe.operators.measures import average_ranks
@@ -31,7 +31,7 @@ def _draws(df: DataFrame, n: int) -> DataFrame:
 def fixed_size_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows without replacement (all when n covers the table): the n smallest hash numbers."""
     u = rng.uniform(seed, "sample", key)
-    return df.withColumn("_u", u).orderBy("_u", key).limit(n).drop("_u")
+    return smallest(df.withColumn("_u", u), "_u", key, n).drop("_u")
 
 
 def bootstrap_rows(df: DataFrame, key: str, n: int | None = None, seed: int = 42) -> DataFrame:
@@ -172,10 +172,13 @@ def stratified_fit_sample(df: DataFrame, key: str, label: str, size: int | float
     marked = df.withColumn("_u", u)
     first = marked.groupBy(label).agg(F.min_by(key, F.struct("_u", key)).alias(key)).select(
         F.col(key).alias("_first"), rng.uniform(seed, "class", category_key(F.col(label))).alias("_c"))
-    flagged = marked.join(first, F.col(key) == F.col("_first"), "left")
-    # Class representatives come first (in random class order), then everyone else by hash number.
-    return flagged.orderBy(F.col("_first").isNull(), F.when(F.col("_first").isNotNull(), F.col("_c")).otherwise(
-        F.col("_u")), key).limit(n).drop("_u", "_first", "_c")
+    classes = first.count()
+    if classes >= n:  # one row of each of n random classes
+        chosen = smallest(first, "_c", "_first", n)
+        return marked.join(chosen, F.col(key) == F.col("_first")).drop("_u", "_first", "_c")
+    ahead = marked.join(first, F.col(key) == F.col("_first"), "left_semi")
+    others = marked.join(first, F.col(key) == F.col("_first"), "left_anti")
+    return ahead.unionByName(smallest(others, "_u", key, n - classes)).drop("_u")
 
 
 def _quota(counts: DataFrame, label: str, total: int, rows: int, least: int = 0) -> DataFrame:

@@ -13,9 +13,6 @@ from twinframe.functions.ordered import dense_index, quantiles
 from twinframe.functions.scalars import bind, category_key
 from twinframe.session import checkpoint
 
-ONE_SHOT = 1_000_000  # up to this many draws every attempt is made at once
-
-
 def anchor_weights(edges: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """(src, weight): mutual degree over its sum; with (src, cls) given, every class gets the same mass."""
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
@@ -40,29 +37,45 @@ def neighbour_arrays(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("others"))
 
 
-def numbered_edges(edges: DataFrame, within: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+def live_edges(edges: DataFrame) -> DataFrame:
+    """Edges whose end has an edge of its own: only those can be drawn first, so that a third row always exists."""
+    return edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+
+
+def numbered_edges(edges: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """Directed edges with a dense number ``e``, global or inside ``within``."""
     keyed = edges.withColumn("_key", F.concat_ws("|", F.col("src").cast("string"), F.col("dst").cast("string")))
-    return dense_index(keyed, "_key", within=within, name="e", rows=rows).drop("_key")
+    return dense_index(keyed, "_key", within=within, name="e").drop("_key")
 
 
-def transport_draws(edges: DataFrame, draws: DataFrame, seed: int = 42, *, classes: DataFrame | None = None) -> DataFrame:
+def transport_draws(edges: DataFrame, draws: DataFrame, seed: int = 42, *, classes: DataFrame | None = None,
+                    target: str | None = None) -> DataFrame:
     """(row, attempt, anchor, b, c) for a draw table (row, attempt).
 
     Anchor by degree and B uniform among its neighbours is one uniform draw over directed edges; C is a
-    uniform edge of B.  With classes (src, cls), the class is drawn uniformly first.
+    uniform edge of B.  With classes (src, cls), the class is drawn uniformly first, or is always ``target``.
+    Edges that end where no edge starts are never drawn, so every draw gives a row; without any other edge this raises.
     """
-    total = edges.count()
+    if target is not None and classes is None:
+        raise ValueError("A target class needs the classes of the rows.")
+    live = live_edges(edges)
     address = ("row", "attempt")
     ends = [F.col("src").alias("anchor"), F.col("dst").alias("b")]
-    if classes is None:
+    if classes is None or target is not None:
+        if target is not None:
+            live = live.join(classes.filter(category_key(F.col("cls")) == F.lit(target)).select("src"), "src", "left_semi")
+        total = live.count()
+        if not total:
+            raise ValueError("No anchor has a neighbour with a neighbour" + (f" in class {target!r}." if target is not None else "."))
         first = draws.withColumn("e", rng.uniform_index(total, seed, "edge", *address)).join(
-            numbered_edges(edges, rows=total).select("e", *ends), "e")
+            numbered_edges(live).select("e", *ends), "e")
     else:
-        inside = numbered_edges(edges.join(classes, "src"), ["cls"], total)
+        inside = numbered_edges(live.join(classes, "src"), ["cls"])
         sizes = inside.groupBy("cls").agg(F.count(F.lit(1)).alias("_n"))
         k = sizes.count()
-        named = dense_index(sizes, "cls", name="_ci", rows=k)
+        if not k:
+            raise ValueError("No anchor has a neighbour with a neighbour.")
+        named = dense_index(sizes, "cls", name="_ci")
         first = draws.withColumn("_ci", rng.uniform_index(k, seed, "class", *address)).join(named, "_ci").withColumn(
             "e", rng.uniform_index(F.col("_n"), seed, "edge", *address)).join(inside.select("cls", "e", *ends), ["cls", "e"])
     slot = rng.uniform_index(F.size("others"), seed, "third", *address).cast("int")
@@ -72,11 +85,11 @@ def transport_draws(edges: DataFrame, draws: DataFrame, seed: int = 42, *, class
 
 def transport_candidates(latent: DataFrame, key: str, edges: DataFrame, draws: DataFrame, *, seed: int = 42,
                          factor: float = 1.0, min_factor: float = 1.0, z: str = "z",
-                         classes: DataFrame | None = None) -> DataFrame:
+                         classes: DataFrame | None = None, target: str | None = None) -> DataFrame:
     """(row, attempt, anchor, b, c, z) with z = A + alpha (C - B), alpha uniform between the two factors."""
     if factor < min_factor:
         raise ValueError("factor must not be below min_factor.")
-    chosen = transport_draws(edges, draws, seed, classes=classes)
+    chosen = transport_draws(edges, draws, seed, classes=classes, target=target)
     for name, col in (("anchor", "_za"), ("b", "_zb"), ("c", "_zc")):
         chosen = chosen.join(latent.select(F.col(key).alias(name), F.col(z).alias(col)), name)
     alpha = (rng.uniform(seed, "alpha", "row", "attempt") * (factor - min_factor) + min_factor
@@ -110,11 +123,12 @@ def within_bounds(bounds: dict[int, tuple[float, float]], z: str = "z") -> Colum
 
 def generate_latent(latent: DataFrame, key: str, edges: DataFrame, n: int, *, seed: int = 42, factor: float = 1.0,
                     min_factor: float = 1.0, bounds: dict[int, tuple[float, float]] | None = None, retries: int = 5,
-                    z: str = "z", classes: DataFrame | None = None, one_shot: int = ONE_SHOT) -> DataFrame:
+                    z: str = "z", classes: DataFrame | None = None, target: str | None = None, first_round: int = 1) -> DataFrame:
     """(row, attempt, accepted, anchor, b, c, z): the first attempt inside the bounds, else the last one.
 
     Each attempt draws a new anchor at its own address, so the answer does not depend on how many attempts are
-    looked at together.  Few draws are all made at once; many go in growing rounds over the rows still refused.
+    looked at together: they go in growing rounds over the rows still refused, the first of ``first_round`` attempts.
+    With ``target`` every anchor is of that class.
     """
     if retries < 0 or n < 0:
         raise ValueError("n and retries must not be negative.")
@@ -124,16 +138,16 @@ def generate_latent(latent: DataFrame, key: str, edges: DataFrame, n: int, *, se
     def attempts(rows: DataFrame, start: int, end: int) -> DataFrame:
         draws = rows.select("row", F.explode(F.sequence(F.lit(start), F.lit(end))).alias("attempt"))
         made = transport_candidates(latent, key, edges, draws, seed=seed, factor=factor, min_factor=min_factor, z=z,
-                                    classes=classes).withColumn("accepted", within_bounds(guard, z))
+                                    classes=classes, target=target).withColumn("accepted", within_bounds(guard, z))
         if start == end:
             return made
         body = [c for c in made.columns if c != "row"]
         order = F.when(F.col("accepted"), F.col("attempt")).otherwise(F.lit(end + 1) - F.col("attempt") / F.lit(end + 1.0))
         return made.groupBy("row").agg(F.min_by(F.struct(*body), order).alias("k")).select("row", "k.*")
     pending = latent.sparkSession.range(n).withColumnRenamed("id", "row")
-    if n * (last + 1) <= one_shot:
-        return attempts(pending, 0, last)
-    done, start, size = [], 0, 1
+    if last == 0:
+        return attempts(pending, 0, 0)
+    done, start, size = [], 0, max(1, first_round)
     while True:
         end = min(last, start + size - 1)
         best = checkpoint(attempts(pending, start, end))

@@ -12,13 +12,14 @@ from twinframe.sources.tables import read_table, write_table
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """A stable id where the input has none: a digest of the row plus its place among equal rows.
 
-    Equal rows get 0, 1, 2, ...; which of them gets which number does not matter, as they are the same.
+    Equal rows are counted and written out again from the count with 1, 2, 3, ..., so ids do not depend on how the
+    input was split.
     """
-    from pyspark.sql import Window
     digest = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in df.columns]), 256)
-    marked = df.withColumn("_d", digest).withColumn("_s", F.spark_partition_id())
-    copies = marked.withColumn("_p", F.row_number().over(Window.partitionBy("_d", "_s").orderBy("_d")))
-    return copies.withColumn(name, F.concat_ws("-", "_d", "_s", "_p")).drop("_d", "_s", "_p")
+    counted = df.select(digest.alias("_d"), F.struct(*df.columns).alias("_row")).groupBy("_d").agg(
+        F.first("_row").alias("_row"), F.count(F.lit(1)).alias("_n"))
+    copies = counted.withColumn("_p", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return copies.select("_row.*", F.concat_ws("-", "_d", "_p").alias(name))
 
 
 def generate_to_sink(model: TableModel, path: str, n: int | None = None, mode: str = "errorifexists") -> str:

@@ -12,7 +12,7 @@ from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.functions.scalars import MISSING
+from twinframe.functions.scalars import MISSING, category_key
 from twinframe.operators import neighbours, samplers, transport
 from twinframe.operators.decode import MAX_DEPTH, Decoder, decode_categorical, fit_decoder
 from twinframe.operators.encode import NUMERIC_BLOCK, Encoding, decode_numeric, encode, fit_encoding, without_block
@@ -117,9 +117,13 @@ class TableModel:
         return without_block(F.col("z"), self.blocks[column], self.width)
 
     def inverse_transform(self, latent: DataFrame, *, sample: bool = True, row: str = "row") -> DataFrame:
-        """Latent rows (row, z) to rows of the fitted schema; other columns are kept in front."""
+        """Latent rows (row, z) to rows of the fitted schema; other columns are kept in front.
+
+        A vector of another width than the model's raises when it is read.
+        """
         keep = [c for c in latent.columns if c != "z"]
-        out = latent
+        wrong = F.raise_error(F.concat(F.lit(f"A latent vector must have {self.width} coordinates, found "), F.size("z").cast("string")))
+        out = latent.withColumn("z", F.when(F.size("z") == self.width, F.col("z")).otherwise(wrong))
         for column, decoder in self.decoders.items():
             context = self.context(column)
             if context is not None:
@@ -137,24 +141,32 @@ class TableModel:
                 cells.append(F.when(key != F.lit(MISSING), key).cast(kind).alias(c))
         return out.select(*keep, *cells)
 
-    def generate_latent(self, n: int | None = None) -> DataFrame:
-        """(row, attempt, accepted, anchor, b, c, z)."""
+    def generate_latent(self, n: int | None = None, *, classes: DataFrame | None = None, target: str | None = None) -> DataFrame:
+        """(row, attempt, accepted, anchor, b, c, z); with classes (src, cls) of the fitted rows balanced over classes, or all of one."""
         n = self.encoding.rows if n is None else n
         if n < 0:
             raise ValueError("n must not be negative.")
         p = self.params
         if self.edges is None:
-            rows = samplers.bootstrap_rows(self.latent, "row_id", n, p.seed)
+            latent = self.latent
+            if target is not None:
+                if classes is None:
+                    raise ValueError("A target class needs the classes of the rows.")
+                latent = latent.join(classes.filter(category_key(F.col("cls")) == F.lit(target)).select(F.col("src").alias("row_id")), "row_id")
+                if n and latent.isEmpty():
+                    raise ValueError(f"No rows match class {target!r}.")
+            rows = samplers.bootstrap_rows(latent, "row_id", n, p.seed)
             nothing = F.lit(None).cast(self.latent.schema["row_id"].dataType)
             return rows.select("row", F.lit(0).alias("attempt"), F.lit(True).alias("accepted"),
                                F.col("row_id").alias("anchor"), nothing.alias("b"), nothing.alias("c"), "z")
         return transport.generate_latent(
             self.latent, "row_id", self.edges, n, seed=p.seed, factor=p.factor,
-            min_factor=p.factor if p.min_factor is None else p.min_factor, bounds=self.bounds, retries=p.retries)
+            min_factor=p.factor if p.min_factor is None else p.min_factor, bounds=self.bounds, retries=p.retries,
+            classes=classes, target=target)
 
-    def generate(self, n: int | None = None) -> DataFrame:
+    def generate(self, n: int | None = None, *, classes: DataFrame | None = None, target: str | None = None) -> DataFrame:
         """(row, columns...): n new rows, as many as were fitted by default."""
-        return self.inverse_transform(self.generate_latent(n).select("row", "z")).select("row", *self.encoding.columns)
+        return self.inverse_transform(self.generate_latent(n, classes=classes, target=target).select("row", "z")).select("row", *self.encoding.columns)
 
     def trace(self, n: int | None = None) -> DataFrame:
         """Each generated row with the rows it came from, its displacement and whether it was accepted."""
