@@ -79,3 +79,16 @@ def test_scalars(spark):
         scalars.normalise(F.col("v")).alias("p"), scalars.recode(F.lit(5), {1: "x"}).alias("r")).first()
     assert (row["a"], row["b"], row["z"], row["t"], row["m"], row["n"], row["r"]) == ("Private", None, None, -1, 1, None, None)
     assert abs(sum(row["p"]) - 1) < 1e-12
+
+
+def test_nearest_class(spark):
+    from twinframe.operators.clean import nearest_class
+    rng = np.random.default_rng(3)
+    for size in (1, 5, 2000):
+        classes = np.unique(rng.integers(-3000, 3000, size) / 2.0)
+        values = np.unique(np.concatenate([rng.integers(-4000, 4000, 400) / 4.0, classes[:3]]))
+        found = nearest_class(*(spark.createDataFrame([(float(x),) for x in xs], f"{n} double") for xs, n in ((values, "v"), (classes, "c")))).collect()
+        assert len(found) == len(values)
+        for r in found:
+            assert r["nearest"] == min(classes, key=lambda c: (abs(r["v"] - c), c))
+    assert nearest_class(spark.createDataFrame([(1.0,)], "v double"), spark.createDataFrame([], "c double")).first()["nearest"] is None

@@ -285,20 +285,45 @@ def _(t: Tables):
     return ranking.cross_dataset_rank(sweep(t).withColumnsRenamed({"value": "dataset", "parameter": "method"}), _CROSS)
 
 
-def _means_sql(by: str, source: str, cols: dict[str, str]) -> str:
-    return f"SELECT {by}, count(*) AS rows, " + ", ".join(f"{r(f'avg({e})')} AS {n}_mean" for n, e in cols.items()) + f" FROM {source} GROUP BY ALL"
+def _report(t: Tables, columns: dict[str, str]):
+    """Report rows under their own column names, from the order lines."""
+    return t.lineitem.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
 
 
-@query("summarise_mechanism", _means_sql("o_orderstatus AS dataset", "orders", {"nca": "o_totalprice / 1000", "pca": "o_custkey"}))
+def _report_sql(columns: dict[str, str]) -> str:
+    return "WITH report AS (SELECT " + ", ".join(f'{e} AS "{c}"' for c, e in columns.items()) + " FROM lineitem) "
+
+
+_LINE = {"dataset": "l_returnflag", "`column`": "l_linestatus"}
+_ACCURACY = {"cardinality": "l_linenumber * 3", "nca_accuracy": "l_discount * 7", "majority_accuracy": "l_tax * 5", "pca_accuracy": "l_quantity / 50",
+             "raw_context_accuracy": "nullif(l_quantity, 7) / 60", "nca_accuracy_lift_over_majority": "l_discount * 7 - l_tax * 5",
+             "nca_accuracy_lift_over_pca": "l_discount * 7 - l_quantity / 50"}
+_CONFIDENCE = {"accuracy": "l_quantity / 50", "mean_top_confidence": "l_discount * 9", "confidence_gap": "l_quantity / 50 - l_discount * 9",
+               "negative_log_loss": "l_extendedprice / 10000", "brier_score": "nullif(l_tax, 0) * 3", "expected_calibration_error": "l_tax * 2"}
+_BUCKET = {"cardinality_bucket": "CASE WHEN l_linenumber <= 2 THEN 'binary' WHEN l_linenumber <= 4 THEN 'low' END"}
+_SCORES = {"distribution_similarity_score": "l_quantity / 50", "discrimination_accuracy": "l_discount * 9", "utility_lift": "nullif(l_tax, 0)", "nn_distance_ratio": "l_extendedprice / 9000"}
+_SETTING = {"dataset": "l_returnflag", "parameter": "l_linestatus", "value": "nullif(l_linenumber, 7)", "n_components": "l_linenumber % 3",
+            "decoder_calibration_enabled": "l_linenumber > 3", "fit_seconds": "l_quantity", "sample_seconds": "l_tax", **_SCORES}
+_RUN = {"dataset": "l_returnflag", "method": "l_linestatus", "seed": "l_linenumber", "reason": "CASE WHEN l_quantity > 45 THEN 'too few rows' WHEN l_quantity > 20 THEN '' END", **_SCORES}
+
+
+def _sql_names(columns: dict[str, str]) -> dict[str, str]:
+    return {c.strip("`"): e for c, e in columns.items()}
+
+
+def _means(spec: dict[str, str]) -> str:
+    return ", ".join(f"{r(f'avg({c})')} AS {n}" for n, c in spec.items())
+
+
+@query("summarise_mechanism", _report_sql(_sql_names({**_LINE, **_ACCURACY})) + f'SELECT dataset, count("column") AS columns_evaluated, {_means(ranking.MECHANISM_MEANS)} FROM report GROUP BY 1')
 def _(t: Tables):
-    table = t.orders.select(F.col("o_orderstatus").alias("dataset"), (F.col("o_totalprice") / 1000).alias("nca"), F.col("o_custkey").alias("pca"))
-    return ranking.group_means(table, ["dataset"], ["nca", "pca"])
+    return ranking.summarise_mechanism(_report(t, {**_LINE, **_ACCURACY}))
 
 
-@query("summarise_calibration", _means_sql("o_orderstatus AS dataset, CASE WHEN o_custkey <= 50 THEN 'medium' ELSE 'high' END AS bucket", "orders", {"accuracy": "o_totalprice / 1000"}))
+@query("summarise_calibration", _report_sql(_sql_names({**_LINE, **_BUCKET, **_CONFIDENCE}))
+       + f'SELECT dataset, cardinality_bucket, count("column") AS columns_evaluated, {_means(ranking.CALIBRATION_MEANS)} FROM report GROUP BY 1, 2')
 def _(t: Tables):
-    table = t.orders.select(F.col("o_orderstatus").alias("dataset"), F.when(F.col("o_custkey") <= 50, "medium").otherwise("high").alias("bucket"), (F.col("o_totalprice") / 1000).alias("accuracy"))
-    return ranking.group_means(table, ["dataset", "bucket"], ["accuracy"])
+    return ranking.summarise_calibration(_report(t, {**_LINE, **_BUCKET, **_CONFIDENCE}))
 
 
 @query("summarise_imbalance", f"""SELECT o_orderstatus AS dataset, o_orderpriority AS method, min_by(o_custkey, o_orderkey) AS first_customer, {r('avg(o_totalprice)')} AS score FROM orders
@@ -309,18 +334,17 @@ def _(t: Tables):
     return ranking.summarise_imbalance(table, "o_orderkey", ["first_customer"], ["score"])
 
 
-@query("summarise_uncertainty", f"""SELECT l_returnflag AS dataset, l_linestatus AS method, count(*) AS rows, count(DISTINCT l_linenumber) AS runs, {r('avg(l_quantity)')} AS score_mean, {r('stddev_samp(l_quantity)')} AS score_std FROM lineitem GROUP BY 1, 2""")
+@query("summarise_uncertainty", _report_sql(_RUN) + "SELECT dataset, method, count(DISTINCT seed) AS runs, " + ", ".join(
+    f"{r(f'avg({c})')} AS {n}_mean, {r(f'stddev_samp({c})')} AS {n}_std" for n, c in ranking.UNCERTAINTY.items()) + " FROM report WHERE coalesce(reason, '') = '' GROUP BY 1, 2")
 def _(t: Tables):
-    table = t.lineitem.select(F.col("l_returnflag").alias("dataset"), F.col("l_linestatus").alias("method"), F.col("l_linenumber").alias("seed"), F.col("l_quantity").alias("score"))
-    return ranking.group_means(table, ["dataset", "method"], ["score"], spread=True, runs="seed")
+    return ranking.summarise_uncertainty(_report(t, _RUN))
 
 
-@query("summarise_sensitivity", f"""SELECT nullif(l_returnflag, 'N') AS parameter, nullif(l_linenumber, 7) AS value, l_linestatus AS setup, count(*) AS rows, count(DISTINCT l_suppkey) AS runs, {r('avg(l_tax / 3)')} AS utility_lift_mean, {r('avg(l_discount / 3)')} AS fit_seconds_mean
-    FROM lineitem GROUP BY 1, 2, 3""")
+@query("summarise_sensitivity", _report_sql(_SETTING) + "SELECT parameter, value, CAST(value AS VARCHAR) AS setup_label, n_components, NULL::VARCHAR AS n_iterations, NULL::VARCHAR AS nca_fit_sample_size, "
+       "NULL::VARCHAR AS lambda_, NULL::VARCHAR AS quantile_guard, NULL::VARCHAR AS max_constraint_retries, decoder_calibration_enabled AS calibrate_decoders, count(DISTINCT dataset) AS datasets_evaluated, "
+       + ", ".join(f"{r(f'avg({c})')} AS mean_{c}" for c in ranking.SENSITIVITY_MEANS) + " FROM report GROUP BY ALL")
 def _(t: Tables):
-    table = t.lineitem.select(F.nullif(F.col("l_returnflag"), F.lit("N")).alias("parameter"), F.nullif(F.col("l_linenumber"), F.lit(7)).alias("value"), F.col("l_linestatus").alias("setup"),
-                              F.col("l_suppkey").alias("dataset"), (F.col("l_tax") / 3).alias("utility_lift"), (F.col("l_discount") / 3).alias("fit_seconds"))
-    return ranking.group_means(table, ["parameter", "value", "setup"], ["utility_lift", "fit_seconds"], runs="dataset")
+    return ranking.summarise_sensitivity(_report(t, _SETTING))
 
 
 _POINTS = """pts AS (SELECT l_returnflag AS dataset, CASE WHEN l_linestatus = 'F' THEN 'held_out' WHEN l_linenumber < 4 THEN 'transport' ELSE 'bootstrap' END AS method,

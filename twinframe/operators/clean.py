@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +12,8 @@ from twinframe.functions import scalars
 from twinframe.operators.encode import fit_medians
 from twinframe.operators.profile import as_double
 
+CLASS_RANGES = 256
+
 
 def drop_redundant_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.drop(*[n for n in names if n in df.columns])
@@ -53,7 +55,31 @@ def drop_null_target(df: DataFrame, target: str) -> DataFrame:
     return df.na.drop(subset=[target])
 
 
-def snap_target_to_class(synthetic: DataFrame, real: DataFrame, target: str, max_classes: int = 10_000) -> DataFrame:
+def nearest_class(values: DataFrame, classes: DataFrame) -> DataFrame:
+    """(v, nearest): for distinct numbers v the nearest of the distinct numbers c, the smaller on a tie.
+
+    Both are cut into ranges at quantiles of the classes; a value looks up and down inside its range, and beyond it at the
+    nearest filled ranges, of which there are at most CLASS_RANGES.
+    """
+    cuts = classes.select(F.percentile_approx("c", [i / CLASS_RANGES for i in range(1, CLASS_RANGES)])).first()[0] or []
+    bounds = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    met = classes.select(F.col("c").alias("x"), F.lit(1).alias("kind")).unionByName(values.select(F.col("v").alias("x"), F.lit(0).alias("kind")))
+    met = met.withColumn("_range", F.size(F.filter(bounds, lambda b: b < F.col("x")))).withColumn("c", F.when(F.col("kind") == 1, F.col("x")))
+    ends = met.filter("kind = 1").groupBy("_range").agg(F.min("c").alias("least"), F.max("c").alias("most"))
+    every = values.sparkSession.range(len(set(cuts)) + 1).select(F.col("id").cast("int").alias("_range"))
+    across = Window.orderBy("_range")
+    around = every.join(ends, "_range", "left").select("_range", F.last("most", True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+                                                       F.first("least", True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    inside = Window.partitionBy("_range").orderBy("x", F.desc("kind"))
+    up = Window.partitionBy("_range").orderBy(F.desc("x"), F.desc("kind"))
+    whole = (Window.unboundedPreceding, Window.currentRow)
+    found = met.withColumn("low", F.last("c", True).over(inside.rowsBetween(*whole))).withColumn("high", F.last("c", True).over(up.rowsBetween(*whole)))
+    found = found.filter("kind = 0").join(around, "_range").withColumn("low", F.coalesce("low", "before")).withColumn("high", F.coalesce("high", "after"))
+    near = F.when(F.col("high").isNull() | (F.col("x") - F.col("low") <= F.col("high") - F.col("x")), F.col("low")).otherwise(F.col("high"))
+    return found.select(F.col("x").alias("v"), near.alias("nearest"))
+
+
+def snap_target_to_class(synthetic: DataFrame, real: DataFrame, target: str) -> DataFrame:
     """Numeric label to the nearest real class (the smaller class on a tie); unknown text label to null.
 
     Labels are snapped once per distinct value and joined back, so a row never meets every class.
@@ -63,14 +89,10 @@ def snap_target_to_class(synthetic: DataFrame, real: DataFrame, target: str, max
         known = classes.withColumn("_known", F.lit(True))
         return synthetic.join(known, F.col(target) == F.col("_class"), "left").withColumn(
             target, F.when(F.col("_known"), F.col(target))).drop("_class", "_known")
-    listed = sorted(float(r["_class"]) for r in classes.limit(max_classes + 1).collect())
-    if len(listed) > max_classes:
-        raise ValueError("Too many distinct values for a class label.")
-    grid = F.array(*[F.lit(x) for x in listed])
     value = as_double(synthetic, target)
-    gaps = F.transform(grid, lambda c: F.abs(value - c))
-    snapped = F.get(grid, (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int"))
-    return synthetic.withColumn(target, F.when(value.isNotNull(), snapped))
+    values = synthetic.select(value.alias("v")).filter(F.col("v").isNotNull()).distinct()
+    snapped = nearest_class(values, classes.select(F.col("_class").cast("double").alias("c")))
+    return synthetic.withColumn("_v", value).join(snapped, F.col("_v") == F.col("v"), "left").withColumn(target, F.col("nearest")).drop("_v", "v", "nearest")
 
 
 def rescale_marker(df: DataFrame, column: str, name: str = "size") -> DataFrame:

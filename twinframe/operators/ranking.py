@@ -79,6 +79,67 @@ def group_means(df: DataFrame, by: Sequence[str], measures: Sequence[str], *, sp
     return df.groupBy(*by).agg(*aggs)
 
 
+# Output columns of the summaries and the report columns they average.
+MECHANISM_MEANS = {
+    "mean_cardinality": "cardinality",
+    "mean_nca_accuracy": "nca_accuracy",
+    "mean_majority_accuracy": "majority_accuracy",
+    "mean_pca_accuracy": "pca_accuracy",
+    "mean_raw_context_accuracy": "raw_context_accuracy",
+    "mean_lift_over_majority": "nca_accuracy_lift_over_majority",
+    "mean_lift_over_pca": "nca_accuracy_lift_over_pca",
+}
+CALIBRATION_MEANS = {
+    "mean_accuracy": "accuracy",
+    "mean_top_confidence": "mean_top_confidence",
+    "mean_confidence_gap": "confidence_gap",
+    "mean_negative_log_loss": "negative_log_loss",
+    "mean_brier_score": "brier_score",
+    "mean_expected_calibration_error": "expected_calibration_error",
+}
+SENSITIVITY_KEYS = ["parameter", "value", "setup_label", "n_components", "n_iterations", "nca_fit_sample_size", "lambda_", "quantile_guard",
+                    "max_constraint_retries", "calibrate_decoders"]
+SENSITIVITY_MEANS = ["nn_distance_ratio", "discrimination_accuracy", "utility_lift", "distribution_similarity_score", "fit_seconds", "sample_seconds"]
+UNCERTAINTY = {
+    "distribution_similarity": "distribution_similarity_score",
+    "discrimination_accuracy": "discrimination_accuracy",
+    "utility_lift": "utility_lift",
+    "nn_distance_ratio": "nn_distance_ratio",
+}
+
+
+def _present_mean(column: str):
+    """Mean over present numbers; null and NaN are absent."""
+    return F.avg(F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double")))
+
+
+def summarise_mechanism(rows: DataFrame) -> DataFrame:
+    """Per dataset: the columns evaluated and the means of their mechanism scores."""
+    return rows.groupBy("dataset").agg(F.count("column").alias("columns_evaluated"), *[_present_mean(c).alias(n) for n, c in MECHANISM_MEANS.items()])
+
+
+def summarise_calibration(rows: DataFrame) -> DataFrame:
+    """Per dataset and cardinality bucket: the columns evaluated and the means of their calibration scores."""
+    return rows.groupBy("dataset", "cardinality_bucket").agg(
+        F.count("column").alias("columns_evaluated"), *[_present_mean(c).alias(n) for n, c in CALIBRATION_MEANS.items()])
+
+
+def summarise_sensitivity(rows: DataFrame) -> DataFrame:
+    """Per setting: the datasets evaluated and mean scores. Settings a report lacks are null, a missing label is the value's text."""
+    stand_in = {"setup_label": F.col("value").cast("string") if "value" in rows.columns else F.lit(None).cast("string"),
+                "calibrate_decoders": F.col("decoder_calibration_enabled") if "decoder_calibration_enabled" in rows.columns else F.lit(None).cast("boolean")}
+    full = rows.withColumns({k: stand_in.get(k, F.lit(None).cast("string")) for k in SENSITIVITY_KEYS if k not in rows.columns})
+    return full.groupBy(*SENSITIVITY_KEYS).agg(F.count_distinct("dataset").alias("datasets_evaluated"), *[_present_mean(c).alias(f"mean_{c}") for c in SENSITIVITY_MEANS])
+
+
+def summarise_uncertainty(rows: DataFrame) -> DataFrame:
+    """Per dataset and method over runs without a skip reason: seeds, means and sample standard deviations."""
+    aggs = [F.count_distinct("seed").alias("runs")]
+    for name, column in UNCERTAINTY.items():
+        aggs += [_present_mean(column).alias(f"{name}_mean"), F.stddev_samp(F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))).alias(f"{name}_std")]
+    return rows.filter(F.coalesce("reason", F.lit("")) == "").groupBy("dataset", "method").agg(*aggs)
+
+
 def summarise_imbalance(df: DataFrame, order: str, firsts: Sequence[str], means: Sequence[str],
                         reason: str = "reason") -> DataFrame:
     """Per dataset and method over rows without a skip reason: first settings by ``order`` and mean scores."""

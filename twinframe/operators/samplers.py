@@ -16,9 +16,9 @@ from twinframe.operators.encode import fit_encoding, fit_medians, one_hot
 from twinframe.operators.measures import average_ranks
 from twinframe.operators.neighbours import knn_exact
 from twinframe.operators.profile import as_double, numeric_names
-from twinframe.session import checkpoint
+from twinframe.session import checkpoint, spread
 
-MAX_CLASSES = 1000  # classes to balance are listed on the driver
+DRAW_CHUNK = 10_000  # draws written out from one row at a time
 REGULARISATION = 1e-6  # fixed value: added to the copula's covariance diagonal
 
 
@@ -274,13 +274,10 @@ def smote_interpolate(df: DataFrame, key: str, target: str, columns: Sequence[st
     rows = df.select(F.col(key), category_key(F.col(target)).alias("_cls"), target,
                      *[F.coalesce(as_double(df, c), F.lit(medians[c])).alias(c) for c in numeric],
                      *[category_key(F.col(c)).alias(c) for c in categorical])
-    sizes = [(r["_cls"], r["n"]) for r in rows.groupBy("_cls").agg(F.count(F.lit(1)).alias("n")).orderBy("_cls").limit(
-        MAX_CLASSES + 1).collect()]
-    if len(sizes) > MAX_CLASSES:
-        raise ValueError(f"More than {MAX_CLASSES} classes to balance.")
-    largest = max(n for _, n in sizes)
-    smallest = min(sizes, key=lambda s: (s[1], s[0]))[0]
-    spreads = rows.filter(F.col("_cls") == smallest).agg(*[F.stddev_pop(c).alias(c) for c in numeric] or [F.lit(1.0)]).first()
+    sizes = checkpoint(rows.groupBy("_cls").agg(F.count(F.lit(1)).alias("size")))
+    largest = sizes.agg(F.max("size")).first()[0] or 0
+    smallest_class = sizes.agg(F.min_by("_cls", F.struct("size", "_cls"))).first()[0]
+    spreads = rows.filter(F.col("_cls") == smallest_class).agg(*[F.stddev_pop(c).alias(c) for c in numeric] or [F.lit(1.0)]).first()
     penalty = float(np.median([x or 0.0 for x in spreads])) if numeric else 1.0
     # Half the squared penalty per 0/1 slot: a mismatch differs in two slots.
     parts = [F.array(*[F.col(c) for c in numeric])] if numeric else []
@@ -290,12 +287,10 @@ def smote_interpolate(df: DataFrame, key: str, target: str, columns: Sequence[st
     placed = checkpoint(rows.withColumn("_z", F.concat(*parts)))
     edges = checkpoint(knn_exact(placed, key, "_z", k, within="_cls"))
     degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    cls, at, size, start = F.lit(None).cast("string"), F.lit(0), F.lit(0), 0
-    for name, have in sizes:
-        inside = (F.col("row") >= start) & (F.col("row") < start + largest - have)
-        cls, at, size = (F.when(inside, F.lit(x)).otherwise(y) for x, y in ((name, cls), (start, at), (have, size)))
-        start += largest - have
-    draws = _draws(df, start).select(cls.alias("_cls"), (F.col("row") - at).alias("_d"), size.cast("bigint").alias("size"))
+    # Every class short of the largest lists its draws, in two steps so that no row holds a long list.
+    short = sizes.filter(F.col("size") < largest).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(largest - 1) - F.col("size"), F.lit(DRAW_CHUNK).cast("bigint"))))
+    last = F.least(F.col("_from") + (DRAW_CHUNK - 1), F.lit(largest - 1) - F.col("size"))
+    draws = spread(short).select("_cls", "size", F.explode(F.sequence("_from", last)).alias("_d"))
     draws = draws.withColumn("_j", rng.uniform_index(F.col("size"), seed, "smote.anchor", "_cls", "_d"))
     anchors = draws.join(dense_index(placed, key, within=["_cls"], name="_j"), ["_cls", "_j"]).join(
         degrees, F.col(key) == F.col("src"), "left")
