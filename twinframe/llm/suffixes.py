@@ -24,7 +24,7 @@ from twinframe.llm.induced import repeated_windows
 SIZE = 200
 GRAM = 64
 PIECE = 1 << 18  # bytes looked at together
-SHARD = 4 << 20  # bytes of contexts of one shard, on average
+SHARD = 2 << 20  # bytes of contexts of one shard, on average
 
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -143,10 +143,11 @@ def shard_spans(parts: DataFrame, shards: int, size: int) -> DataFrame:
 def removed_spans(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     """((text_key, spans), (text_key, text) of the distinct texts that have a gram met twice): what to remove of the column text."""
     found = keep(find_contexts(docs, size))
-    again = found.groupBy("gram").agg(F.count("*").alias("uses")).filter("uses > 1").select("gram")
+    # Written before they are joined: a join whose sides both come through exchanges of their own can be split where one gram is frequent.
+    again = keep(found.groupBy("gram").agg(F.count("*").alias("uses")).filter("uses > 1").select("gram"))
     met = keep(found.join(again, "gram").groupBy("gram", "context", "text_key", "at", "n").agg(F.count("*").alias("rows")))
     kinds = keep(met.groupBy("gram", "context").agg(F.sum("rows").alias("uses"), F.max("n").alias("n"), F.min(F.struct("text_key", "at")).alias("first")))
-    mixed = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram")
+    mixed = keep(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram"))
     unlike = keep(kinds.join(mixed, "gram").select("gram", "context", "uses", "n", "first.*"))
     whole = kinds.filter("uses > 1").select("gram", "context").withColumns({"lo": F.lit(0), "hi": F.lit(None).cast("int")})
 
