@@ -68,19 +68,19 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def ranged(df: DataFrame) -> DataFrame:
         df = df.withColumn("_order", order)
-        return (split.transform(df) if split else df.withColumn("_range", F.lit(0.0))).drop("_order")
+        return (split.transform(df) if split else df.withColumn("_range", F.lit(0))).drop("_order").withColumn("_range", F.col("_range").cast("int"))
 
     heads = ranged(docs.select(key)).groupBy("_range").agg(F.max(key).alias("head")).orderBy(F.desc("_range")).collect()
     guests = [(heads[i]["head"], heads[i - 1]["_range"]) for i in range(len(heads))]  # the first goes to the last range
-    guest = F.broadcast(spark.createDataFrame(guests, f"_head {docs.schema[key].dataType.simpleString()}, _to double"))  # one row a range
+    guest = F.broadcast(spark.createDataFrame(guests, f"_head {docs.schema[key].dataType.simpleString()}, _to int"))  # one row a range
     dealt = (ranged(docs).join(guest, F.col(key).eqNullSafe(F.col("_head")), "left")
              .withColumn("_place", F.explode(F.filter(F.array(F.struct(F.col("_range").alias("range"), F.lit(0).alias("guest")),
                                                               F.struct(F.col("_to").alias("range"), F.lit(1).alias("guest"))), lambda p: p["range"].isNotNull())))
              .select(key, text, "_place.*").repartition(width(spark), "range"))
-    made = anchors(dealt, text, "anchors")
-    after = W.partitionBy("range").orderBy("guest", F.desc_nulls_last(key), F.xxhash64(text))
-    return (made.withColumn("next_text", F.lead(text).over(after)).withColumn("next_anchors", F.lead("anchors").over(after))
-            .filter("guest = 0").drop("range", "guest"))
+    made = anchors(dealt, text, "anchors").withColumn("tie", F.xxhash64(text))
+    after = W.partitionBy("range").orderBy("guest", F.desc_nulls_last(key), "tie")
+    return (made.withColumns({"next_text": F.lead(text).over(after), "next_anchors": F.lead("anchors").over(after)})
+            .filter("guest = 0").drop("range", "guest", "tie"))
 
 
 def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
