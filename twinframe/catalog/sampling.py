@@ -163,13 +163,31 @@ def _(t: Tables):
     return samplers.gaussian_copula(table, "p_partkey", ["p_size", "p_retailprice", "p_type", "p_brand"])
 
 
-@query("smote_interpolate")
+_SMOTE = f"""WITH base AS (SELECT c_custkey AS id, CASE WHEN c_acctbal > 8000 THEN 'yes' ELSE 'no' END AS cls, c_acctbal AS bal, CAST(c_nationkey AS DOUBLE) AS nat, c_mktsegment AS seg FROM customer),
+    sizes AS (SELECT cls, count(*) AS size, max(count(*)) OVER () AS largest FROM base GROUP BY 1),
+    pen AS (SELECT (stddev_pop(bal) + stddev_pop(nat)) / 2 AS p FROM base WHERE cls = (SELECT cls FROM sizes ORDER BY size, cls LIMIT 1)),
+    pairs AS (SELECT x.id AS src, y.id AS dst, round(sqrt(pow(x.bal - y.bal, 2) + pow(x.nat - y.nat, 2) + CASE WHEN x.seg = y.seg THEN 0 ELSE p * p END), 9) AS dist FROM base x JOIN base y ON x.id <> y.id AND x.cls = y.cls, pen),
+    near AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM pairs QUALIFY rank <= 5),
+    degree AS (SELECT src, count(*) AS degree FROM near GROUP BY 1),
+    votes AS (SELECT src, seg FROM (SELECT src, seg, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, seg) AS place FROM near JOIN base ON id = dst GROUP BY 1, 2) WHERE place = 1),
+    ix AS (SELECT *, {dense('id', 'cls')} AS j FROM base),
+    draws AS (SELECT cls, size, range AS d FROM range((SELECT max(largest) FROM sizes)), sizes WHERE range < largest - size),
+    picked AS (SELECT draws.cls, d, ix.id AS anchor, ix.bal, ix.nat, ix.seg FROM draws JOIN ix ON ix.cls = draws.cls AND j = {uidx('size', SEED, 'smote.anchor', 'draws.cls', 'd')}),
+    made AS (SELECT picked.cls || '|' || d AS "row", anchor, picked.bal + {u(SEED, 'smote.weight', 'picked.cls', 'd')} * (coalesce(o.bal, picked.bal) - picked.bal) AS c_acctbal,
+        picked.nat + {u(SEED, 'smote.weight', 'picked.cls', 'd')} * (coalesce(o.nat, picked.nat) - picked.nat) AS c_nationkey, coalesce(votes.seg, picked.seg) AS c_mktsegment, picked.cls AS rich
+        FROM picked LEFT JOIN degree ON degree.src = anchor LEFT JOIN near ON near.src = anchor AND rank = 1 + {uidx('degree', SEED, 'smote.neighbour', 'picked.cls', 'd')}
+        LEFT JOIN base o ON o.id = near.dst LEFT JOIN votes ON votes.src = anchor)"""
+
+
+@query("smote_interpolate", _SMOTE + f""" SELECT "row", anchor, {r('c_acctbal')} AS c_acctbal, {r('c_nationkey')} AS c_nationkey, c_mktsegment, rich FROM made""")
 def _(t: Tables):
     table = t.customer.withColumn("rich", F.when(F.col("c_acctbal") > 8000, "yes").otherwise("no"))
     return samplers.smote_interpolate(table, "c_custkey", "rich", ["c_acctbal", "c_nationkey", "c_mktsegment"])
 
 
-@query("resample_balanced")
+@query("resample_balanced", _SMOTE + f""", pool AS (SELECT 'real|' || id AS pid, bal AS c_acctbal, CAST(nat AS BIGINT) AS c_nationkey, seg AS c_mktsegment, cls AS rich FROM base
+    UNION ALL SELECT 'made|' || "row", c_acctbal, CAST(trunc(c_nationkey) AS BIGINT), c_mktsegment, rich FROM made), numbered AS (SELECT *, {dense('pid')} AS i FROM pool)
+    SELECT range AS "row", {r('c_acctbal')} AS c_acctbal, c_nationkey, c_mktsegment, rich FROM range((SELECT count(*) FROM customer)) JOIN numbered ON i = {uidx('(SELECT count(*) FROM pool)', SEED, 'bootstrap', 'range')}""")
 def _(t: Tables):
     table = t.customer.withColumn("rich", F.when(F.col("c_acctbal") > 8000, "yes").otherwise("no"))
     return samplers.resample_balanced(table, "c_custkey", "rich", ["c_acctbal", "c_nationkey", "c_mktsegment"], table.count())
