@@ -157,7 +157,38 @@ def _(t: Tables):
     return samplers.normal_scores(table, "p_partkey", ["p_size", "p_retailprice"]).select("p_partkey", "column", "rank", "score")
 
 
-@query("gaussian_copula")
+def _normal_sql(stream: str) -> str:
+    return f"(sqrt(-2.0 * ln(1.0 - {u(SEED, stream + '.r', 'range')})) * cos(2 * pi() * {u(SEED, stream + '.a', 'range')}))"
+
+
+def _score_sql(column: str) -> str:
+    ranked = f"SELECT p_partkey, rank() OVER (ORDER BY {column}) + (count(*) OVER (PARTITION BY {column}) - 1) / 2.0::DOUBLE AS rk, count(*) OVER () AS n FROM src WHERE {column} IS NOT NULL"
+    return f"(SELECT p_partkey, {quantile_of_normal_sql('((rk - 0.5) / n)')} AS s FROM ({ranked}))"
+
+
+def _cdf_sql(z: str) -> str:
+    tail = f"exp(-{z} * {z} / 2) * {_poly(f'abs({z})', nf._CDF_TOP)} / {_poly(f'abs({z})', nf._CDF_BOTTOM)}"
+    return f"CASE WHEN {z} > 0 THEN 1 - {tail} ELSE {tail} END"
+
+
+def _marginal_sql(p: str, column: str) -> str:
+    spot = f"((len({column}_sorted) - 1) * {p})"
+    low = f"CAST(floor({spot}) AS BIGINT)"
+    return f"({column}_sorted[{low} + 1] + ({column}_sorted[least({low} + 2, len({column}_sorted))] - {column}_sorted[{low} + 1]) * ({spot} - {low}))"
+
+
+@query("gaussian_copula", f"""WITH src AS (SELECT p_partkey, CAST(nullif(p_size, 7) AS DOUBLE) AS a, p_retailprice AS b, p_type, p_brand FROM part), ix AS (SELECT *, {dense('p_partkey')} AS i FROM part),
+    wide AS (SELECT coalesce(sa.s, 0) AS s0, coalesce(sb.s, 0) AS s1 FROM src LEFT JOIN {_score_sql('a')} sa USING (p_partkey) LEFT JOIN {_score_sql('b')} sb USING (p_partkey)),
+    fit AS (SELECT avg(s0) AS m0, avg(s1) AS m1, covar_samp(s0, s0) + 1e-6 AS c00, covar_samp(s0, s1) AS c01, covar_samp(s1, s1) + 1e-6 AS c11 FROM wide),
+    half AS (SELECT m0, m1, sqrt(c00) AS l00, c01 / sqrt(c00) AS l10, sqrt(c11 - c01 * c01 / c00) AS l11 FROM fit),
+    sorted AS (SELECT list_sort(list(a) FILTER (a IS NOT NULL)) AS a_sorted, list_sort(list(b) FILTER (b IS NOT NULL)) AS b_sorted, 1 - count(a) * 1.0::DOUBLE / count(*) AS a_gone, 1 - count(b) * 1.0::DOUBLE / count(*) AS b_gone FROM src),
+    noise AS (SELECT range, {_normal_sql('copula.0')} AS e0, {_normal_sql('copula.1')} AS e1 FROM range((SELECT count(*) FROM part))),
+    z AS (SELECT range, m0 + l00 * e0 AS z0, m1 + l10 * e0 + l11 * e1 AS z1 FROM noise, half), q AS (SELECT range, {_cdf_sql('z0')} AS p0, {_cdf_sql('z1')} AS p1 FROM z),
+    drawn AS (SELECT range, CASE WHEN {u(SEED, 'copula.missing.0', 'range')} >= a_gone THEN CAST(trunc({_marginal_sql('p0', 'a')}) AS BIGINT) END AS p_size,
+        CASE WHEN {u(SEED, 'copula.missing.1', 'range')} >= b_gone THEN {_marginal_sql('p1', 'b')} END AS p_retailprice FROM q, sorted),
+    typed AS (SELECT range, p_type FROM range((SELECT count(*) FROM part)) JOIN ix ON i = {uidx('(SELECT count(*) FROM part)', SEED, 'independent.p_type', 'range')}),
+    branded AS (SELECT range, p_brand FROM range((SELECT count(*) FROM part)) JOIN ix ON i = {uidx('(SELECT count(*) FROM part)', SEED, 'independent.p_brand', 'range')})
+    SELECT range AS "row", p_size, {r('p_retailprice')} AS p_retailprice, p_type, p_brand FROM drawn JOIN typed USING (range) JOIN branded USING (range)""")
 def _(t: Tables):
     table = t.part.withColumn("p_size", F.nullif(F.col("p_size"), F.lit(7)))
     return samplers.gaussian_copula(table, "p_partkey", ["p_size", "p_retailprice", "p_type", "p_brand"])
