@@ -145,7 +145,8 @@ def removed_spans(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFra
     found = keep(find_contexts(docs, size))
     # Written before they are joined: a join whose sides both come through exchanges of their own can be split where one gram is frequent.
     again = keep(found.groupBy("gram").agg(F.count("*").alias("uses")).filter("uses > 1").select("gram"))
-    met = keep(found.join(again, "gram").groupBy("gram", "context", "text_key", "at", "n").agg(F.count("*").alias("rows")))
+    near = keep(found.join(again, "gram"))  # not grouped in the same stage, which would keep a frequent gram's rows together
+    met = keep(near.groupBy("gram", "context", "text_key", "at", "n").agg(F.count("*").alias("rows")))
     kinds = keep(met.groupBy("gram", "context").agg(F.sum("rows").alias("uses"), F.max("n").alias("n"), F.min(F.struct("text_key", "at")).alias("first")))
     mixed = keep(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram"))
     unlike = keep(kinds.join(mixed, "gram").select("gram", "context", "uses", "n", "first.*"))
