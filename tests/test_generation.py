@@ -96,7 +96,7 @@ def test_edge_draw_has_the_degree_law(spark):
 
 def test_params_are_checked():
     for bad in (dict(n_components=0), dict(n_iterations=-1), dict(n_neighbours=0), dict(retries=-1), dict(quantile_guard=0.5),
-                dict(fit_sample_size=0), dict(fit_sample_size=1.5), dict(fit_sample_size=True), dict(factor=0.1, min_factor=0.2)):
+                dict(decoder_fit_rows=0), dict(fit_sample_size=0), dict(fit_sample_size=1.5), dict(fit_sample_size=True), dict(factor=0.1, min_factor=0.2)):
         with pytest.raises(ValueError):
             Params(**bad).check()
     with pytest.raises(TypeError):
@@ -251,3 +251,9 @@ def test_wrong_latent_width_is_refused(fitted):
     vectors = fitted.latent.sparkSession.createDataFrame([(0, [0.0] * (fitted.width + 1))], "row bigint, z array<double>")
     with pytest.raises(Exception, match="coordinates"):
         fitted.inverse_transform(vectors).collect()
+
+
+def test_bounded_decoder_rows_keep_every_class(mixed):
+    model = fit(mixed, "id", params=replace(QUICK, decoder_fit_rows=8))
+    assert all(set(d.classes) == set(model.encoding.categories[c]) for c, d in model.decoders.items())
+    assert model.generate(15).count() == 15

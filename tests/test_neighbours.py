@@ -20,8 +20,10 @@ def lists(edges):
 
 def brute(rows, k, metric="euclidean", ids=None):
     x = np.array(rows, dtype=float).reshape(len(rows), -1)
+    if metric == "cosine":
+        x = x / np.sqrt((x ** 2).sum(axis=1, keepdims=True))
     gap = x[:, None, :] - x[None, :, :]
-    d = np.sqrt((gap ** 2).sum(-1)) if metric == "euclidean" else np.abs(gap).sum(-1)
+    d = {"euclidean": lambda: np.sqrt((gap ** 2).sum(-1)), "manhattan": lambda: np.abs(gap).sum(-1), "cosine": lambda: (gap ** 2).sum(-1) / 2}[metric]()
     d = d.round(9)
     np.fill_diagonal(d, np.inf)
     return {i: [int(j) for j in np.lexsort((np.arange(len(x)), d[i]))[:min(k, len(x) - 1)]] for i in range(len(x))}
@@ -53,8 +55,28 @@ def test_cells_and_bounds_give_exact_lists(spark, monkeypatch, metric):
     assert lists(neighbours.knn_exact(points(spark, rows), "id", "z", 4, metric=metric)) == brute(rows, 4, metric)
 
 
-def test_cross_join_in_cells(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "CELL", 20)
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "cosine"])
+def test_split_cells_give_exact_lists(spark, monkeypatch, metric):
+    """Three pivots at most, so that their cells are split."""
+    for name, value in (("CELL", 10), ("CROWDED", 1), ("MAX_PIVOTS", 3), ("BLOCK", 16), ("QUERIES", 8)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(7)
+    rows = np.vstack([rng.normal(0, 1, (120, 3)).round(1), rng.normal(8, 0.2, (100, 3)).round(1), np.ones((30, 3))])
+    assert lists(neighbours.knn_exact(points(spark, rows), "id", "z", 4, metric=metric)) == brute(rows, 4, metric)
+
+
+def test_recall_in_split_cells(spark, monkeypatch):
+    for name, value in (("CELL", 20), ("CROWDED", 1), ("MAX_PIVOTS", 4)):
+        monkeypatch.setattr(neighbours, name, value)
+    rows = points(spark, np.random.default_rng(2).normal(size=(400, 2)))
+    near = neighbours.knn_approx(rows, "id", "z", 5, probes=3)
+    assert neighbours.recall_at_k(near, neighbours.knn_exact(rows, "id", "z", 5)).first()["recall"] > 0.85
+
+
+@pytest.mark.parametrize("most", [2048, 3])
+def test_cross_join_in_cells(spark, monkeypatch, most):
+    for name, value in (("CELL", 20), ("CROWDED", 1), ("MAX_PIVOTS", most)):
+        monkeypatch.setattr(neighbours, name, value)
     rng = np.random.default_rng(6)
     a, b = rng.normal(size=(90, 2)).round(2), rng.normal(size=(150, 2)).round(2)
     found = {(r["src"], r["rank"]): r["dst"] for r in neighbours.knn_cross(points(spark, a), "id", points(spark, b), "id", "z", 2).collect()}

@@ -13,7 +13,7 @@ from twinframe.plans import evaluate, experiment, model, reports, sweeps
 from twinframe.session import checkpoint
 
 # Small forests keep the catalogue quick; rows are never cut.
-FOREST = dict(trees=10, depth=6)
+SWEEP = dict(trees=10, depth=6)  # forests of the queries that fit many models; all others have the published settings
 
 
 def customers(t: Tables):
@@ -29,27 +29,27 @@ def generated(t: Tables, table=None):
 def _(t: Tables):
     split = samplers.train_test_split(customers(t), "c_custkey", label="wealth")
     pre = evaluate.Preprocessor.fit(split.filter(~F.col("is_test")), ["c_nationkey", "c_mktsegment"])
-    return evaluate.forest_scores(pre.transform(split.filter(~F.col("is_test"))), pre.transform(split.filter("is_test")), "x", "wealth", **FOREST)
+    return evaluate.forest_scores(pre.transform(split.filter(~F.col("is_test"))), pre.transform(split.filter("is_test")), "x", "wealth")
 
 
 @query("discrimination_test")
 def _(t: Tables):
-    return evaluate.discrimination_test(customers(t), generated(t), real_id="c_custkey", synthetic_id="row", **FOREST)
+    return evaluate.discrimination_test(customers(t), generated(t), real_id="c_custkey", synthetic_id="row")
 
 
 @query("utility_lift")
 def _(t: Tables):
-    return evaluate.utility_lift(customers(t), generated(t).drop("row"), target="wealth", real_id="c_custkey", **FOREST)
+    return evaluate.utility_lift(customers(t), generated(t).drop("row"), target="wealth", real_id="c_custkey")
 
 
 @query("train_synthetic_test_real")
 def _(t: Tables):
-    return evaluate.train_synthetic_test_real(customers(t), "c_custkey", "wealth", params=params(), **FOREST)
+    return evaluate.train_synthetic_test_real(customers(t), "c_custkey", "wealth", params=params())
 
 
 @query("main_measure_report")
 def _(t: Tables):
-    return evaluate.main_measure_report(customers(t), generated(t), target="wealth", real_id="c_custkey", synthetic_id="row", **FOREST)
+    return evaluate.main_measure_report(customers(t), generated(t), target="wealth", real_id="c_custkey", synthetic_id="row")
 
 
 @query("method_comparison")
@@ -71,7 +71,7 @@ def _fitted(t: Tables, **changes):
 @query("mechanism_report")
 def _(t: Tables):
     fitted, train, test = _fitted(t, n_iterations=1)
-    return reports.mechanism_report(fitted, train, test, "customer", **FOREST)
+    return reports.mechanism_report(fitted, train, test, "customer")
 
 
 @query("decoder_calibration_report")
@@ -81,14 +81,14 @@ def _(t: Tables):
 
 @query("imbalance_report")
 def _(t: Tables):
-    return reports.imbalance_report(customers(t), "c_custkey", "wealth", "customer", params=params(), **FOREST)
+    return reports.imbalance_report(customers(t), "c_custkey", "wealth", "customer", params=params())
 
 
 @query("minority_score")
 def _(t: Tables):
     split = samplers.train_test_split(customers(t), "c_custkey", label="wealth")
     pre = evaluate.Preprocessor.fit(split.filter(~F.col("is_test")), COLUMNS)
-    out, classes = evaluate.forest_predictions(pre.transform(split.filter(~F.col("is_test"))), pre.transform(split.filter("is_test")), "x", "wealth", **FOREST)
+    out, classes = evaluate.forest_predictions(pre.transform(split.filter(~F.col("is_test"))), pre.transform(split.filter("is_test")), "x", "wealth")
     return out.select("c_custkey", F.col("p")[classes.index("rich")].alias("minority_score"))
 
 
@@ -132,36 +132,36 @@ def _(t: Tables):
 @query("setup_report")
 def _(t: Tables):
     quick = {"fast": sweeps.SETUPS["fast"], "default": sweeps.SETUPS["default"]}
-    return sweeps.setup_report(customers(t), "c_custkey", dataset="customer", target="wealth", base=params(), setups=quick, **FOREST).drop("fit_seconds", "sample_seconds")
+    return sweeps.setup_report(customers(t), "c_custkey", dataset="customer", target="wealth", base=params(**SWEEP), setups=quick, **SWEEP).drop("fit_seconds", "sample_seconds")
 
 
 @query("parameter_grid_report")
 def _(t: Tables):
-    return sweeps.parameter_grid_report(customers(t), "c_custkey", dataset="customer", target="wealth", base=params(), grid={"factor": [0.1, 0.5]}, **FOREST).drop("fit_seconds", "sample_seconds")
+    return sweeps.parameter_grid_report(customers(t), "c_custkey", dataset="customer", target="wealth", base=params(**SWEEP), grid={"factor": [0.1, 0.5]}, **SWEEP).drop("fit_seconds", "sample_seconds")
 
 
 @query("line_search")
 def _(t: Tables):
-    history, _ = sweeps.line_search(customers(t), "c_custkey", dataset="customer", target="wealth", base=params(), grid={"n_iterations": [0], "factor": [0.1, 0.5]},
-                                    order=["n_iterations", "n_components", "factor"], **FOREST)
+    history, _ = sweeps.line_search(customers(t), "c_custkey", dataset="customer", target="wealth", base=params(**SWEEP), grid={"n_iterations": [0], "factor": [0.1, 0.5]},
+                                    order=["n_iterations", "n_components", "factor"], **SWEEP)
     return history
 
 
 @query("repeated_seed_report")
 def _(t: Tables):
-    return sweeps.repeated_seed_report(customers(t), "c_custkey", [*COLUMNS, "wealth"], dataset="customer", target="wealth", seeds=(42, 43), methods=["row_bootstrap"], **FOREST)
+    return sweeps.repeated_seed_report(customers(t), "c_custkey", [*COLUMNS, "wealth"], dataset="customer", target="wealth", seeds=(42, 43), methods=["row_bootstrap"], **SWEEP)
 
 
 @query("starter_run")
 def _(t: Tables):
-    config = experiment.Config("customer", "c_custkey", "wealth", params=params())
+    config = experiment.Config("customer", "c_custkey", "wealth", params=params(**SWEEP))
     return experiment.starter_run(customers(t), config)[1]
 
 
 @query("full_experiment")
 def _(t: Tables):
-    config = experiment.Config("customer", "c_custkey", "wealth", params=params())
-    out = experiment.full_experiment(customers(t), config, setups={"fast": sweeps.SETUPS["fast"]}, seeds=(42,), methods=["row_bootstrap"], **FOREST)
+    config = experiment.Config("customer", "c_custkey", "wealth", params=params(**SWEEP))
+    out = experiment.full_experiment(customers(t), config, setups={"fast": sweeps.SETUPS["fast"]}, seeds=(42,), methods=["row_bootstrap"], **SWEEP)
     rows = None
     for name, table in out.items():
         part = table.agg(F.lit(name).alias("report"), F.count(F.lit(1)).alias("rows"))

@@ -13,8 +13,8 @@ from twinframe.session import checkpoint
 COLUMNS = ["c_acctbal", "c_nationkey", "c_mktsegment"]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 SEED = 42
-# Small forests and few projection steps keep the catalogue quick; rows are never cut.
-QUICK = dict(n_components=1, n_neighbours=6, factor=0.25, trees=10, depth=6, fit_sample_size=300, nca_max_iter=4)
+# Forests have the published settings and see all rows. Few projection steps on a small fit sample keep the projected queries quick.
+QUICK = dict(n_components=1, n_neighbours=6, factor=0.25, fit_sample_size=300, nca_max_iter=4)
 
 
 def params(**changes) -> model.Params:
@@ -237,7 +237,7 @@ def _decoded(t: Tables, **changes):
     enc = encode.fit_encoding(t.customer, COLUMNS)
     z = encode.encode(t.customer, enc)
     rows = checkpoint(z.select("c_custkey", encode.without_block(F.col("z"), enc.blocks()["c_mktsegment"], enc.width).alias("x"), F.col("c_mktsegment").alias("label")))
-    return rows, decode.fit_decoder(rows, "c_custkey", "x", "label", enc.categories["c_mktsegment"], trees=10, depth=6, **changes)
+    return rows, decode.fit_decoder(rows, "c_custkey", "x", "label", enc.categories["c_mktsegment"], **changes)
 
 
 @query("fit_decoders")
@@ -249,7 +249,7 @@ def _(t: Tables):
 
 @query("calibrate_decoders")
 def _(t: Tables):
-    rows, fitted = _decoded(t, calibrate=True, folds=2)
+    rows, fitted = _decoded(t, calibrate=True)
     out = fitted.probabilities(rows, "x", "p")
     return out.select("c_custkey", "label", F.lit(fitted.status).alias("status"), F.posexplode("p").alias("position", "probability"))
 

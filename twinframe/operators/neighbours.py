@@ -7,7 +7,11 @@ are salted, so a task compares at most BLOCK x QUERIES rows and only the best k
 Rows with the same vector are searched once, and at most k+1 of them are kept as candidates: further copies
 can never be among anyone's k nearest under the order (distance, id).
 
-Approximate search visits the nearest ``probes`` cells only.
+Cells are a tree of two levels: where a cell of the first level holds more than a few times CELL rows, rows of it
+become pivots of the second, so cells stay small as the table grows.  The pivots of the first level are bounded and
+known to the driver, those of the second stay in tables and meet rows and queries by cell.
+
+Approximate search visits the nearest ``probes`` cells only, and in a cell that was split its nearest ``probes`` parts.
 """
 
 from __future__ import annotations
@@ -25,7 +29,9 @@ from twinframe.session import checkpoint, spread
 METRICS = ("euclidean", "manhattan", "cosine", "hamming")
 APPROX_METRICS = METRICS + ("inner_product",)
 CELL = 512          # rows aimed at per cell of a large table; a small one has as many cells as rows in a cell
-MAX_PIVOTS = 2048   # bounds what the driver holds and each task receives
+MAX_PIVOTS = 2048   # of the first level: bounds what the driver holds and each task receives
+CROWDED = 4         # times CELL: a first-level cell with more rows is split
+PARTS = 1 << 20     # most parts of one cell; a leaf's number is cell * PARTS + part
 BLOCK = 1024        # candidate rows per task group
 QUERIES = 2048      # query rows per task group
 DIGITS = 9          # distances equal to this many digits are ties, broken by id
@@ -141,10 +147,90 @@ def _assign(rows: DataFrame, pivots: np.ndarray, metric: str) -> DataFrame:
     return spread(rows).mapInPandas(place, f"{fields}, cell bigint, radius double")
 
 
-def _other_cells(queries: DataFrame, pivots: np.ndarray, radii: np.ndarray, metric: str) -> DataFrame:
-    """Cells beyond home that may hold a row nearer than the query's bound ``ub``."""
+def _parts(placed: DataFrame, sizes: dict[int, int], bound: str) -> DataFrame:
+    """(cell, pivots): for each crowded cell some of its rows, about one in CELL, as an array of vectors; bounded by the cell's size."""
+    rows = F.create_map(*[F.lit(x) for item in sizes.items() for x in item])[F.col("cell")]
+    chosen = F.pmod(F.xxhash64(F.lit(1), "dst"), rows) < F.greatest(F.lit(1), F.floor(rows / F.lit(CELL)))
+    some = placed.filter(F.col("cell").isin(list(sizes))).filter(chosen)
+    listed = some.groupBy("cell").agg(F.array_sort(F.collect_set("vec")).alias("pivots"))
+    every = placed.sparkSession.createDataFrame([(c,) for c in sizes], "cell bigint")  # a cell whose hashes chose none stays whole
+    return every.join(listed, "cell", "left").withColumn("pivots", F.slice(F.coalesce("pivots", F.array().cast("array<array<double>>")), 1, PARTS))
+
+
+def _by_cell(rows: DataFrame, parts: DataFrame, sizes: dict[int, int], work, schema: str, key: str) -> DataFrame:
+    """work(rows of one cell, its pivots) -> rows, for rows of crowded cells; many rows of one cell go to several tasks."""
+    load = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(32 * QUERIES)).cast("bigint").alias("salts"))
+    left = rows.join(load, "cell").withColumn("salt", _share(key, "salts")).drop("salts")
+    right = parts.join(load, "cell").select("cell", "pivots", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+
+    def run(group: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+        listed = pivots["pivots"].iloc[0] if len(pivots) else []
+        if not len(group) or not len(listed):
+            return work(group, np.zeros((0, 0)))
+        return work(group, np.array([np.asarray(v, dtype=float) for v in listed], dtype=float).reshape(len(listed), -1))
+    return left.groupBy("cell", "salt").cogroup(right.groupBy("cell", "salt")).applyInPandas(run, schema)
+
+
+def _to_leaves(rows: DataFrame, parts: DataFrame | None, sizes: dict[int, int], bound: str, key: str) -> DataFrame:
+    """rows (cls, key, vec, cell, radius) with their leaf: part 0 of a whole cell, the nearest part of a crowded one; radius is that to its pivot."""
+    whole = rows if parts is None else rows.filter(~F.col("cell").isin(list(sizes)))
+    out = whole.withColumn("leaf", F.col("cell") * PARTS)
+    if parts is None:
+        return out
+
+    def place(group: pd.DataFrame, pivots: np.ndarray) -> pd.DataFrame:
+        group = group.drop(columns="salt")
+        if not len(group) or not len(pivots):
+            return group.assign(leaf=group["cell"] * PARTS)
+        d = tile_distances(_matrix(group["vec"]), pivots, bound)
+        part = d.argmin(axis=1)
+        return group.assign(radius=d[np.arange(len(d)), part], leaf=group["cell"] * PARTS + part)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return out.unionByName(_by_cell(rows.filter(F.col("cell").isin(list(sizes))), parts, sizes, place, f"{fields}, leaf bigint", key))
+
+
+def _open_leaves(routes: DataFrame, parts: DataFrame | None, sizes: dict[int, int], reach: DataFrame | None, metric: str, probes: int | None) -> DataFrame:
+    """(cls, src, vec, cell) with the leaf as cell: a whole cell as it is, of a crowded one the parts that may hold a nearer row, or the nearest ones.
+
+    routes: (cls, src, vec, cell, ub); reach: (cell, reach) with the radius of each part.
+    """
+    bound = _bound_metric(metric)
+    columns = ["cls", "src", "vec"]
+    if parts is None:
+        return routes.select(*columns, (F.col("cell") * PARTS).alias("cell"))
+    out = routes.filter(~F.col("cell").isin(list(sizes))).select(*columns, (F.col("cell") * PARTS).alias("cell"))
+    kind = routes.schema["src"].dataType.simpleString()
+
+    def visit(group: pd.DataFrame, table: np.ndarray) -> pd.DataFrame:
+        empty = pd.DataFrame({"cls": group["cls"].iloc[:0], "src": group["src"].iloc[:0], "vec": group["vec"].iloc[:0], "cell": np.zeros(0, np.int64)})
+        if not len(group) or not len(table):
+            return empty if not len(group) else group[columns].assign(cell=group["cell"] * PARTS)
+        pivots, radii = table[:, :-1], table[:, -1]
+        d = tile_distances(_matrix(group["vec"]), pivots, bound)
+        if probes is None:
+            limit = _as_bound(group["ub"].to_numpy(dtype=float), metric)
+            wanted = d - radii[None, :] <= (limit + 1e-7 * (1.0 + np.abs(d).max(axis=1)))[:, None]
+            wanted[:, radii < 0] = False
+        else:
+            wanted = np.zeros(d.shape, bool)
+            np.put_along_axis(wanted, np.argsort(d, axis=1, kind="stable")[:, :probes], True, axis=1)
+        rows, part = np.nonzero(wanted)
+        return group[columns].iloc[rows].assign(cell=group["cell"].to_numpy()[rows] * PARTS + part)
+
+    # The radius of a part rides behind its pivot's coordinates.
+    with_reach = parts if reach is None else parts.join(reach, "cell", "left")
+    listed = with_reach.withColumn("pivots", F.transform("pivots", lambda v, i: F.concat(v, F.array(F.lit(0.0) if reach is None else F.coalesce(
+        F.element_at(F.col("reach"), i), F.lit(-1.0)))))).select("cell", "pivots")
+    found = _by_cell(routes.filter(F.col("cell").isin(list(sizes))), listed, sizes, visit, f"cls string, src {kind}, vec array<double>, cell bigint", "src")
+    return out.unionByName(found)
+
+
+def _other_cells(queries: DataFrame, pivots: np.ndarray, radii: np.ndarray, metric: str, split: frozenset[int] = frozenset()) -> DataFrame:
+    """(cls, src, vec, cell, ub): cells that may hold a row nearer than the query's bound ``ub``; the home cell only if it was split."""
     bound = _bound_metric(metric)
     between = tile_distances(pivots, pivots, bound)
+    again = np.isin(np.arange(len(pivots)), list(split))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -164,12 +250,12 @@ def _other_cells(queries: DataFrame, pivots: np.ndarray, radii: np.ndarray, metr
                 nearest = np.maximum(nearest, plane)
             open_ = nearest <= (limit + slack)[:, None]
             open_[:, radii < 0] = False
-            open_[np.arange(len(d)), home] = False
-            yield batch[["cls", "src", "vec"]].assign(cells=[np.flatnonzero(r).astype("int64") for r in open_])
+            open_[np.arange(len(d)), home] = again[home]
+            yield batch[["cls", "src", "vec", "ub"]].assign(cells=[np.flatnonzero(r).astype("int64") for r in open_])
     kind = queries.schema["src"].dataType.simpleString()
     return (queries.select("cls", "src", "vec", "cell", "ub").mapInPandas(
-        visit, f"cls string, src {kind}, vec array<double>, cells array<bigint>")
-        .select("cls", "src", "vec", F.explode("cells").alias("cell")))
+        visit, f"cls string, src {kind}, vec array<double>, ub double, cells array<bigint>")
+        .select("cls", "src", "vec", "ub", F.explode("cells").alias("cell")))
 
 
 def _nearest_cells(queries: DataFrame, pivots: np.ndarray, radii: np.ndarray, metric: str, probes: int) -> DataFrame:
@@ -226,18 +312,35 @@ def _search(points: DataFrame, data: DataFrame, need: int, metric: str, probes:
         raise ValueError("The searched table must contain at least one row.")
     pivots = _pivots(distinct, "dst", count)
     placed = checkpoint(_assign(data.select("cls", "dst", "vec"), pivots, bound))
-    radii = np.full(len(pivots), -1.0)
-    for r in placed.groupBy("cell").agg(F.max("radius").alias("radius")).collect():
+    radii, sizes = np.full(len(pivots), -1.0), {}
+    for r in placed.groupBy("cell").agg(F.max("radius").alias("radius"), F.count(F.lit(1)).alias("n")).collect():
         radii[r["cell"]] = r["radius"]
+        if r["n"] > CROWDED * CELL:
+            sizes[r["cell"]] = r["n"]
+    parts = checkpoint(_parts(placed, sizes, bound)) if sizes else None
+    leaves = _to_leaves(placed, parts, sizes, bound, "dst")
+    leaves = checkpoint(leaves) if sizes else leaves
+    stored = leaves.select("cls", "dst", "vec", F.col("leaf").alias("cell"))
     if probes is not None:
-        return _merge(_compare(_nearest_cells(points, pivots, radii, metric, probes), placed, need, metric), need)
-    queries = _assign(points.select("cls", "src", "vec"), pivots, bound)
-    home = _merge(_compare(queries.select("cls", "src", "vec", "cell"), placed, need, metric), need)
+        near = _nearest_cells(points, pivots, radii, metric, probes).withColumn("ub", F.lit(0.0))
+        return _merge(_compare(_open_leaves(near, parts, sizes, None, metric, probes), stored, need, metric), need)
+    queries = _to_leaves(_assign(points.select("cls", "src", "vec"), pivots, bound), parts, sizes, bound, "src")
+    queries = checkpoint(queries) if sizes else queries
+    home = _merge(_compare(queries.select("cls", "src", "vec", F.col("leaf").alias("cell")), stored, need, metric), need)
     bounds = home.groupBy("src").agg(
         F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("best"))
     ub = F.when(F.size("best") >= need, F.element_at("best", -1)["dist"]).otherwise(F.lit(float("inf")))
     first = checkpoint(queries.join(bounds, "src", "left").withColumn("ub", F.coalesce(ub, F.lit(float("inf")))))
-    more = _compare(_other_cells(first, pivots, radii, metric), placed, need, metric)
+    routes = _other_cells(first, pivots, radii, metric, frozenset(sizes))
+    if sizes:
+        part = leaves.filter(F.col("cell").isin(list(sizes))).groupBy("cell", F.pmod("leaf", F.lit(PARTS)).alias("part")).agg(F.max("radius").alias("radius"))
+        reach = part.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct(F.col("part").cast("int"), "radius"))).alias("reach"))
+        at_home = first.select(F.col("src").alias("_src"), F.col("leaf").alias("_leaf"))
+        open_leaves = _open_leaves(routes, parts, sizes, reach, metric, None)
+        open_leaves = open_leaves.join(at_home, (F.col("src") == F.col("_src")) & (F.col("cell") == F.col("_leaf")), "left_anti")
+    else:
+        open_leaves = _open_leaves(routes, None, sizes, None, metric, None)
+    more = _compare(open_leaves, stored, need, metric)
     seen = first.select("src", F.explode("best").alias("e")).select("src", "e.dst", "e.dist")
     return _merge(seen.unionByName(more), need)
 

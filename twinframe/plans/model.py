@@ -35,6 +35,7 @@ class Params:
     probes: int = 4
     trees: int = 100
     depth: int = MAX_DEPTH
+    decoder_fit_rows: int | None = 100_000  # a forest sees at most so many rows, at least one of each class; None: all
     calibrate: bool = False
     folds: int | None = None
     quantile_guard: float | None = 0.1
@@ -60,6 +61,8 @@ class Params:
             raise ValueError("fit_sample_size must be None, a positive whole number or a share in (0, 1].")
         if size is not None and not isinstance(size, (int, float)):
             raise TypeError("fit_sample_size must be None, a positive whole number or a share in (0, 1].")
+        if self.decoder_fit_rows is not None and self.decoder_fit_rows < 1:
+            raise ValueError("decoder_fit_rows must be None or positive.")
         if self.search not in ("exact", "approx"):
             raise ValueError("search must be 'exact' or 'approx'.")
         return self
@@ -251,6 +254,8 @@ def fit(df: DataFrame, row_id: str, *, columns: list[str] | None = None, params:
     def decoder(c: str) -> Decoder:
         context = model.context(c)
         rows = table.select("row_id", F.col(f"_k_{c}").alias("label"), *([] if context is None else [context.alias("x")]))
+        if context is not None:  # a forest grows with its rows and goes to every executor, so these are bounded
+            rows = samplers.stratified_fit_sample(rows, "row_id", "label", p.decoder_fit_rows, p.seed)
         return fit_decoder(rows, "row_id", None if context is None else "x", "label", enc.categories[c], trees=p.trees,
                            depth=p.depth, seed=p.seed, calibrate=p.calibrate, folds=p.folds)
     model.decoders = dict(zip(enc.categorical, side_by_side([lambda c=c: decoder(c) for c in enc.categorical])))
