@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from twinframe.functions import rng
 from twinframe.functions.scalars import dot
-from twinframe.session import checkpoint, spread
+from twinframe.session import spread
 
-MAX_FIT_ROWS = 20_000  # every evaluation compares all fit rows with each other; ask for a smaller sample beyond this
+MAX_FIT_BYTES = 512 << 20  # vectors of the fit sample that are sent to every task; checked before they are fetched
+TILE = 1 << 22             # distances held at once
 
 
 def agreement_block(rows: np.ndarray, labels: np.ndarray, places: np.ndarray, everyone: np.ndarray, classes: np.ndarray,
@@ -43,17 +44,16 @@ def nca_fit(sample: DataFrame, key: str, context: str, label: str, width: int, *
     gradient with a step that grows on success and halves on failure, from the principal directions.
     """
     spark = sample.sparkSession
-    listed = sample.select(F.col(key).cast("string").alias("k"), context, label).orderBy("k").limit(MAX_FIT_ROWS + 1).collect()
-    if len(listed) > MAX_FIT_ROWS:
-        raise ValueError(f"The projection fit sample exceeds {MAX_FIT_ROWS} rows: set a fit sample size.")
-    everyone = np.array([r[context] for r in listed], dtype=float).reshape(len(listed), -1)
-    classes = np.array([r[label] for r in listed])
+    size = sample.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(context)).alias("w")).first()
+    if size["n"] * max(size["w"] or 0, 0) * 8 > MAX_FIT_BYTES:
+        raise ValueError(f"The vectors of the projection fit sample exceed {MAX_FIT_BYTES} bytes: set a fit sample size.")
+    listed = sample.select(F.col(key).cast("string").alias("k"), F.col(context).cast("array<double>").alias("x"), F.col(label).alias("y")).orderBy("k").toArrow()
+    everyone = listed.column("x").combine_chunks().flatten().to_numpy().reshape(listed.num_rows, size["w"] or 0)
+    classes = listed.column("y").to_numpy()
     if everyone.shape[1] == 0 or len(set(classes)) < 2:
         return None
     k = min(width, everyone.shape[1])
-    place = spark.createDataFrame([(r["k"], i) for i, r in enumerate(listed)], "k string, place bigint")
-    table = checkpoint(spread(sample.select(F.col(key).cast("string").alias("k"), F.col(context).alias("x")).join(
-        place, "k").select("place", "x")))
+    places = spread(spark.range(listed.num_rows).withColumnRenamed("id", "place"))
     shared = spark.sparkContext.broadcast((everyone, classes))
     centred = everyone - everyone.mean(axis=0)
     _, _, directions = np.linalg.svd(centred, full_matrices=False)
@@ -62,16 +62,17 @@ def nca_fit(sample: DataFrame, key: str, context: str, label: str, width: int, *
     def evaluate(m: np.ndarray) -> tuple[float, np.ndarray]:
         def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows, labels = shared.value
-            total, slope = 0.0, np.zeros_like(m)
+            total, slope, many = 0.0, np.zeros_like(m), max(1, TILE // len(labels))
             for batch in batches:
-                for at in range(0, len(batch), 512):
-                    places = batch["place"].to_numpy()[at:at + 512]
-                    f, g = agreement_block(rows[places], labels[places], places, rows, labels, m)
+                for at in range(0, len(batch), many):
+                    some = batch["place"].to_numpy()[at:at + many]
+                    f, g = agreement_block(rows[some], labels[some], some, rows, labels, m)
                     total, slope = total + f, slope + g
-            yield pd.DataFrame({"f": [total], "g": [slope.ravel()]})
-        parts = table.select("place").mapInPandas(block, "f double, g array<double>")
-        out = parts.agg(F.sum("f").alias("f"), *[F.sum(F.col("g")[i]).alias(f"g{i}") for i in range(m.size)]).first()
-        return out["f"], np.array([out[f"g{i}"] for i in range(m.size)]).reshape(m.shape)
+            yield pd.DataFrame({"i": np.arange(-1, m.size), "v": np.append(total, slope.ravel())})
+        out = np.zeros(m.size + 1)
+        for r in places.mapInPandas(block, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            out[r["i"] + 1] = r["v"]
+        return float(out[0]), out[1:].reshape(m.shape)
 
     value, slope = evaluate(matrix)
     step = 1.0 / max(np.abs(slope).max(), 1e-12)
