@@ -70,10 +70,10 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
         df = df.withColumn("_order", order)
         return (split.transform(df) if split else df.withColumn("_range", F.lit(0))).drop("_order").withColumn("_range", F.col("_range").cast("int"))
 
-    heads = ranged(docs.select(key)).groupBy("_range").agg(F.max(key).alias("head")).orderBy(F.desc("_range")).collect()
-    guests = [(heads[i]["head"], heads[i - 1]["_range"]) for i in range(len(heads))]  # the first goes to the last range
-    listed = F.array(*[F.struct(F.lit(h).cast(docs.schema[key].dataType).alias("_head"), F.lit(r).alias("_to")) for h, r in guests])
-    guest = F.broadcast(spark.range(1).select(F.inline(listed))) if guests else docs.select(F.col(key).alias("_head"), F.lit(0).alias("_to")).limit(0)  # one row a range
+    down = W.orderBy(F.desc("_range"))  # over one row a range
+    heads = ranged(docs.select(key)).groupBy("_range").agg(F.max(key).alias("_head"))
+    above = F.coalesce(F.lag("_range").over(down), F.min("_range").over(down.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    guest = F.broadcast(heads.select("_head", above.alias("_to")))
     dealt = (ranged(docs).join(guest, F.col(key).eqNullSafe(F.col("_head")), "left")
              .withColumn("_place", F.explode(F.filter(F.array(F.struct(F.col("_range").alias("range"), F.lit(0).alias("guest")),
                                                               F.struct(F.col("_to").alias("range"), F.lit(1).alias("guest"))), lambda p: p["range"].isNotNull())))
