@@ -50,7 +50,8 @@ def test_equal_windows_choose_alike():
     texts = [bytes(rng.choice(b"abc ") for _ in range(rng.randint(0, 400))) + shared + bytes(rng.choice(b"abc ") for _ in range(50)) for _ in range(6)]
     chosen = []
     for t in texts:
-        gram, at, n = suffixes.contexts(np.frombuffer(t, np.uint8), np.zeros(len(t), np.int32))
+        gram, at, n, gap = suffixes.contexts(np.frombuffer(t, np.uint8), np.zeros(len(t), np.int32))
+        assert all(a + k - 1 <= a + d <= a + 200 - suffixes.GRAM for a, k, d in zip(at, n, gap))  # each window holds its gram
         by = {int(a) + i: (int(g)) for g, a, k in zip(gram, at, n) for i in range(int(k))}
         assert sorted(by) == list(range(len(t) - 199))  # each window once
         begin = t.index(shared)
@@ -58,6 +59,24 @@ def test_equal_windows_choose_alike():
     assert all(c == chosen[0] for c in chosen)
 
 
+def test_contexts_left_out_share_no_window():
+    rng = random.Random(6)
+    size, texts = 200, []
+    core = bytes(rng.choice(b"abcdefgh ") for _ in range(260))
+    for _ in range(60):
+        lo, hi = sorted((rng.randint(0, 120), rng.randint(140, 260)))
+        texts.append(bytes(rng.choice(b"xyz ") for _ in range(rng.randint(0, 150))) + core[lo:hi] + bytes(rng.choice(b"xyz ") for _ in range(rng.randint(0, 150))))
+    grams, bodies, gaps = [], [], []
+    for t in texts:
+        for g, a, k, d in zip(*suffixes.contexts(np.frombuffer(t, np.uint8), np.zeros(len(t), np.int32), size)):
+            grams.append(int(g))
+            bodies.append(t[a:a + k + size - 1])
+            gaps.append(int(d))
+    kept = suffixes.alike(grams, bodies, gaps, size)
+    repeated = [i for i, gone in enumerate(plain(bodies, size)) if gone.any()]
+    assert set(repeated) <= set(kept) and 0 < len(repeated) and len(kept) < len(bodies)
+
+
 @pytest.fixture(scope="module")
 def corpus():
     rng = random.Random(8)

@@ -3,8 +3,9 @@
 Every byte covered by a SIZE-byte string that also starts anywhere else is removed. Strings that can repeat are brought together first: the window
 of SIZE bytes at each place chooses its smallest GRAM-byte hash (the leftmost if equal), so equal windows choose the same gram at the same distance.
 Consecutive windows with one choice form a context: their gram's hash, the first start and their number. Only contexts whose gram occurs again can
-hold a repeated window. Equal contexts are counted, not compared. Where one gram has several different contexts, one copy of each goes to a shard,
-whose suffixes are sorted by external induction (`induced.py`); each window belongs to one context, so nothing is found twice or lost.
+hold a repeated window. Equal contexts are counted, not compared. Where one gram has several different contexts, one copy of each goes to a shard.
+Two equal windows agree on half of what they hold beyond the gram, before or behind it; contexts that agree with no other on either half are left
+out. The suffixes of the others are sorted by external induction (`induced.py`). Each window belongs to one context, so nothing is found twice or lost.
 """
 
 from __future__ import annotations
@@ -42,11 +43,11 @@ def gram_hashes(flat: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def contexts(flat: np.ndarray, owner: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, first start, number of starts) for the windows of some texts laid end to end; owner numbers the text of each byte."""
+def contexts(flat: np.ndarray, owner: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram hash, first start, number of starts, place of the gram after the first start) for the windows of some texts laid end to end; owner numbers the text of each byte."""
     none = np.zeros(0, np.int64)
     if len(flat) < size:
-        return none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none, none
     h, span = gram_hashes(flat), size - GRAM + 1
     key = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     padded = np.append(key, np.full(-len(key) % span, np.uint64(0xFFFFFFFFFFFFFFFF))).reshape(-1, span)
@@ -56,10 +57,11 @@ def contexts(flat: np.ndarray, owner: np.ndarray, size: int = SIZE) -> tuple[np.
     choice = np.minimum(behind[:windows], ahead[span - 1:span - 1 + windows]) & _PLACE
     start = np.flatnonzero(owner[:windows] == owner[size - 1:])
     if not len(start):
-        return none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none, none
     chosen = choice[start]
     first = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (np.diff(start) != 1)))
-    return h[chosen[first].astype(np.int64)], start[first], np.diff(np.append(first, len(start)))
+    place = chosen[first].astype(np.int64)
+    return h[place], start[first], np.diff(np.append(first, len(start))), place - start[first]
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -71,22 +73,22 @@ def text_key(data: bytes) -> bytes:
 
 
 def find_contexts(docs: DataFrame, size: int) -> DataFrame:
-    """(gram, context, text_key, at, n) of all windows of the column text; context is a hash of the bytes they cover."""
+    """(gram, context, text_key, at, n, gap) of all windows of the column text; context is a hash of the bytes they cover, gap that before the gram."""
     python_ready(docs.sparkSession)
-    names = ["gram", "context", "text_key", "at", "n"]
+    names = ["gram", "context", "text_key", "at", "n", "gap"]
 
     def emit(raw: list[bytes], shifts: list[int], keys: list[bytes]) -> pa.RecordBatch:
         flat = np.frombuffer(b"".join(raw), np.uint8)
         lengths = np.array([len(r) for r in raw])
         begin = np.cumsum(lengths) - lengths
         owner = np.repeat(np.arange(len(raw), dtype=np.int32), lengths)
-        gram, at, n = contexts(flat, owner, size)
+        gram, at, n, gap = contexts(flat, owner, size)
         whose = owner[at] if len(at) else np.zeros(0, np.int32)
         view, digest = memoryview(flat), xxhash.xxh3_64_intdigest
         context = np.fromiter((digest(view[a:b]) for a, b in zip(at.tolist(), (at + n + size - 1).tolist())), np.uint64, len(at))
         place = at - begin[whose] + np.array(shifts)[whose] if len(at) else at
         return pa.RecordBatch.from_arrays([signed(gram), signed(context), pa.array(keys, pa.binary()).take(pa.array(whose)), pa.array(place.astype(np.int64)),
-                                           pa.array(n.astype(np.int32))], names)
+                                           pa.array(n.astype(np.int32)), pa.array(gap.astype(np.int32))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,7 +110,7 @@ def find_contexts(docs: DataFrame, size: int) -> DataFrame:
                 if raw:
                     yield emit(raw, shifts, keys)
 
-    return docs.select("text").mapInArrow(run, "gram bigint, context bigint, text_key binary, at bigint, n int")
+    return docs.select("text").mapInArrow(run, "gram bigint, context bigint, text_key binary, at bigint, n int, gap int")
 
 
 def with_key(docs: DataFrame, text: str) -> DataFrame:
@@ -122,14 +124,31 @@ def with_key(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("text_key", keys(F.col(text)))
 
 
+def alike(grams: list[int], bodies: list[bytes], gaps: list[int], size: int) -> list[int]:
+    """Places of the contexts that may share a window with another one of the same gram: they agree on the half before the gram or behind it.
+
+    A window holds size - GRAM bytes beyond the gram, so at least half of them lie on one side; a context too short for a half
+    on one side has no window with that half.
+    """
+    half = (size - GRAM + 1) // 2
+    seen: dict[tuple, list[int]] = {}
+    for i, (gram, body, gap) in enumerate(zip(grams, bodies, gaps)):
+        if gap >= half:
+            seen.setdefault((gram, 0, body[gap - half:gap]), []).append(i)
+        if gap + GRAM + half <= len(body):
+            seen.setdefault((gram, 1, body[gap + GRAM:gap + GRAM + half]), []).append(i)
+    return sorted({i for met in seen.values() if len(met) > 1 for i in met})
+
+
 def shard_spans(parts: DataFrame, shards: int, size: int) -> DataFrame:
     """(gram, context, lo, hi): the runs of starts in each context that are repeated windows of its shard."""
     schema = "gram bigint, context bigint, lo int, hi int"
 
     def run(part: pa.Table) -> pa.Table:
-        gram, context = part.column("gram").to_pylist(), part.column("context").to_pylist()
-        out = []
-        for g, c, starts in zip(gram, context, repeated_windows(part.column("body").to_pylist(), size)):
+        gram, context, body, gap = (part.column(c).to_pylist() for c in ("gram", "context", "body", "gap"))
+        kept, out = alike(gram, body, gap, size), []
+        for i, starts in zip(kept, repeated_windows([body[i] for i in kept], size)):
+            g, c = gram[i], context[i]
             if len(starts):
                 cut = np.flatnonzero(np.diff(starts) != 1) + 1
                 out += [(g, c, int(x[0]), int(x[-1]) + 1) for x in np.split(starts, cut)]
@@ -146,10 +165,10 @@ def removed_spans(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFra
     # Written before they are joined: a join whose sides both come through exchanges of their own can be split where one gram is frequent.
     again = keep(found.groupBy("gram").agg(F.count("*").alias("uses")).filter("uses > 1").select("gram"))
     near = keep(found.join(again, "gram"))  # not grouped in the same stage, which would keep a frequent gram's rows together
-    met = keep(near.groupBy("gram", "context", "text_key", "at", "n").agg(F.count("*").alias("rows")))
-    kinds = keep(met.groupBy("gram", "context").agg(F.sum("rows").alias("uses"), F.max("n").alias("n"), F.min(F.struct("text_key", "at")).alias("first")))
+    met = keep(near.groupBy("gram", "context", "text_key", "at", "n", "gap").agg(F.count("*").alias("rows")))
+    kinds = keep(met.groupBy("gram", "context").agg(F.sum("rows").alias("uses"), F.max("n").alias("n"), F.max("gap").alias("gap"), F.min(F.struct("text_key", "at")).alias("first")))
     mixed = keep(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram"))
-    unlike = keep(kinds.join(mixed, "gram").select("gram", "context", "uses", "n", "first.*"))
+    unlike = keep(kinds.join(mixed, "gram").select("gram", "context", "uses", "n", "gap", "first.*"))
     whole = kinds.filter("uses > 1").select("gram", "context").withColumns({"lo": F.lit(0), "hi": F.lit(None).cast("int")})
 
     wanted = met.select("text_key").distinct().withColumnRenamed("text_key", "_key")
@@ -158,7 +177,7 @@ def removed_spans(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFra
 
     volume = unlike.agg(F.sum(F.col("n") + size)).first()[0] or 0
     shards = max(1, -(-volume // SHARD))
-    places = unlike.groupBy("text_key").agg(F.collect_list(F.struct("gram", "context", "at", "n")).alias("places"))
+    places = unlike.groupBy("text_key").agg(F.collect_list(F.struct("gram", "context", "at", "n", "gap")).alias("places"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,9 +186,10 @@ def removed_spans(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFra
                 for lo in range(0, len(of), 10_000):
                     some = of[lo:lo + 10_000]
                     yield pa.RecordBatch.from_arrays([pa.array([p["gram"] for p in some], pa.int64()), pa.array([p["context"] for p in some], pa.int64()),
-                                                      pa.array([data[p["at"]:p["at"] + p["n"] + size - 1] for p in some], pa.binary())], ["gram", "context", "body"])
+                                                      pa.array([data[p["at"]:p["at"] + p["n"] + size - 1] for p in some], pa.binary()), pa.array([p["gap"] for p in some], pa.int32())],
+                                                     ["gram", "context", "body", "gap"])
 
-    parts = texts.join(places, "text_key").select("text", "places").mapInArrow(cut, "gram bigint, context bigint, body binary")
+    parts = texts.join(places, "text_key").select("text", "places").mapInArrow(cut, "gram bigint, context bigint, body binary, gap int")
     runs = shard_spans(parts, shards, size)
     single = runs.join(kinds.filter("uses = 1").select("gram", "context"), ["gram", "context"])
     starts = met.join(keep(whole.unionByName(single)), ["gram", "context"]).select(
