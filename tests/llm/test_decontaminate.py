@@ -114,3 +114,32 @@ def test_odd_rows(spark, odd_documents):
     empty = odd_documents.limit(0)
     assert dc.find_leaks(empty, items, dc.fit_space(empty)).count() == 0
     assert dc.drop_leaked(odd_documents, items.limit(0)).count() == 9
+
+
+def test_answers_of_common_words_and_answers_of_their_own(spark):
+    """A paraphrase with half to four fifths of the item leaks if the whole answer is there, whatever its words."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghijk"), 7)) for _ in range(4000)]
+
+    def prose(n):
+        return [str(rng.choice(["the", "of", "and"])) if rng.random() < 0.3 else str(rng.choice(words)) for _ in range(n)]
+    docs = [(d, " ".join(prose(200))) for d in range(200)]
+    short, asked = prose(18) + ["the", "of", str(words[1]), "and", "the", "of"], prose(24)
+    own = ["the", "of", str(words[2]), "and"]
+
+    def paraphrase(question, upto, share):
+        """The question with so many of its uncommon words before upto replaced that share of all of them stays."""
+        rare = [i for i, w in enumerate(question) if len(w) == 7]
+        gone = [i for i in rare if i < upto][::2]
+        while len(rare) - len(gone) < share * len(rare):
+            gone.pop()
+        return [f"zzz{i}" if i in gone else w for i, w in enumerate(question)]
+    docs += [(1000, docs[0][1] + " " + " ".join(paraphrase(short, 18, 0.6))), (1001, docs[1][1] + " " + " ".join(paraphrase(asked, 24, 0.6) + own)),
+             (1002, docs[2][1] + " " + " ".join(paraphrase(asked, 24, 0.6)))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(short), " ".join(short[-6:])), (2, " ".join(asked), " ".join(own))], "item_id long, text string, answer string")
+    space = dc.fit_space(docs)
+    rows = dc.find_leaks(docs, items, space, answer="answer").selectExpr("doc_id", "explode(leaks) leak").collect()
+    found = {(r.doc_id, r.leak.item): r.leak for r in rows}
+    assert set(found) == {(1000, 1), (1001, 2)}
+    assert all(0.5 <= leak.item_share < 0.8 and leak.answer_share == 1 for leak in found.values())

@@ -256,6 +256,8 @@ class Searcher:
         self.space, self.cosine, self.items = space, cosine, [i for i in items if len(i[1])]
         self.telling = [self.told(i[1]) for i in self.items]
         self.answers = [self.told(i[2]) for i in self.items]
+        self.answer_sets = [frozenset(a) for a in self.answers]
+        self.reach = [0 if set(i[2].tolist()) <= set(i[1].tolist()) else len(i[2]) for i in self.items]  # an answer of its own may stand beside the item
         self.rows = np.concatenate([space.vectors, np.zeros((1, space.vectors.shape[1]), np.float32)])  # the last one is padding
         self.sets = [frozenset(t) for t in self.telling]
         signs = [signature(np.array(t, np.int32)) for t in self.telling]
@@ -328,16 +330,20 @@ class Searcher:
         ends = np.cumsum(sizes)
         for i, end, size in zip(there, ends, sizes):
             words[(end - size) * STRIDE:(end - size) * STRIDE + len(texts[i])] = texts[i]
+        begins = ends - sizes
         owner = np.repeat(np.arange(len(there)), sizes)
         best: dict[tuple[int, int], tuple] = {}
-        for k, lo, hi, near in self.candidates(words, (ends - sizes)[owner], ends[owner]):
+        for k, lo, hi, near in self.candidates(words, begins[owner], ends[owner]):
             codes, answer, held = self.telling[k], self.answers[k], self.sets[k]
             region = [c for c in words[lo:hi].tolist() if c in held]
             if len(region) < LOOSE * len(codes):  # no common subsequence can be longer
                 continue
             share = common_subsequence(codes, region) / len(codes)
-            told = common_subsequence(answer, region) / max(1, len(answer))
+            if share < LOOSE:
+                continue
             at = (int(owner[lo // STRIDE]), k)
+            beside = words[max(int(begins[at[0]]) * STRIDE, lo - self.reach[k]):min(int(ends[at[0]]) * STRIDE, hi + self.reach[k])]
+            told = common_subsequence(answer, [c for c in beside.tolist() if c in self.answer_sets[k]]) / max(1, len(answer))
             if (share >= VERBATIM or share >= LOOSE and told >= ANSWER) and (share, told, near) > best.get(at, (0, 0, 0)):
                 best[at] = (share, told, near)
         for (at, k), (share, told, near) in sorted(best.items()):
