@@ -83,3 +83,17 @@ def test_operator(spark, odd_documents):
     assert [tuple(s) for s in spans[0].personal.spans] == [(7, 15, "email"), (19, 34, "email")] and spans[1].personal.spans == []
     assert [r.text for r in pii.mask_personal(one).orderBy("doc_id").collect()] == ["ñ mail [EMAIL] or [EMAIL]", None]
     assert pii.digests(odd_documents.limit(0)).count() == 0
+
+
+def test_disguised_parts_beside_a_plain_match():
+    """A plain pattern that takes a part of a disguised identifier keeps its span, and the whole identifier is found and masked too."""
+    for text, part, kind in [("j\u043ehn@example.com", "hn@example.com", "email"), ("bob@example.c\u043em", "bob@example.c", "email"),
+                             ("john@mail.example[dot]com", "john@mail.example", "email"), ("10.0.0.1\uff12", "10.0.0.1", "ip"),
+                             ("+1 555 555 222\uff12", "+1 555 555 222", "phone")]:
+        for lead, tail in (("", ""), ("see ", " now")):
+            whole = lead + text + tail
+            base, every = pii.personal_spans(whole)
+            assert [(whole[a:b], k) for a, b, k in base] == [(part, kind)]
+            assert {(whole[a:b], k) for a, b, k in every} == {(part, kind), (text, kind)}
+            assert pii.mask(whole, every) == lead + pii.SHORT[kind] + tail
+    assert found("\u043e x@y.io 10.0.0.1") == [("x@y.io", "email"), ("10.0.0.1", "ip")]

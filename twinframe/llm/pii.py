@@ -165,28 +165,29 @@ def rewritten(text: str) -> Rewritten | None:
 def personal_spans(text: str | None) -> tuple[list[Span], list[Span]]:
     """(spans of the plain patterns, those spans and the ones behind disguises), both by start and kind.
 
-    A span from the rewritten text is added where some of its stretches were rewritten and it overlaps no plain span.
+    A span from the rewritten text is added where some of it was rewritten, unless a plain span of its kind covers it entirely.
     """
     text = text or ""
     plain = identifiers(text)
     other = rewritten(text)
     if other is None:
         return plain, plain
-    found, taken = [], sorted((a, b) for a, b, _ in plain)
-    starts = [a for a, _ in taken]
-    ends = [b for _, b in taken]
-    for i in range(1, len(ends)):
-        ends[i] = max(ends[i], ends[i - 1])
+    starts, ends = {}, {}  # of the plain spans of each kind; a span's end is the furthest up to it
+    for a, b, kind in plain:
+        starts.setdefault(kind, []).append(a)
+        so_far = ends.setdefault(kind, [])
+        so_far.append(max([b, *so_far[-1:]]))
+    found = []
     for lo, hi, kind in identifiers(other.text):
         a, b = other.source(lo, hi)
-        k = bisect_right(starts, b - 1) - 1
-        if k < 0 or ends[k] <= a:
+        k = bisect_right(starts.get(kind, []), a) - 1
+        if text[a:b] != other.text[lo:hi] and (k < 0 or ends[kind][k] < b):
             found.append((a, b, kind))
     return plain, sorted({*plain, *found}, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
 def mask(text: str | None, spans: list[Span]) -> str | None:
-    """The text with each stretch covered by spans replaced by the name of the kind that starts it."""
+    """The text with each stretch covered by spans, which may overlap, replaced by the name of the kind that starts it."""
     if not text or not spans:
         return text
     out, at = [], 0
