@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -143,3 +144,39 @@ def test_answers_of_common_words_and_answers_of_their_own(spark):
     found = {(r.doc_id, r.leak.item): r.leak for r in rows}
     assert set(found) == {(1000, 1), (1001, 2)}
     assert all(0.5 <= leak.item_share < 0.8 and leak.answer_share == 1 for leak in found.values())
+
+
+def test_recall_of_short_paraphrases_against_brute_force():
+    """Of all texts whose words the verification accepts, at least nine in ten of each band are found."""
+    rng = np.random.default_rng(11)
+    tongues = [np.array([f"{tongue}{i}" for i in range(3000)]) for tongue in "abcd"]
+    often = 1 / np.arange(1, 3001)
+    often /= often.sum()
+
+    def prose(n, words):
+        return rng.choice(words, n, p=often).tolist()
+    items = [(prose(int(n), tongues[t]), tongues[t]) for t in range(4) for n in rng.integers(15, 24, 30)]
+    texts = []
+    for k in np.repeat(np.arange(len(items)), 8):
+        (item, words), rate = items[k], rng.choice([0.2, 0.4, 0.6])
+        around = prose(int(rng.integers(40, 200)), words)
+        leak = [words[rng.integers(len(words))] if i < 0.75 * len(item) and rng.random() < rate else w for i, w in enumerate(item)]
+        cut = int(rng.integers(0, len(around) + 1))
+        texts.append((int(k), " ".join(around[:cut] + leak + around[cut:])))
+    codes = dc.word_codes([t for _, t in texts] + [" ".join(prose(200, tongues[d % 4])) for d in range(1000)])
+    batch = pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in codes], pa.binary())], ["codes"])
+    parts = list(dc.passages_of(iter([batch])))
+    found, passages = sum(np.bincount(b, minlength=dc.BUCKETS) for b, _ in parts), sum(len(s) for _, s in parts)
+    random = rng.standard_normal((dc.BUCKETS, dc.RANK + dc.EXTRA))
+    sums = dc.Sketch(dc.weights(found, passages), random)
+    for buckets, starts in parts:
+        sums.add(buckets, starts)
+    space = dc.make_space(sums.out.astype(np.float64), found, random, passages, dc.RANK)
+    searcher = dc.Searcher(space, [(k, c, c[len(c) - -(-len(c) // 4):]) for k, c in enumerate(dc.word_codes([" ".join(i) for i, _ in items]))])
+    bands = {}
+    for (k, _), text, hits in zip(texts, codes, searcher.many(codes[:len(texts)])):
+        share = dc.common_subsequence(searcher.telling[k], text.tolist()) / len(searcher.telling[k])
+        told = dc.common_subsequence(searcher.answers[k], text.tolist()) / len(searcher.answers[k])
+        if share >= dc.VERBATIM or share >= dc.LOOSE and told >= dc.ANSWER:
+            bands.setdefault(min(int(share * 10), 8), []).append(k in {h[0] for h in hits})
+    assert set(bands) == {5, 6, 7, 8} and all(np.mean(f) >= 0.9 for f in bands.values()), {b: (np.mean(f), len(f)) for b, f in bands.items()}

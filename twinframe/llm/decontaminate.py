@@ -24,7 +24,7 @@ RANK = 24
 EXTRA = 8  # random vectors beyond the rank
 PASSAGE = 32  # words
 STRIDE = 8  # words between the starts of windows
-COSINE = 0.6
+COSINE = 0.35  # candidates only; low enough that what the verification accepts is rarely lost before it
 COMMON = 0.01  # share of passages above which a word says nothing by itself
 FEWEST = 5  # an item with fewer other words is compared by all its words
 VERBATIM = 0.8  # share of an item's telling words in common order that alone is a leak
@@ -295,28 +295,39 @@ class Searcher:
         total = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
         signs = [np.bitwise_or.reduce(signature(words).reshape(-1, STRIDE, SIGNS), axis=1)]  # of 1, 2, 4, ... strides from each
         strides = np.arange(len(sums))
+
+        def held(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+            """Signatures of the strides from start to end."""
+            level = np.frexp(end - start)[1] - 1
+            while len(signs) <= level.max():
+                step = 1 << (len(signs) - 1)
+                signs.append(signs[-1] | np.concatenate([signs[-1][step:], np.zeros((min(step, len(sums)), SIGNS), np.uint64)])[:len(sums)])
+            out = np.zeros((len(start), SIGNS), np.uint64)
+            for x in np.unique(level):
+                of = np.flatnonzero(level == x)
+                out[of] = signs[x][start[of]] | signs[x][end[of] - (1 << int(x))]
+            return out
+
+        def enough(found: np.ndarray, k: np.ndarray) -> np.ndarray:
+            return np.bitwise_count(found & self.signs[k]) @ np.ones(SIGNS, np.int16) >= self.need[k]
+
         for m, ks, units in self.scales:
-            begin = strides[(strides + m <= last) | (strides == first)]
+            begin, reach = strides[(strides + m <= last) | (strides == first)], self.margins[ks].max()
             for at in range(0, len(begin), 4096):
                 lo = begin[at:at + 4096]
                 hi = np.minimum(lo + m, last[lo])
                 near = self.unit((total[hi] - total[lo]).astype(np.float32)) @ units.T
                 w, j = np.nonzero(near >= self.cosine)
+                if not len(w):
+                    continue
+                some = enough(held(np.maximum(lo - reach, first[lo]), np.minimum(hi + reach, last[lo]))[w], ks[j])  # once a window, in the widest region
+                w, j = w[some], j[some]
                 if not len(w):
                     continue
                 k = ks[j]
                 start = np.maximum(lo[w] - self.margins[k], first[lo[w]])
                 end = np.minimum(hi[w] + self.margins[k], last[lo[w]])
-                level = np.frexp(end - start)[1] - 1
-                while len(signs) <= level.max():
-                    step = 1 << (len(signs) - 1)
-                    signs.append(signs[-1] | np.concatenate([signs[-1][step:], np.zeros((min(step, len(sums)), SIGNS), np.uint64)])[:len(sums)])
-                enough = np.zeros(len(w), bool)
-                for x in np.unique(level):
-                    of = np.flatnonzero(level == x)
-                    held = (signs[x][start[of]] | signs[x][end[of] - (1 << int(x))]) & self.signs[k[of]]
-                    enough[of] = np.bitwise_count(held).sum(axis=1) >= self.need[k[of]]
-                for i in np.flatnonzero(enough):
+                for i in np.flatnonzero(enough(held(start, end), k)):
                     yield int(k[i]), int(start[i]) * STRIDE, int(end[i]) * STRIDE, float(near[w[i], j[i]])
 
     def many(self, texts: list[np.ndarray]) -> list[list[tuple]]:
