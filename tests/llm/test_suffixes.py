@@ -115,3 +115,18 @@ def test_odd_rows(spark, odd_documents):
     long = next(r for r in rows if r.doc_id == 6)
     assert long.n_removed == long.n_bytes == 340_000 and all(r.n_removed == 0 for r in rows if r.doc_id != 6)
     assert suffixes.dedup_substrings(odd_documents.limit(0)).count() == 0
+
+
+def test_contexts_of_one_gram_are_dealt_by_their_halves(spark):
+    """A gram with very many surroundings is spread over the shards; contexts that share a half meet, the others are left out."""
+    rng = np.random.default_rng(4)
+    half, gram = (suffixes.SIZE - suffixes.GRAM + 1) // 2, bytes(suffixes.GRAM)
+    sides = [rng.bytes(half) for _ in range(300)]
+    bodies = [sides[i // 2] + gram + rng.bytes(half) for i in range(200)] + [rng.bytes(half) + gram + rng.bytes(half) for _ in range(200)]
+    rows = [(7, i, b, half, *suffixes.half_hashes(b, half, suffixes.SIZE)) for i, b in enumerate(bodies)]
+    parts = spark.createDataFrame(rows, "gram long, context long, body binary, gap int, before long, behind long")
+    dealt = [(r.context, r.shard) for r in suffixes.deal(parts, 16).collect()]
+    assert sorted(c for c, _ in dealt) == list(range(200))
+    shard = dict(dealt)
+    assert all(shard[i] == shard[i + 1] for i in range(0, 200, 2)) and len(set(shard.values())) > 8
+    assert suffixes.half_hashes(gram, 0, suffixes.SIZE) == (None, None)

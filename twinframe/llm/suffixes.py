@@ -5,7 +5,8 @@ of SIZE bytes at each place chooses its smallest GRAM-byte hash (the leftmost if
 Consecutive windows with one choice form a context: their gram's hash, the first start and their number. Only contexts whose gram occurs again can
 hold a repeated window. Equal contexts are counted, not compared. Where one gram has several different contexts, one copy of each goes to a shard.
 Two equal windows agree on half of what they hold beyond the gram, before or behind it; contexts that agree with no other on either half are left
-out. The suffixes of the others are sorted by external induction (`induced.py`). Each window belongs to one context, so nothing is found twice or lost.
+out. Shards are dealt by gram and half, so a frequent gram is spread over them and a context may be in two. The suffixes of a shard are sorted by
+external induction (`induced.py`). Each window belongs to one context, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -140,8 +141,29 @@ def alike(grams: list[int], bodies: list[bytes], gaps: list[int], size: int) ->
     return sorted({i for met in seen.values() if len(met) > 1 for i in met})
 
 
-def shard_spans(parts: DataFrame, shards: int, size: int) -> DataFrame:
-    """(gram, context, lo, hi): the runs of starts in each context that are repeated windows of its shard."""
+def half_hashes(body: bytes, gap: int, size: int) -> tuple[int | None, int | None]:
+    """Hashes of the half before the gram and of that behind it; None where a context is too short for a half on that side."""
+    half, behind = (size - GRAM + 1) // 2, gap + GRAM
+    digest = xxhash.xxh3_64_intdigest
+    found = (body[gap - half:gap] if gap >= half else None, body[behind:behind + half] if behind + half <= len(body) else None)
+    return tuple(None if f is None else digest(f) - (1 << 63) for f in found)
+
+
+def deal(parts: DataFrame, shards: int) -> DataFrame:
+    """The contexts that agree with another of their gram on a half, each in the shards of its halves that are met again.
+
+    parts: gram, context, body, gap and the hashes before and behind; (gram, context) is a key of it and of each shard.
+    """
+    halves = parts.select("gram", "context", F.posexplode(F.array("before", "behind")).alias("side", "half")).filter("half is not null")
+    again = keep(halves.groupBy("gram", "side", "half").agg(F.count("*").alias("uses")).filter("uses > 1").drop("uses"))
+    shard = F.pmod(F.xxhash64("gram", "side", "half"), F.lit(shards))
+    dealt = keep(halves.join(again, ["gram", "side", "half"], "left_semi").select("gram", "context", shard.alias("shard"))
+                 .groupBy("gram", "context").agg(F.collect_set("shard").alias("of")))
+    return parts.join(dealt, ["gram", "context"]).select("gram", "context", "body", "gap", F.explode("of").alias("shard"))
+
+
+def shard_spans(parts: DataFrame, size: int) -> DataFrame:
+    """(gram, context, lo, hi): the runs of starts in each context that are repeated windows of one of its shards."""
     schema = "gram bigint, context bigint, lo int, hi int"
 
     def run(part: pa.Table) -> pa.Table:
@@ -156,7 +178,7 @@ def shard_spans(parts: DataFrame, shards: int, size: int) -> DataFrame:
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int32())],
                         names=["gram", "context", "lo", "hi"])
 
-    return parts.withColumn("shard", F.pmod("gram", F.lit(shards))).groupBy("shard").applyInArrow(run, schema)
+    return parts.groupBy("shard").applyInArrow(run, schema)
 
 
 def removed_spans(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
@@ -185,12 +207,15 @@ def removed_spans(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFra
                 data = text.encode("utf-8", "replace")
                 for lo in range(0, len(of), 10_000):
                     some = of[lo:lo + 10_000]
+                    bodies = [data[p["at"]:p["at"] + p["n"] + size - 1] for p in some]
+                    before, behind = zip(*(half_hashes(b, p["gap"], size) for b, p in zip(bodies, some)))
                     yield pa.RecordBatch.from_arrays([pa.array([p["gram"] for p in some], pa.int64()), pa.array([p["context"] for p in some], pa.int64()),
-                                                      pa.array([data[p["at"]:p["at"] + p["n"] + size - 1] for p in some], pa.binary()), pa.array([p["gap"] for p in some], pa.int32())],
-                                                     ["gram", "context", "body", "gap"])
+                                                      pa.array(bodies, pa.binary()), pa.array([p["gap"] for p in some], pa.int32()),
+                                                      pa.array(before, pa.int64()), pa.array(behind, pa.int64())],
+                                                     ["gram", "context", "body", "gap", "before", "behind"])
 
-    parts = texts.join(places, "text_key").select("text", "places").mapInArrow(cut, "gram bigint, context bigint, body binary, gap int")
-    runs = shard_spans(parts, shards, size)
+    parts = keep(texts.join(places, "text_key").select("text", "places").mapInArrow(cut, "gram bigint, context bigint, body binary, gap int, before bigint, behind bigint"))
+    runs = shard_spans(deal(parts, shards), size)
     single = runs.join(kinds.filter("uses = 1").select("gram", "context"), ["gram", "context"])
     starts = met.join(keep(whole.unionByName(single)), ["gram", "context"]).select(
         "text_key", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.coalesce("hi", "n") + F.lit(size - 1)).alias("hi"))
