@@ -65,3 +65,18 @@ def test_odd_rows(spark, odd_documents):
     nothing = language.fit_languages(docs.limit(0))
     assert nothing.names == [] and {r.language.lang for r in language.identify(docs, nothing).collect()} == {"und"}
     assert language.identify(docs.limit(0), model).count() == 0
+
+
+def test_many_languages_and_no_influence_of_neighbours():
+    """A document in nine languages keeps them all, and what a document gets does not hang on the others of its batch."""
+    rng = np.random.default_rng(9)
+    chances = np.full((10, 200), 1e-4)
+    for i in range(10):
+        chances[i, 20 * i:20 * i + 20] = 1
+    chances /= chances.sum(axis=1, keepdims=True)
+    model = language.Languages([f"l{i}" for i in range(10)], chances)
+    counts = np.array([rng.multinomial(4000, share @ chances) for share in ([1 / 9] * 9 + [0], [1] + [0] * 9, [0.5, 0.5] + [0] * 8)], float)
+    together = language.infer(counts, model)
+    assert [(row > 0).sum() for row in together] == [9, 1, 2]
+    for row, alone in zip(together, counts):
+        assert np.allclose(language.infer(alone[None], model)[0], row, atol=1e-5)

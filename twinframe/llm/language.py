@@ -21,7 +21,6 @@ BUCKETS = 1 << 12
 SMOOTH = 0.5  # added to each count
 ROUNDS = 12  # of expectation-maximisation
 DOCS = 64  # documents inferred at once
-MOST = 6  # languages of one mixture; others are left out after the full fit
 NONE = "und"
 
 _FOLD = np.arange(0x250, dtype=np.uint32)
@@ -108,14 +107,16 @@ def infer(counts: np.ndarray, model: Languages) -> np.ndarray:
     order = np.argsort(-share, axis=1, kind="stable")
     best, score = np.zeros_like(share), np.full(len(counts), -np.inf)
     penalty = 0.5 * np.log(np.maximum(2, counts.sum(axis=1)))
-    for many in range(1, min(MOST, len(chances)) + 1):
-        allowed = np.zeros_like(every)
-        np.put_along_axis(allowed, order[:, :many], 1, axis=1)
-        share, fit = mixture(counts, chances, allowed, 0 if many == 1 else ROUNDS)
-        value = fit - many * penalty
-        better = value > score
-        best[better], score[better] = share[better], value[better]
-        if not better.any():
+    left = np.arange(len(counts))  # documents whose last larger set was better; the others are done, whatever their neighbours do
+    for many in range(1, len(chances) + 1):
+        allowed = np.zeros((len(left), len(chances)), np.float32)
+        np.put_along_axis(allowed, order[left, :many], 1, axis=1)
+        share, fit = mixture(counts[left], chances, allowed, 0 if many == 1 else ROUNDS)
+        value = fit - many * penalty[left]
+        better = value > score[left]
+        left = left[better]
+        best[left], score[left] = share[better], value[better]
+        if not len(left):
             break
     return best
 
