@@ -6,7 +6,7 @@ import importlib
 
 from twinframe.llm import base
 
-MODULES = ("tokens", "packing", "quality", "simhash", "decontaminate", "pii", "language", "secrets", "syncmers", "suffixes")
+MODULES = ("tokens", "packing", "quality", "simhash", "decontaminate", "pii", "language", "secrets", "syncmers", "suffixes", "mixing", "resampling", "middle")
 
 
 def load(pipeline=None):
