@@ -49,9 +49,9 @@ def test_dense_index_and_prefix_sums_equal_plain_order(spark):
         at.append(i)
     counts = spark.range(500).select(F.lit("x").alias("g"), F.pmod(F.col("id") * 37, F.lit(500)).cast("double").alias("v"), (F.col("id") % 4 + 1).alias("n"))
     n = {float(i * 37 % 500): i % 4 + 1 for i in range(500)}
-    for buckets in (None, 1, 7, 300):
+    for ranges in (None, 1, 7, 300):
         run = 0
-        for r in sorted(ordered.prefix_sums(counts, ["g"], "v", ["n"], buckets=buckets).collect(), key=lambda r: r["v"]):
+        for r in sorted(ordered.prefix_sums(counts, ["g"], "v", ["n"], ranges=ranges).collect(), key=lambda r: r["v"]):
             run += n[r["v"]]
             assert r["cum_n"] == run and r["next_value"] == (r["v"] + 1 if r["v"] < 499 else None)
 

@@ -1,6 +1,7 @@
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,16 +160,72 @@ def test_calibration_status(spark):
         assert sum(r["p"]) == pytest.approx(1.0)
 
 
-def test_projection_gradient_matches_differences():
+def vectors(x, codes=None, count=0):
+    """The Arrow form of contexts, with one sparse entry a row where codes are given."""
+    lists = lambda parts, kind: pa.array([list(p) for p in parts], pa.list_(kind))
+    sparse = None if codes is None else pa.StructArray.from_arrays([lists([[c] for c in codes], pa.int32()), lists([[1.0]] * len(codes), pa.float64())], ["indices", "values"])
+    return project.Vectors(lists(x, pa.float64()), sparse, x.shape[1] + count)
+
+
+def agreement_by_pairs(x, y, m):
+    """All rows against all others, by the definition."""
+    z, total = x @ m.T, 0.0
+    for i in range(len(x)):
+        p = np.array([np.exp(-((z[i] - z[j]) ** 2).sum()) if j != i else 0.0 for j in range(len(x))])
+        total += (p / p.sum() * (y == y[i])).sum()
+    return total
+
+
+@pytest.mark.parametrize("count", [0, 4])
+def test_projection_value_and_gradient(count):
+    """With all rows as partners the value is that of the definition, and the gradient that of its differences, sparse entries included."""
     rng = np.random.default_rng(0)
-    x, y, m = rng.normal(size=(12, 3)), rng.integers(0, 2, 12), rng.normal(size=(2, 3))
-    f = lambda a: project.agreement_block(x, y, np.arange(12), x, y, a)
-    _, g = f(m)
+    x, y, m = rng.normal(size=(12, 3)), rng.integers(0, 2, 12), rng.normal(size=(2, 3 + count))
+    codes = rng.integers(0, count, 12) if count else None
+    others = [[j for j in range(12) if j != i] for i in range(12)]
+    flat = np.array(others).ravel()
+    own, far = vectors(x, codes, count), vectors(x[flat], None if codes is None else codes[flat], count)
+    f = lambda a: project.agreement(own, far, np.full(12, 11), (y[flat] == np.repeat(y, 11)), np.ones(len(flat)), a)
+    whole = x if codes is None else np.hstack([x, np.eye(count)[codes]])
+    assert f(m)[0] == pytest.approx(agreement_by_pairs(whole, y, m))
+    g = f(m)[1]
     for i in range(2):
-        for j in range(3):
+        for j in range(3 + count):
             step = np.zeros_like(m)
             step[i, j] = 1e-6
-            assert g[i, j] == pytest.approx((f(m + step)[0] - f(m - step)[0]) / 2e-6, rel=1e-4, abs=1e-6)
+            assert g[i, j] == pytest.approx((agreement_by_pairs(whole, y, m + step) - agreement_by_pairs(whole, y, m - step)) / 2e-6, rel=1e-4, abs=1e-6)
+
+
+def test_weight_stands_for_rows_left_out():
+    """A drawn row of weight w counts as w rows at its place."""
+    rng = np.random.default_rng(1)
+    x, m = rng.normal(size=(6, 2)), rng.normal(size=(1, 2))
+    own, same = vectors(x[:1]), np.array([True, False, True, True])
+    one = project.agreement(own, vectors(x[[1, 2, 3]]), np.array([3]), same[:3], np.array([1.0, 1.0, 2.0]), m)
+    two = project.agreement(own, vectors(x[[1, 2, 3, 3]]), np.array([4]), same, np.ones(4), m)
+    assert one[0] == pytest.approx(two[0]) and one[1] == pytest.approx(two[1])
+
+
+def test_projection_of_all_rows(spark):
+    """With all other rows as partners, and with near and drawn ones, the classes end apart; the principal direction alone mixes them."""
+    rng = np.random.default_rng(3)
+    for rows in (40, 400):
+        y = rng.integers(0, 2, rows)
+        x = np.column_stack([y + 0.1 * rng.normal(size=rows), 0.7 * rng.normal(size=rows), 0.5 * rng.normal(size=rows)])
+        df = spark.createDataFrame([(i, [float(v) for v in r], str(c)) for i, (r, c) in enumerate(zip(x, y))], "id bigint, x array<double>, y string")
+        start = project.nca_fit(df, "id", "x", "y", 1, max_iter=0)
+        found = project.nca_fit(df, "id", "x", "y", 1, max_iter=25)
+        assert agreement_by_pairs(x, y, found) > max(0.97 * rows, 1.2 * agreement_by_pairs(x, y, start))
+    assert project.nca_fit(df.withColumn("y", F.lit("a")), "id", "x", "y", 1) is None
+    assert project.nca_fit(df.withColumn("x", F.array().cast("array<double>")), "id", "x", "y", 1) is None
+
+
+def test_principal_directions_equal_svd(spark):
+    x = np.random.default_rng(5).normal(size=(60, 5)) @ np.diag([5.0, 2.0, 1.0, 0.1, 0.1])
+    table = spark.createDataFrame([([float(v) for v in r],) for r in x], "x array<double>").select(F.struct("x").alias("v"))
+    found = project.principal_directions(table, False, 60, 5, 2)
+    _, _, want = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.abs((found * want[:2]).sum(axis=1)) == pytest.approx([1.0, 1.0], abs=1e-4)
 
 
 def test_hull_golden(spark):
@@ -259,3 +316,100 @@ def test_bounded_decoder_rows_keep_every_class(mixed):
     model = fit(mixed, "id", params=replace(QUICK, decoder_fit_rows=8))
     assert all(set(d.classes) == set(model.encoding.categories[c]) for c, d in model.decoders.items())
     assert model.generate(15).count() == 15
+
+
+# ---- wide categories
+
+WIDE = [(i, float(i % 30), f"k{i % 300:03d}", "ab"[i % 2], None if i % 50 == 7 else f"g{i // 20:02d}") for i in range(600)]
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    return spark.createDataFrame(WIDE, "id bigint, x double, key string, side string, many string").repartition(5)
+
+
+def written_out(model, df):
+    """Latent rows as dense one-hot vectors, by the encoding's dictionary."""
+    codes = {(r["column"], r["key"]): r["idx"] for r in model.encoding.dictionary.collect()}
+    out = {}
+    for r in df.collect():
+        z = list(r["z"])
+        for c, (first, count) in model.encoding.slots().items():
+            block = [0.0] * count
+            for i, v in zip(r["_slots"]["indices"], r["_slots"]["values"]):
+                if first <= i < first + count:
+                    block[i - first] = v
+            z += block
+        out[r[0]] = np.array(z)
+    return out, codes
+
+
+def test_wide_encoding_equals_one_hot(wide):
+    from twinframe.plans.model import fit_latent
+    sparse, dense = (fit_latent(wide, "id", ["x", "key", "side", "many"], replace(QUICK, narrow=n)) for n in (8, 1000))
+    assert sparse.encoding.wide == ["key", "many"] and dense.encoding.wide == [] and sparse.width == 3
+    found, codes = written_out(sparse, sparse.latent)
+    want = {r["row_id"]: np.array(r["z"]) for r in dense.latent.collect()}
+    order = [0] + list(range(301, 303)) + list(range(1, 301)) + list(range(303, dense.width))
+    assert all((found[i] == want[i][order]).all() for i in want)
+    assert [codes[("key", f"k{i:03d}")] for i in range(300)] == list(range(300))
+    plan = sparse.transform(wide)._jdf.queryExecution().toString()
+    assert "k299" not in plan and "k150" not in plan
+    unknown = wide.limit(1).withColumn("key", F.lit("never seen"))
+    assert len(sparse.transform(unknown).first()["_slots"]["indices"]) == 1
+
+
+def test_wide_neighbours_and_moved_rows_equal_dense(wide):
+    """The same edges and the same generated vectors, whether blocks are written out or not."""
+    made = {}
+    for n in (8, 1000):
+        model = fit(wide, "id", columns=["x", "key", "side"], params=replace(QUICK, narrow=n, quantile_guard=None, trees=2))
+        made[n] = (rows(model.edges), model, model.generate_latent(40))
+    assert made[8][0] == made[1000][0]
+    found, _ = written_out(made[8][1], made[8][2].select("row", "z", "_slots"))
+    want = {r["row"]: np.array(r["z"]) for r in made[1000][2].collect()}
+    order = [0, 301, 302, *range(1, 301)]
+    for i, z in want.items():
+        assert found[i] == pytest.approx(z[order])
+
+
+def test_wide_model_generates_and_is_saved(spark, wide, tmp_path):
+    model = fit(wide, "id", params=replace(QUICK, narrow=8, depth=12))
+    assert isinstance(model.decoders["key"], decode.LabelTree) and model.decoders["key"].base ** len(model.decoders["key"].levels) >= 300
+    out = model.generate(80).collect()
+    assert len(out) == 80 and {r["key"] for r in out} <= {f"k{i:03d}" for i in range(300)} and len({r["key"] for r in out}) > 20
+    assert {r["many"] for r in out} <= {None, *(f"g{i:02d}" for i in range(30))}
+    again = TableModel.load(spark, model.save(str(tmp_path / "wide")))
+    assert rows(again.generate(80)) == rows(model.generate(80))
+
+
+def test_reports_of_wide_columns(wide):
+    from twinframe.plans import reports
+    model = fit(wide, "id", params=replace(QUICK, narrow=8, depth=8))
+    found = {r["column"]: r for r in reports.decoder_calibration_report(model, wide, wide, "wide").collect()}
+    assert found["key"]["cardinality"] == 300 and 0 <= found["key"]["accuracy"] <= 1 and found["key"]["negative_log_loss"] > 0
+    rows = {r["column"]: r for r in reports.mechanism_report(model, wide, wide.limit(100), "wide", trees=2, depth=4).collect()}
+    assert rows["many"]["reason"] == "ok" and rows["many"]["block_accuracy"] is not None
+
+
+def test_wide_blocks_are_projected(wide):
+    """Every wide block ends as a few coordinates; the transform of the fitted rows gives the fitted rows."""
+    model = fit(wide, "id", params=replace(QUICK, narrow=8, n_iterations=1, n_components=2, nca_max_iter=4))
+    assert model.sparse == {} and model.width == 7 and model.latent.columns == ["row_id", "z"]
+    found = {r["id"]: r["z"] for r in model.transform(wide).select("id", "z").collect()}
+    for r in model.latent.collect():
+        assert found[r["row_id"]] == pytest.approx(r["z"])
+    assert model.generate(20).count() == 20
+
+
+def test_label_tree_shares(spark):
+    """Shares of all classes add up to one, a draw gives only known classes, and the context decides."""
+    df = spark.createDataFrame([(i, [float(i % 50)], i % 50) for i in range(400)], "id bigint, x array<double>, idx bigint")
+    tree = decode.fit_label_tree(df, "id", "x", "idx", 50, branches=7, trees=5, depth=12)
+    assert len(tree.levels) == 3 and tree.base == 4
+    each = df.limit(8).select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("n"))
+    sums = tree.share_of(each, "x", "n", "p").groupBy("id").agg(F.sum("p").alias("s")).collect()
+    assert all(r["s"] == pytest.approx(1.0) for r in sums)
+    likely = tree.walk(df, "x", "made", sample=False, seed=1, row="id").collect()
+    assert sum(r["_idx"] == r["idx"] for r in likely) > 200 and all(0 <= r["_idx"] < 50 for r in likely)
+    assert all(0 <= r["_idx"] < 50 for r in tree.walk(df, "x", "made", sample=True, seed=1, row="id").collect())

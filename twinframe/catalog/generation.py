@@ -13,12 +13,12 @@ from twinframe.session import checkpoint
 COLUMNS = ["c_acctbal", "c_nationkey", "c_mktsegment"]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 SEED = 42
-# Forests have the published settings and see all rows. Few projection steps on a small fit sample keep the projected queries quick.
-QUICK = dict(n_components=1, n_neighbours=6, factor=0.25, fit_sample_size=300, nca_max_iter=4)
+# Forests and projections have the published settings; projections are fitted on all rows.
+SETTINGS = dict(n_components=1, n_neighbours=6, factor=0.25, n_iterations=0)
 
 
 def params(**changes) -> model.Params:
-    return model.Params(**{**QUICK, "n_iterations": 0, **changes})
+    return model.Params(**{**SETTINGS, **changes})
 
 
 def customer_model(t: Tables, **changes) -> model.TableModel:
@@ -61,13 +61,33 @@ def _(t: Tables):
     return out.select("side", "id", F.posexplode("z").alias("position", "value"))
 
 
+PARTS = ["p_retailprice", "p_size", "p_type", "p_name"]  # two numbers, two wide categories
+_SLOTS = """SELECT p_partkey, dense_rank() OVER (ORDER BY p_type) - 1 AS a, (SELECT count(DISTINCT p_type) FROM part) + dense_rank() OVER (ORDER BY p_name) - 1 AS b FROM part"""
+
+
+@query("sparse_latent", f"SELECT p_partkey, slot, 1.0::DOUBLE AS value FROM (SELECT p_partkey, a AS slot FROM ({_SLOTS}) UNION ALL SELECT p_partkey, b FROM ({_SLOTS}))")
+def _(t: Tables):
+    z = encode.encode(t.part, encode.fit_encoding(t.part, PARTS, narrow=0))
+    entries = F.arrays_zip(F.col("_slots.indices").alias("slot"), F.col("_slots.values").alias("value"))
+    return z.select("p_partkey", F.explode(entries).alias("e")).select("p_partkey", "e.*")
+
+
+@query("knn_exact_sparse", f"""WITH z AS (SELECT p_partkey AS id, (p_retailprice - (SELECT avg(p_retailprice) FROM part)) / (SELECT stddev_pop(p_retailprice) FROM part) AS x,
+        (p_size - (SELECT avg(p_size) FROM part)) / (SELECT stddev_pop(p_size) FROM part) AS y, p_type AS t, p_name AS n FROM part),
+    pairs AS (SELECT p.id AS src, q.id AS dst, round(sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + 2 * CAST(p.t <> q.t AS INT) + 2 * CAST(p.n <> q.n AS INT)), 9) AS d
+        FROM z p JOIN z q ON p.id <> q.id)
+    SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS rank, {r('d')} AS dist FROM pairs QUALIFY rank <= 4""")
+def _(t: Tables):
+    enc = encode.fit_encoding(t.part, PARTS, narrow=8)
+    z = encode.encode(t.part, enc).select("p_partkey", encode.search_vector(list(enc.slots().values())).alias("v"))
+    return neighbours.knn_exact(checkpoint(z), "p_partkey", "v", 4, metric=neighbours.coded(enc.width))
+
+
 @query("nca_projection")
 def _(t: Tables):
     enc = encode.fit_encoding(t.customer, ["c_acctbal", "c_nationkey"])
     table = encode.encode(t.customer, enc).select("c_custkey", "z", "c_mktsegment")
-    from twinframe.operators.samplers import stratified_fit_sample
-    sample = stratified_fit_sample(table, "c_custkey", "c_mktsegment", 300)
-    matrix = project.nca_fit(sample, "c_custkey", "z", "c_mktsegment", 1, max_iter=5)
+    matrix = project.nca_fit(table, "c_custkey", "z", "c_mktsegment", 1)
     return spread(table.select("c_custkey", project.apply_matrix(F.col("z"), matrix, 2).alias("z")), "c_custkey")
 
 
@@ -277,6 +297,17 @@ def _(t: Tables):
         F.lit(bool(fitted.decoders["c_place"].forests)).alias("fitted"))
 
 
+@query("generate_key_category", "SELECT count(*) AS rows, 0::BIGINT AS unknown, true AS walked FROM part")
+def _(t: Tables):
+    """A category with a key for nearly each row: sparse entries, a label tree, and only known keys come out."""
+    wide = t.part.select("p_partkey", "p_retailprice", "p_size", "p_type", F.concat_ws("-", "p_name", F.pmod("p_partkey", F.lit(1000)).cast("string")).alias("p_key"))
+    fitted = model.fit(wide, "p_partkey", params=params())
+    known = wide.select(F.col("p_key").alias("k"), F.lit(1).alias("known")).distinct()
+    return fitted.generate().join(known, F.col("p_key") == F.col("k"), "left").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("known").isNull(), 1)).alias("unknown"),
+        F.lit(len(fitted.decoders["p_key"].levels) > 1).alias("walked"))
+
+
 @query("make_generator")
 def _(t: Tables):
     fitted = customer_model(t, search="approx")

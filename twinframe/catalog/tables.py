@@ -289,6 +289,12 @@ def _(t: Tables):
                                                   scalars.safe_ratio(F.sum("l_tax"), F.sum("l_discount")).alias("ratio"))
 
 
+@query("safe_mean", "SELECT l_returnflag, " + r("avg(CASE WHEN l_quantity > 10 THEN l_tax END)") + " AS some, NULL::DOUBLE AS none FROM lineitem GROUP BY 1")
+def _(t: Tables):
+    some = F.when(F.col("l_quantity") > 10, F.col("l_tax")).otherwise(F.lit(float("nan")))
+    return t.lineitem.groupBy("l_returnflag").agg(scalars.safe_mean(some).alias("some"), scalars.safe_mean(F.lit(float("nan"))).alias("none"))
+
+
 # ---------------------------------------------------------------- profile
 
 def _profile_sql(table: str, cols: dict[str, str]) -> str:
@@ -343,6 +349,27 @@ def _(t: Tables):
     return profile.encoding_plan(_events(t), {"event_type": 1}).drop("rationale")
 
 
+@query("drop_plan", """SELECT d.* FROM (SELECT 'c_name' AS "column", 'drop' AS action, 'redundant alias or duplicate of the target' AS reason,
+    count(DISTINCT c_name) AS "distinct", count(*) - count(c_name) AS missing FROM customer) d""")
+def _(t: Tables):
+    plan = profile.drop_plan(t.customer, ["c_name", "not_there"])
+    return plan.join(profile.table_profile(t.customer, ["c_name"]).select("column", "distinct", "missing"), "column")
+
+
+_SHARED = {"c_nationkey": True, "c_acctbal": True, "c_name": False}
+
+
+@query("common_columns", " UNION ALL ".join(f"""SELECT '{c}' AS "column", {str(n).lower()} AS is_numeric, count(DISTINCT {c}) AS "distinct" FROM
+    (SELECT {c} FROM customer UNION ALL SELECT {'s' + c[1:]} FROM supplier)""" for c, n in _SHARED.items()))
+def _(t: Tables):
+    """Columns that customers and suppliers share, and their values on both sides."""
+    other = t.supplier.select(*[F.col(c).alias("c" + c[1:]) for c in t.supplier.columns])
+    numeric, categorical = profile.common_names(t.customer, other)
+    both = t.customer.select(*numeric, *categorical).unionByName(other.select(*numeric, *categorical))
+    found = profile.table_profile(both).select("column", F.col("column").isin(numeric).alias("is_numeric"), "distinct")
+    return found
+
+
 @query("high_cardinality_check", " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", count(DISTINCT coalesce({c}, '__MISSING__')) AS "distinct", count(*) AS rows,
     count(DISTINCT coalesce({c}, '__MISSING__')) > greatest(50, CAST(floor(count(*) * 0.3) AS BIGINT)) AS wide FROM customer""" for c in ("c_name", "c_mktsegment")))

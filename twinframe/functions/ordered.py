@@ -1,7 +1,7 @@
 """Global order without a one-task window: dense numbering and prefix sums.
 
-Both split the order into buckets, total the buckets (a small table), turn the totals into offsets and
-finish inside each bucket.  No step sees a whole group in one task, at any size of the input.
+Both split the order into buckets or ranges, total these (a small table), turn the totals into offsets and
+finish inside each.  No step sees more of a group in one task than one bucket or range of it.
 """
 
 from __future__ import annotations
@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from twinframe.session import checkpoint
 
 HASH_DIGITS = 4          # 65,536 buckets for dense numbering: 1.5 million rows each at 10^11 rows
-BUCKET_ROWS = 200_000    # rows aimed at per value range for prefix sums
-MOST_RANGES = 1024       # cuts held for a group
+RANGE_ROWS = 200_000     # rows aimed at per range of a value order
 
 
 def hash_bucket(key: Column, digits: int = HASH_DIGITS) -> Column:
@@ -62,36 +61,34 @@ def smallest(df: DataFrame, u: str, key: str, n: int) -> DataFrame:
 
 
 def prefix_sums(counts: DataFrame, group: Sequence[str], value: str, sums: Sequence[str], *,
-                buckets: int | None = None) -> DataFrame:
+                ranges: int | None = None) -> DataFrame:
     """Running totals of ``sums`` by ascending ``value`` inside ``group``.
 
     ``counts`` holds one row per (group, value), values not null.  Adds ``cum_<s>`` for each sum and
-    ``next_value``, the following value in the group (null for the last).  Bucket bounds are approximate
-    quantiles, as many as the number of rows asks for; the result does not depend on them.
+    ``next_value``, the following value in the group (null for the last).  The order over (group, value) is cut
+    into ranges of about RANGE_ROWS rows, as many as the number of rows asks for; a group may lie in many of them.
+    The result does not depend on the cuts.
     """
     group = list(group)
-    if buckets is None:
+    if ranges is None:
         counts = checkpoint(counts)
-        buckets = min(MOST_RANGES, max(4, -(-counts.count() // BUCKET_ROWS)))
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = counts.groupBy(*group).agg(F.percentile_approx(value, cuts, 1000).alias("_cuts"))
-    marked = counts.join(bounds, group).withColumn(
-        "_b", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))).drop("_cuts")
-    totals = marked.groupBy(*group, "_b").agg(
-        *[F.sum(s).alias(f"_t_{s}") for s in sums], F.min(value).alias("_first"))
-    order = Window.partitionBy(*group).orderBy("_b")
+        ranges = -(-counts.count() // RANGE_ROWS)
+    sized = counts
+    if ranges > 1:  # written, so that a range means the same rows to all that follows
+        sized = checkpoint(counts.repartitionByRange(ranges, *group, value).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy(*group, *(["_part"] if ranges > 1 else [])).orderBy(value)
+    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if ranges <= 1:
+        return sized.select("*", *[F.sum(s).over(running).alias(f"cum_{s}") for s in sums], F.lead(value).over(inside).alias("next_value"))
+    totals = sized.groupBy(*group, "_part").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums], F.min(value).alias("_first"))
+    order = Window.partitionBy(*group).orderBy("_part")  # at most one row a range
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *group, "_b",
+        *group, "_part",
         *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_off_{s}") for s in sums],
         F.lead("_first").over(order).alias("_next_first"))
-    inside = Window.partitionBy(*group, "_b").orderBy(value)
-    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = marked.select(
-        "*", *[F.sum(s).over(running).alias(f"_cum_{s}") for s in sums],
-        F.lead(value).over(inside).alias("_next"))
-    out = local.join(offsets, [*group, "_b"])
-    return out.select(
+    local = sized.select("*", *[F.sum(s).over(running).alias(f"_cum_{s}") for s in sums], F.lead(value).over(inside).alias("_next"))
+    return local.join(offsets, [*group, "_part"]).select(
         *counts.columns,
         *[(F.col(f"_cum_{s}") + F.col(f"_off_{s}")).alias(f"cum_{s}") for s in sums],
         F.coalesce("_next", "_next_first").alias("next_value"))

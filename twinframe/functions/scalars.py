@@ -65,6 +65,12 @@ def safe_ratio(top: Column, bottom: Column) -> Column:
     return F.try_divide(top.cast("double"), bottom.cast("double"))
 
 
+def safe_mean(value: Column) -> Column:
+    """Mean of the numbers that are there, not counting NaN; null when there is none."""
+    number = value.cast("double")
+    return F.avg(F.when(~F.isnan(number), number))
+
+
 def bin_index(value: Column, low: Column, high: Column, bins: int) -> Column:
     """Equal-width bin 0..bins-1; edges belong to the bin on their right, the last bin is closed."""
     width = (high - low) / F.lit(float(bins))

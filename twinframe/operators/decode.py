@@ -14,13 +14,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinframe.functions import rng
+from twinframe.functions import rng, slots
 from twinframe.functions.scalars import array_sum, bind
 from twinframe.operators.samplers import _place_in_class
 from twinframe.session import settle, spread
 
 MAX_DEPTH = 30      # the most the forest trainer accepts
 NEWTON_STEPS = 30   # of the calibration; each is one job for all classes and folds
+BRANCHES = 64       # classes of one forest of a label tree
 
 
 @dataclass
@@ -229,3 +230,70 @@ def decode_categorical(df: DataFrame, decoder: Decoder, context: str | None, nam
     place = choose(F.col("_prob"), u) if sample else F.array_position(F.col("_prob"), F.array_max("_prob")) - 1
     named = class_table(df, decoder.classes, name, "_place")
     return out.withColumn("_place", place.cast("double")).drop("_prob").drop(name).join(named, "_place", "left").drop("_place")
+
+
+@dataclass
+class LabelTree:
+    """A decoder of very many classes: their numbers are written in digits, and one decoder a digit answers given those before it.
+
+    So there are as many forests as digits, whatever the number of classes, no row carries more than BRANCHES shares, and a draw walks
+    down the tree. Classes are numbered in the order of their keys, which a dictionary table (key, idx) holds.
+    """
+
+    count: int
+    base: int
+    levels: list[Decoder]
+    status: str
+
+    @property
+    def forests(self) -> list:
+        return [f for level in self.levels for f in level.forests]
+
+    def shares(self, df: DataFrame, level: int, context: str | None, number: str, name: str) -> DataFrame:
+        """Add the shares of the next digit, given the number ``number`` that the digits so far make; branches without a class have none."""
+        width = len(self.levels)
+        last = (self.count - 1) // self.base ** (width - 1 - level)
+        before = [F.pmod(F.floor(F.col(number) / F.lit(self.base ** (level - 1 - i))), F.lit(self.base)).cast("double") for i in range(level)]
+        x = F.concat(F.col(context) if context else F.array().cast("array<double>"), F.array(*before).cast("array<double>"))
+        out = self.levels[level].probabilities(df.withColumn("_xl", x), "_xl", name).drop("_xl")
+        return out.withColumn(name, F.transform(name, lambda p, j: F.when(F.col(number) * self.base + j <= F.lit(last), p).otherwise(F.lit(0.0))))
+
+    def walk(self, df: DataFrame, context: str | None, name: str, *, sample: bool, seed: int, row: str) -> DataFrame:
+        """Add the class number: a draw at each level, or the most likely branch."""
+        out = df.withColumn("_at", F.lit(0).cast("bigint"))
+        for level in range(len(self.levels)):
+            last = (self.count - 1) // self.base ** (len(self.levels) - 1 - level)
+            out = self.shares(out, level, context, "_at", "_prob")
+            stream = f"decode.{name}" + (f".{level}" if level else "")
+            place = choose(F.col("_prob"), rng.uniform(seed, stream, row)) if sample else F.array_position(F.col("_prob"), F.array_max("_prob")) - 1
+            out = out.withColumn("_at", F.least(F.col("_at") * self.base + place, F.lit(last)).cast("bigint")).drop("_prob")
+        return out.withColumnRenamed("_at", "_idx")
+
+    def share_of(self, df: DataFrame, context: str | None, number: str, name: str) -> DataFrame:
+        """Add the probability of the class whose number is given: the product down its path."""
+        out = df.withColumn("_p", F.lit(1.0))
+        for level in range(len(self.levels)):
+            size = self.base ** (len(self.levels) - 1 - level)
+            out = self.shares(out.withColumn("_at", F.floor(F.col(number) / F.lit(size * self.base))), level, context, "_at", "_prob")
+            digit = F.pmod(F.floor(F.col(number) / F.lit(size)), F.lit(self.base)).cast("int")
+            out = out.withColumn("_p", F.col("_p") * F.get("_prob", digit) / array_sum(F.col("_prob"))).drop("_prob", "_at")
+        return out.withColumnRenamed("_p", name)
+
+
+def fit_label_tree(df: DataFrame, key: str, context: str | None, number: str, count: int, *, branches: int = BRANCHES, **settings) -> LabelTree:
+    """A label tree on rows whose class number (0 to count - 1) is in ``number``; settings are those of fit_decoder."""
+    levels, base = slots.depth(count, branches)
+    names = [f"{i:06d}" for i in range(base)]
+    made = []
+    for level, digit in enumerate(slots.digits(F.col(number), levels, base)):
+        before = slots.digits(F.col(number), levels, base)[:level]
+        x = F.concat(F.col(context) if context else F.array().cast("array<double>"), F.array(*before).cast("array<double>"))
+        rows = df.select(key, x.alias("_xl"), F.lpad(digit.cast("string"), 6, "0").alias("_digit"))
+        made.append(fit_decoder(rows, key, "_xl" if context or level else None, "_digit", names, **settings))
+    return LabelTree(count, base, made, made[0].status)
+
+
+def decode_wide(df: DataFrame, tree: LabelTree, keys: DataFrame, context: str | None, name: str, *, sample: bool, seed: int, row: str = "row") -> DataFrame:
+    """Add the class key ``name`` by a walk down the tree; keys is the dictionary (key, idx)."""
+    out = tree.walk(df, context, name, sample=sample, seed=seed, row=row).drop(name)
+    return out.join(keys.select(F.col("key").alias(name), F.col("idx").alias("_idx")), "_idx", "left").drop("_idx")

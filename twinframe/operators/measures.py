@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from twinframe.functions.ordered import prefix_sums, quantiles
 from twinframe.functions.scalars import bin_index, safe_ratio
-from twinframe.operators.encode import joint_features
+from twinframe.operators.encode import joint_vectors
 from twinframe.operators.neighbours import knn_cross, knn_exact
 from twinframe.operators.profile import (BOOL_IS_NUMERIC, as_double, is_numeric, missing_rate, numeric_names,
                                          side_counts, tagged_union)
+from twinframe.session import checkpoint
 
 BINS = 20               # fixed value: histogram bins
 RARE_SHARE = 0.01       # fixed value: a category at or below this share is rare
@@ -374,10 +375,11 @@ def correlation_difference(real: DataFrame, synthetic: DataFrame, columns: Seque
 def nearest_distances(real: DataFrame, synthetic: DataFrame, *, target: str | None = None, real_id: str,
                       synthetic_id: str) -> DataFrame:
     """(kind, id, dist): nearest real row of each synthetic row, and of each real row other than itself."""
-    rows = joint_features(real, synthetic, target=target, real_id=real_id, synthetic_id=synthetic_id)
+    rows, metric = joint_vectors(real, synthetic, target=target, real_id=real_id, synthetic_id=synthetic_id)
+    rows = checkpoint(rows)
     ours, theirs = rows.filter(F.col("side") == "real"), rows.filter(F.col("side") == "synthetic")
-    across = knn_cross(theirs, "id", ours, "id", "z", 1)
-    natural = knn_exact(ours, "id", "z", 1)
+    across = knn_cross(theirs, "id", ours, "id", "z", 1, metric=metric)
+    natural = knn_exact(ours, "id", "z", 1, metric=metric)
     return across.select(F.lit("synthetic_to_real").alias("kind"), F.col("src").alias("id"), "dist").unionByName(
         natural.select(F.lit("real_to_real").alias("kind"), F.col("src").alias("id"), "dist"))
 

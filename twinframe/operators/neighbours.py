@@ -11,6 +11,9 @@ Cells are a tree of two levels: where a cell of the first level holds more than
 become pivots of the second, so cells stay small as the table grows.  The pivots of the first level are bounded and
 known to the driver, those of the second stay in tables and meet rows and queries by cell.
 
+One-hot blocks need not be written out: under the metric of ``coded(p, weight)`` a vector is p numbers and one code a block, and two codes
+that differ add weight to the squared distance, just as their two slots would (half of it where one code is -1, an unknown key).
+
 Approximate search visits the nearest ``probes`` cells only, and in a cell that was split its nearest ``probes`` parts.
 """
 
@@ -37,9 +40,35 @@ QUERIES = 2048      # query rows per task group
 DIGITS = 9          # distances equal to this many digits are ties, broken by id
 
 
+def coded(numbers: int, weight: float = 2.0) -> str:
+    """Name of the Euclidean metric of vectors whose coordinates from ``numbers`` on are codes."""
+    return f"coded:{numbers}:{weight!r}"
+
+
+def _plain(metric: str, width: int) -> tuple[int, float]:
+    """(coordinates that are numbers, weight of a mismatch of the others)."""
+    if not metric.startswith("coded:"):
+        return width, 0.0
+    _, numbers, weight = metric.split(":")
+    return int(numbers), float(weight)
+
+
+def _mismatch(a: np.ndarray, b: np.ndarray, weight: float) -> np.ndarray:
+    return (a != b) * ((a >= 0).astype(float) + (b >= 0)) * (weight / 2.0)
+
+
 def tile_distances(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndarray:
     """Distances of two row blocks, added up coordinate by coordinate so that equal rows give equal sums."""
     total = np.zeros((len(left), len(right)))
+    if metric.startswith("coded:"):
+        numbers, weight = _plain(metric, left.shape[1])
+        for j in range(left.shape[1]):
+            if j < numbers:
+                gap = left[:, j, None] - right[None, :, j]
+                total += gap * gap
+            else:
+                total += _mismatch(left[:, j, None], right[None, :, j], weight)
+        return np.sqrt(total)
     for j in range(left.shape[1]):
         gap = left[:, j, None] - right[None, :, j]
         if metric == "manhattan":
@@ -76,19 +105,25 @@ def _tile_candidates(left: np.ndarray, right: np.ndarray, keep: int, metric: str
     Euclidean tiles are screened with one matrix product; what passes, with room for its rounding error, is
     measured coordinate by coordinate.
     """
-    if metric in ("euclidean", "cosine"):
-        centre = right.mean(axis=0)
-        a, b = left - centre, right - centre
+    if metric in ("euclidean", "cosine") or metric.startswith("coded:"):
+        numbers, weight = _plain(metric, left.shape[1])
+        centre = right[:, :numbers].mean(axis=0)
+        a, b = left[:, :numbers] - centre, right[:, :numbers] - centre
         na, nb = (a * a).sum(axis=1), (b * b).sum(axis=1)
         rough = na[:, None] + nb[None, :] - 2.0 * (a @ b.T)
+        for j in range(numbers, left.shape[1]):
+            rough += _mismatch(left[:, j, None], right[None, :, j], weight)
         edge = np.maximum(np.partition(rough, keep - 1, axis=1)[:, keep - 1], 0.0)
         room = 1e-11 * (na + nb.max()) + 10.0 ** (1 - DIGITS) * (np.sqrt(edge) + 1.0)
         rows, cols = np.nonzero(rough <= (edge + room)[:, None])
         total = np.zeros(len(rows))
         for j in range(left.shape[1]):
-            gap = left[rows, j] - right[cols, j]
-            total += gap * gap
-        return rows, cols, np.round(np.sqrt(total) if metric == "euclidean" else total / 2.0, DIGITS)
+            if j < numbers:
+                gap = left[rows, j] - right[cols, j]
+                total += gap * gap
+            else:
+                total += _mismatch(left[rows, j], right[cols, j], weight)
+        return rows, cols, np.round(total / 2.0 if metric == "cosine" else np.sqrt(total), DIGITS)
     if metric == "inner_product":
         dist = -np.round(left @ right.T, DIGITS)
     else:
@@ -243,7 +278,7 @@ def _other_cells(queries: DataFrame, pivots: np.ndarray, radii: np.ndarray, metr
             limit = _as_bound(batch["ub"].to_numpy(dtype=float), metric)
             slack = 1e-7 * (1.0 + np.abs(d).max(axis=1))
             nearest = d - radii[None, :]
-            if bound == "euclidean":
+            if bound == "euclidean" or bound.startswith("coded:"):  # both lie in a Euclidean space
                 gap = between[home]
                 with np.errstate(divide="ignore", invalid="ignore"):
                     plane = np.where(gap > 0, (d * d - own[:, None] ** 2) / (2.0 * gap), 0.0)
@@ -348,7 +383,7 @@ def _search(points: DataFrame, data: DataFrame, need: int, metric: str, probes:
 def _check(k: int, metric: str, allowed) -> None:
     if k < 1:
         raise ValueError("k must be at least 1.")
-    if metric not in allowed:
+    if metric not in allowed and not metric.startswith("coded:"):
         raise ValueError(f"Unknown metric {metric!r}; expected one of {allowed}.")
 
 

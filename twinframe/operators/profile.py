@@ -30,6 +30,13 @@ def numeric_names(df: DataFrame, rule: str = BOOL_IS_CATEGORY, exclude: Sequence
     return [f.name for f in df.schema.fields if is_numeric(f, rule) and f.name not in exclude]
 
 
+def common_names(left: DataFrame, right: DataFrame, rule: str = BOOL_IS_NUMERIC, exclude: Sequence[str] = ()) -> tuple[list[str], list[str]]:
+    """(numeric, categorical): the columns both tables have, in the order of the left one; a number in both counts as numeric."""
+    shared = [c for c in left.columns if c in right.columns and c not in exclude]
+    numeric = set(numeric_names(left, rule)) & set(numeric_names(right, rule))
+    return [c for c in shared if c in numeric], [c for c in shared if c not in numeric]
+
+
 def as_double(df: DataFrame, name: str) -> Column:
     """Number of a column, bool as 0/1, text by lenient cast."""
     kind = df.schema[name].dataType

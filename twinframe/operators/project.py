@@ -2,93 +2,238 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinframe.functions import rng
+from twinframe.functions.ordered import dense_index
 from twinframe.functions.scalars import dot
-from twinframe.session import spread
-
-MAX_FIT_BYTES = 512 << 20  # vectors of the fit sample that are sent to every task; checked before they are fetched
-TILE = 1 << 22             # distances held at once
-
-
-def agreement_block(rows: np.ndarray, labels: np.ndarray, places: np.ndarray, everyone: np.ndarray, classes: np.ndarray,
-                    matrix: np.ndarray) -> tuple[float, np.ndarray]:
-    """Soft leave-one-out class agreement of a block of rows against all rows, and its gradient."""
-    a, b = rows @ matrix.T, everyone @ matrix.T
-    gap = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
-    gap[np.arange(len(rows)), places] = np.inf
-    gap -= gap.min(axis=1, keepdims=True)
-    p = np.exp(-gap)
-    p /= p.sum(axis=1, keepdims=True)
-    same = labels[:, None] == classes[None, :]
-    agree = (p * same).sum(axis=1)
-    w = p * (agree[:, None] - same)
-    scatter = ((rows * w.sum(axis=1)[:, None]).T @ rows + (everyone * w.sum(axis=0)[:, None]).T @ everyone
-               - rows.T @ w @ everyone - everyone.T @ w.T @ rows)
-    return float(agree.sum()), 2.0 * matrix @ scatter
-
-
-def nca_fit(sample: DataFrame, key: str, context: str, label: str, width: int, *, max_iter: int = 100,
-            tolerance: float = 1e-5) -> np.ndarray | None:
-    """(width x context) matrix maximising agreement on the fit sample; None when there is nothing to learn.
-
-    Loss and gradient are sums over blocks of rows, computed by tasks against the broadcast sample.  Ascent by
-    gradient with a step that grows on success and halves on failure, from the principal directions.
+from twinframe.operators.neighbours import knn_exact
+from twinframe.session import checkpoint, spread
+
+MAX_COORDINATES = 1_000_000  # of a context: the matrix and its gradient are held by the driver and by each task
+NEAR, FAR = 32, 32           # partners of a row: its nearest under the current projection, and rows drawn from all others
+REFRESH = 4                  # steps before partners are looked for anew; each time twice as many as before
+MEMORY = 8                   # steps the ascent looks back on
+POWER_ROUNDS = 8             # of the principal directions
+
+
+class Vectors:
+    """Contexts of a batch: written-out coordinates and, behind them, sparse ones."""
+
+    def __init__(self, dense: pa.Array, sparse: pa.Array | None, total: int):
+        self.n, self.total = len(dense), total
+        flat = dense.flatten().to_numpy(zero_copy_only=False)
+        self.width = len(flat) // self.n if self.n else 0
+        self.dense = flat.reshape(self.n, self.width)
+        self.row = self.number = np.zeros(0, np.int64)
+        self.value = np.zeros(0)
+        if sparse is not None and self.n:
+            lists = sparse.field("indices")
+            self.row = np.repeat(np.arange(self.n), np.diff(lists.offsets.to_numpy()))
+            self.number = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + self.width
+            self.value = sparse.field("values").flatten().to_numpy(zero_copy_only=False)
+
+    def times(self, matrix: np.ndarray) -> np.ndarray:
+        """Rows times the transposed matrix."""
+        out = self.dense @ matrix[:, :self.width].T
+        for j, line in enumerate(matrix):
+            out[:, j] += np.bincount(self.row, self.value * line[self.number], minlength=self.n)
+        return out
+
+    def back(self, u: np.ndarray) -> np.ndarray:
+        """The sum over rows of u times the row: (columns of u, coordinates)."""
+        out = np.zeros((u.shape[1], self.total))
+        out[:, :self.width] = u.T @ self.dense
+        for j in range(u.shape[1]):
+            out[j, self.width:] = np.bincount(self.number - self.width, self.value * u[self.row, j], minlength=self.total - self.width)
+        return out
+
+
+def agreement(own: Vectors, partners: Vectors, counts: np.ndarray, same: np.ndarray, weight: np.ndarray, matrix: np.ndarray) -> tuple[float, np.ndarray]:
+    """Soft class agreement of rows with their partners, and its gradient.
+
+    Row i has the next counts[i] partners, at least one. A partner is chosen with a chance that falls with the squared distance of
+    the projections; weight tells how many rows it stands for.
     """
-    spark = sample.sparkSession
-    size = sample.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(context)).alias("w")).first()
-    if size["n"] * max(size["w"] or 0, 0) * 8 > MAX_FIT_BYTES:
-        raise ValueError(f"The vectors of the projection fit sample exceed {MAX_FIT_BYTES} bytes: set a fit sample size.")
-    listed = sample.select(F.col(key).cast("string").alias("k"), F.col(context).cast("array<double>").alias("x"), F.col(label).alias("y")).orderBy("k").toArrow()
-    everyone = listed.column("x").combine_chunks().flatten().to_numpy().reshape(listed.num_rows, size["w"] or 0)
-    classes = listed.column("y").to_numpy()
-    if everyone.shape[1] == 0 or len(set(classes)) < 2:
+    a, b = own.times(matrix), partners.times(matrix)
+    row = np.repeat(np.arange(own.n), counts)
+    first = np.cumsum(counts) - counts
+    gap = a[row] - b
+    pull = np.log(weight) - (gap * gap).sum(axis=1)
+    p = np.exp(pull - np.maximum.reduceat(pull, first)[row])
+    p /= np.add.reduceat(p, first)[row]
+    agree = np.add.reduceat(p * same, first)
+    moved = (p * (agree[row] - same))[:, None] * gap
+    return float(agree.sum()), 2.0 * (own.back(np.add.reduceat(moved, first, axis=0)) - partners.back(moved))
+
+
+def summed(df: DataFrame, work: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all batches of a vector of numbers; each task sends its own sum once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += work(batch)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["i", "v"])
+    out = np.zeros(size)
+    for r in df.mapInArrow(run, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r["i"]] = r["v"]
+    return out
+
+
+def _vectors(struct: pa.StructArray, sparse: bool, total: int) -> Vectors:
+    return Vectors(struct.field("x"), struct.field("s") if sparse else None, total)
+
+
+def principal_directions(table: DataFrame, sparse: bool, rows: int, total: int, k: int) -> np.ndarray:
+    """(k x total) leading directions of the centred vectors of (v), by repeated products with all rows."""
+    ones = lambda batch: _vectors(batch.column(0), sparse, total).back(np.ones((batch.num_rows, 1))).ravel()
+    mean = summed(table.select("v"), ones, total) / rows
+    wide = min(k + 4, total)
+    q = np.linalg.qr(np.random.default_rng(0).normal(size=(total, wide)))[0]
+    for _ in range(POWER_ROUNDS):
+        def product(batch: pa.RecordBatch, q: np.ndarray = q) -> np.ndarray:
+            v = _vectors(batch.column(0), sparse, total)
+            y = v.times(q.T) - mean @ q
+            return np.append((v.back(y) - np.outer(y.sum(axis=0), mean)).ravel(), (y.T @ y).ravel())
+        found = summed(table.select("v"), product, wide * total + wide * wide)
+        _, turn = np.linalg.eigh(found[wide * total:].reshape(wide, wide))
+        lead = (q @ turn[:, ::-1]).T  # under the q that the products were made with
+        q = np.linalg.qr(found[:wide * total].reshape(wide, total).T)[0]
+    flip = np.sign(lead[np.arange(wide), np.abs(lead).argmax(axis=1)])
+    return (lead * np.where(flip == 0, 1.0, flip)[:, None])[:k]
+
+
+def partners(table: DataFrame, matrix: np.ndarray, rows: int, sparse: bool, total: int, near: int, far: int, seed: int, turn: int) -> DataFrame:
+    """(v, others): each row with its partners (far, same, x, s), written: near ones and drawn ones that are not among them.
+
+    ``table`` holds (no, v, label), rows numbered from 0.
+    """
+    placed = checkpoint(project(table.select("no", "v.*"), matrix, len(matrix)).select("no", "y"))
+    close = checkpoint(knn_exact(placed, "no", "y", near).select("src", "dst"))
+    pairs = close.withColumn("far", F.lit(False))
+    if far:
+        drawn = table.select(F.col("no").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(far - 1))).alias("_j")).select(
+            "src", rng.uniform_index(rows, seed, f"nca.{turn}", "src", "_j").alias("dst")).filter("src <> dst")
+        pairs = pairs.unionByName(drawn.join(close, ["src", "dst"], "left_anti").withColumn("far", F.lit(True)))
+    ends = table.select(F.col("no").alias("dst"), "v", F.col("label").alias("_other"))
+    lists = pairs.join(ends, "dst").groupBy("src").agg(F.collect_list(F.struct("far", "_other", "v")).alias("others"))
+    met = table.join(lists, F.col("no") == F.col("src"))
+    return checkpoint(met.select("v", F.transform("others", lambda o: F.struct(o["far"].alias("far"), (o["_other"] == F.col("label")).alias("same"), o["v"].alias("v"))).alias("others")))
+
+
+def nca_fit(rows: DataFrame, key: str, context: str, label: str, width: int, *, sparse: str | None = None, slot_count: int = 0,
+            max_iter: int = 100, tolerance: float = 1e-5, near: int = NEAR, far: int = FAR, seed: int = 42) -> np.ndarray | None:
+    """(width x context) matrix maximising the soft class agreement of all rows; None when there is nothing to learn.
+
+    A row's chance to choose another falls with their projected distance. Its nearest rows under the current projection count
+    each, the others through some that are drawn from them, each of which stands for its share; where both together are all others, all
+    count and the result is exact. Partners are written next to their row, so a step is one pass over them without a shuffle, and
+    looked for anew after 4, 8, 16, ... further steps, or when nothing more is gained. Ascent by limited-memory quasi-Newton steps from the principal directions.
+    The context may have sparse entries behind its coordinates.
+    """
+    v = F.struct(F.col(context).cast("array<double>").alias("x"), *([F.col(sparse).alias("s")] if sparse else []))
+    listed = rows.select(F.col(key).cast("string").alias("_id"), v.alias("v"), F.col(label).alias("label"))
+    table = checkpoint(dense_index(listed, "_id", name="no").select("no", "v", "label"))
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v.x")).alias("w"), F.min("label").alias("a"), F.max("label").alias("b")).first()
+    n, total = size["n"], max(size["w"] or 0, 0) + slot_count
+    if total == 0 or size["a"] == size["b"]:
         return None
-    k = min(width, everyone.shape[1])
-    places = spread(spark.range(listed.num_rows).withColumnRenamed("id", "place"))
-    shared = spark.sparkContext.broadcast((everyone, classes))
-    centred = everyone - everyone.mean(axis=0)
-    _, _, directions = np.linalg.svd(centred, full_matrices=False)
-    matrix = directions[:k].copy()
-
-    def evaluate(m: np.ndarray) -> tuple[float, np.ndarray]:
-        def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rows, labels = shared.value
-            total, slope, many = 0.0, np.zeros_like(m), max(1, TILE // len(labels))
-            for batch in batches:
-                for at in range(0, len(batch), many):
-                    some = batch["place"].to_numpy()[at:at + many]
-                    f, g = agreement_block(rows[some], labels[some], some, rows, labels, m)
-                    total, slope = total + f, slope + g
-            yield pd.DataFrame({"i": np.arange(-1, m.size), "v": np.append(total, slope.ravel())})
-        out = np.zeros(m.size + 1)
-        for r in places.mapInPandas(block, "i bigint, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
-            out[r["i"] + 1] = r["v"]
-        return float(out[0]), out[1:].reshape(m.shape)
-
-    value, slope = evaluate(matrix)
-    step = 1.0 / max(np.abs(slope).max(), 1e-12)
-    for _ in range(max_iter):
-        trial = matrix + step * slope
-        f, g = evaluate(trial)
-        if f > value:
-            gain, matrix, value, slope, step = f - value, trial, f, g, step * 1.5
-            if gain < tolerance * max(abs(value), 1.0):
-                break
+    if total > MAX_COORDINATES:
+        raise ValueError(f"A context of more than {MAX_COORDINATES} coordinates cannot be projected: drop or recode its widest columns.")
+    k, has = min(width, total), sparse is not None
+    if n - 1 <= near + far:
+        near, far = n - 1, 0
+    matrix = principal_directions(table, has, n, total, k)
+    shape = matrix.shape
+    stands = max(n - 1 - near, 0)
+
+    def evaluate(tiles: DataFrame, m: np.ndarray) -> tuple[float, np.ndarray]:
+        def work(batch: pa.RecordBatch) -> np.ndarray:
+            others = batch.column(1)
+            counts, flat = np.diff(others.offsets.to_numpy()), others.flatten()
+            distant = flat.field("far").to_numpy(zero_copy_only=False)
+            first = np.cumsum(counts) - counts
+            drawn = np.repeat(np.add.reduceat(distant.astype(float), first), counts)
+            weight = np.where(distant, stands / np.maximum(drawn, 1.0), 1.0)
+            f, g = agreement(_vectors(batch.column(0), has, total), _vectors(flat.field("v"), has, total), counts,
+                             flat.field("same").to_numpy(zero_copy_only=False), weight, m.reshape(shape))
+            return np.append(f, g.ravel())
+        found = summed(tiles, work, 1 + m.size)
+        return found[0], found[1:]
+
+    point, step, spans, turn = matrix.ravel(), 0, REFRESH, 0
+    while step < max_iter:
+        tiles = checkpoint(spread(partners(table, point.reshape(shape), n, has, total, near, far, seed, turn)))
+        point, made, settled = ascend(lambda m: evaluate(tiles, m), point, min(spans, max_iter - step) if far else max_iter, tolerance)
+        if settled and (made <= 2 or not far):  # nothing was gained from new partners
+            break
+        step, spans, turn = step + spans, spans * 2, turn + 1
+    return point.reshape(shape)
+
+
+def ascend(evaluate: Callable[[np.ndarray], tuple[float, np.ndarray]], point: np.ndarray, steps: int, tolerance: float) -> tuple[np.ndarray, int, bool]:
+    """(point, evaluations, whether nothing more is gained): quasi-Newton ascent that halves a step until the value grows."""
+    value, slope = evaluate(point)
+    pairs, made = [], 1
+    while made <= steps:
+        direction, kept = slope.copy(), []
+        for s, y in reversed(pairs):
+            share = s @ direction / (s @ y)
+            kept.append(share)
+            direction -= share * y
+        if pairs:
+            s, y = pairs[-1]
+            direction *= abs(s @ y) / (y @ y)
+            for (s, y), share in zip(pairs, reversed(kept)):
+                direction += s * (share - y @ direction / (s @ y))
         else:
-            step *= 0.4
-            if step * np.abs(slope).max() < 1e-9:
+            direction /= max(np.abs(slope).max(), 1e-12)
+        length = 1.0
+        while made <= steps:
+            trial = point + length * direction
+            f, g = evaluate(trial)
+            made += 1
+            if f > value:
                 break
-    shared.unpersist()
-    return matrix
+            length *= 0.4
+            if length * np.abs(direction).max() < 1e-9:
+                return point, made, True
+        else:
+            return point, made, False
+        moved, bent, gain = trial - point, slope - g, f - value
+        point, value, slope = trial, f, g
+        if moved @ bent > 1e-12 * (moved @ moved):  # the value bends downwards along the step
+            pairs = [*pairs, (moved, bent)][-MEMORY:]
+        if gain < tolerance * max(abs(value), 1.0):
+            return point, made, True
+    return point, made, False
+
+
+def project(df: DataFrame, matrix: np.ndarray | None, k: int, *, x: str = "x", sparse: str = "s", name: str = "y") -> DataFrame:
+    """df with the projected context, zero padded to k values; no matrix gives zeros.
+
+    Where df has sparse entries, the matrix goes on over them behind the written-out context.
+    """
+    if matrix is None or sparse not in df.columns:
+        return df.withColumn(name, apply_matrix(F.col(x), matrix, k))
+    whole = df.sparkSession.sparkContext.broadcast(np.ascontiguousarray(matrix))  # at most MAX_COORDINATES columns
+
+    @F.arrow_udf("array<double>")
+    def projected(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for dense, entries in batches:
+            out = Vectors(dense, entries, whole.value.shape[1]).times(whole.value)
+            out = np.concatenate([out, np.zeros((len(out), k - out.shape[1]))], axis=1)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, k), pa.int32()), pa.array(out.ravel()))
+    return df.withColumn(name, projected(F.col(x), F.col(sparse)))
 
 
 def apply_matrix(context: Column, matrix: np.ndarray | None, width: int) -> Column:

@@ -12,9 +12,9 @@ from twinframe.functions import rng
 from twinframe.functions.normal import normal_cdf, normal_quantile
 from twinframe.functions.ordered import dense_index, prefix_sums, smallest
 from twinframe.functions.scalars import bind, category_key
-from twinframe.operators.encode import fit_encoding, fit_medians, one_hot
+from twinframe.operators.encode import fit_encoding, fit_medians, with_codes
 from twinframe.operators.measures import average_ranks
-from twinframe.operators.neighbours import knn_exact
+from twinframe.operators.neighbours import coded, knn_exact
 from twinframe.operators.profile import as_double, numeric_names
 from twinframe.session import checkpoint, spread
 
@@ -76,7 +76,7 @@ def stratified_columns(df: DataFrame, key: str, target: str, columns: Sequence[s
     return out.select("row", *[c for c in columns])
 
 
-POSITION_BUCKETS = 1024  # sorted places are looked up inside this many ranges per column
+PLACES = 100_000  # sorted places that are looked up together
 
 
 def _empirical_quantile(asked: DataFrame, long: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def _empirical_quantile(asked: DataFrame, long: DataFrame) -> DataFrame:
     """
     counts = long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
-    width = F.ceil(F.col("total") / F.lit(POSITION_BUCKETS)).cast("bigint")
+    width = F.lit(PLACES).cast("bigint")
     owned = prefix_sums(counts, ["column"], "value", ["n"]).join(totals, "column").withColumn(
         "start", F.col("cum_n") - F.col("n")).withColumn("w", width)
     entry = F.struct("value", "next_value", "cum_n")
@@ -279,13 +279,12 @@ def smote_interpolate(df: DataFrame, key: str, target: str, columns: Sequence[st
     smallest_class = sizes.agg(F.min_by("_cls", F.struct("size", "_cls"))).first()[0]
     spreads = rows.filter(F.col("_cls") == smallest_class).agg(*[F.stddev_pop(c).alias(c) for c in numeric] or [F.lit(1.0)]).first()
     penalty = float(np.median([x or 0.0 for x in spreads])) if numeric else 1.0
-    # Half the squared penalty per 0/1 slot: a mismatch differs in two slots.
-    parts = [F.array(*[F.col(c) for c in numeric])] if numeric else []
-    if categorical:
-        enc = fit_encoding(rows, categorical, kinds=([], categorical))
-        parts += [F.transform(one_hot(rows, enc, c), lambda x: x * F.lit(penalty / np.sqrt(2.0))) for c in categorical]
-    placed = checkpoint(rows.withColumn("_z", F.concat(*parts)))
-    edges = checkpoint(knn_exact(placed, key, "_z", k, within="_cls"))
+    codes = [f"_code_{i}" for i in range(len(categorical))]
+    placed = rows
+    if categorical:  # one code a category, whatever its number of keys
+        placed = with_codes(rows, fit_encoding(rows, categorical, kinds=([], categorical), narrow=0), categorical, codes)
+    placed = checkpoint(placed.withColumn("_z", F.array(*numeric, *[F.col(c).cast("double") for c in codes])).drop(*codes))
+    edges = checkpoint(knn_exact(placed, key, "_z", k, metric=coded(len(numeric), penalty * penalty) if categorical else "euclidean", within="_cls"))
     degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     # Every class short of the largest lists its draws, in two steps so that no row holds a long list.
     short = sizes.filter(F.col("size") < largest).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(largest - 1) - F.col("size"), F.lit(DRAW_CHUNK).cast("bigint"))))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinframe.functions import rng
+from twinframe.functions import rng, slots
 from twinframe.functions.ordered import dense_index, quantiles
 from twinframe.functions.scalars import bind, category_key
 from twinframe.session import checkpoint
@@ -86,17 +86,19 @@ def transport_draws(edges: DataFrame, draws: DataFrame, seed: int = 42, *, class
 def transport_candidates(latent: DataFrame, key: str, edges: DataFrame, draws: DataFrame, *, seed: int = 42,
                          factor: float = 1.0, min_factor: float = 1.0, z: str = "z",
                          classes: DataFrame | None = None, target: str | None = None) -> DataFrame:
-    """(row, attempt, anchor, b, c, z) with z = A + alpha (C - B), alpha uniform between the two factors."""
+    """(row, attempt, anchor, b, c, z) with z = A + alpha (C - B), alpha uniform between the two factors; sparse entries move alike."""
     if factor < min_factor:
         raise ValueError("factor must not be below min_factor.")
     chosen = transport_draws(edges, draws, seed, classes=classes, target=target)
-    for name, col in (("anchor", "_za"), ("b", "_zb"), ("c", "_zc")):
-        chosen = chosen.join(latent.select(F.col(key).alias(name), F.col(z).alias(col)), name)
+    sparse = slots.NAME in latent.columns
+    for name, end in (("anchor", "a"), ("b", "b"), ("c", "c")):
+        chosen = chosen.join(latent.select(F.col(key).alias(name), F.col(z).alias(f"_z{end}"), *([F.col(slots.NAME).alias(f"_s{end}")] if sparse else [])), name)
     alpha = (rng.uniform(seed, "alpha", "row", "attempt") * (factor - min_factor) + min_factor
              if factor > min_factor else F.lit(float(factor)))
     step = F.zip_with("_zc", "_zb", lambda c, b: c - b)
     moved = bind(alpha, lambda f: F.zip_with(F.col("_za"), step, lambda a, s: a + f * s))
-    return chosen.select("row", "attempt", "anchor", "b", "c", moved.alias(z))
+    entries = [bind(alpha, lambda f: slots.moved(F.col("_sa"), F.col("_sb"), F.col("_sc"), f)).alias(slots.NAME)] if sparse else []
+    return chosen.select("row", "attempt", "anchor", "b", "c", moved.alias(z), *entries)
 
 
 def quantile_bounds(latent: DataFrame, coordinates: Sequence[int], q: float | None, z: str = "z") -> dict[int, tuple[float, float]]:
@@ -124,7 +126,7 @@ def within_bounds(bounds: dict[int, tuple[float, float]], z: str = "z") -> Colum
 def generate_latent(latent: DataFrame, key: str, edges: DataFrame, n: int, *, seed: int = 42, factor: float = 1.0,
                     min_factor: float = 1.0, bounds: dict[int, tuple[float, float]] | None = None, retries: int = 5,
                     z: str = "z", classes: DataFrame | None = None, target: str | None = None, first_round: int = 1) -> DataFrame:
-    """(row, attempt, accepted, anchor, b, c, z): the first attempt inside the bounds, else the last one.
+    """(row, attempt, accepted, anchor, b, c, z): the first attempt inside the bounds, else the last one; with sparse entries where the latent rows have them.
 
     Each attempt draws a new anchor at its own address, so the answer does not depend on how many attempts are
     looked at together: they go in growing rounds over the rows still refused, the first of ``first_round`` attempts.

@@ -13,17 +13,19 @@ from pyspark.sql import functions as F
 
 from twinframe.operators import clean, measures, samplers, scores
 from twinframe.operators.decode import MAX_DEPTH, class_table, forest, numbered_classes
-from twinframe.operators.encode import Encoding, encode, fit_encoding, most_frequent
+from twinframe.operators.encode import Encoding, encode, fit_encoding, most_frequent, tree_features
 from twinframe.operators.profile import BOOL_IS_NUMERIC, numeric_names
 from twinframe.plans.model import Params, TableModel, fit
 from twinframe.session import checkpoint, settle, side_by_side
 
 LEAF = 3  # fixed value: smallest leaf of the judging forests
+MOST_LEAVES = 100_000  # of a judging tree: the smallest leaf grows with the rows, so a fitted forest does not
+MOST_CLASSES = 10_000  # of a judged target
 
 
 @dataclass
 class Preprocessor:
-    """Median and scale for numbers, most frequent category and one-hot for the rest; bool is a number."""
+    """Median and scale for numbers, most frequent category and one-hot for the rest, digits of the key for a wide one; bool is a number."""
 
     modes: dict[str, str]
     encoding: Encoding
@@ -41,20 +43,27 @@ class Preprocessor:
         return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(modes.get(c))) for c in categorical})
 
     def transform(self, df: DataFrame, name: str = "x") -> DataFrame:
-        return encode(self._filled(df, self.modes, self.encoding.categorical), self.encoding, name=name)
+        return tree_features(encode(self._filled(df, self.modes, self.encoding.categorical), self.encoding, name=name), self.encoding, name)
 
 
 def forest_predictions(train: DataFrame, test: DataFrame, x: str, y: str, *, task: str = "classification",
                        trees: int = 100, depth: int = MAX_DEPTH, leaf: int = LEAF, seed: int = 42):
-    """Test rows with ``pred`` (and ``p`` over the returned class list) of a forest fitted on the training rows."""
+    """Test rows with ``pred`` (and ``p`` over the returned class list) of a forest fitted on all training rows.
+
+    The trainer adds up histograms level by level. A leaf holds at least ``leaf`` rows, and at least one in MOST_LEAVES of all, so what
+    goes to the driver and the executors is bounded by the number of trees at any number of rows.
+    """
     ready = lambda d: d.withColumn("_x", array_to_vector(F.when(F.size(x) > 0, F.col(x)).otherwise(F.array(F.lit(0.0)))))
     train = settle(train.select(x, y), x, y)
+    leaf = max(leaf, -(-train.count() // MOST_LEAVES))
     if task == "regression":
         model = RandomForestRegressor(featuresCol="_x", labelCol="_y", predictionCol="pred", numTrees=trees,
                                       maxDepth=min(depth, MAX_DEPTH), minInstancesPerNode=leaf, seed=seed)
         fitted = model.fit(ready(train).withColumn("_y", F.col(y).cast("double")))
         return fitted.transform(ready(test)).drop("_x"), []
-    classes = sorted(r[0] for r in train.filter(F.col(y).isNotNull()).select(F.col(y).cast("string")).distinct().collect())
+    classes = sorted(r[0] for r in train.filter(F.col(y).isNotNull()).select(F.col(y).cast("string")).distinct().limit(MOST_CLASSES + 1).collect())
+    if len(classes) > MOST_CLASSES:
+        raise ValueError(f"More than {MOST_CLASSES} classes of {y!r}: recode it.")
     numbered = settle(numbered_classes(train.filter(F.col(y).isNotNull()), F.col(y).cast("string"), classes), x, y)
     fitted = forest(trees, depth, leaf, seed).fit(ready(numbered))
     out = fitted.transform(ready(test)).withColumn("p", vector_to_array("probability")).join(

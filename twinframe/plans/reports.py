@@ -8,8 +8,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinframe.functions import slots
 from twinframe.functions.scalars import MISSING, category_key
 from twinframe.operators import clean, manifold, neighbours, samplers, scores
+from twinframe.operators.decode import LabelTree
 from twinframe.operators.project import pca_projection
 from twinframe.plans.evaluate import Preprocessor, forest_predictions, forest_scores
 from twinframe.plans.model import Params, TableModel, fit
@@ -55,7 +57,7 @@ def split_tables(df: DataFrame, row_id: str, target: str | None, seed: int) -> t
 def _column_facts(model: TableModel, train: DataFrame, test: DataFrame, dataset: str, column: str, n_train: int, n_test: int) -> dict:
     missing = train.agg(F.avg(F.col(column).isNull().cast("double"))).first()[0]
     return {"dataset": dataset, "column": column, "block_width": model.blocks[column][1], "missing_rate": missing,
-            "cardinality": len(model.encoding.categories[column]), "n_train": n_train, "n_test": n_test}
+            "cardinality": model.encoding.cardinality(column), "n_train": n_train, "n_test": n_test}
 
 
 def mechanism_report(model: TableModel, train: DataFrame, test: DataFrame, dataset: str, **settings) -> DataFrame:
@@ -66,15 +68,18 @@ def mechanism_report(model: TableModel, train: DataFrame, test: DataFrame, datas
     tables = {}
     for name, df in (("train", train), ("test", test)):
         keys = [category_key(F.col(c)).alias(f"_k_{c}") for c in model.encoding.categorical]
-        tables[name] = checkpoint(model.transform(df.select(*model.encoding.columns, *keys)).select("z", *[f"_k_{c}" for c in model.encoding.categorical]))
+        tables[name] = checkpoint(model.transform(df.select(*model.encoding.columns, *keys)).select(*model.parts, *[f"_k_{c}" for c in model.encoding.categorical]))
 
     def judge(c: str) -> DataFrame:
         facts = _column_facts(model, train, test, dataset, c, n_train, n_test)
         if facts["cardinality"] < 2:
             return report_row(spark, MECHANISM, {**facts, "reason": "one_train_class"})
         start, width = model.blocks[c]
-        context = model.context(c)
-        view = {k: t.select(F.col(f"_k_{c}").alias("y"), F.slice("z", start + 1, width).alias("block"),
+        context, block = model.context(c), F.slice("z", start + 1, width)
+        if c in model.sparse:  # a wide block that no step projected: the digits of its key
+            digits = slots.features(F.col(slots.NAME), [model.sparse[c]], model.params.narrow)
+            width, block = len(digits), F.array(*digits)
+        view = {k: t.select(F.col(f"_k_{c}").alias("y"), block.alias("block"),
                             (context if context is not None else F.array(F.lit(0.0))).alias("context")) for k, t in tables.items()}
         pca = {k: pca_projection(t, "context", width, "pca", train=view["train"]) for k, t in view.items()}
         found = {"majority_accuracy": scores.majority_baseline(view["train"], view["test"], "y").first()[0]}
@@ -100,11 +105,27 @@ def decoder_calibration_report(model: TableModel, train: DataFrame, test: DataFr
         facts["cardinality_bucket"] = "binary" if n <= 2 else "low" if n <= 10 else "medium" if n <= 50 else "high"
         context = model.context(c)
         table = z.select(category_key(F.col(c)).alias("y"), *([] if context is None else [context.alias("x")]))
+        if isinstance(decoder, LabelTree):
+            rows.append(report_row(spark, CALIBRATION, {**_tree_scores(table, decoder, model.encoding.keys(c), context is not None), **facts, "reason": "ok"}))
+            continue
         found = scores.calibration_scores(decoder.probabilities(table, "x", "p"), "y", "p", decoder.classes).first().asDict()
         rows.append(report_row(spark, CALIBRATION, {**found, **facts, "reason": "ok"}))
     return stack(rows, spark, CALIBRATION)
 
 
+def _tree_scores(table: DataFrame, tree: LabelTree, keys: DataFrame, has_context: bool) -> dict:
+    """What can be said of a label tree without the shares of all classes; a key that was never fitted has share 0."""
+    x = "x" if has_context else None
+    known = table.withColumn("_row", F.monotonically_increasing_id()).join(keys.select(F.col("key").alias("y"), F.col("idx").alias("true")), "y", "left")
+    walked = checkpoint(tree.walk(known, x, "y", sample=False, seed=0, row="_row").withColumnRenamed("_idx", "likely"))
+    shares = tree.share_of(tree.share_of(walked, x, "likely", "top"), x, "true", "p")
+    p = F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(1e-15))
+    found = shares.agg(F.avg((F.col("likely").eqNullSafe(F.col("true"))).cast("double")).alias("accuracy"), F.avg("top").alias("mean_top_confidence"),
+                       F.avg(-F.log(p)).alias("negative_log_loss")).first().asDict()
+    found["confidence_gap"] = None if found["accuracy"] is None else found["mean_top_confidence"] - found["accuracy"]
+    return found
+
+
 def imbalance_report(df: DataFrame, row_id: str, target: str, dataset: str, *, params: Params | None = None,
                      max_train_rows: int | None = None, max_test_rows: int | None = None, seed: int = 42, **settings) -> DataFrame:
     """Score a forest trained on the real rows, and on rows brought to balance by three generators."""
@@ -175,7 +196,10 @@ def imbalance_report(df: DataFrame, row_id: str, target: str, dataset: str, *, p
 
 def manifold_report(model: TableModel, train: DataFrame, test: DataFrame, row_id: str, dataset: str, *, n: int | None = None,
                     k: int = 10, landmarks: int = 16, max_eval_points: int | None = None, seed: int = 42) -> DataFrame:
-    """Stress and hull flag of held-out real rows and of rows from three generators, one row per point."""
+    """Stress and hull flag of held-out real rows and of rows from three generators, one row per point.
+
+    Both look at the written-out coordinates; wide blocks that no step projected take no part.
+    """
     latent = model.latent
     tested = model.transform(test).select(F.col(row_id).cast("string").alias("point"), "z")
     edges = checkpoint(neighbours.knn_exact(latent, "row_id", "z", k))
