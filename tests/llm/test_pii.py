@@ -1,3 +1,4 @@
+import pytest
 import hashlib
 import re
 
@@ -97,3 +98,28 @@ def test_disguised_parts_beside_a_plain_match():
             assert {(whole[a:b], k) for a, b, k in every} == {(part, kind), (text, kind)}
             assert pii.mask(whole, every) == lead + pii.SHORT[kind] + tail
     assert found("\u043e x@y.io 10.0.0.1") == [("x@y.io", "email"), ("10.0.0.1", "ip")]
+
+
+CLEAN = [" now", " now, an anecdote", ". The point is made (at last)", ", punto final", " and a dotted line, look at the page", "\nthree words, point", " [at] the end"]
+DISGUISED = ["mail jane at example dot com", "mail jane (at) example [dot] com", "jane arroba ejemplo punto es", "jane (chez) exemple [point] fr",
+             "plus four nine, null eins sieben drei vier fünf sechs sieben", "𝐣𝐨𝐡𝐧@example.com", "jane at mail.example dot com",
+             "mail john at example.com", "plain a@b.cd and 10.0.0.1", "jane at example[dot]com"]
+
+
+@pytest.mark.parametrize("text", DISGUISED)
+@pytest.mark.parametrize("tail", CLEAN)
+def test_spans_do_not_depend_on_what_follows(text, tail):
+    """Whether a stretch is an identifier depends on the stretch alone."""
+    plain, every = pii.personal_spans(text)
+    assert pii.personal_spans(text + tail) == (plain, every)
+    assert pii.personal_spans(tail.strip() + "\n" + text)[1] == [(a + len(tail.strip()) + 1, b + len(tail.strip()) + 1, k) for a, b, k in every]
+
+
+@pytest.mark.parametrize("text,kind", [(DISGUISED[0], "email"), (DISGUISED[1], "email"), (DISGUISED[2], "email"), (DISGUISED[3], "email"), (DISGUISED[4], "phone"),
+                                       (DISGUISED[5], "email"), (DISGUISED[6], "email"), (DISGUISED[9], "email")])
+def test_disguises_of_four_languages(text, kind):
+    assert kind in {k for _, _, k in pii.personal_spans(text)[1]}
+
+
+def test_a_look_at_a_host_is_no_address():
+    assert pii.personal_spans("look at example.com, a point of interest")[1] == []

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -74,20 +75,35 @@ def identifiers(text: str) -> list[Span]:
 
 #: Signs that look like a Latin letter, digit or sign; fixed values.
 HOMOGLYPHS = dict(zip("авеіјкмнорсѕтухАВЕЅІЈКМНОРСТУХαορνΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abeijkmhopcstyxABESIJKMHOPCTYXaopvABEZHIKMNOPTYX"))
-HOMOGLYPHS |= {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}  # full-width forms of ASCII
 HOMOGLYPHS |= {chr(0x660 + i): str(i) for i in range(10)} | {chr(0x6F0 + i): str(i) for i in range(10)}  # Arabic digits
 HOMOGLYPHS |= {"。": ".", "․": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-"}
 HOMOGLYPHS |= dict.fromkeys("​‌‍⁠﻿­", "")  # signs of no width
-#: Digits as words; fixed values.
-SPELLED = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# Every other sign above Latin-1 whose compatibility form is one printable ASCII sign: full width, bold, italic, circled, spaces, ...
+HOMOGLYPHS = {c: n for c in map(chr, [*range(0x100, 0xD800), *range(0xE000, 0x20000)])
+              if len(n := unicodedata.normalize("NFKC", c)) == 1 and " " <= n <= "~"} | HOMOGLYPHS
+#: Digits as words, in English, German, French and Spanish; fixed values.
+SPELLED = {word: str(i) for words in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun",
+                                      "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve")
+           for i, word in enumerate(words.split())}
+#: Words for the two signs of an address, in the same languages; fixed values. The second list stands for the sign in brackets only.
+AT, AT_BRACKETED = "at arroba arobase", "at arroba arobase chez klammeraffe"
+DOT = "dot punkt point punto"
+
+
+def _any(words: str) -> str:
+    return "(?:" + "|".join(sorted(words.split(), key=len, reverse=True)) + ")"
+
 
 _GLYPH = re.compile("[" + "".join(re.escape(c) for c in HOMOGLYPHS) + "]")
-_WORD = "(?:" + "|".join(SPELLED) + ")"
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus[ -])?{_WORD}(?:(?:[ -]|, ){_WORD})*+(?![A-Za-z])", re.I)
+_WORD = _any(" ".join(SPELLED))
+_SPELLED = re.compile(rf"(?<![^\W_])(?:plus[ -])?{_WORD}(?:(?:[ -]|, ){_WORD})*+(?![^\W\d_])", re.I)
 _RUN = re.compile(_WORD, re.I)
-_BRACKETED = re.compile(r" ?[(\[{<] ?(at|dot|punkt|point|punto) ?[)\]}>] ?", re.I)
-_AT_DOT = re.compile(r"(?<=[A-Za-z0-9]) (at) (?=[A-Za-z0-9-]+(?: dot |\.)[A-Za-z0-9])| (dot) (?=[A-Za-z0-9-])", re.I)
-_HINT = re.compile("dot|punkt|point|punto|[(\\[{<] ?at ?[)\\]}>]", re.I)
+_OPEN, _CLOSE = r" ?[(\[{<] ?", r" ?[)\]}>] ?"
+_BRACKETED = re.compile(rf"{_OPEN}(?:({_any(AT_BRACKETED)})|{_any(DOT)}){_CLOSE}", re.I)
+# A word for the at sign between blanks counts where the host behind it has a dot in disguise too: "look at example.com" is no address.
+_AT_DOT = re.compile(rf"(?<=[A-Za-z0-9]) ({_any(AT)}) (?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*+(?: {_any(DOT)} |{_OPEN}{_any(DOT)}{_CLOSE})[A-Za-z0-9])"
+                     rf"| {_any(DOT)} (?=[A-Za-z0-9-])", re.I)
+_HINT = re.compile(rf"{_any(DOT)}|{_OPEN}{_any(AT_BRACKETED)}{_CLOSE}", re.I)  # all that follows has one of these inside its own stretch
 
 
 class Rewritten:
@@ -157,8 +173,8 @@ def rewritten(text: str) -> Rewritten | None:
             edits.append((m.start(), m.end(), ("+" if m[0][:4].lower() == "plus" else "") + "".join(SPELLED[w.lower()] for w in words)))
     at = at.rewrite(edits)
     if _HINT.search(at.text):
-        at = at.rewrite([(m.start(), m.end(), "@" if m[1].lower() == "at" else ".") for m in _BRACKETED.finditer(at.text)])
-        at = at.rewrite([(m.start(), m.end(), "@" if m[1] else ".") for m in _AT_DOT.finditer(at.text)])
+        for disguise in (_AT_DOT, _BRACKETED):
+            at = at.rewrite([(m.start(), m.end(), "@" if m[1] else ".") for m in disguise.finditer(at.text)])
     return None if at.text is text else at
 
 
