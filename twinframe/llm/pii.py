@@ -91,19 +91,30 @@ DOT = "dot punkt point punto"
 
 
 def _any(words: str) -> str:
-    return "(?:" + "|".join(sorted(words.split(), key=len, reverse=True)) + ")"
+    """Any of some words, told apart by their first letters first."""
+    by = {}
+    for word in sorted(words.split(), key=len, reverse=True):
+        by.setdefault(word[0], []).append(word[1:])
+    return "(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items()) + ")"
 
 
-_GLYPH = re.compile("[" + "".join(re.escape(c) for c in HOMOGLYPHS) + "]")
-_WORD = _any(" ".join(SPELLED))
-_SPELLED = re.compile(rf"(?<![^\W_])(?:plus[ -])?{_WORD}(?:(?:[ -]|, ){_WORD})*+(?![^\W\d_])", re.I)
+_BEYOND = re.compile("[^\x00-\xac\xae-\xff]")  # a table of this many signs is looked up, not compiled
+_WORD, _GAP = _any(" ".join(SPELLED)), "(?:[ -]|, )"
+_THREE = re.compile(f"{_WORD}{_GAP}{_WORD}{_GAP}{_WORD}")  # in lower case
+_SPELLED = re.compile(rf"(?<![^\W_])(?:plus[ -])?{_WORD}(?:{_GAP}{_WORD})*+(?![^\W\d_])", re.I)
 _RUN = re.compile(_WORD, re.I)
-_OPEN, _CLOSE = r" ?[(\[{<] ?", r" ?[)\]}>] ?"
-_BRACKETED = re.compile(rf"{_OPEN}(?:({_any(AT_BRACKETED)})|{_any(DOT)}){_CLOSE}", re.I)
+_OPEN, _CLOSE = r"[(\[{<] ?", r" ?[)\]}>]"
+_BRACKETED = re.compile(rf" ?{_OPEN}(?:({_any(AT_BRACKETED)})|{_any(DOT)}){_CLOSE} ?", re.I)
 # A word for the at sign between blanks counts where the host behind it has a dot in disguise too: "look at example.com" is no address.
-_AT_DOT = re.compile(rf"(?<=[A-Za-z0-9]) ({_any(AT)}) (?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*+(?: {_any(DOT)} |{_OPEN}{_any(DOT)}{_CLOSE})[A-Za-z0-9])"
-                     rf"| {_any(DOT)} (?=[A-Za-z0-9-])", re.I)
-_HINT = re.compile(rf"{_any(DOT)}|{_OPEN}{_any(AT_BRACKETED)}{_CLOSE}", re.I)  # all that follows has one of these inside its own stretch
+_AT_DOT = re.compile(rf" (?:(?<=[A-Za-z0-9] )({_any(AT)}) (?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*+(?: {_any(DOT)} | ?{_OPEN}{_any(DOT)}{_CLOSE} ?)[A-Za-z0-9])"
+                     rf"|{_any(DOT)} (?=[A-Za-z0-9-]))", re.I)
+_SIGN = re.compile(rf"{_OPEN}{_any(AT_BRACKETED)}{_CLOSE}", re.I)
+
+
+def _hinted(text: str) -> bool:
+    """Whether a text has a word for a dot or a bracketed at: each disguise of an address has one inside its own stretch."""
+    lower = text.lower()
+    return any(word in lower for word in DOT.split()) or _SIGN.search(text) is not None
 
 
 class Rewritten:
@@ -165,14 +176,14 @@ def rewritten(text: str) -> Rewritten | None:
     """The text with disguises undone, or None where it has none."""
     at = Rewritten(text)
     if not text.isascii():
-        at = at.rewrite([(m.start(), m.end(), HOMOGLYPHS[m[0]]) for m in _GLYPH.finditer(at.text)])
+        at = at.rewrite([(m.start(), m.end(), HOMOGLYPHS[m[0]]) for m in _BEYOND.finditer(at.text) if m[0] in HOMOGLYPHS])
     edits = []
-    for m in _SPELLED.finditer(at.text):
+    for m in _SPELLED.finditer(at.text) if _THREE.search(at.text.lower()) else ():
         words = _RUN.findall(m[0])
         if len(words) >= 3:  # one or two are words like any other
             edits.append((m.start(), m.end(), ("+" if m[0][:4].lower() == "plus" else "") + "".join(SPELLED[w.lower()] for w in words)))
     at = at.rewrite(edits)
-    if _HINT.search(at.text):
+    if _hinted(at.text):
         for disguise in (_AT_DOT, _BRACKETED):
             at = at.rewrite([(m.start(), m.end(), "@" if m[1] else ".") for m in disguise.finditer(at.text)])
     return None if at.text is text else at
