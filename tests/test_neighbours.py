@@ -111,3 +111,34 @@ def test_bad_arguments(spark):
         neighbours.knn_exact(points(spark, [0, 1]), "id", "z", 0)
     with pytest.raises(ValueError):
         neighbours.knn_exact(points(spark, [0, 1]), "id", "z", 1, metric="other")
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "cosine"])
+def test_descent_finds_nearly_all(spark, metric):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(350, 12)), np.ones((30, 12)), 3 + rng.normal(size=(120, 12))]).round(3)
+    table = points(spark, x)
+    found = neighbours.knn_descent(table, "id", "z", 5, metric=metric)
+    assert found.count() == 2500 and found.filter("src = dst").count() == 0
+    recall = neighbours.recall_at_k(found, neighbours.knn_exact(table, "id", "z", 5, metric=metric)).first()
+    assert recall["recall"] >= 0.95
+    with pytest.raises(ValueError):
+        neighbours.knn_descent(table, "id", "z", 5, metric="inner_product")
+
+
+def test_descent_keeps_classes_apart_and_small_tables_exact(spark):
+    rows = [[float(i % 9), float(i % 5)] for i in range(60)]
+    table = points(spark, rows).withColumn("c", F.col("id") % 2)
+    found = neighbours.knn_descent(table, "id", "z", 3, within="c").collect()
+    assert len(found) == 180 and all(r["src"] % 2 == r["dst"] % 2 for r in found)
+    assert lists(neighbours.knn_descent(points(spark, [0, 1, 10, 11]), "id", "z", 1)) == {0: [1], 1: [0], 2: [3], 3: [2]}
+    assert lists(neighbours.knn_descent(points(spark, [[1.0]] * 6), "id", "z", 2)) == brute([[1.0]] * 6, 2)
+
+
+def test_codes_stand_for_one_hot_blocks(spark):
+    """A code a block gives the distances of the block written out; -1 is a row of zeros."""
+    rng = np.random.default_rng(2)
+    numbers, codes = rng.normal(size=(80, 2)).round(3), rng.integers(-1, 12, (80, 2))
+    hot = np.hstack([numbers, *[np.vstack([np.zeros(12), np.eye(12)])[codes[:, j] + 1] for j in range(2)]])
+    coded = neighbours.knn_exact(points(spark, np.hstack([numbers, codes])), "id", "z", 4, metric=neighbours.coded(2))
+    assert lists(coded) == brute(hot, 4)

@@ -342,6 +342,13 @@ def _(t: Tables):
     return found.select("edges", (F.col("recall") >= 0.9).alias("enough"))
 
 
+@query("knn_descent", "SELECT count(*) * 5 AS edges, true AS enough FROM embeddings")
+def _(t: Tables):
+    """Recall of neighbour descent in 64 dimensions against the exact lists."""
+    found = neighbours.recall_at_k(neighbours.knn_descent(t.embeddings, "vec_id", "embedding", 5), neighbours.knn_exact(t.embeddings, "vec_id", "embedding", 5))
+    return found.select("edges", (F.col("recall") >= 0.95).alias("enough"))
+
+
 @query("top_k_neighbours", """SELECT c_nationkey AS src, s_suppkey AS dst, """ + r("dist") + """ AS dist, rank FROM (SELECT c_nationkey, s_suppkey, abs(s_acctbal - m) AS dist,
     row_number() OVER (PARTITION BY c_nationkey ORDER BY abs(s_acctbal - m), s_suppkey) AS rank FROM (SELECT c_nationkey, avg(c_acctbal) AS m FROM customer GROUP BY 1) JOIN supplier ON s_nationkey = c_nationkey) WHERE rank <= 2""")
 def _(t: Tables):

@@ -14,7 +14,8 @@ known to the driver, those of the second stay in tables and meet rows and querie
 One-hot blocks need not be written out: under the metric of ``coded(p, weight)`` a vector is p numbers and one code a block, and two codes
 that differ add weight to the squared distance, just as their two slots would (half of it where one code is -1, an unknown key).
 
-Approximate search visits the nearest ``probes`` cells only, and in a cell that was split its nearest ``probes`` parts.
+Approximate search visits the nearest ``probes`` cells only, and in a cell that was split its nearest ``probes`` parts. Neighbour descent starts
+from such lists and lets the neighbours of a row, in both directions, measure each other, round by round, until hardly a list changes.
 """
 
 from __future__ import annotations
@@ -37,6 +38,12 @@ CROWDED = 4         # times CELL: a first-level cell with more rows is split
 PARTS = 1 << 20     # most parts of one cell; a leaf's number is cell * PARTS + part
 BLOCK = 1024        # candidate rows per task group
 QUERIES = 2048      # query rows per task group
+LEAST_LIST = 16     # neighbours that descent carries for each row, or twice as many as asked for
+START_PROBES = 2    # of the lists that neighbour descent starts from: rows near a border know both sides
+DESCENT_ROUNDS = 12 # at most
+SETTLED = 0.001     # share of all list entries that are new when descent ends
+AROUND = 2          # times the list length: members that meet around a row, the nearest ones
+SALTS = 64          # parts in which the rows that list one row are ranked first
 DIGITS = 9          # distances equal to this many digits are ties, broken by id
 
 
@@ -392,8 +399,12 @@ def _self_edges(df: DataFrame, key: str, vec: str, k: int, metric: str, within:
     rows = _prepared(df, key, vec, metric, within, "dst")
     data = checkpoint(_copies(rows, "dst", k + 1))
     points = data.filter(F.col("copy") == 1).withColumnRenamed("dst", "src")
-    best = _search(points, data, k + 1, metric, probes).groupBy("src").agg(
-        F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("best"))
+    return _own_lists(rows, points, _search(points, data, k + 1, metric, probes), k)
+
+
+def _own_lists(rows: DataFrame, points: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """(src, dst, rank, dist) of all rows from the lists (src, dst, dist) of their distinct vectors."""
+    best = found.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dist", "dst"))).alias("best"))
     lists = points.select("cls", "vec", "src").join(best, "src").select("cls", "vec", "best")
     own = rows.withColumnRenamed("dst", "src").join(lists, ["cls", "vec"])
     others = F.slice(F.filter("best", lambda e: e["dst"] != F.col("src")), 1, k)
@@ -415,6 +426,90 @@ def knn_approx(df: DataFrame, key: str, vec: str, k: int, *, metric: str = "eucl
     return _self_edges(df, key, vec, k, metric, within, probes)
 
 
+def _pair_distances(v: np.ndarray, metric: str) -> np.ndarray:
+    """Distances among a few vectors, rounded as everywhere."""
+    if metric in ("euclidean", "cosine"):
+        gap = v[:, None, :] - v[None, :, :]
+        total = (gap * gap).sum(axis=2)
+        return np.round(total / 2.0 if metric == "cosine" else np.sqrt(total), DIGITS)
+    return np.round(tile_distances(v, v, metric), DIGITS)
+
+
+def _meet(around: DataFrame, metric: str) -> DataFrame:
+    """(src, dst, dist): pairs of members around a row, at least one of them new, that would enter the list of src.
+
+    around: (members) arrays of (id, vec, fresh, worst); worst is the last distance of the member's own list.
+    """
+    kind = next(f.dataType for f in around.schema["members"].dataType.elementType if f.name == "id").simpleString()
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            src, dst, dist = [], [], []
+            for members in batch["members"]:
+                v = np.array([np.asarray(m["vec"], dtype=float) for m in members])
+                fresh, worst = np.array([m["fresh"] for m in members]), np.array([m["worst"] for m in members], dtype=float)
+                ids = np.array([m["id"] for m in members], dtype=object)
+                d = _pair_distances(v, metric)
+                wanted = (fresh[:, None] | fresh[None, :]) & (d <= worst[:, None])
+                np.fill_diagonal(wanted, False)
+                i, j = np.nonzero(wanted)
+                src.append(ids[i])
+                dst.append(ids[j])
+                dist.append(d[i, j])
+            if src:
+                yield pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst), "dist": np.concatenate(dist)})
+    return spread(around).mapInPandas(meet, f"src {kind}, dst {kind}, dist double")
+
+
+def _descend(points: DataFrame, need: int, metric: str, rounds: int) -> DataFrame:
+    """(src, dst, dist): lists of the ``need`` nearest other points by neighbour descent."""
+    vectors = points.select(F.col("src").alias("id"), "vec")
+    data = points.select("cls", F.col("src").alias("dst"), "vec", F.lit(1).alias("copy"))
+    order = Window.partitionBy("src").orderBy("dist", "dst")
+    nearest = lambda df: df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= need).drop("_rank")
+    start = _search(points, data, need + 1, metric, START_PROBES).filter("src <> dst").select("src", "dst", "dist")
+    lists = checkpoint(nearest(start).withColumn("fresh", F.lit(True)))
+    total = max(lists.count(), 1)
+    for _ in range(rounds):
+        ends = lists.select(F.col("src").alias("mid"), F.col("dst").alias("id"), "dist", "fresh").unionByName(
+            lists.select(F.col("dst").alias("mid"), F.col("src").alias("id"), "dist", "fresh"))
+        ends = ends.groupBy("mid", "id").agg(F.min("dist").alias("dist"), F.max("fresh").alias("fresh"))
+        # A row that very many list is ranked in parts first, so no task sees them all.
+        for parts in ([F.pmod(F.xxhash64("id"), F.lit(SALTS))], []):
+            ranked = Window.partitionBy("mid", *parts).orderBy("dist", "id")
+            ends = ends.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= AROUND * need).drop("_rank")
+        worst = lists.groupBy("src").agg(F.when(F.count(F.lit(1)) >= need, F.max("dist")).otherwise(F.lit(float("inf"))).alias("worst"))
+        known = checkpoint(vectors.join(worst, F.col("id") == F.col("src"), "left").select("id", "vec", F.coalesce("worst", F.lit(float("inf"))).alias("worst")))
+        own = known.select(F.col("id").alias("mid"), F.struct("id", "vec", F.lit(False).alias("fresh"), "worst").alias("m"))
+        others = ends.select("mid", "id", "fresh").join(known, "id").select("mid", F.struct("id", "vec", "fresh", "worst").alias("m"))
+        around = own.unionByName(others).groupBy("mid").agg(F.collect_list("m").alias("members"))
+        around = around.filter(F.exists("members", lambda m: m["fresh"])).select("members")
+        met = _meet(around, metric).groupBy("src", "dst").agg(F.min("dist").alias("dist")).withColumn("fresh", F.lit(True))
+        both = lists.withColumn("fresh", F.lit(False)).unionByName(met).groupBy("src", "dst").agg(F.min("dist").alias("dist"), F.min("fresh").alias("fresh"))
+        lists = checkpoint(nearest(both))
+        if lists.filter("fresh").count() <= SETTLED * total:
+            break
+    return lists.select("src", "dst", "dist")
+
+
+def knn_descent(df: DataFrame, key: str, vec: str, k: int, *, metric: str = "euclidean", within: str | None = None,
+                rounds: int = DESCENT_ROUNDS) -> DataFrame:
+    """As ``knn_exact``, approximately, by neighbour descent: the work of a round is rows times k squared, in any number of dimensions.
+
+    Equal vectors descend once; their copies are put into the lists at the end. Inner products are refused: that a neighbour of a
+    neighbour is likely near holds for distances only.
+    """
+    _check(k, metric, METRICS)
+    rows = _prepared(df, key, vec, metric, within, "dst")
+    data = checkpoint(_copies(rows, "dst", k + 1))
+    points = checkpoint(data.filter(F.col("copy") == 1).select("cls", "vec", F.col("dst").alias("src")))
+    lists = _descend(points, max(LEAST_LIST, 2 * (k + 1)), metric, rounds)
+    own = points.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("dist"))
+    copies = data.join(points.select("cls", "vec", F.col("src").alias("point")), ["cls", "vec"]).select("point", F.col("dst").alias("copy_id"))
+    every = lists.unionByName(own).join(copies, F.col("dst") == F.col("point")).select("src", F.col("copy_id").alias("dst"), "dist")
+    return _own_lists(rows, points, every, k)
+
+
 def knn_cross(queries: DataFrame, query_key: str, data: DataFrame, data_key: str, vec: str, k: int, *,
               metric: str = "euclidean") -> DataFrame:
     """The k nearest data rows of every query row: (src, dst, rank, dist)."""

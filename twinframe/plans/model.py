@@ -65,8 +65,8 @@ class Params:
             raise TypeError("fit_sample_size must be None, a positive whole number or a share in (0, 1].")
         if self.decoder_fit_rows is not None and self.decoder_fit_rows < 1:
             raise ValueError("decoder_fit_rows must be None or positive.")
-        if self.search not in ("exact", "approx"):
-            raise ValueError("search must be 'exact' or 'approx'.")
+        if self.search not in ("exact", "approx", "descent"):
+            raise ValueError("search must be 'exact', 'approx' or 'descent'.")
         return self
 
     def width(self, column: str) -> int:
@@ -318,8 +318,9 @@ def fit(df: DataFrame, row_id: str, *, columns: list[str] | None = None, params:
             k = min(p.n_neighbours, enc.rows - 1)
             vector, metric = model.neighbour_vector()
             placed = model.latent.select("row_id", vector.alias("v"))
-            lists = (neighbours.knn_exact(placed, "row_id", "v", k, metric=metric) if p.search == "exact" else
-                     neighbours.knn_approx(placed, "row_id", "v", k, metric=metric, probes=p.probes))
+            find = {"exact": neighbours.knn_exact, "descent": neighbours.knn_descent,
+                    "approx": lambda *a, **more: neighbours.knn_approx(*a, probes=p.probes, **more)}[p.search]
+            lists = find(placed, "row_id", "v", k, metric=metric)
             found = neighbours.mutual_neighbours(checkpoint(lists))
         model.edges = checkpoint(found.select("src", "dst"))
         model.bounds = transport.quantile_bounds(model.latent, range(len(enc.numeric)), p.quantile_guard)
