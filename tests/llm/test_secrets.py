@@ -42,6 +42,26 @@ def test_equal_to_plain_scan(spark):
     assert sum(len(r.secrets) for r in rows) > 500
 
 
+def test_base_rules_as_stated(spark):
+    """The least lengths inside the patterns find what the open patterns with a length test find."""
+    rng = random.Random(6)
+    parts = ["AKIA", "AKI", "A", "Z9", "QWERTY1234567", "0123456789", "deadbeefcafe", "f", "g", "_", " ", "-", "AKIA" + "B" * 16, "AKIA" + "B" * 15, "a" * 24, "a" * 23]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    rows = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        want = sorted((m.start(), kind, m.end()) for kind, pattern, least in (("access", "AKIA[A-Z0-9]+", 20), ("hex", "[0-9a-f]+", 24))
+                      for m in re.finditer(pattern, r.text) if len(m[0]) >= least)
+        assert sorted((s.start, s.kind, s.end) for s in r.secrets if s.kind in ("access", "hex")) == want
+
+
+def test_long_runs_are_linear(spark):
+    run = "eyJhbGci" * 150_000
+    docs = spark.createDataFrame([(1, run, "x", 3), (2, f"a {run}.{run}.abc b", None, 4)], "doc_id long, text string, _hash string, _kinds int")
+    rows = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    assert rows[1].secrets == [] and rows[1]["_hash"] == "x" and rows[2]["_kinds"] == 4
+    assert [(s.kind, s.start, s.end) for s in rows[2].secrets] == [("signed", 2, 2 * len(run) + 7)]
+
+
 def test_index_prunes(spark):
     docs = spark.createDataFrame([(0, "my password: hunter22", 0), (1, "pass the word", 1), (2, "AKIA" + "A" * 20, 2), (3, None, 3), (4, "AKIA" + "A" * 20, 2)], "doc_id long, text string, hash long")
     queries = {r.kind: trigram_query(r.pattern) for r in RULES if all(trigram_query(r.pattern))}

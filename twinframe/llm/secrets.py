@@ -10,7 +10,6 @@ texts share a hash, both are scanned for what either asks for.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from re import _constants as op
 from re import _parser as parser
@@ -18,7 +17,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm.base import keep, query, table, width
+from twinframe.llm.base import fresh, keep, query, table, width
 
 BLOCKS = 8  # of the index, for each shuffle partition
 MOST = 64  # alternatives followed before a query is made coarser
@@ -34,13 +33,14 @@ class Rule:
     group: int = 0
 
 
+# A match of one class takes its whole run, so its least length may stand in the pattern; and none is tried again inside a run.
 RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
-    Rule("access", r"AKIA[A-Z0-9]+", 20),
-    Rule("hex", r"[0-9a-f]+", 24),
+    Rule("access", r"AKIA[A-Z0-9]{16,}", 20),
+    Rule("hex", r"[0-9a-f]{24,}", 24),
     Rule("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
-    Rule("hosted", r"gh[opsu]_[A-Za-z0-9]+", 40),
-    Rule("signed", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0),
+    Rule("hosted", r"gh[opsu]_[A-Za-z0-9]{36,}", 40),
+    Rule("signed", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++", 0),
 )
 BASE = 3  # so many first rules are the plain scan; the others add to it
 
@@ -128,9 +128,8 @@ def trigram_query(pattern: str) -> Query:
 
 def postings(docs: DataFrame, text: str, grams: list[str], blocks: int) -> DataFrame:
     """(block, gram, texts): the inverted index of some trigrams, as sets of text hashes."""
-    lower = F.lower(F.col(text))
-    held = F.filter(F.array(*[F.when(F.contains(lower, F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]), lambda x: x.isNotNull())
-    return (docs.select(F.xxhash64(text).alias("hash"), F.explode(held).alias("gram"))
+    held = F.filter(F.array(*[F.when(F.contains("lower", F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]), lambda x: x.isNotNull())
+    return (docs.select(F.xxhash64(text).alias("hash"), F.lower(F.col(text)).alias("lower")).select("hash", F.explode(held).alias("gram"))
             .groupBy(F.pmod("hash", F.lit(blocks)).alias("block"), "gram").agg(F.collect_set("hash").alias("texts")))
 
 
@@ -184,22 +183,23 @@ def find_secrets(docs: DataFrame, text: str = "text", name: str = "secrets", rul
     Matches of one rule do not overlap, those of different rules may. A null text counts as empty and has none. Repeated rows
     are scanned each. An existing column of that name is replaced.
     """
-    columns = [c for c in docs.columns if c != name]
+    columns = [c for c in docs.columns if c.lower() != name.lower()]
+    hash_, kinds_ = fresh(docs, "_hash", "_kinds")
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if all(q)}
     grams = sorted({g for q in indexed.values() for s in q for g in s})
     body = F.coalesce(F.col(text), F.lit(""))
-    hashed = docs.select(*columns, F.xxhash64(text).alias("_hash"))
+    hashed = docs.select(*columns, F.xxhash64(text).alias(hash_))
     if indexed:
         index = postings(docs.select(text), text, grams, BLOCKS * width(docs.sparkSession))
         # Written first: a join that reads both sides through exchanges of its own can be split where one text has many copies.
-        kinds = keep(candidates(index, grams, indexed).withColumnsRenamed({"hash": "_hash", "kinds": "_kinds"}))
-        hashed = hashed.join(kinds.hint("shuffle_hash"), "_hash", "left")
+        kinds = keep(candidates(index, grams, indexed).withColumnsRenamed({"hash": hash_, "kinds": kinds_}))
+        hashed = hashed.join(kinds.hint("shuffle_hash"), hash_, "left")
     else:
-        hashed = hashed.withColumn("_kinds", F.array().cast("array<string>"))
+        hashed = hashed.withColumn(kinds_, F.array().cast("array<string>"))
 
     def spans(rule: Rule, rank: int) -> Column:
-        wanted = F.coalesce(F.array_contains("_kinds", rule.kind), F.lit(False)) if rule.kind in indexed else F.rlike(body, F.lit(quick(rule)))
+        wanted = F.coalesce(F.array_contains(kinds_, rule.kind), F.lit(False)) if rule.kind in indexed else F.rlike(body, F.lit(rule.pattern))
         made = F.transform(matches(body, rule), lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"),
                                                                    s["end"].alias("end")))
         return F.when(wanted, made).otherwise(F.array().cast("array<struct<start: int, rank: int, kind: string, end: int>>"))
@@ -207,11 +207,6 @@ def find_secrets(docs: DataFrame, text: str = "text", name: str = "secrets", rul
     return hashed.select(*columns, F.array_sort(F.concat(*[spans(rule, rank) for rank, rule in enumerate(rules)])).alias(name))
 
 
-def quick(rule: Rule) -> str:
-    """A rule without a mandatory trigram, asking at once for the least length where it is one repeated class."""
-    return re.sub(r"\+$", f"{{{rule.least},}}", rule.pattern) if re.fullmatch(r"\[[^\]]+\]\+", rule.pattern) and rule.least else rule.pattern
-
-
 def written(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
