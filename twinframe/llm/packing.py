@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from twinframe.llm.base import by_size, keep, python_ready, query, table
+from twinframe.llm.base import by_size, keep, python_ready, query, table, width
 from twinframe.llm.tokens import byte_letters, tokenizer
 
 CAPACITY = 2048
@@ -231,6 +231,7 @@ def deal(pieces: DataFrame, total: int, seed: int, block: int) -> DataFrame:
 def solve(blocks: DataFrame, capacity: int, islands: int, epochs: int, generations: int, seed: int) -> DataFrame:
     """(row, block, bin): the best solution of any island of each block."""
     python_ready(blocks.sparkSession)
+    tasks = width(blocks.sparkSession)  # named, or tasks would be merged by their few bytes and not by the work they hold
     state = "block bigint, island int, sizes array<int>, population array<array<int>>, n_bins int, fill double"
 
     def step(epoch: int):
@@ -250,13 +251,13 @@ def solve(blocks: DataFrame, capacity: int, islands: int, epochs: int, generatio
         return run
 
     at = (blocks.select("block", F.col("items.length").alias("sizes"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
-          .repartition("block", "island")
+          .repartition(tasks, "block", "island")
           .select("block", "island", "sizes", F.array().cast("array<array<int>>").alias("population")))
     at = at.mapInArrow(step(0), state)
     for epoch in range(1, epochs):
         elites = F.collect_list(F.struct("island", F.col("population")[0].alias("best"))).over(W.partitionBy("block"))
         guest = F.filter(F.col("elites"), lambda x: x["island"] == F.pmod(F.col("island") + islands - 1, F.lit(islands)))[0]["best"]
-        at = (at.withColumn("elites", elites)
+        at = (at.repartition(tasks, "block").withColumn("elites", elites)
               .select("block", "island", "sizes", F.concat("population", F.array(guest)).alias("population"))
               .mapInArrow(step(epoch), state))
     best = at.groupBy("block").agg(F.min_by(F.col("population")[0], F.struct("n_bins", "fill", "island")).alias("bins"))
