@@ -96,6 +96,18 @@ def test_odd_rows(spark, odd_documents):
     assert simhash.simhash_groups(odd_documents.limit(0)).count() == 0 and simhash.drop_near_copies(odd_documents.limit(0)).count() == 0
 
 
+def test_unlike_rows_under_one_key_stay(spark):
+    one, two = "the first text is about ships and the sea in winter", "nothing of the kind stands in the second text at all"
+    rows = [(5, one, "a", 1), (5, two, "b", 2), (5, two, "b", 2), (5, two, "c", 3), (9, one, "d", 4), (3, "quite another matter of some length", "e", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _body string, _id int").repartition(4)
+    kept = simhash.drop_near_copies(docs)
+    found = sorted((r.doc_id, r.text) for r in kept.collect())
+    assert kept.columns == docs.columns and found == sorted([(5, one), (5, two), (3, rows[5][1])])
+    # two near copies under the smallest key of their group: one of them stays
+    near = [(1, one), (1, one.upper()), (2, one)]
+    assert simhash.drop_near_copies(spark.createDataFrame(near, "doc_id long, text string")).count() == 1
+
+
 def test_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(-50, 100)] + [(500, 501), (501, 500), (7, 7), (None, 3)]
     rows = components(spark.createDataFrame(links, "a long, b long")).collect()

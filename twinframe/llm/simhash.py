@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm.base import keep, python_ready, query, table
+from twinframe.llm.base import fresh, keep, python_ready, query, table
 from twinframe.llm.components import components
 
 SHINGLE = 3
@@ -137,36 +137,50 @@ def near_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
-def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, *,
+                   body: bool = False) -> DataFrame:
     """(key, print, component): each row's fingerprint, and the smallest key it reaches over links of at most max_bits bits.
 
     Equal fingerprints are always linked, those of wordless texts too. Copies are joined as one node, so a large group of
-    copies costs one row. Repeated rows stay. The component is null where no row of the group has a key.
+    copies costs one row. Repeated rows stay. The component is null where no row of the group has a key. On request with
+    body, a hash of the text and a label of the component, since one key may stand in several.
     """
-    made = keep(fingerprints(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", "print", shingle).select("key", "print"))
+    mine = ["key", "body"] if body else ["key"]
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *([F.xxhash64(text).alias("body")] if body else []))
+    made = keep(fingerprints(rows, "text", "print", shingle).select(*mine, "print"))
     nodes = keep(made.groupBy("print").agg(F.min("key").alias("least")))
     grouped = components(near_links(nodes, max_bits))
     labelled = nodes.join(grouped.withColumnRenamed("node", "print"), "print", "left").withColumn("label", F.coalesce("label", "print"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component"))
-    named = labelled.select("print", "label").join(least, "label").select("print", "component")
-    return made.join(named, "print").select("key", "print", "component")
+    named = labelled.select("print", "label").join(least, "label").select("print", "component", *(["label"] if body else []))
+    return made.join(named, "print").select(*mine, "print", "component", *(["label"] if body else []))
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each group of near copies, that with the smallest key, with all its own columns.
 
-    A key names one document: of rows that repeat a key one stays. Rows without a key cannot be told apart by it, and all stay.
-    The keys that go are joined against the documents, which Spark broadcasts only while their table is small.
+    A row is known by its key and a hash of its text, so unlike texts under one key are judged each by itself. Of near copies that share
+    the smallest key the one of the smallest hash stays, and of rows with one key and one text the one whose columns hash lowest.
+    Rows without a key cannot be told apart by it, and all stay. The rows that go are joined against the documents, which Spark
+    broadcasts only while their table is small.
     """
-    groups = simhash_groups(docs.filter(F.col(key).isNotNull()), key, text, shingle, max_bits)
-    gone = keep(groups.groupBy("key").agg(F.bool_or(F.col("key") == F.col("component")).alias("stays"), F.count("*").alias("rows"))
-                .filter("not stays or rows > 1"))
-    left = docs.join(gone.filter("not stays").select(F.col("key").alias("_gone")), F.col(key) == F.col("_gone"), "left_anti")
-    repeated = gone.filter("stays").select(F.col("key").alias("_twice"))
-    if repeated.isEmpty():
-        return left
-    return left.join(repeated, F.col(key) == F.col("_twice"), "left_anti").unionByName(
-        left.join(repeated, F.col(key) == F.col("_twice"), "left_semi").dropDuplicates([key]))
+    id_, body = fresh(docs, "_id", "_body")
+    groups = keep(simhash_groups(docs.filter(F.col(key).isNotNull()), key, text, shingle, max_bits, body=True))
+    heads = groups.filter(F.col("key") == F.col("component")).groupBy("label", "component", "body").agg(F.count("*").alias("rows"))
+    first = heads.groupBy("label").agg(F.min("body").alias("first"), F.sum("rows").alias("rows"))
+    crowded = keep(first.filter("rows > 1"))  # groups whose smallest key stands in several rows
+    gone = groups.filter(F.col("key") != F.col("component")).select(F.col("key").alias(id_), F.col("body").alias(body))
+    same = lambda side: (F.col(key) == side[id_]) & (F.xxhash64(text) == side[body])
+    if crowded.isEmpty():
+        return docs.join(gone, same(gone), "left_anti")
+    more = heads.join(crowded.drop("rows"), "label")
+    gone = gone.unionByName(more.filter("body <> first").select(F.col("component").alias(id_), F.col("body").alias(body)))
+    left = docs.join(gone, same(gone), "left_anti")
+    twice = more.filter("body = first and rows > 1").select(F.col("component").alias(id_), F.col("body").alias(body))
+    hashed = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    one = left.join(twice, same(twice), "left_semi").groupBy(F.col(key).alias(id_), F.xxhash64(text).alias(body)).agg(
+        F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64(*hashed)).alias("row"))
+    return left.join(twice, same(twice), "left_anti").unionByName(one.select("row.*"))
 
 
 @query("op10_simhash_near_dedup")
