@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +75,38 @@ def test_sweep_ranking(spark):
     assert ranking.best_row_for_measure(df, "nn_distance_ratio", ("near", 1.0), ["value"]).first()["value"] == 1.0
 
 
+@pytest.mark.parametrize("method", ["pearson", "spearman"])
+def test_correlation_of_a_constant(spark, method):
+    df = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 1.0, 5.0), (4.0, None, 5.0)], "a double, b double, c double")
+    found = {(r["left"], r["right"]): r["value"] for r in measures.association_matrix(df, method=method).collect()}
+    assert found == {("a", "b"): pytest.approx(1.0), ("a", "c"): None, ("b", "c"): None}
+    assert {r["difference"] for r in measures.correlation_difference(df, df, ["a", "c"]).collect()} == {None}
+
+
+@pytest.mark.parametrize("by", [[], ["side"]])
+def test_rank_correlation_over_shared_rows(spark, by):
+    """Each pair ranks the rows it shares, whatever other columns lack; ties get mean ranks."""
+    rng = np.random.default_rng(3)
+    data = pd.DataFrame({c: rng.integers(0, 12, 400).astype(float) for c in "abcde"})
+    data["b"] = data["a"] * 2 + data["b"]
+    data.loc[rng.random(400) < 0.3, "c"] = None
+    data.loc[rng.random(400) < 0.5, "d"] = None
+    data["e"] = 1.0
+    data["side"] = [None if i % 3 == 0 else "x" for i in range(400)]
+    rows = [tuple(None if pd.isna(v) else v for v in r) for r in data.itertuples(index=False)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, side string")
+    found = {tuple(r[c] for c in [*by, "left", "right"]): r["value"]
+             for r in measures.numeric_correlation(df, list("abcde"), "spearman", by).collect()}
+    parts = {(): data} if not by else {(None,): data[data["side"].isna()], ("x",): data[data["side"] == "x"]}
+    assert len(found) == 10 * len(parts)
+    for group, part in parts.items():
+        for i, x in enumerate("abcde"):
+            for y in "abcde"[i + 1:]:
+                both = part[[x, y]].dropna().rank()
+                want = abs(both[x].corr(both[y])) if both[x].std() and both[y].std() else None
+                assert found[(*group, x, y)] == (None if want is None else pytest.approx(want, abs=1e-12))
+
+
 def test_manifold_summary(spark):
     rows = [("d", "held", "real_test", 0.1, False), ("d", "held", "real_test", 0.2, False), ("d", "held", "real_test", 0.3, True),
             ("d", "m", "generated", 0.1, True), ("d", "m", "generated", 0.2, True), ("d", "m", "generated", 0.9, False)]

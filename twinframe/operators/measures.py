@@ -286,8 +286,11 @@ def average_ranks(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return long.join(value_ranks(long, ["column"], "value"), ["column", "value"]).select(key, "column", "rank", "present")
 
 
-def _known(value: Column) -> Column:
-    """A constant column has no correlation."""
+def _correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over rows with both numbers; null where a side is constant, at which F.corr divides by zero."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    value = F.try_divide(F.covar_pop(x, y), spread)
     return F.when(~F.isnan(value), value)
 
 
@@ -299,19 +302,45 @@ def numeric_correlation(df: DataFrame, columns: Sequence[str], method: str = "pe
     if method == "pearson":
         table = df.select(*by, *[as_double(df, c).alias(c) for c in columns])
         values = F.array(*[F.struct(F.lit(x).alias("left"), F.lit(y).alias("right"), F.abs(
-            _known(F.corr(x, y))).alias("value")) for x, y in pairs])
+            _correlation(F.col(x), F.col(y))).alias("value")) for x, y in pairs])
         return table.groupBy(*by).agg(values.alias("v")).select(*by, F.explode("v").alias("e")).select(*by, "e.*")
-    # Ranks are taken on the rows a pair shares, so each pair ranks its own complete rows.
-    parts = []
-    group = [*by, "_g"]
+    return _rank_correlation(df, pairs, columns, by)
+
+
+def _rank_correlation(df: DataFrame, pairs: Sequence[tuple[str, str]], columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Ranks are taken on the rows a pair shares, for all pairs from one order over (column, value).
+
+    A value has one rank among all rows of its column, and one more for each partner that some of these rows lack.
+    A group without any number is left out.
+    """
+    rows = checkpoint(df.select(
+        F.struct(F.lit(0).alias("_"), *by).alias("_by"), F.array(*[as_double(df, c) for c in columns]).alias("_v"),
+        F.monotonically_increasing_id().alias("_row")))  # written, so a row keeps its number
+    place = {c: i for i, c in enumerate(columns)}
+    has = lambda c: F.col("_v")[place[c]].isNotNull()
+    met = rows.agg(*[F.count_if(has(c)).alias(c) for c in columns],
+                   *[F.count_if(has(x) & has(y)).alias(f"{place[x]} {place[y]}") for x, y in pairs]).first()
+    apart = {c: [] for c in columns}
     for x, y in pairs:
-        whole = df.select(*by, F.lit(0).alias("_g"), as_double(df, x).alias("_x"), as_double(df, y).alias("_y")).filter(
-            F.col("_x").isNotNull() & F.col("_y").isNotNull())
-        ranks = [value_ranks(whole, group, c).select(*group, c, F.col("rank").alias(f"r{c}")) for c in ("_x", "_y")]
-        ranked = whole.join(ranks[0], [*group, "_x"]).join(ranks[1], [*group, "_y"])
-        parts.append(ranked.groupBy(*by).agg(F.abs(_known(F.corr("r_x", "r_y"))).alias("value")).select(
-            *by, F.lit(x).alias("left"), F.lit(y).alias("right"), "value"))
-    return reduce(DataFrame.unionByName, parts)
+        for own, other in ((x, y), (y, x)):
+            if met[f"{place[x]} {place[y]}"] < met[own]:
+                apart[own].append(other)
+    lacking = [c for c in columns if any(c in others for others in apart.values())]
+    name = lambda c: f"n{place[c]}"
+    sums = ["n", *[name(c) for c in lacking]]
+    long = rows.select("_by", "_row", *[has(c).alias(name(c)) for c in lacking],
+                       F.posexplode("_v").alias("_c", "_x")).filter(F.col("_x").isNotNull())
+    counts = long.groupBy("_by", "_c", "_x").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(name(c)).alias(name(c)) for c in lacking])
+    ranks = prefix_sums(counts, ["_by", "_c"], "_x", sums).select(
+        "_by", "_c", "_x", *[(F.col(f"cum_{s}") - (F.col(s) - 1) / F.lit(2.0)).alias(f"rank_{s}") for s in sums])
+    rank = lambda own, n: F.max(F.when(F.col("_c") == place[own], F.col(f"rank_{n}"))).alias(f"{place[own]}_{n}")
+    wide = long.join(ranks, ["_by", "_c", "_x"]).groupBy("_by", "_row").agg(
+        *[rank(c, "n") for c in columns], *[rank(c, name(other)) for c in columns for other in apart[c]])
+    side = lambda own, other: F.col(f"{place[own]}_{name(other) if other in apart[own] else 'n'}")
+    values = F.array(*[F.struct(F.lit(x).alias("left"), F.lit(y).alias("right"), F.abs(
+        _correlation(side(x, y), side(y, x))).alias("value")) for x, y in pairs])
+    return wide.groupBy(*["_by"] * bool(by)).agg(values.alias("v")).select(
+        *[F.col("_by")[b].alias(b) for b in by], F.explode("v").alias("e")).select(*by, "e.*")
 
 
 def association_matrix(df: DataFrame, columns: Sequence[str] | None = None, *, method: str = "pearson",
@@ -361,12 +390,11 @@ def association_difference(real: DataFrame, synthetic: DataFrame, columns: Seque
 def correlation_difference(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Signed real minus synthetic correlation per column pair."""
     both = tagged_union(real, synthetic)
-    pairs = list(combinations(columns, 2))
+    number = lambda side, c: _on(side, F.col(c).cast("double"))
     gaps = F.array(*[F.struct(F.lit(x).alias("left"), F.lit(y).alias("right"), (
-        _known(F.corr(_on("real", F.col(x).cast("double")), _on("real", F.col(y).cast("double"))))
-        - _known(F.corr(_on("synthetic", F.col(x).cast("double")), _on("synthetic", F.col(y).cast("double")))))
+        _correlation(number("real", x), number("real", y)) - _correlation(number("synthetic", x), number("synthetic", y)))
         .alias("difference"))
-        for x, y in pairs])
+        for x, y in combinations(columns, 2)])
     return both.agg(gaps.alias("v")).select(F.explode("v").alias("e")).select("e.*")
 
 
