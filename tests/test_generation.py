@@ -244,6 +244,45 @@ def test_geodesics_on_a_line(spark):
     assert found == {0: 0.0, 1: 1.0, 2: 3.0, 3: 4.5}
 
 
+def test_geodesics_on_a_long_chain(spark):
+    """Ten thousand hops need about as many rounds as their logarithm."""
+    n = 10_000
+    graph = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), (F.col("id") % 7 + 1).cast("double").alias("dist"))
+    marks = spark.createDataFrame([(0,), (5_000,)], "node bigint")
+    found = manifold.landmark_geodesics(graph, marks, plain_rounds=2).toPandas().pivot(index="node", columns="landmark", values="d").sort_index()
+    way = np.concatenate([[0.0], np.cumsum(np.arange(n - 1) % 7 + 1.0)])
+    assert len(found) == n
+    assert np.abs(found[0].to_numpy() - way).max() == 0.0
+    assert np.abs(found[5_000].to_numpy() - np.abs(way - way[5_000])).max() == 0.0
+
+
+@pytest.mark.parametrize("kind", ["band", "sparse", "dense"])
+def test_geodesics_against_all_paths(spark, kind):
+    rng = np.random.default_rng(5)
+    n = 40
+    pairs = {"band": [(i, j) for i in range(n) for j in range(i + 1, min(i + 4, n))],
+             "sparse": [tuple(p) for p in rng.integers(0, n, size=(42, 2))],
+             "dense": [tuple(p) for p in rng.integers(0, n, size=(300, 2))]}[kind]
+    rows = [(int(a), int(b), float(w)) for (a, b), w in zip(pairs, rng.integers(1, 50, size=len(pairs)))]
+    best = np.full((n, n), np.inf)
+    np.fill_diagonal(best, 0.0)
+    for a, b, w in rows:
+        best[a, b] = best[b, a] = min(best[a, b], w if a != b else 0.0)
+    for m in range(n):
+        best = np.minimum(best, best[:, m:m + 1] + best[m:m + 1])
+    marks = spark.createDataFrame([(0,), (17,), (n + 5,)], "node bigint")
+    found = {(r["landmark"], r["node"]): r["d"] for r in manifold.landmark_geodesics(
+        spark.createDataFrame(rows, "a bigint, b bigint, dist double"), marks, plain_rounds=6).collect()}
+    want = {(m, i): best[m, i] for m in (0, 17) for i in range(n) if np.isfinite(best[m, i])}
+    assert found == {**want, (n + 5, n + 5): 0.0}
+
+
+def test_geodesics_of_no_edges(spark):
+    marks = spark.createDataFrame([(3,)], "node bigint")
+    rows = manifold.landmark_geodesics(spark.createDataFrame([], "a bigint, b bigint, dist double"), marks).collect()
+    assert [tuple(r) for r in rows] == [(3, 3, 0.0)]
+
+
 def test_job_end_to_end(spark, tmp_path):
     source, sink = str(tmp_path / "in.csv"), str(tmp_path / "out.csv")
     spark.createDataFrame(MIXED, "id bigint, age bigint, band string, flag bigint, score bigint").drop("id").write.option("header", True).csv(source)
