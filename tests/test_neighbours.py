@@ -65,6 +65,45 @@ def test_split_cells_give_exact_lists(spark, monkeypatch, metric):
     assert lists(neighbours.knn_exact(points(spark, rows), "id", "z", 4, metric=metric)) == brute(rows, 4, metric)
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "cosine"])
+def test_strips_give_exact_lists_without_routes(spark, monkeypatch, metric):
+    """Where no cell can be ruled out, no query is copied to the cells."""
+    monkeypatch.setattr(neighbours, "ROUTED", 0)
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    monkeypatch.setattr(neighbours, "STRIP", 40 * 3 * 8)
+    monkeypatch.setattr(neighbours, "TABLE", 200)
+
+    def routed(*_):
+        raise AssertionError("copied to cells")
+    monkeypatch.setattr(neighbours, "_open_leaves", routed)
+    rng = np.random.default_rng(11)
+    rows = np.vstack([rng.normal(0, 1, (150, 3)).round(1), rng.normal(8, 0.2, (80, 3)).round(1), np.full((30, 3), 2.0)])
+    assert lists(neighbours.knn_exact(points(spark, rows), "id", "z", 4, metric=metric)) == brute(
+        rows / np.linalg.norm(rows, axis=1, keepdims=True) if metric == "cosine" else rows, 4, metric)
+
+
+def test_strips_of_classes_and_codes(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = np.hstack([rng.normal(0, 1, (300, 2)).round(1), rng.integers(0, 30, (300, 2))])
+    df = points(spark, rows).withColumn("g", F.col("id") % 3)
+    find = lambda **more: sorted(map(tuple, neighbours.knn_exact(df, "id", "z", 3, **more).collect()))
+    wanted = find(metric=neighbours.coded(2)), find(within="g")
+    monkeypatch.setattr(neighbours, "ROUTED", 0)
+    monkeypatch.setattr(neighbours, "STRIP", 50 * 4 * 8)
+    assert (find(metric=neighbours.coded(2)), find(within="g")) == wanted
+
+
+def test_tables_of_distances_stay_small(monkeypatch):
+    """However many rows a batch holds, a task compares a bounded block with the pivots."""
+    sizes, whole = [], neighbours.tile_distances
+    monkeypatch.setattr(neighbours, "tile_distances", lambda a, b, m: (sizes.append(len(a) * len(b)), whole(a, b, m))[1])
+    rows = np.random.default_rng(3).normal(0, 1, (4000, 2))
+    cell, radius = neighbours._home(rows, rows[:1000], "euclidean")
+    assert max(sizes) <= neighbours.TABLE < 4000 * 1000
+    d = whole(rows, rows[:1000], "euclidean")
+    assert (cell == d.argmin(axis=1)).all() and (radius == d.min(axis=1)).all()
+
+
 def test_recall_in_split_cells(spark, monkeypatch):
     for name, value in (("CELL", 20), ("CROWDED", 1), ("MAX_PIVOTS", 4)):
         monkeypatch.setattr(neighbours, name, value)
