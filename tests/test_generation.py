@@ -237,6 +237,26 @@ def test_hull_golden(spark):
     assert inside([(0, 0), (1, 1), (2, 2)], [(1, 1), (3, 3)]) == [True, False]
 
 
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_hull_of_any_number_of_rows(spark, monkeypatch, width):
+    """More rows than a test may be made against: groups are reduced to their corners, and the answers are those of all rows."""
+    monkeypatch.setattr(manifold, "MAX_HULL_ROWS", 150)
+    monkeypatch.setattr(manifold, "HULL_GROUP", 100)
+    rng = np.random.default_rng(width)
+    train = np.vstack([rng.normal(size=(600, width)).round(2), np.zeros((30, width))])
+    asked = rng.normal(size=(80, width)) * 1.6
+    t = spark.createDataFrame([([float(v) for v in p],) for p in train], "z array<double>")
+    q = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(asked)], "id bigint, z array<double>")
+    found = [r["in_hull"] for r in manifold.hull_membership(q, "id", t, "z").orderBy("point").collect()]
+    assert found == [manifold.contains_origin(train - p, 1e-8) for p in asked] and 0 < sum(found) < 80
+
+
+def test_corners_of_flat_and_equal_rows():
+    square = np.array([[x, y, 1.0] for x in range(5) for y in range(5)])
+    assert {(0.0, 0.0, 1.0), (0.0, 4.0, 1.0), (4.0, 0.0, 1.0), (4.0, 4.0, 1.0)} <= set(map(tuple, manifold.corners(square)))
+    assert len(manifold.corners(square)) < 25 and manifold.corners(np.ones((7, 2))).tolist() == [[1.0, 1.0]]
+
+
 def test_geodesics_on_a_line(spark):
     graph = spark.createDataFrame([(0, 1, 1.0), (1, 2, 2.0), (2, 3, 1.5), (7, 8, 1.0)], "a bigint, b bigint, dist double")
     marks = spark.createDataFrame([(0,)], "node bigint")
