@@ -5,10 +5,13 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_point
 from twinframe.operators import decode, manifold, neighbours, project, samplers, transport
 from twinframe.operators.decode import fit_decoder
+from twinframe.plans import evaluate
 from twinframe.plans.job import fit_generate_job
 from twinframe.plans.model import Params, TableModel, fit
+from twinframe.session import FOREST_PARTS, FOREST_ROWS, settle
 
 MIXED = [(i, a, b, i % 2, s) for i, (a, b, s) in enumerate(zip(
     [21, 22, 23, 35, 36, 37, 48, 49, 50, 62, 63, 64], ["young"] * 3 + ["adult"] * 3 + ["middle"] * 3 + ["senior"] * 3,
@@ -160,6 +163,38 @@ def test_calibration_status(spark):
         assert sum(r["p"]) == pytest.approx(1.0)
 
 
+def test_forests_are_walked_by_all_tasks(spark):
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.createDataFrame([(i, [float(i)], "ab"[i % 2]) for i in range(40)], "id bigint, x array<double>, y string").coalesce(1)
+    fitted = fit_decoder(rows, "id", "x", "y", ["a", "b"], trees=3, depth=3)
+    assert fitted.probabilities(rows, "x", "p").rdd.getNumPartitions() == width
+    out, _ = evaluate.forest_predictions(rows, rows, "x", "y", trees=3, depth=3)
+    assert f"Repartition {width}, true" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shares_are_listed_without_a_second_walk(spark, tmp_path):
+    """No filter in front of the list may walk the trees again."""
+    for name in ("fit_decoders", "calibrate_decoders"):
+        spark.createDataFrame([(i, float(i % 7), i % 3, "ab"[i % 2]) for i in range(40)], "c_custkey bigint, c_acctbal double, c_nationkey bigint, c_mktsegment string").write.parquet(
+            f"{tmp_path}/{name}/customer.parquet")
+        out = entry_point.queries()[name](spark, f"{tmp_path}/{name}")
+        assert "Filter" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert out.count() == 80
+
+
+def test_training_rows_settle_in_few_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        df = spark.range(1000)
+        assert settle(df, "id").rdd.getNumPartitions() == 40
+        assert settle(df, "id", rows=1000).rdd.getNumPartitions() == FOREST_PARTS
+        assert settle(df, "id", rows=20 * FOREST_ROWS).rdd.getNumPartitions() == 20
+        assert settle(df, "id", rows=10 ** 9).rdd.getNumPartitions() == 40
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def vectors(x, codes=None, count=0):
     """The Arrow form of contexts, with one sparse entry a row where codes are given."""
     lists = lambda parts, kind: pa.array([list(p) for p in parts], pa.list_(kind))
