@@ -93,3 +93,18 @@ def test_word_and_weight(spark):
         assert r.n == len(re.findall(mixing.WORD, r.t or ""))
         share = len([c for c in r.t if c.isascii() and c.isalpha() or ord(c) > 127]) / len(r.t) if r.t else 0
         assert r.w == pytest.approx(0.1 + 0.9 * share)
+
+
+def test_fast_counts_equal_the_plain_patterns(spark):
+    """Words and letters are counted without a list of matches and without the negated class, with the same results."""
+    texts = [None, "", " ", "\t\n\x0b\f\r ", " a", "a ", "a\u00a0b c", "\x1c\x1da b\x85c", "x\x00y\x7f z{|}~[`@", "\U00010330\U0010ffff 1\U0001f600 \u0080\u007f",
+             "Zz.Aa" * 50 + "  \r\n" * 40 + "9", "\u3000 \u2028\n\n."]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    text = F.coalesce("t", F.lit(""))
+    plain = F.lit(1.0) - F.length(F.regexp_replace(text, mixing.LETTERS, "")) / F.greatest(F.length(text), F.lit(1))
+    plain = F.lit(0.1) + F.lit(0.9) * F.when(F.length(text) > 0, plain).otherwise(F.lit(0.0))
+    made = rows.select(mixing.word_count(F.col("t")).alias("n"), mixing.quality_weight(F.col("t")).alias("w"))
+    known = rows.select(F.coalesce(F.regexp_count("t", F.lit(mixing.WORD)), F.lit(0)).cast("bigint").alias("n"), plain.alias("w"))
+    assert made.collect() == known.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "[^" not in plan
