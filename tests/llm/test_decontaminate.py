@@ -180,3 +180,24 @@ def test_recall_of_short_paraphrases_against_brute_force():
         if share >= dc.VERBATIM or share >= dc.LOOSE and told >= dc.ANSWER:
             bands.setdefault(min(int(share * 10), 8), []).append(k in {h[0] for h in hits})
     assert set(bands) == {5, 6, 7, 8} and all(np.mean(f) >= 0.9 for f in bands.values()), {b: (np.mean(f), len(f)) for b, f in bands.items()}
+
+
+def test_codes_in_place_of_texts(spark, corpus):
+    """Words that were hashed once give the same hits as the texts, also for null and empty ones."""
+    docs, items, _ = corpus
+    docs = spark.createDataFrame([*docs, (1000, None), (1001, "")], "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    space = dc.fit_space(docs)
+    plain = dc.find_leaks(docs, items, space).select("doc_id", "leaks").collect()
+    coded = dc.find_leaks(dc.encode(docs, "text", "doc_id"), items, space, codes="codes").select("doc_id", "leaks").collect()
+    assert sorted(plain) == sorted(coded) and sum(len(r.leaks) for r in coded) > 0
+
+
+def test_op2_reads_texts_once(spark, tmp_path, corpus):
+    """The search goes over the hashed words, not over the texts again."""
+    docs, items, truth = corpus
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = dc.op2(spark, str(tmp_path))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == truth
+    assert not [f for f in found.inputFiles() if "documents.parquet" in f]

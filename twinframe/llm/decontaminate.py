@@ -67,12 +67,12 @@ def text_codes(texts: pa.Array) -> Iterator[np.ndarray]:
         yield from word_codes(block)
 
 
-def encode(docs: DataFrame, text: str) -> DataFrame:
-    """(codes): the word numbers of each text as little-endian 32-bit numbers."""
+def encode(docs: DataFrame, text: str, *beside: str) -> DataFrame:
+    """(codes) behind the columns beside: the word numbers of each text as little-endian 32-bit numbers."""
     @F.arrow_udf("binary")
     def codes(texts: pa.Array) -> pa.Array:
         return pa.array([c.tobytes() for c in text_codes(texts)], pa.binary())
-    return docs.select(codes(F.col(text)).alias("codes"))
+    return docs.select(*beside, codes(F.col(text)).alias("codes"))
 
 
 # ---- the latent space
@@ -210,7 +210,11 @@ def weights(found: np.ndarray, passages: int) -> np.ndarray:
 def fit_space(docs: DataFrame, text: str = "text", rank: int = RANK, seed: int = 2) -> Space:
     """Randomised SVD of the TF-IDF passages of all texts; empty and null texts have none."""
     python_ready(docs.sparkSession)
-    codes = keep(encode(docs, text))
+    return space_of(keep(encode(docs, text)), rank, seed)
+
+
+def space_of(codes: DataFrame, rank: int = RANK, seed: int = 2) -> Space:
+    """As fit_space, from a written table (codes)."""
     found, passages = passage_counts(codes)
     idf = weights(found, passages)
     random = np.random.default_rng(seed).standard_normal((BUCKETS, rank + EXTRA))
@@ -291,7 +295,7 @@ class Searcher:
         words: texts padded to whole strides; first, last: the strides at which the text of each stride begins and ends.
         """
         index = np.where(words >= 0, words & (BUCKETS - 1), BUCKETS)
-        sums = np.concatenate([self.rows[index[at:at + BLOCK]].reshape(-1, STRIDE, self.rows.shape[1]).sum(axis=1) for at in range(0, len(words), BLOCK)])
+        sums = np.concatenate([np.einsum("ijk->ik", self.rows[index[at:at + BLOCK]].reshape(-1, STRIDE, self.rows.shape[1])) for at in range(0, len(words), BLOCK)])
         total = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
         signs = [np.bitwise_or.reduce(signature(words).reshape(-1, STRIDE, SIGNS), axis=1)]  # of 1, 2, 4, ... strides from each
         strides = np.arange(len(sums))
@@ -303,13 +307,14 @@ class Searcher:
                 step = 1 << (len(signs) - 1)
                 signs.append(signs[-1] | np.concatenate([signs[-1][step:], np.zeros((min(step, len(sums)), SIGNS), np.uint64)])[:len(sums)])
             out = np.zeros((len(start), SIGNS), np.uint64)
-            for x in np.unique(level):
+            for x in np.flatnonzero(np.bincount(level)):
                 of = np.flatnonzero(level == x)
                 out[of] = signs[x][start[of]] | signs[x][end[of] - (1 << int(x))]
             return out
 
         def enough(found: np.ndarray, k: np.ndarray) -> np.ndarray:
-            return np.bitwise_count(found & self.signs[k]) @ np.ones(SIGNS, np.int16) >= self.need[k]
+            bits = np.bitwise_count(found & self.signs[k])
+            return sum(bits[:, i].astype(np.int64) for i in range(SIGNS)) >= self.need[k]
 
         for m, ks, units in self.scales:
             begin, reach = strides[(strides + m <= last) | (strides == first)], self.margins[ks].max()
@@ -317,7 +322,7 @@ class Searcher:
                 lo = begin[at:at + 4096]
                 hi = np.minimum(lo + m, last[lo])
                 near = self.unit((total[hi] - total[lo]).astype(np.float32)) @ units.T
-                w, j = np.nonzero(near >= self.cosine)
+                w, j = np.divmod(np.flatnonzero(near >= self.cosine), len(ks))
                 if not len(w):
                     continue
                 some = enough(held(np.maximum(lo - reach, first[lo]), np.minimum(hi + reach, last[lo]))[w], ks[j])  # once a window, in the widest region
@@ -387,12 +392,13 @@ def item_codes(items: DataFrame, item: str, text: str, answer: str | None) -> It
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, space: Space, text: str = "text", item: str = "item_id", item_text: str = "text",
-               answer: str | None = None, name: str = "leaks", cosine: float = COSINE) -> DataFrame:
+               answer: str | None = None, name: str = "leaks", cosine: float = COSINE, codes: str | None = None) -> DataFrame:
     """docs with a column of the benchmark items found in each whole text: (item, cosine, item_share, answer_share).
 
     The benchmark is the query set: it is read in lists of a bounded size, each sent to the workers and compared with all
     documents. Items and texts that are null or have no words match nothing. Repeated items are each found, under their id.
-    An existing column of that name is replaced.
+    An existing column of that name is replaced. Where docs hold the word numbers of their whole texts already, codes names that
+    column, and it is read in place of the text.
     """
     spark = docs.sparkSession
     python_ready(spark)
@@ -407,10 +413,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, space: Space, text: str = "tex
         def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             searcher = Searcher(latent.value, sent.value, cosine)
             for batch in batches:
-                yield pa.array([[dict(zip(names, hit)) for hit in hits] for hits in searcher.all(text_codes(batch))], sent_type)
+                texts = text_codes(batch) if codes is None else (np.frombuffer(c, np.int32) for c in batch.to_pylist())
+                yield pa.array([[dict(zip(names, hit)) for hit in hits] for hits in searcher.all(texts)], sent_type)
         return search
 
-    lists = [searching(spark.sparkContext.broadcast(block))(F.col(text)) for block in item_codes(items, item, item_text, answer)]
+    lists = [searching(spark.sparkContext.broadcast(block))(F.col(codes or text)) for block in item_codes(items, item, item_text, answer)]
     return docs.withColumn(name, F.concat(*lists) if lists else F.array().cast(shape))
 
 
@@ -421,7 +428,8 @@ def drop_leaked(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFr
 
 @query("op2_decontamination")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    found = find_leaks(docs, table(spark, folder, "benchmark"), fit_space(docs))
+    python_ready(spark)
+    docs = keep(encode(table(spark, folder, "documents"), "text", "doc_id"))  # words are hashed once, for the space and the search
+    found = find_leaks(docs, table(spark, folder, "benchmark"), space_of(docs.select("codes")), codes="codes")
     return found.select("doc_id", F.explode("leaks").alias("leak")).select(
         "doc_id", F.col("leak.item").alias("item_id"), *(F.col(f"leak.{c}").alias(c) for c in ("cosine", "item_share", "answer_share")))
