@@ -181,3 +181,11 @@ def test_codes_stand_for_one_hot_blocks(spark):
     hot = np.hstack([numbers, *[np.vstack([np.zeros(12), np.eye(12)])[codes[:, j] + 1] for j in range(2)]])
     coded = neighbours.knn_exact(points(spark, np.hstack([numbers, codes])), "id", "z", 4, metric=neighbours.coded(2))
     assert lists(coded) == brute(hot, 4)
+
+
+def test_strips_of_narrow_vectors_are_bounded_by_rows(spark):
+    """Memory of a task: 64 MB of one-number vectors would be eight million rows."""
+    for rows, width in ((10_000_000, 1), (10_000_000, 7), (5_000_000, 64)):
+        strips = spark.range(1).select(neighbours._strips(F.lit(rows), width)).first()[0]
+        assert rows / strips <= 1 << 18 and rows * width * 8 / strips <= neighbours.STRIP
+    assert [spark.range(1).select(neighbours._strips(F.lit(n), 7)).first()[0] for n in (1, 5000, 900_000)] == [1, 5, 8]
