@@ -255,6 +255,33 @@ def test_projection_of_all_rows(spark):
     assert project.nca_fit(df.withColumn("x", F.array().cast("array<double>")), "id", "x", "y", 1) is None
 
 
+def test_tiles_hold_each_row_with_its_partners(spark, monkeypatch):
+    """Tiles hold whole rows however small they are: the nearest ones of each, and those drawn that are neither itself nor near."""
+    monkeypatch.setattr(project, "TILE_ROWS", 20)
+    x = np.random.default_rng(2).normal(size=(90, 2)).round(3)
+    label = [None if i % 9 == 0 else "ab"[i % 2] for i in range(90)]
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], label[i]) for i in range(90)], "no bigint, x array<double>, label string")
+    table = df.select("no", F.struct("x").alias("v"), "label")
+    tiles = project.partners(table, np.array([[1.0, 0.0]]), 90, 4, 6, 42, 0).collect()
+    drawn = table.select("no", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("j")).select(
+        "no", project.rng.uniform_index(90, 42, "nca.0", "no", "j").alias("to")).collect()
+    place, seen = {tuple(v): i for i, v in enumerate(x)}, []
+    for t in tiles:
+        own, others = (pa.ipc.open_stream(bytes(t[c])).read_next_batch().to_pydict() for c in ("own", "others"))
+        at = 0
+        for v, count in zip(own["v"], own["count"]):
+            i = place[tuple(v["x"])]
+            mine = [(f, s, place[tuple(o["x"])]) for f, s, o in zip(*(others[c][at:at + count] for c in ("far", "same", "v")))]
+            near = {j for f, _, j in mine if not f}
+            gap = np.round(np.abs(x[:, 0] - x[i, 0]), 9)
+            assert near == set(sorted(set(range(90)) - {i}, key=lambda j: (gap[j], j))[:4])
+            assert sorted(j for f, _, j in mine if f) == sorted(r["to"] for r in drawn if r["no"] == i and r["to"] != i and r["to"] not in near)
+            assert all(s == (label[j] is not None and label[j] == label[i]) for _, s, j in mine)
+            seen.append(i)
+            at += count
+    assert sorted(seen) == list(range(90))
+
+
 def test_principal_directions_equal_svd(spark):
     x = np.random.default_rng(5).normal(size=(60, 5)) @ np.diag([5.0, 2.0, 1.0, 0.1, 0.1])
     table = spark.createDataFrame([([float(v) for v in r],) for r in x], "x array<double>").select(F.struct("x").alias("v"))

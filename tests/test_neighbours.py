@@ -189,3 +189,22 @@ def test_strips_of_narrow_vectors_are_bounded_by_rows(spark):
         strips = spark.range(1).select(neighbours._strips(F.lit(rows), width)).first()[0]
         assert rows / strips <= 1 << 18 and rows * width * 8 / strips <= neighbours.STRIP
     assert [spark.range(1).select(neighbours._strips(F.lit(n), 7)).first()[0] for n in (1, 5000, 900_000)] == [1, 5, 8]
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+@pytest.mark.parametrize("line", [40, 10_000])
+def test_one_coordinate_is_searched_along_the_line(spark, monkeypatch, metric, line):
+    """Ties on both sides, copies beyond the length of a list, gaps at the cuts: the lists are the exact ones, and no row is searched in cells."""
+    monkeypatch.setattr(neighbours, "LINE", line)
+    monkeypatch.setattr(neighbours, "_search", lambda *a: pytest.fail("searched in cells"))
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.integers(0, 60, 300) / 4.0, rng.normal(size=300) * 5 + 20.0, np.full(30, 7.5), [1e4, -1e4, 0.0, -0.0, 0.5, 0.5 + 2e-10]])
+    for k in (1, 5):
+        assert lists(neighbours.knn_exact(points(spark, values), "id", "z", k, metric=metric)) == brute(values, k, "manhattan")
+
+
+def test_odd_values_leave_the_line(spark):
+    few = spark.createDataFrame([(i, [v]) for i, v in enumerate([1.0, 2.0, float("inf"), 4.5])], "id bigint, z array<double>")
+    found = lists(neighbours.knn_exact(few.filter("id <> 2"), "id", "z", 5))
+    assert found == {0: [1, 3], 1: [0, 3], 3: [1, 0]}
+    assert neighbours._on_line(few.selectExpr("id AS dst", "z AS vec", "1 AS copy"), 2) is None
