@@ -534,3 +534,22 @@ def test_label_tree_shares(spark):
     likely = tree.walk(df, "x", "made", sample=False, seed=1, row="id").collect()
     assert sum(r["_idx"] == r["idx"] for r in likely) > 200 and all(0 <= r["_idx"] < 50 for r in likely)
     assert all(0 <= r["_idx"] < 50 for r in tree.walk(df, "x", "made", sample=True, seed=1, row="id").collect())
+
+
+def test_trace_tells_the_probabilities(fitted):
+    made = fitted.trace(25).collect()
+    assert len(made) == 25
+    for r in made:
+        for column in ("band", "flag"):
+            told = r["probabilities"][column]
+            assert sorted(told) == sorted(fitted.decoders[column].classes) and abs(sum(told.values()) - 1) < 1e-9
+            assert told[str(r[column])] > 0
+    plain = {r["row"]: (r["band"], r["flag"]) for r in fitted.generate(25).collect()}
+    assert plain == {r["row"]: (r["band"], r["flag"]) for r in made}
+
+
+def test_trace_tells_the_shares_of_a_label_tree(wide):
+    model = fit(wide, "id", params=replace(QUICK, narrow=8))
+    for r in model.trace(10).collect():
+        levels = r["probabilities"]["key"]
+        assert len(levels) == len(model.decoders["key"].levels) and all(abs(sum(x) - 1) < 1e-9 for x in levels)
