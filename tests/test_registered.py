@@ -40,3 +40,10 @@ def test_setup_report_runs_all_setups(spark, folder, asked):
     assert sorted(s for s, _, _ in asked) == sorted(names) and published(asked)
     accurate = next(p for s, p, _ in asked if s == "accurate")
     assert (accurate.n_iterations, accurate.retries, accurate.calibrate) == (2, 20, True)
+
+
+def test_parameter_grid_report_runs_the_whole_grid(spark, folder, asked):
+    out = entry_point.queries()["parameter_grid_report"](spark, folder)
+    want = sorted(f"{p}={v}" for p, values in sweeps.GRID.items() for v in values)
+    assert sorted(r["setup"] for r in out.collect()) == want and len(want) == 29
+    assert sorted(s for s, _, _ in asked) == want and published(asked)
