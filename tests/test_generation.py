@@ -553,3 +553,26 @@ def test_trace_tells_the_shares_of_a_label_tree(wide):
     for r in model.trace(10).collect():
         levels = r["probabilities"]["key"]
         assert len(levels) == len(model.decoders["key"].levels) and all(abs(sum(x) - 1) < 1e-9 for x in levels)
+
+
+def test_decoders_are_fitted_on_all_rows(spark, monkeypatch):
+    from twinframe.plans import model as plan
+    seen = []
+
+    def count(rows, *given, **settings):
+        seen.append(rows.count())
+        return decode.Decoder(["0", "1"], "prior_only", [0.5, 0.5])
+    monkeypatch.setattr(plan, "fit_decoder", count)
+    monkeypatch.setattr(plan, "fit_label_tree", count)
+    df = spark.range(100_300).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 2).cast("string").alias("c"),
+                                     (F.col("id") % 97).cast("string").alias("wide"))
+    fit(df, "id", params=QUICK, edges=spark.createDataFrame([(0, 7), (7, 0)], "src bigint, dst bigint"))
+    assert seen == [100_300] * 2
+
+
+def test_smallest_leaf_grows_with_the_rows(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i)], "ab"[i % 2]) for i in range(200)], "id long, x array<double>, y string")
+    leaf = lambda: fit_decoder(df, "id", "x", "y", ["a", "b"], trees=2, depth=3).forests[0].getMinInstancesPerNode()
+    assert leaf() == 1
+    monkeypatch.setattr(decode, "MOST_LEAVES", 60)
+    assert leaf() == 4
