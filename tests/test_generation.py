@@ -576,3 +576,34 @@ def test_smallest_leaf_grows_with_the_rows(spark, monkeypatch):
     assert leaf() == 1
     monkeypatch.setattr(decode, "MOST_LEAVES", 60)
     assert leaf() == 4
+
+
+def test_partners_in_slices_and_nothing_left_on_disk(spark, monkeypatch):
+    """Slices give each row the partners it has without them, and a projection deletes the tables it wrote."""
+    import os
+    from pathlib import Path
+
+    from twinframe.session import checkpoint
+    table = checkpoint(spark.range(50).select(F.col("id").alias("no"), F.struct(F.array((F.col("id") * 7 % 50).cast("double"), F.lit(1.0)).alias("x")).alias("v"),
+                                              (F.col("id") % 3).cast("string").alias("label")))
+    kept = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    files = lambda: sum(len(names) for _, _, names in os.walk(kept))
+
+    def found():
+        out, before = {}, files()
+        tiles = project.partners(table, np.array([[1.0, 0.0]]), 50, 4, 6, 42, 0)
+        for t in tiles.collect():
+            own, others = (pa.ipc.open_stream(t[x]).read_next_batch().to_pydict() for x in ("own", "others"))
+            at = 0
+            for v, n in zip(own["v"], own["count"]):
+                out[v["x"][0]] = sorted((far, same, w["x"][0]) for far, same, w in zip(*(others[c][at:at + n] for c in ("far", "same", "v"))))
+                at += n
+        project.discard(tiles)
+        assert files() == before
+        return out
+    whole = found()
+    monkeypatch.setattr(project, "SHUFFLED", 200)
+    assert found() == whole and len(whole) == 50
+    df = spark.createDataFrame([(i, [float(i % 9), float(i)], "ab"[i % 2]) for i in range(80)], "id long, x array<double>, y string")
+    before = files()
+    assert project.nca_fit(df, "id", "x", "y", 1, max_iter=2) is not None and files() == before
