@@ -607,3 +607,19 @@ def test_partners_in_slices_and_nothing_left_on_disk(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(i % 9), float(i)], "ab"[i % 2]) for i in range(80)], "id long, x array<double>, y string")
     before = files()
     assert project.nca_fit(df, "id", "x", "y", 1, max_iter=2) is not None and files() == before
+
+
+def test_geodesics_by_one_task_and_by_rounds(spark):
+    """One task, rounds, and contraction down to what one task holds give the same lengths; a landmark may be named twice or have no edge."""
+    rng = np.random.default_rng(8)
+    edges = [(f"n{i}", f"n{j}", round(float(abs(i - j) + rng.random()), 3)) for i in range(90) for j in (i + 1, i + 3) if j < 90 and (i < 60) == (j < 60)]
+    graph = spark.createDataFrame(edges, "a string, b string, dist double")
+    marks = spark.createDataFrame([("n0",), ("n59",), ("n0",), ("alone",)], "node string")
+    found = [sorted((r["landmark"], r["node"], round(r["d"], 9)) for r in manifold.landmark_geodesics(graph, marks, **how).collect())
+             for how in ({}, dict(local=0), dict(local=60, plain_rounds=2))]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 2 * 60 + 1 + 1
+
+
+def test_path_lengths_take_detours():
+    node, to, dist = np.array([0, 0, 1, 2, 2]), np.array([1, 2, 3, 1, 3]), np.array([5.0, 1.0, 1.0, 1.0, 9.0])
+    assert manifold.path_lengths(node, to, dist, 5, 0).tolist() == [0.0, 2.0, 1.0, 3.0, np.inf]
